@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabweave.llm.shared import table
+from tabweave.llm.shared import in_subset, table
 
 
 def tokenizer_path() -> str:
@@ -22,14 +23,59 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabweave.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm.secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(in_subset("doc_id", 5) != 0))
+    return quality.score(docs, model).select("doc_id", (in_subset("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(in_subset("doc_id", 3) != 1))
+    return language_id.predict(docs, model).select("doc_id", (in_subset("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
+}
+#: op3's rows: texts are grouped by their normalised form itself.
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM d
+""",
 }
-ORACLES: dict[str, str] = {}
