@@ -63,15 +63,24 @@ class BloomFilter:
 
     def may_hold(self, column: str | Column) -> Column:
         """A boolean column: False only where the key is certainly not in the filter."""
-        shared, bits = self.shared, self.bits
+        probe_keys = self.tester()
 
         @F.pandas_udf("boolean")
         def probe(keys: pd.Series) -> pd.Series:
+            return pd.Series(probe_keys(keys.to_numpy(np.int64)))
+
+        return probe(column)
+
+    def tester(self):
+        """A function of an int64 array for use inside other Python stages."""
+        shared, bits = self.shared, self.bits
+
+        def test(keys: np.ndarray) -> np.ndarray:
             packed = shared.value
-            at = _places(keys.to_numpy(np.int64), bits).reshape(PROBES, -1)
+            at = _places(keys, bits).reshape(PROBES, -1)
             hit = np.ones(at.shape[1], bool)
             for row in at.astype(np.int64):
                 hit &= (packed[row >> 3] >> (7 - (row & 7)).astype(np.uint8) & 1).astype(bool)
-            return pd.Series(hit)
+            return hit
 
-        return probe(column)
+        return test
