@@ -84,3 +84,10 @@ class BloomFilter:
             return hit
 
         return test
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in gone; rows that the filter clears are not shuffled."""
+    route = BloomFilter(gone.select(F.xxhash64(F.col(key)).alias("__key")), "__key", gone.count())
+    mark = F.xxhash64(F.col(key))
+    return rows.filter(~route.may_hold(mark)).unionByName(rows.filter(route.may_hold(mark)).join(gone, key, "left_anti").select(*rows.columns))

@@ -138,9 +138,9 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]", " ")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, groups). rows: every row's id, _row, _fp, text_sha256. groups, only those of two rows or more:
-    _fp, text_sha256, keep_id, keep_row, group_size. Both are stored."""
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, BloomFilter]:
+    """(rows, groups, route). rows: every row's id, _row, _fp, text_sha256. groups, only those of two rows or more:
+    _fp, text_sha256, keep_id, keep_row, group_size. Both are stored. route: holds the _fp of every row of groups."""
     norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_norm"))
     rows = stored(norm.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("_norm").alias("_fp"), F.sha2("_norm", 256).alias("text_sha256")), "exact-rows")
     total = rows.count()
@@ -151,12 +151,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     verified = suspects.groupBy("_fp", "_norm").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp", F.sha2("_norm", 256).alias("text_sha256"))
     members = rows.filter(route.may_hold("_fp")).groupBy("_fp", "text_sha256").agg(F.min(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
     groups = members.join(verified, ["_fp", "text_sha256"]).select("_fp", "text_sha256", F.col("_keep.doc_id").alias("keep_id"), F.col("_keep._row").alias("keep_row"), "group_size")
-    return rows, stored(groups, "exact-groups")
+    return rows, stored(groups, "exact-groups"), route
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, groups = duplicate_groups(docs, id_col, text_col)
+    rows, groups, _ = duplicate_groups(docs, id_col, text_col)
     return rows.join(groups, ["_fp", "text_sha256"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
@@ -167,17 +167,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; all columns of docs."""
-    _, groups = duplicate_groups(docs, id_col, text_col)
+    """docs without the copies; all columns of docs. Only rows that the filter routes to verification are shuffled."""
+    rows, groups, route = duplicate_groups(docs, id_col, text_col)
+    keyed = docs.withColumn("__fp", F.xxhash64(normalised(F.col(text_col))))
+    plain = keyed.filter(~route.may_hold("__fp")).select(*docs.columns)
     mine = groups.select(F.col("_fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    norm = normalised(F.col(text_col))
-    keyed = docs.withColumns({"__fp0": F.xxhash64(norm)})
-    # copies are few rows or hot groups; the groups' side has one row each, so the join is by size: broadcast or split by skew
-    left = keyed.join(mine, (keyed["__fp0"] == mine["__fp"]) & (F.sha2(normalised(keyed[text_col]), 256) == mine["__sha"]), "left")
-    kept = left.filter(F.col("__keep").isNull() | (F.col("__keep") == F.col(id_col)))
-    repeats = groups.groupBy().agg(F.sum("group_size")).collect()  # nothing to do further where no group exists
-    if not repeats[0][0]:
-        return kept.select(*docs.columns)
-    single = kept.filter(F.col("__keep").isNull()).select(*docs.columns)
-    firsts = kept.filter(F.col("__keep").isNotNull())
-    return single.unionByName(firsts.dropDuplicates(["__fp", "__sha"]).select(*docs.columns))
+    routed = keyed.filter(route.may_hold("__fp")).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(mine, ["__fp", "__sha"], "left")
+    kept = routed.filter(F.col("__keep").isNull() | (F.col("__keep") == F.col(id_col)))
+    again = rows.join(groups, ["_fp", "text_sha256"]).filter("doc_id = keep_id and _row <> keep_row").limit(1).count()
+    if again:  # rows that repeat the id that stays: one of them
+        kept = kept.filter(F.col("__keep").isNull()).unionByName(kept.filter(F.col("__keep").isNotNull()).dropDuplicates(["__fp", "__sha"]))
+    return plain.unionByName(kept.select(*docs.columns))

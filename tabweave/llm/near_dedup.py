@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm import arrays as A
-from tabweave.llm.bloom import BloomFilter
+from tabweave.llm.bloom import BloomFilter, without
 from tabweave.llm.components import components
 from tabweave.llm.shared import stored, texts_of
 
@@ -315,7 +315,7 @@ def near_dedup(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc
 def drop_near(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of every class, the one of the smallest id; all columns."""
     classes = stored(near_classes(docs, p, id_col, text_col), "near-classes")
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stored(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
+    kept = without(docs, gone, id_col)
     again = classes.filter("doc_id = class_id").groupBy("class_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if again else kept

@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,8 +201,6 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs that the model does not reject; all columns, one pass, no shuffle."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -23,6 +23,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm.licence_scan import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabweave.llm.exact_dedup import exact_dedup
 
@@ -41,6 +47,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabweave.llm.near_dedup import near_dedup
 
@@ -63,14 +75,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (in_subset("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabweave.llm.warc import derivatives
+
+    return derivatives(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_licence_scan": op2_licence_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_nearest": op6_nearest,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
 }
 #: op3's rows: texts are grouped by their normalised form itself.
 ORACLES: dict[str, str] = {

@@ -17,6 +17,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,8 +165,6 @@ def secret_scan(docs: DataFrame, rules: SecretRules = SecretRules(), id_col: str
 
 def redact(docs: DataFrame, rules: SecretRules = SecretRules(), mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by a mark; all columns stay, and texts without spans are untouched (null too)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         scanner = Scanner(rules)
