@@ -34,7 +34,8 @@ from tabweave.llm.bloom import BloomFilter, without
 from tabweave.llm.components import components
 from tabweave.llm.shared import stored, texts_of
 
-BINS = 64
+#: Columns of one slice of a block's table of flags.
+SLICE = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -113,8 +114,27 @@ def limit_of(na, nb, similarity: float):
     return np.floor((1 - similarity) * np.maximum(na, nb) + 1e-9).astype(np.int64)
 
 
-def bag(words: np.ndarray) -> np.ndarray:
-    return np.bincount((words % BINS).astype(np.int64), minlength=BINS).astype(np.int32)
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, each once, sorted."""
+    if len(words) < 2:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return np.unique(A.mix(words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:].astype(np.uint64)))
+
+
+def word_labels(words: np.ndarray) -> np.ndarray:
+    """A word with the number of its occurrence, hashed, sorted: a set that stands for the multiset of words."""
+    w = np.sort(words)
+    new = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+    nth = np.arange(len(w)) - np.repeat(new, np.diff(np.append(new, len(w))))
+    with np.errstate(over="ignore"):
+        return np.unique(A.mix(w.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + nth.astype(np.uint64)))
+
+
+def least_distance(words, pairs):
+    """A lower bound of the edit distance from (count a, count b, shared) of word labels and of distinct word pairs: an
+    edit changes one word, and at most two pairs, of either text."""
+    return np.maximum(np.maximum(words[0], words[1]) - words[2], (pairs[0] + pairs[1] - 2 * pairs[2]) / 4)
 
 
 def band_distances(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
@@ -156,6 +176,33 @@ def band_distances(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.n
     return out
 
 
+def wide_distance(a: list[int], b: list[int], limit: int) -> int:
+    """Edit distance with the whole matrix as the band: one bit per row of it, one step per word of b. Stops with
+    limit + 1 as soon as the words left cannot bring the distance down to the limit."""
+    n = len(a)
+    if not n:
+        return len(b)
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    mask, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, left = mask, 0, n, len(b)
+    for x in b:
+        same = at.get(x, 0) | down
+        diag = (((same & up) + up) ^ up) | same
+        over, under = down | (mask & ~(diag | up)), diag & up
+        if over & top:
+            score += 1
+        elif under & top:
+            score -= 1
+        left -= 1
+        if score - left > limit:
+            return limit + 1
+        over, under = (over << 1 | 1) & mask, (under << 1) & mask
+        up, down = under | (mask & ~(diag | over)), over & diag
+    return score
+
+
 def verified(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
     """Whether each pair's edit similarity reaches the bound."""
     n = len(a)
@@ -166,26 +213,29 @@ def verified(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.
     for k in range(n):
         if abs(na[k] - nb[k]) > limit[k]:
             continue
-        diff = bag(a[k]) - bag(b[k])
-        if max(diff[diff > 0].sum(), -diff[diff < 0].sum()) <= limit[k]:
+        sides = [(f(a[k]), f(b[k])) for f in (word_labels, pair_hashes)]
+        counts = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in sides]
+        if least_distance(*counts) <= limit[k]:
             open_.append(k)
     open_ = np.array(open_, np.int64)
-    width = 8
-    while len(open_):
+    for width in (8, 32):
+        if not len(open_):
+            break
         open_ = open_[np.argsort(na[open_], kind="stable")]
         most = np.minimum(limit[open_], width)
         got = np.full(len(open_), 1 << 28)
         at = 0
         while at < len(open_):
             take = 1
-            while at + take < len(open_) and (take + 1) * max(2 * width + 1, 64) * 1 <= 40_000 and (take + 1) * na[open_[at + take]] <= 4_000_000:
+            while at + take < len(open_) and (take + 1) * max(2 * width + 1, 64) <= 40_000 and (take + 1) * na[open_[at + take]] <= 4_000_000:
                 take += 1
             ks = open_[at : at + take]
             got[at : at + take] = band_distances([a[k] for k in ks], [b[k] for k in ks], width)
             at += take
         ok[open_[got <= most]] = True
         open_ = open_[(got > most) & (limit[open_] > width)]
-        width *= 4
+    for k in open_.tolist():
+        ok[k] = wide_distance(a[k].tolist(), b[k].tolist(), int(limit[k])) <= limit[k]
     return ok
 
 
@@ -214,7 +264,7 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
     keyed = nodes.select(F.explode("keys").alias("key"), "node").distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("size > 1")
     members = stored(keyed.join(shared, "key"), "near-members")
-    wanted = nodes.select("node", "digest").join(members.select("node").distinct(), "node")
+    wanted = nodes.select("node", "digest", "keys").join(members.select("node").distinct(), "node")
     wanted = stored(wanted.withColumn("k64", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "near-wanted")
     route = BloomFilter(wanted, "k64", wanted.count()).tester()
 
@@ -229,7 +279,7 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([own[k] for k in pick], pa.binary()), "words": pa.array([bytes(raw[at[k] : at[k + 1]]) for k in pick], pa.binary())})
 
     found = docs.select(id_col, text_col).mapInArrow(words, "digest binary, words binary").groupBy("digest").agg(F.first("words").alias("words"))
-    texts = stored(found.join(wanted, "digest").select("node", "words"), "near-words")
+    texts = stored(found.join(wanted, "digest").select("node", "words", "keys"), "near-words")
 
     def verify(batches):
         for batch in batches:
@@ -251,8 +301,9 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
 
     def inside(t: pa.Table) -> pa.Table:
         part, node, root = (t.column(c).to_numpy() for c in ("part", "node", "root"))
-        own = _as_words(t.column("words"))
-        return pa.table(dict(zip("ab", (pa.array(x, pa.int64()) for x in block_links(node, root, part, own, p.similarity)))))
+        keys = [np.array(x, np.int64) for x in t.column("keys").to_pylist()]
+        found = block_links(t.column("key")[0].as_py(), node, root, part, _as_words(t.column("words")), keys, p.similarity)
+        return pa.table(dict(zip("ab", (pa.array(x, pa.int64()) for x in found))))
 
     more = left.join(texts, "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
     whole = components(links.unionByName(more))
@@ -262,13 +313,45 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size")
 
 
-def block_links(node: np.ndarray, root: np.ndarray, part: np.ndarray, own: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links between nodes of different components in one pair of blocks; pairs joined on the way are skipped."""
+def block_links(key: int, node: np.ndarray, root: np.ndarray, part: np.ndarray, own: list[np.ndarray], keys: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links between nodes of different components in one pair of blocks of a bucket.
+
+    A pair is tested in the least of its common buckets only. Pairs are tested by falling overlap of their word pairs,
+    and those joined on the way are skipped, so a component's members are not tested against each other.
+    """
     n = len(node)
     order = np.argsort(node, kind="stable")
-    node, root, part, own = node[order], root[order], part[order], [own[k] for k in order]
+    node, root, part, own, keys = node[order], root[order], part[order], [own[k] for k in order], [keys[k] for k in order]
     size = np.array([len(x) for x in own], np.int64)
-    bags = np.stack([bag(x) for x in own]) if n else np.zeros((0, BINS), np.int32)
+
+    def shared(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each row's values, as a column and as a row, and how many each two rows share), by matrix products."""
+        held = np.array([len(x) for x in rows], np.float32)
+        owner = np.repeat(np.arange(n), held.astype(np.int64))
+        _, column, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *rows]), return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1  # values of one row alone are shared with none
+        keep = times[column] > 1
+        owner, column = owner[keep], place[column[keep]]
+        both = np.zeros((n, n), np.float32)
+        for lo in range(0, int(place[-1]) + 1 if len(place) else 0, SLICE):
+            flags = np.zeros((n, SLICE), np.float32)
+            now = (column >= lo) & (column < lo + SLICE)
+            flags[owner[now], column[now] - lo] = 1
+            both += flags @ flags.T
+        return held[:, None], held[None, :], both
+
+    words, pairs = shared([word_labels(x) for x in own]), shared([pair_hashes(x) for x in own])
+    limits = limit_of(size[:, None], size[None, :], similarity)
+    near = (np.abs(size[:, None] - size[None, :]) <= limits) & (least_distance(words, pairs) <= limits) & (root[:, None] != root[None, :])
+    if len(np.unique(part)) > 1:
+        near &= part[:, None] != part[None, :]
+    i, j = np.nonzero(np.triu(near, 1))
+    # an exact look at the pairs' other buckets
+    lower = [frozenset(x[x < key].tolist()) for x in keys]
+    first = np.fromiter((lower[x].isdisjoint(lower[y]) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+    i, j = i[first], j[first]
+    order = np.argsort(-words[2][i, j] / np.maximum(np.maximum(size[i], size[j]), 1), kind="stable")
+    i, j = i[order].tolist(), j[order].tolist()
     group = {int(r): int(r) for r in root.tolist()}
 
     def top(x: int) -> int:
@@ -277,33 +360,22 @@ def block_links(node: np.ndarray, root: np.ndarray, part: np.ndarray, own: list[
             x = group[x]
         return x
 
-    two = len(np.unique(part)) > 1
-    a, b = [], []
-    for i in range(n):
-        after = np.arange(i + 1, n)
-        if two:
-            after = after[part[i + 1 :] != part[i]]
-        after = after[root[after] != root[i]]
-        limit = limit_of(size[i], size[after], similarity)
-        near = np.abs(size[after] - size[i]) <= limit
-        after, limit = after[near], limit[near]
-        if not len(after):
-            continue
-        diff = bags[after] - bags[i]
-        up = np.maximum(diff, 0).sum(1)
-        after = after[np.maximum(up, up - diff.sum(1)) <= limit]
-        after = [j for j in after.tolist() if top(int(root[j])) != top(int(root[i]))]
-        for s in range(0, len(after), 32):
-            todo = [j for j in after[s : s + 32] if top(int(root[j])) != top(int(root[i]))]
-            if not todo:
-                continue
-            ok = verified([own[i]] * len(todo), [own[j] for j in todo], similarity)
-            for j, good in zip(todo, ok.tolist()):
-                if good:
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
-                    x, y = top(int(root[i])), top(int(root[j]))
-                    group[max(x, y)] = min(x, y)
+    names = root.tolist()
+    a, b, at, step = [], [], 0, 8
+    while at < len(i):
+        todo = []
+        while at < len(i) and len(todo) < step:
+            if top(names[i[at]]) != top(names[j[at]]):
+                todo.append((i[at], j[at]))
+            at += 1
+        step = min(64, step * 2)
+        ok = verified([own[x] for x, _ in todo], [own[y] for _, y in todo], similarity)
+        for (x, y), good in zip(todo, ok.tolist()):
+            if good:
+                a.append(int(node[x]))
+                b.append(int(node[y]))
+                p, q = top(names[x]), top(names[y])
+                group[max(p, q)] = min(p, q)
     return a, b
 
 
