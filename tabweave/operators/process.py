@@ -346,6 +346,18 @@ def q_posterior(x0: Column, xt: Column, beta: Column, bar: Column, bar_prev: Col
     return mean, beta * (one - bar_prev) / (one - bar)
 
 
+def vb_term(mean: Column, log_var: Column, model_mean: Column, model_log_var: Column) -> Column:
+    """A term of the variational bound in bits: KL of the true against the model's posterior."""
+    from tabweave.functions.scalars import normal_kl
+
+    return normal_kl(mean, log_var, model_mean, model_log_var) / F.lit(float(np.log(2)))
+
+
+def prior_kl(x0: Column, bar: Column) -> Column:
+    """KL of the last noised state against the standard normal, in bits."""
+    return vb_term(F.sqrt(bar) * x0, F.ln(F.lit(1.0) - bar), F.lit(0.0), F.lit(0.0))
+
+
 def q_pred(onehot: Column, states: int, bar: Column) -> Column:
     """Multinomial diffusion: probability of a state after t steps from its indicator at the start."""
     return bar * onehot + (F.lit(1.0) - bar) / states

@@ -317,6 +317,7 @@ class LightSolver(Solver):
     rate: float = 2e-2
     train_rows: int = 10_000
     seed: int = 0
+    sde_steps: int = 0
     state: tuple | None = None
 
     def _grads(self, x0: np.ndarray, x1: np.ndarray, la: np.ndarray, r: np.ndarray, ls: np.ndarray):
@@ -354,7 +355,23 @@ class LightSolver(Solver):
         k = (np.cumsum(w / w.sum(1, keepdims=True), 1) < u[:, None]).sum(1).clip(0, len(la) - 1)
         return r[k] + s[k] * x0 + np.sqrt(self.eps * s[k]) * e
 
+    def drift(self, x: np.ndarray, t: float) -> np.ndarray:
+        """The bridge's drift: towards the mean of the end given the state, over the time that is left."""
+        la, r, ls = self.state
+        s = np.exp(ls)
+        pull = t / (self.eps * (1 - t)) + 1 / (self.eps * s)
+        h = x[:, None, :] / (self.eps * (1 - t)) + r / (self.eps * s)
+        w = la + (h**2 / (2 * pull) - r**2 / (2 * self.eps * s) - 0.5 * np.log(pull) - 0.5 * ls).sum(2)
+        return (np.einsum("nk,nkd->nd", _soft(w), h / pull) - x) / (1 - t)
+
     def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
+        """Draws from the plan; with sde_steps by integrating the drift instead."""
+        if self.sde_steps:
+            z, dt = keyed_normals(ids, seed, (self.sde_steps + 1, len(self.cols))), 1 / self.sde_steps
+            x = z[:, 0]
+            for k in range(self.sde_steps):
+                x = x + dt * self.drift(x, k * dt) + np.sqrt(self.eps * dt) * z[:, k + 1]
+            return x
         z = keyed_normals(ids, seed, (3, len(self.cols)))
         u = 0.5 * (1 + np.vectorize(math.erf)(z[:, 2, 0] / math.sqrt(2)))
         return self.transport(z[:, 0], z[:, 1], u)

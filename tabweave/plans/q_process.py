@@ -182,6 +182,12 @@ def ddpm_posterior(spark, d):
     return o.select("o_orderkey", r(mean, "mean"), r(var, "var"))
 
 
+def ddpm_bound_terms(spark, d):
+    z, c = F.col("z"), F.col("code").cast("double")
+    mean, var = P.q_posterior(z, c, F.lit(0.02), F.lit(0.5), F.lit(0.51))
+    return _orders(spark, d).select("o_orderkey", r(P.vb_term(mean, F.ln(var), c * 0.9, F.lit(-3.0)), "vb"), r(P.prior_kl(z, F.lit(0.01)), "prior"))
+
+
 def multinomial_q(spark, d):
     o = _orders(spark, d).select("o_orderkey", "code", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("state"))
     return o.select("o_orderkey", "state", r(P.q_pred((F.col("code") == F.col("state")).cast("double"), 5, F.lit(0.37)), "p"))
@@ -261,7 +267,7 @@ _gamma_list = "[" + ", ".join(f"{float(g)!r}::double" for g in GRID.gamma) + "]"
 _one = "WITH l AS (SELECT l_quantity / 50 AS a, l_extendedprice / 75000 AS b, l_discount AS w, l_tax * 10 AS c FROM lineitem)"
 _hub = lambda e: f"(CASE WHEN abs({e}) <= 0.2 THEN 0.5 * pow({e}, 2) ELSE 0.2 * (abs({e}) - 0.1) END)"
 
-QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
+QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, ddpm_bound_terms, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
 ORACLES = {
     "time_grid_linear": _grid_sql("1e-4 + i / 19.0::double * (1e-2 - 1e-4)", 20),
     "time_grid_geom": _grid_sql("1e-4 * pow(1e-2 / 1e-4, i / 19.0::double)", 20),
@@ -298,6 +304,8 @@ ORACLES = {
     "ddpm_q_sample": f"""WITH s AS (SELECT k, exp(sum(ln(1 - {BETA_LIN})) OVER (ORDER BY k)) AS a FROM (SELECT i::int AS k FROM range(50) t(i))), o AS (SELECT *, floor({u_sql('ddpm', 'o_orderkey')} * 50)::int AS k FROM {O})
         SELECT o_orderkey, k, round(sqrt(a) * z + sqrt(1 - a) * {n_sql('ddpm', 'o_orderkey')}, 6) AS x FROM o JOIN s USING (k)""",
     "ddpm_posterior": f"SELECT o_orderkey, round(sqrt(0.51::double) * 0.02::double / 0.5::double * z + sqrt(0.98::double) * 0.49::double / 0.5::double * code, 6) AS mean, round(0.02::double * 0.49::double / 0.5::double, 6) AS var FROM {O}",
+    "ddpm_bound_terms": f"""WITH m AS (SELECT o_orderkey, z, code * 0.9::double AS mm, sqrt(0.51::double) * 0.02::double / 0.5::double * z + sqrt(0.98::double) * 0.49::double / 0.5::double * code AS mean, ln(0.02::double * 0.49::double / 0.5::double) AS lv FROM {O})
+        SELECT o_orderkey, round(0.5 * (-1 + -3.0::double - lv + exp(lv + 3.0::double) + pow(mean - mm, 2) * exp(3.0::double)) / ln(2.0::double), 6) AS vb, round(0.5 * (-1 - ln(0.99::double) + 0.99::double + 0.01::double * z * z) / ln(2.0::double), 6) AS prior FROM m""",
     "multinomial_q": f"SELECT o_orderkey, s::int AS state, round(0.37::double * CASE WHEN code = s THEN 1 ELSE 0 END + 0.63::double / 5, 6) AS p FROM {O}, range(5) t(s)",
     "ve_sigma_schedule": "SELECT i::int AS k, round(0.01::double * pow(5000.0::double, i / 20.0::double), 6) AS sigma FROM range(21) t(i)",
     "time_embedding": "SELECT k::int AS k, i::int AS i, round(CASE WHEN i < 4 THEN cos(k / 10.0::double * exp(-ln(10000.0::double) * i / 4)) ELSE sin(k / 10.0::double * exp(-ln(10000.0::double) * (i - 4) / 4)) END, 6) AS e FROM range(10) a(k), range(8) b(i)",

@@ -84,6 +84,11 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def append_trials(trials: DataFrame, path: str) -> None:
+    """Trials of a study are kept in an append-only table, so a study can go on later."""
+    trials.write.mode("append").parquet(path)
+
+
 def two_moons(spark: SparkSession, n: int = 2000, noise: float = 0.2, seed: int = 42) -> DataFrame:
     """row_id, x1, x2, target (string): two interleaved half circles with keyed noise."""
     rows = spark.range(n).withColumnRenamed("id", "row_id")

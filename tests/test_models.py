@@ -49,6 +49,7 @@ FAST = {"trees": 12}
     "make",
     [
         lambda: LightSolver(["x", "y"]),
+        lambda: LightSolver(["x", "y"], sde_steps=40),
         lambda: ImfSolver(["x", "y"], params=FAST),
         lambda: ImfSolver(["x", "y"], "trees", "discrete", "featurewise", params=FAST),
         lambda: IpfSolver(["x", "y"], params=FAST),
@@ -116,6 +117,9 @@ def test_sources(spark, tmp_path):
     assert readers.best_params('{"best_params": {"a": 1}}') == {"a": 1} and readers.best_params('{"a": 2, "b": {}}') == {"a": 2}
     left = spark.createDataFrame([(0, 1)], "row int, y int")
     assert readers.append_features_target(left, spark.createDataFrame([(0, 9)], "row int, y int"), "row").columns == ["row", "y", "target__y"]
+    readers.append_trials(df, f"file://{tmp_path}/trials")
+    readers.append_trials(df, f"file://{tmp_path}/trials")
+    assert readers.existing(spark, f"file://{tmp_path}/trials").count() == 4
     assert readers.two_moons(spark, 100).select("target").distinct().count() == 2
 
 
@@ -126,3 +130,18 @@ def test_stream_applies_fitted_state(spark, data, tmp_path):
     apply_pipeline(read_stream(spark, src, data.select("id", "x").schema, 1), [scaler.state()], out, f"file://{tmp_path}/check").awaitTermination(120)
     got = spark.read.parquet(out).agg(F.count("*"), F.avg("x"), F.stddev_pop("x")).collect()[0]
     assert got[0] == 1500 and abs(got[1]) < 1e-9 and got[2] == pytest.approx(1)
+
+
+def test_row_helpers(spark):
+    from tabweave.operators import rows
+
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None)], "id int, x double")
+    assert rows.without_nan(df).count() == 1
+    with pytest.raises(ValueError):
+        rows.require_no_nan(df)
+    rep = rows.repeat_rows(df, 3)
+    assert rep.count() == 9 and rep.select("rep").distinct().count() == 3
+    ids = spark.createDataFrame([(10,), (11,)], "key int")
+    out = rows.reattach_ids(spark.range(5).withColumnRenamed("id", "row_id"), "row_id", ids, "key", 1)
+    assert out.count() == 5 and {r.key for r in out.collect()} <= {10, 11}
+    assert rows.restore_order(df.select("x", "id"), ["id"]).columns == ["id", "x"]
