@@ -106,21 +106,17 @@ class Shard:
         self.codes = hasher.codes(vectors / self.norms[:, None])
         self.buckets = []
         for s in range(self.codes.shape[1]):
-            order = np.argsort(self.codes[:, s], kind="stable")
-            values, first = np.unique(self.codes[order, s], return_index=True)
-            self.buckets.append((values, np.append(first, len(order)), order))
+            self.buckets.append(np.unique(self.codes[:, s], return_inverse=True))
 
     def within(self, code: np.ndarray) -> np.ndarray:
         """Places of all rows within the radius, by pigeonhole probing of the occupied buckets."""
         m = len(code)
         a, b = divmod(self.hasher.radius, m)
         hit = np.zeros(len(self.ids), bool)
-        for s, (values, first, order) in enumerate(self.buckets):
+        for s, (values, bucket) in enumerate(self.buckets):
             reach = a if s <= b else a - 1
-            if reach < 0:
-                continue
-            for v in np.flatnonzero(np.bitwise_count(values ^ code[s]) <= reach).tolist():
-                hit[order[first[v] : first[v + 1]]] = True
+            if reach >= 0:  # the probed buckets, then their rows
+                hit |= (np.bitwise_count(values ^ code[s]) <= reach)[bucket]
         at = np.flatnonzero(hit)
         return at[distances(self.codes[at], code) <= self.hasher.radius]
 
