@@ -6,10 +6,12 @@ NumPy passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: White_Space of Unicode, which is what \s means to the tokenizers' patterns (fixed values).
@@ -36,7 +38,16 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def chunks(texts: list[str], most: int = 1_000_000):
+def release() -> None:
+    """Gives memory that the last batch has left in the allocators back to the system (malloc_trim is glibc's); workers
+    are reused by later stages, and an executor's memory counts all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def chunks(texts: list[str], most: int = 500_000):
     """Index ranges of at most `most` characters; a longer text stands alone."""
     start, total = 0, 0
     for i, t in enumerate(texts):

@@ -32,7 +32,7 @@ from tabweave.llm.shared import texts_of
 NEVER = np.int64(1) << 40
 #: First letters of the English contractions that the byte-level pattern splits off (fixed values).
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Tokens of at most so many bytes are decoded from rows of one matrix.
 WIDE = 16
 
@@ -372,8 +372,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def run(batches):
         c = codec(spec.value)
         for batch in batches:
+            A.release()
             texts = texts_of(batch, text_col)
-            for lo, hi in A.chunks(texts, 4_000_000):
+            for lo, hi in A.chunks(texts, 2_000_000):
                 ids, counts = c.encode(texts[lo:hi])
                 back = c.decode(ids, counts)
                 raw, at = memoryview(ids.astype("<u4").tobytes()), (A.offsets(counts) * 4).tolist()

@@ -173,6 +173,7 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     def run(batches):
         own = LanguageFilter(*shared.value)
         for batch in batches:
+            A.release()
             texts = texts_of(batch, text_col)
             for lo, hi in A.chunks(texts):
                 langs, score = own.predict(texts[lo:hi])

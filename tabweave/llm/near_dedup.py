@@ -249,6 +249,7 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
 
     def sketch(batches):
         for batch in batches:
+            A.release()
             texts = texts_of(batch, text_col)
             for lo, hi in A.chunks(texts):
                 w, counts = word_hashes(texts[lo:hi])
@@ -270,6 +271,7 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
 
     def words(batches):
         for batch in batches:
+            A.release()
             texts = texts_of(batch, text_col)
             for lo, hi in A.chunks(texts):
                 w, counts = word_hashes(texts[lo:hi])
@@ -283,6 +285,7 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
 
     def verify(batches):
         for batch in batches:
+            A.release()
             ok = verified(_as_words(batch.column("words_a")), _as_words(batch.column("words_b")), p.similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 

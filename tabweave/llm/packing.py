@@ -182,8 +182,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
     def run(batches):
         c, held, at, weight = codec(spec.value), [], TaskContext.get().partitionId() << 40, 0
         for batch in batches:
+            A.release()
             texts, keys = texts_of(batch, text_col), batch.column(id_col).to_pylist()
-            for lo, hi in A.chunks(texts, 4_000_000):
+            for lo, hi in A.chunks(texts, 2_000_000):
                 ids, counts = c.encode(texts[lo:hi])
                 bounds = A.offsets(counts)
                 for k in range(hi - lo):

@@ -98,7 +98,7 @@ def word_vectors(texts: list[str], window: int = 2) -> np.ndarray:
 def features(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Mean word vector of each text, then logs of its number of words and characters."""
     out = np.zeros((len(texts), DIM + EXTRA + 2), np.float32)
-    for lo, hi in A.chunks(texts, 500_000):
+    for lo, hi in A.chunks(texts, 200_000):
         b, counts = word_buckets(texts[lo:hi])
         full = np.flatnonzero(counts)
         if len(full):
@@ -193,6 +193,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     def run(batches):
         own = shared.value
         for batch in batches:
+            A.release()
             out = own.score(texts_of(batch, text_col))
             yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col), "score": pa.array(out, pa.float64())})
 
@@ -205,6 +206,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        A.release()
         return pd.Series(shared.value.score([t or "" for t in texts]))
 
     return docs.filter(scored(F.col(text_col)) >= threshold)
