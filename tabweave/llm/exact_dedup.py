@@ -9,7 +9,8 @@ Only rows that may be duplicates move their text, already collapsed to one row p
 a third of all rows is therefore one entry per partition in the filters and one row per task in the verification.
 
 Defined results: null counts as the empty text; of equal texts the smallest id stays, and of rows that repeat that id
-one stays; an empty table gives no rows; columns other than id and text are not read.
+one stays; a row without an id
+stays only where its group has no id at all; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # byte verification: rows are one group only if the texts themselves are equal
     suspects = norm.withColumn("_fp", F.xxhash64("_norm")).filter(route.may_hold("_fp"))
     verified = suspects.groupBy("_fp", "_norm").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_fp", F.sha2("_norm", 256).alias("text_sha256"))
-    members = rows.filter(route.may_hold("_fp")).groupBy("_fp", "text_sha256").agg(F.min(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
+    members = rows.filter(route.may_hold("_fp")).groupBy("_fp", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
     groups = members.join(verified, ["_fp", "text_sha256"]).select("_fp", "text_sha256", F.col("_keep.doc_id").alias("keep_id"), F.col("_keep._row").alias("keep_row"), "group_size")
     return rows, stored(groups, "exact-groups"), route
 
@@ -171,10 +172,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows, groups, route = duplicate_groups(docs, id_col, text_col)
     keyed = docs.withColumn("__fp", F.xxhash64(normalised(F.col(text_col))))
     plain = keyed.filter(~route.may_hold("__fp")).select(*docs.columns)
-    mine = groups.select(F.col("_fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
+    mine = groups.select(F.col("_fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
     routed = keyed.filter(route.may_hold("__fp")).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(mine, ["__fp", "__sha"], "left")
-    kept = routed.filter(F.col("__keep").isNull() | (F.col("__keep") == F.col(id_col)))
-    again = rows.join(groups, ["_fp", "text_sha256"]).filter("doc_id = keep_id and _row <> keep_row").limit(1).count()
+    kept = routed.filter(F.col("__size").isNull() | F.col("__keep").eqNullSafe(F.col(id_col)))
+    again = rows.join(groups, ["_fp", "text_sha256"]).filter("doc_id <=> keep_id and _row <> keep_row").limit(1).count()
     if again:  # rows that repeat the id that stays: one of them
-        kept = kept.filter(F.col("__keep").isNull()).unionByName(kept.filter(F.col("__keep").isNotNull()).dropDuplicates(["__fp", "__sha"]))
+        kept = kept.filter(F.col("__size").isNull()).unionByName(kept.filter(F.col("__size").isNotNull()).dropDuplicates(["__fp", "__sha"]))
     return plain.unionByName(kept.select(*docs.columns))

@@ -15,8 +15,8 @@ any size makes one candidate per member, not all pairs:
 Together the rounds test or join every pair of every bucket: no bucket is capped.
 
 Defined results: null counts as the empty text, and all empty texts are one class; texts of fewer than five words
-have one k-mer of all of them; the smallest id of a class names it; rows that repeat an id are one class with it; an
-empty table gives no rows.
+have one k-mer of all of them; the smallest id of a class names it; rows that repeat an id and its text are one class with it; a row
+without an id joins its class, and drop_near() never drops it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -311,7 +311,8 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
     more = left.join(texts, "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
     whole = components(links.unionByName(more))
     labelled = nodes.select("node", "digest", "rep", "copies").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
+    # stored, so that joining it is by size, and a class of very many rows can be split
+    classes = stored(labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), "near-names")
     named = labelled.join(classes, "root").select("digest", "class_id", "class_size")
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size")
 
@@ -384,7 +385,7 @@ def block_links(key: int, node: np.ndarray, root: np.ndarray, part: np.ndarray,
 
 def near_dedup(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """near_classes() with kept: whether the row's document stays."""
-    return near_classes(docs, p, id_col, text_col).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return near_classes(docs, p, id_col, text_col).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

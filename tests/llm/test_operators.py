@@ -417,3 +417,10 @@ def test_warc_records(spark, tmp_path):
     parsed = warc.read_warc(spark, str(path)).collect()
     assert sorted(p.headers["WARC-Record-ID"] for p in parsed) == sorted(r.record_id for r in out)
     assert all(p.headers["WARC-Block-Digest"] == warc.digest(bytes(p.block)) and p.headers["WARC-Refers-To"].startswith("<urn:uuid:") for p in parsed)
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b"), (3, "a  b"), (None, "alone"), (None, "twice"), (None, "twice")], DOCS)
+    out = exact_dedup.exact_dedup(df).collect()
+    assert sorted((r.group_size, r.kept) for r in out) == [(1, True), (2, False), (2, False), (2, True), (2, True)]
+    assert sorted(r.text for r in exact_dedup.drop_exact(df).collect()) == ["a  b", "alone", "twice"]
