@@ -2,8 +2,18 @@
 
 A text's k-mers are its runs of five words (lower case), each labelled with the number of its occurrence. Each of
 `sketches` hash orders picks the `several` least labelled k-mers, keeps them in text order, and makes them one key; so
-two texts share a key with a probability that follows their edit similarity. Texts that share a key are candidates. A
-candidate pair is a link if 1 - edit distance / longer length, over words, is at least `similarity`: a banded
+two texts share a key with a probability that follows their edit similarity. Texts that share a key are candidates.
+
+Five-word k-mers break under scattered edits, so two more kinds of keys match the bound of the links itself:
+- each of `bags` hash orders makes a key of the `bag_words` least labelled words, whatever their order. A pair at the
+  bound keeps at least 0.8 of the longer text's words, so it shares such a key with a probability of about (2/3)^4 in
+  each order, whichever words were edited;
+- a text that may differ in at most two words has a key for each way to delete that many: near pairs of such texts
+  always share one.
+A bucket's member stays if the length and the binned word counts of some other member allow a link; both are exact
+bounds. Buckets above `block` members are kept whole.
+
+A candidate pair is a link if 1 - edit distance / longer length, over words, is at least `similarity`: a banded
 alignment, done for many pairs at once with a band that widens until it proves the distance or exceeds the limit.
 
 Copies with equal words are one node from the start. Links are found in two rounds, so that a bucket of near copies of
@@ -22,7 +32,9 @@ without an id joins its class, and drop_near() never drops it; an empty table gi
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +57,9 @@ class NearParams:
     several: int = 2
     similarity: float = 0.8
     block: int = 1024
+    bags: int = 40
+    bag_words: int = 4
+    deletions: int = 2
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,34 +89,98 @@ def order_min_hash(w: np.ndarray, counts: np.ndarray, p: NearParams) -> tuple[np
         if not len(has):
             return np.zeros((0, p.sketches), np.uint64), has
         begin = A.offsets(per)[:-1][has]
-        # occurrence labels: the place of a k-mer among its equals in the text
-        mixed = A.mix(grams + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        order = np.argsort(mixed, kind="stable")
-        new = np.append(True, mixed[order][1:] != mixed[order][:-1])
-        first = np.flatnonzero(new)
-        rank = np.empty(len(grams), np.uint64)
-        rank[order] = (np.arange(len(grams)) - first[np.cumsum(new) - 1]).astype(np.uint64)
-        label = A.mix(grams + rank * np.uint64(0xA24BAED4963EE407))
-        place_bits = max(1, int(len(label)).bit_length())
-        low = np.uint64((1 << place_bits) - 1)
-        at = np.arange(len(label), dtype=np.uint64)
-        keys = np.empty((len(has), p.sketches), np.uint64)
-        for s in range(p.sketches):
-            h = label * np.uint64((2 * s + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1 | 1)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h = (h & ~low) | at
-            picked = []
-            for _ in range(p.several):
-                least = (np.minimum.reduceat(h, begin) & low).astype(np.int64)
-                picked.append(least)
-                h[least] = np.uint64(0xFFFFFFFFFFFFFFFF) & ~low | at[least]
-            chosen = np.sort(np.stack(picked), axis=0)  # text order; a short text repeats its own
-            key = np.full(len(has), s + 1, np.uint64)
-            for row in chosen:
-                key = A.mix(key * np.uint64(0x9E3779B97F4A7C15) + label[row])
-            keys[:, s] = key
-        return keys, has
+        return least_keys(labelled(grams, owner), begin, p.sketches, p.several, True), has
+
+
+def labelled(grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers with their occurrence: the place of a k-mer among its equals in the text."""
+    mixed = A.mix(grams + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(mixed, kind="stable")
+    new = np.append(True, mixed[order][1:] != mixed[order][:-1])
+    first = np.flatnonzero(new)
+    rank = np.empty(len(grams), np.uint64)
+    rank[order] = (np.arange(len(grams)) - first[np.cumsum(new) - 1]).astype(np.uint64)
+    return A.mix(grams + rank * np.uint64(0xA24BAED4963EE407))
+
+
+def least_keys(label: np.ndarray, begin: np.ndarray, orders: int, several: int, in_text_order: bool) -> np.ndarray:
+    """One key per text (they begin at `begin`) and hash order, of its `several` least labels, in text order or as a set."""
+    place_bits = max(1, int(len(label)).bit_length())
+    low = np.uint64((1 << place_bits) - 1)
+    at = np.arange(len(label), dtype=np.uint64)
+    keys = np.empty((len(begin), orders), np.uint64)
+    for s in range(orders):
+        h = label * np.uint64((2 * s + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1 | 1)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = (h & ~low) | at
+        picked = []
+        for _ in range(several):
+            least = (np.minimum.reduceat(h, begin) & low).astype(np.int64)
+            picked.append(least)
+            h[least] = np.uint64(0xFFFFFFFFFFFFFFFF) & ~low | at[least]
+        # a short text repeats its own
+        chosen = label[np.sort(np.stack(picked), axis=0)] if in_text_order else np.sort(label[np.stack(picked)], axis=0)
+        key = np.full(len(begin), s + 1 if in_text_order else -(s + 1) & (1 << 64) - 1, np.uint64)
+        for row in chosen:
+            key = A.mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+        keys[:, s] = key
+    return keys
+
+
+def bag_min_hash(w: np.ndarray, counts: np.ndarray, p: NearParams) -> np.ndarray:
+    """Keys of the labelled words as sets (texts with words x bags)."""
+    has = np.flatnonzero(counts)
+    if not len(has):
+        return np.zeros((0, p.bags), np.uint64)
+    with np.errstate(over="ignore"):
+        return least_keys(labelled(w, np.repeat(np.arange(len(counts)), counts)), A.offsets(counts)[:-1][has], p.bags, p.bag_words, False)
+
+
+def deletion_keys(w: np.ndarray, counts: np.ndarray, p: NearParams) -> dict[int, list[int]]:
+    """By text: a key for each way to delete as many words as its length allows, of texts that may lose few words."""
+    bounds, out = A.offsets(counts), {}
+    limits = limit_of(counts, counts, p.similarity)
+    for k in np.flatnonzero((counts > 0) & (limits <= p.deletions)).tolist():
+        words, n = [x.tobytes() for x in w[bounds[k] : bounds[k + 1]]], int(counts[k])
+        kept = {b"".join(c) for d in range(min(int(limits[k]), n - 1) + 1) for c in combinations(words, n - d)}
+        out[k] = sorted(int.from_bytes(hashlib.blake2b(x, digest_size=8, key=b"deletion").digest(), "little") for x in kept)
+    return out
+
+
+def word_bins(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of each text's words in 256 bins, at most 255: an edit changes a sum of rises, or of falls, by one."""
+    out = np.zeros((len(counts), 256), np.uint8)
+    bounds = A.offsets(counts)
+    bins = (w >> np.uint64(56)).astype(np.int64)
+    for lo in range(0, len(counts), 4096):
+        some = counts[lo : lo + 4096]
+        cell = np.repeat(np.arange(len(some)), some) * 256 + bins[bounds[lo] : bounds[lo + len(some)]]
+        out[lo : lo + len(some)] = np.minimum(np.bincount(cell, minlength=len(some) * 256), 255).reshape(-1, 256)
+    return out
+
+
+def may_link(bucket: np.ndarray, size: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows have a partner in their bucket that length and bins allow; rows are sorted by bucket, then by size."""
+    n = len(bucket)
+    some = np.zeros(n, bool)
+    at = np.arange(n)
+    for lag in range(1, n):
+        at = at[at + lag < n]
+        at = at[bucket[at] == bucket[at + lag]]
+        limit = limit_of(size[at], size[at + lag], similarity)
+        near = size[at + lag] - size[at] <= limit
+        at, limit = at[near], limit[near]  # the next row of that bucket is longer still
+        if not len(at):
+            break
+        test = np.flatnonzero(~(some[at] & some[at + lag]))
+        for part in np.array_split(test, len(test) // 8192 + 1):
+            i = at[part]
+            gap = bins[i].astype(np.int16) - bins[i + lag]
+            rises = np.maximum(gap, 0).sum(1, dtype=np.int64)
+            ok = i[np.maximum(rises, rises - gap.sum(1, dtype=np.int64)) <= limit[part]]
+            some[ok] = some[ok + lag] = True
+    return some
 
 
 def digests(w: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -254,17 +333,50 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
             for lo, hi in A.chunks(texts):
                 w, counts = word_hashes(texts[lo:hi])
                 keys, has = order_min_hash(w, counts, p)
+                keys = np.concatenate([keys, bag_min_hash(w, counts, p)], axis=1)
+                short = deletion_keys(w, counts, p)
                 at = np.zeros(hi - lo, np.int64)
-                at[has] = p.sketches
-                lists = pa.ListArray.from_arrays(pa.array(A.offsets(at).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(id_col).slice(lo, hi - lo), "digest": pa.array(digests(w, counts), pa.binary()), "keys": lists})
-
-    rows = stored(docs.select(id_col, text_col).mapInArrow(sketch, f"doc_id {kind}, digest binary, keys array<bigint>"), "near-rows")
+                at[has] = keys.shape[1]
+                if short:
+                    after = A.offsets(at)[np.array(list(short), np.int64) + 1]
+                    flat = np.insert(keys.ravel(), np.repeat(after, [len(x) for x in short.values()]), np.array([x for v in short.values() for x in v], np.uint64))
+                    at[list(short)] += [len(x) for x in short.values()]
+                else:
+                    flat = keys.ravel()
+                lists = pa.ListArray.from_arrays(pa.array(A.offsets(at).astype(np.int32)), pa.array(flat.view(np.int64)))
+                bins = pa.array([x.tobytes() for x in word_bins(w, counts)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(id_col).slice(lo, hi - lo), "digest": pa.array(digests(w, counts), pa.binary()), "keys": lists, "n_words": pa.array(counts.astype(np.int64)), "bins": bins})
+
+    rows = stored(docs.select(id_col, text_col).mapInArrow(sketch, f"doc_id {kind}, digest binary, keys array<bigint>, n_words bigint, bins binary"), "near-rows")
     # equal words are one node; its number is fixed once stored
-    nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")).select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "copies", "keys"), "near-nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node").distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("size > 1")
-    members = stored(keyed.join(shared, "key"), "near-members")
+    nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words", "bins")).alias("held")).select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "copies", "held.*"), "near-nodes")
+    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    together = stored(keyed.join(shared, "key"), "near-shared")
+
+    def allowed(batches):
+        """Rows sorted by bucket; a bucket that a batch cuts off waits for the next."""
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, 256)
+            ok = may_link(t.column("key").to_numpy(), t.column("n_words").to_numpy(), bins, p.similarity)
+            yield from t.select(["key", "node"]).filter(pa.array(ok)).combine_chunks().to_batches()
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            key = t.column("key").to_numpy()
+            cut = int(np.flatnonzero(key == key[-1])[0]) if len(key) else 0
+            if cut:
+                yield from done(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from done(rest)
+
+    dealt = together.filter(F.col("size") <= p.block).select("key", "node").join(nodes.select("node", "n_words", "bins"), "node")
+    left = dealt.repartition("key").sortWithinPartitions("key", "n_words").mapInArrow(allowed, "key bigint, node bigint")
+    left = stored(left.unionByName(together.filter(F.col("size") > p.block).select("key", "node")), "near-allowed")
+    members = stored(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")), "key"), "near-members")
     wanted = nodes.select("node", "digest", "keys").join(members.select("node").distinct(), "node")
     wanted = stored(wanted.withColumn("k64", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "near-wanted")
     route = BloomFilter(wanted, "k64", wanted.count()).tester()

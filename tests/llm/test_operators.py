@@ -356,6 +356,39 @@ def test_near_dedup_finds_planted_copies(spark):
     assert near_dedup.near_dedup(df.filter("false").drop("class_id")).count() == 0
 
 
+def test_near_dedup_finds_links_at_the_bound(spark):
+    """Scattered edits at similarity 0.80 to 0.85, and short texts, against all pairs."""
+    rnd, texts = random.Random(12), []
+    for n in (15, 20, 30, 60, 100):
+        for share in (0.15, 0.2) * 5:
+            words = [f"w{rnd.randrange(2000)}" for _ in range(n)]
+            other, edits = list(words), int(share * n + 1e-9)
+            for e in range(edits):  # evenly spaced, the worst case for k-mers
+                other[e * n // edits] = f"n{rnd.randrange(10**6)}"
+            texts += [words, other]
+    for n in range(5, 15):
+        for _ in range(12):
+            words = [f"s{rnd.randrange(400)}" for _ in range(n)]
+            texts += [words, edited(rnd, words, n // 5)]
+    texts += [[f"v{rnd.randrange(3)}" for _ in range(rnd.randint(1, 7))] for _ in range(60)]
+    same = [[near for near in near_dedup.verified([np.array([hash(x) for x in t], np.int64)] * len(texts), [np.array([hash(x) for x in u], np.int64) for u in texts], 0.8)] for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        least = [min(root[j] for j, near in enumerate(row) if near) for row in same]
+        if least == root:
+            break
+        root = least
+    assert sum(a != b for a, b in enumerate(root)) > 150
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS).repartition(4)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(df, near_dedup.NearParams(block=32)).collect()} == dict(enumerate(root))
+    # the bound of the length and word counts never turns a link away
+    w = [near_dedup.word_hashes([" ".join(t)]) for t in texts]
+    bins = np.concatenate([near_dedup.word_bins(*x) for x in w])
+    order = np.argsort([len(t) for t in texts], kind="stable")
+    some = near_dedup.may_link(np.zeros(len(texts), np.int64), np.array([len(texts[k]) for k in order]), bins[order], 0.8)
+    assert all(ok or sum(same[k]) == 1 for k, ok in zip(order, some))
+
+
 # op8, op9
 
 
