@@ -1,7 +1,8 @@
 """Secret scans: known shapes by pattern, and unknown ones by sliding-window Shannon entropy.
 
 Patterns find assignments of passwords and keys, access key ids and long hexadecimal strings. Besides, every
-candidate string (a long run of key characters) is read through a sliding window for each character class it fits:
+candidate string (a long run of key characters), and every long part of it between joiners, is read through a sliding
+window for each character class it fits, so a name before a key doesn't hide the key's class:
 the window's symbol counts change by one character out and one in, and the sum of c*log2(c) changes with them, so
 each step costs two table lookups. Where the entropy reaches the class's bound, the windows unite to a span. The allow
 list suppresses candidates that are known to be harmless.
@@ -32,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A run of key characters that may hide a secret.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Its parts between joiners.
+PART = re.compile(r"[A-Za-z0-9]{20,}")
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,8 @@ class SecretRules:
     classes: tuple[CharacterClass, ...] = (
         CharacterClass("hex", "0123456789abcdefABCDEF", 3.0, 2),
         CharacterClass("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 3.6, 2),
+        CharacterClass("lower36", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6, 2),
+        CharacterClass("upper36", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6, 2),
         CharacterClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8, 3),
     )
     #: Harmless shapes: UUIDs, dates and times, long plain numbers, paths and identifiers in words (fixed values).
@@ -57,7 +62,7 @@ class SecretRules:
         default=(
             r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
             r"[0-9]+",
-            r"[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9A-Za-z_-]*",
+            r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-]?[0-9]{2}(?:-?[0-9]{2}){0,2}[0-9]{0,9}Z?)?(?:[/_-]+[A-Z]?[a-z]+)*",
             r"(?:[A-Za-z]+[/_=-]+)+[A-Za-z]*[0-9]{0,4}",
         )
     )
@@ -115,14 +120,15 @@ class Scanner:
             s = m.group()
             if self.allow.fullmatch(s):
                 continue
-            shown = frozenset(s)
-            kinds = any(c.isupper() for c in shown) + any(c.islower() for c in shown) + any(c.isdigit() for c in shown)
-            if kinds < 2:
-                continue
             found: list[tuple[int, int]] = []
-            for cls, members in zip(self.rules.classes, self.members):
-                if kinds >= cls.mixed and shown <= members:
-                    found += window_spans(s, self.rules, cls)
+            for at, part in [(0, s), *((p.start(), p.group()) for p in PART.finditer(s) if p.group() != s)]:
+                shown = frozenset(part)
+                kinds = any(c.isupper() for c in shown) + any(c.islower() for c in shown) + any(c.isdigit() for c in shown)
+                if kinds < 2:
+                    continue
+                for cls, members in zip(self.rules.classes, self.members):
+                    if kinds >= cls.mixed and shown <= members:
+                        found += [(at + a, at + b) for a, b in window_spans(part, self.rules, cls)]
             found.sort()
             merged: list[list[int]] = []
             for a, b in found:

@@ -239,6 +239,17 @@ def test_secret_entropy():
     assert scan("id 123e4567-e89b-12d3-a456-426614174000 and some_long_identifier_name_here and 12345678901234567890123") == ""
 
 
+def test_secret_entropy_of_named_and_two_kind_keys():
+    scan = lambda t: secrets.listed(secrets.Scanner().entropy(t))
+    for name in ("", "id=", "KEY=", "some/path/", "a_b-"):
+        for key in ("x7k2m9q4w8z1p5t3r6v0b2n4c8", "X7K2M9Q4W8Z1P5T3R6V0B2N4C8", "9F86D081E4C7B2A3560F1D", "3fa9c1b07de2846590ab", "MFZWI3D1NZ4GCYLTNB2X63"):
+            (span,) = secrets.Scanner().entropy(f"see {name}{key} end")  # the class of all characters may take the name in
+            assert 4 <= span[0] <= 4 + len(name) and span[2] == 4 + len(name) + len(key), (name, key)
+    assert scan("2024-01-02x7k2M9q4W8z1p5T3r6v0") != "" != scan("2024-01-02_X7k2M9q4W8z1p5T3r6v0")
+    for harmless in ("2024-01-02T10-20-30Z", "2024-01-02T102030123456Z", "2024-01-02-Some-Long-Blog-Title", "path/to/some/long/file-name2024", "date20240102103040506070", "id=123e4567-e89b-12d3-a456-426614174000"):
+        assert scan(f"see {harmless} end") == "", harmless
+
+
 def test_secret_query_and_redaction(spark):
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCY9kq9"
     rows = [(0, None), (1, ""), (2, "token = 'abcdefgh12'"), (3, f"see {key} there"), (4, "clean text"), (4, "clean text")]
