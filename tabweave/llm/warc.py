@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Elements whose content is no text, and elements that break a line (fixed values).
-SILENT = frozenset({"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title"})
+#: Elements whose content is no text (a head has no text but theirs, and its end tag is optional), and elements that break a line (fixed values).
+SILENT = frozenset({"script", "style", "noscript", "template", "svg", "iframe", "object", "title"})
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 TAG = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z0-9:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -82,8 +82,6 @@ def read_html(source: str) -> Page:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, end)
             stop = close.start() if close else n
             part = source[end:stop]
-            if tag == "head" and (m := re.search(r"<title[^>]*>(.*?)</title", part, re.IGNORECASE | re.DOTALL)):
-                page.title = " ".join(html.unescape(m[1]).split())
             if tag == "title" and not page.title:
                 page.title = " ".join(html.unescape(part).split())
             at = close.end() if close else n

@@ -463,6 +463,13 @@ def test_warc_records(spark, tmp_path):
     assert all(p.headers["WARC-Block-Digest"] == warc.digest(bytes(p.block)) and p.headers["WARC-Refers-To"].startswith("<urn:uuid:") for p in parsed)
 
 
+def test_warc_head_without_end_tag():
+    start, rest = '<html><head><meta charset="utf-8"><title>x &amp; y</title><script>var a = "<p>no</p>"</script><style>p{}</style>', '<p>text</p><a href=/y>link</a>'
+    for middle in ("", "</head>", "<body>", "</head><body>"):
+        page = warc.read_html(start + middle + rest)
+        assert (page.title, page.text, page.links) == ("x & y", "text\nlink", ["/y"]), middle
+
+
 def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b"), (3, "a  b"), (None, "alone"), (None, "twice"), (None, "twice")], DOCS)
     out = exact_dedup.exact_dedup(df).collect()
