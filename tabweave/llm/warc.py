@@ -5,6 +5,9 @@ source headers). Both name the response in WARC-Refers-To, keep its target URI a
 source payload and of their own block. Record ids are name-based UUIDs of the response's id and the record's type, so
 a task that runs again makes the same records.
 
+response_derivatives() works on the records of read_warc(): the response's id, date, HTTP headers and digests are its
+own. derivatives() works on pages that were kept without their record, and only there these values are made up.
+
 Defined results: a null or empty payload gives records with empty text; a null URL stays out of the headers; markup
 that is never closed reaches to the end of the payload; repeated rows give repeated records; other columns of the
 input are ignored.
@@ -17,6 +20,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -102,8 +106,8 @@ def parse_records(data: bytes):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
+        headers = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]) if colon}
+        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0))
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -116,10 +120,81 @@ def response_of(url: str | None, payload: str, date: str) -> tuple[list[tuple[st
     return http, f"<urn:uuid:{uuid.uuid5(SPACE, f'response|{url}|{date}|{mark}')}>", mark
 
 
-def derive(url: str | None, payload: str, date: str, response_id: str, payload_digest: str, http: list[tuple[str, str]]) -> list[dict]:
+def parse_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """(headers in their order, body) of an HTTP response; a block of another kind is all body."""
+    if not block.startswith(b"HTTP/"):
+        return [], block
+    gap = re.search(rb"\r?\n\r?\n", block)
+    head, body = (block[: gap.start()], block[gap.end() :]) if gap else (block, b"")
+    lines = re.split(r"\r?\n(?![ \t])", head.decode("latin-1"))[1:]
+    headers = [(k.strip(), " ".join(v.split())) for k, colon, v in (line.partition(":") for line in lines) if colon]
+    if any(k.lower() == "transfer-encoding" and "chunked" in v.lower() for k, v in headers):
+        body = unchunked(body)
+    return headers, body
+
+
+def unchunked(body: bytes) -> bytes:
+    """The body without its chunk marks; a body that was stored without them stays as it is."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r?\n").match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size:
+            break
+        at += 2 if body.startswith(b"\r\n", at) else body.startswith(b"\n", at)
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """The body without gzip or deflate, as far as it can be read; one that was stored without it stays as it is."""
+    if coding in ("", "identity"):
+        return body
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return b""
+    for bits in (47, -15) if coding == "deflate" else (47,):
+        out, rest = [], body
+        try:
+            while rest:
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest))
+                rest = one.unused_data
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return body
+
+
+def page_of(http: list[tuple[str, str]], body: bytes) -> Page:
+    """The page in a response's body. Types other than HTML and plain text, and unknown codings, have no text."""
+    last = {k.lower(): v for k, v in http}
+    kind, _, rest = last.get("content-type", "").partition(";")
+    kind = kind.strip().lower()
+    if kind and "html" not in kind and not kind.startswith("text/"):
+        return Page()
+    body = inflated(body, last.get("content-encoding", "").strip().lower())
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", rest, re.IGNORECASE)
+    meta = re.search(rb"<meta[^>]*charset\s*=\s*[\"']?([\w.:-]+)", body[:4096], re.IGNORECASE)
+    charset = "utf-8-sig" if body.startswith(b"\xef\xbb\xbf") else named[1] if named else meta[1].decode("latin-1") if meta else "utf-8"
+    try:
+        text = body.decode(charset, "replace")
+    except (LookupError, ValueError):
+        text = body.decode("utf-8", "replace")
+    return read_html(text) if not kind or "html" in kind else Page(text=text)
+
+
+def derive_response(headers: dict[str, str], block: bytes) -> list[dict]:
+    """The records of a response record: its own id, date, HTTP headers and digests; a digest it lacks is computed."""
+    own = {k.lower(): v for k, v in headers.items()}
+    http, body = parse_http(block)
+    url, date, mark = own.get("warc-target-uri"), own.get("warc-date", ""), own.get("warc-payload-digest") or digest(body)
+    return derive(url, page_of(http, body), date, own["warc-record-id"], mark, http, own.get("warc-block-digest") or digest(block))
+
+
+def derive(url: str | None, page: Page, date: str, response_id: str, payload_digest: str, http: list[tuple[str, str]], block_digest: str | None = None) -> list[dict]:
     """The metadata and the conversion record of one response."""
-    page = read_html(payload)
-    fields = [("source-record-id", response_id), ("source-payload-digest", payload_digest), *((f"source-header-{k.lower()}", v) for k, v in http), ("title", page.title), ("language", page.lang), ("text-length", str(len(page.text))), *(("outlink", x) for x in page.links)]
+    fields = [("source-record-id", response_id), ("source-payload-digest", payload_digest), *([("source-block-digest", block_digest)] if block_digest else []), *((f"source-header-{k.lower()}", v) for k, v in http), ("title", page.title), ("language", page.lang), ("text-length", str(len(page.text))), *(("outlink", x) for x in page.links)]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)), "conversion": ("text/plain; charset=utf-8", page.text)}
     ids = {t: f"<urn:uuid:{uuid.uuid5(SPACE, f'{t}|{response_id}')}>" for t in blocks}
     out = []
@@ -145,7 +220,7 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             rows, size = [], 0
             for key, url, text in zip(*(batch.column(c).to_pylist() for c in (id_col, url_col, html_col))):
                 http, response_id, mark = response_of(url, text or "", date)
-                for r in derive(url, text or "", date, response_id, mark, http):
+                for r in derive(url, read_html(text or ""), date, response_id, mark, http):
                     rows.append(r | {id_col: key})
                     size += len(r["block"])
                 if size > 8_000_000:
@@ -171,3 +246,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"path": [path_], "headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), "block": pa.array([block], pa.binary())})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, headers map<string,string>, block binary")
+
+
+def response_derivatives(records: DataFrame, whole: bool = False) -> DataFrame:
+    """Two rows (metadata, conversion) per response among the records of read_warc(); other records have none, nor has
+    a response without the id that the format demands, as nothing could refer to it."""
+    arrow = pa.schema([("path", pa.string()), *((c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in COLUMNS.split(", "))] + [("record", pa.binary())] * whole)
+
+    def run(batches):
+        for batch in batches:
+            for path, headers, block in zip(*(batch.column(c).to_pylist() for c in ("path", "headers", "block"))):
+                own = {k.lower(): v for k, v in headers}
+                if own.get("warc-type", "").lower() == "response" and own.get("warc-record-id"):
+                    rows = derive_response(dict(headers), block)
+                    yield pa.RecordBatch.from_pylist([r | {"path": path} for r in rows], schema=arrow)
+
+    return records.select("path", "headers", "block").mapInArrow(run, f"path string, {COLUMNS}" + ", record binary" * whole)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -463,6 +464,26 @@ def test_warc_records(spark, tmp_path):
     assert all(p.headers["WARC-Block-Digest"] == warc.digest(bytes(p.block)) and p.headers["WARC-Refers-To"].startswith("<urn:uuid:") for p in parsed)
 
 
+def test_warc_responses_keep_their_own_values(spark, tmp_path):
+    body = gzip.compress("<html><title>Tür</title><p>schön".encode("latin-1"))
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (body[:9], body[9:], b""))
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nX-Own:  kept\r\n\r\n" + chunked
+    plain, image = b"HTTP/1.0 404 Not Found\r\nContent-Type: text/plain\r\n\r\n1 < 2 & <b>", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG<p>"
+    head = lambda kind, k: [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{k}>"), ("WARC-Date", f"2024-05-0{k}T01:02:03Z"), ("WARC-Target-URI", f"http://e.org/{k}")]
+    size = lambda block: [("Content-Length", str(len(block)))]
+    records = [(head("request", 1), b"GET / HTTP/1.1\r\n\r\n"), ([*head("response", 2), ("WARC-Payload-Digest", "sha1:OWN"), ("WARC-Block-Digest", "sha1:BLOCK")], http), (head("response", 3), plain), (head("response", 4), image)]
+    (tmp_path / "r.warc").write_bytes(b"".join(warc.record_bytes(h + size(b), b) for h, b in records))
+    out = {(r.refers_to, r.record_type): r for r in warc.response_derivatives(warc.read_warc(spark, str(tmp_path / "r.warc")), whole=True).collect()}
+    assert sorted(out) == sorted((f"<urn:uuid:{k}>", t) for k in (2, 3, 4) for t in ("metadata", "conversion"))
+    metadata, conversion = out["<urn:uuid:2>", "metadata"], out["<urn:uuid:2>", "conversion"]
+    assert conversion.block == "schön" and "title: Tür\r\n" in metadata.block and metadata.source_digest == "sha1:OWN" and metadata.target_uri == "http://e.org/2"
+    assert [x for x in metadata.block.split("\r\n") if x.startswith("source-")] == ["source-record-id: <urn:uuid:2>", "source-payload-digest: sha1:OWN", "source-block-digest: sha1:BLOCK", "source-header-content-type: text/html; charset=iso-8859-1", "source-header-content-encoding: gzip", "source-header-transfer-encoding: chunked", "source-header-set-cookie: a=1", "source-header-set-cookie: b=2", "source-header-x-own: kept"]
+    (headers, _), = warc.parse_records(bytes(conversion.record))
+    assert headers["WARC-Refers-To"] == "<urn:uuid:2>" and headers["WARC-Date"] == headers["WARC-Refers-To-Date"] == "2024-05-02T01:02:03Z" and headers["WARC-Source-Payload-Digest"] == "sha1:OWN"
+    assert out["<urn:uuid:3>", "conversion"].block == "1 < 2 & <b>" and out["<urn:uuid:3>", "conversion"].source_digest == warc.digest(b"1 < 2 & <b>")
+    assert out["<urn:uuid:4>", "conversion"].block == ""
+
+
 def test_warc_head_without_end_tag():
     start, rest = '<html><head><meta charset="utf-8"><title>x &amp; y</title><script>var a = "<p>no</p>"</script><style>p{}</style>', '<p>text</p><a href=/y>link</a>'
     for middle in ("", "</head>", "<body>", "</head><body>"):
