@@ -17,9 +17,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: White_Space of Unicode, which is what \s means to the tokenizers' patterns (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
+_FACTORS = np.zeros(0, np.uint64)
 _CLASSES: np.ndarray | None = None
 
 
@@ -83,29 +81,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> None:
-    global _POW, _INV
-    if len(_POW) >= n:
-        return
-    n = max(n, 1 << 20)
-    with np.errstate(over="ignore"):
-        _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
-        _INV = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+def _factors(n: int) -> np.ndarray:
+    """Random odd factors, one for each place of a segment; as many as the longest segment so far asks for."""
+    global _FACTORS
+    if len(_FACTORS) < n:
+        with np.errstate(over="ignore"):
+            places = np.arange(1, max(1 << 12, 1 << int(n - 1).bit_length()) + 1, dtype=np.uint64)
+            _FACTORS = mix(mix(places * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    return _FACTORS
 
 
 def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each segment; equal contents give equal hashes wherever they stand."""
-    n = len(values)
-    _powers(n + 1)
+    """A 64-bit hash of values[s:e] for each segment (ascending, apart); equal contents give equal hashes.
+
+    A sum of values times the random factors of their places, so no regular pattern of values cancels out as it does in
+    a polynomial modulo a power of two.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    begin, n = int(starts[0]), int(ends[-1])
+    factors = _factors(int(lengths.max()))
     with np.errstate(over="ignore"):
-        x = values.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= _POW[:n]
-        sums = np.zeros(n + 1, np.uint64)
+        place = np.arange(n - begin)
+        place -= np.repeat(starts - begin, np.diff(np.append(starts, n)))
+        x = factors.take(place, mode="clip")  # values between two segments are in no sum
+        x *= values[begin:n]
+        sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(x, out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _INV[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(sums[ends - begin] - sums[starts - begin] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def run_starts(cls: np.ndarray, doc_offsets: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import stored
+from tabweave.llm.shared import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,20 +21,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: a, b (bigint, a != b). One row per node that has a link: node, root (the least node of its component)."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     state = _state(edges)
-    if not state[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if state[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         done = small.select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small_least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(done, "stars")
+        before, edges = edges, stored(done, "stars")
+        discard(before)
         now = _state(edges)
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError("components did not converge")
+        if state[0]:
+            raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

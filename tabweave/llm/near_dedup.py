@@ -1,32 +1,33 @@
 """Near-duplicate detection by Order MinHash, verified by banded alignment.
 
-A text's k-mers are its runs of five words (lower case), each labelled with the number of its occurrence. Each of
-`sketches` hash orders picks the `several` least labelled k-mers, keeps them in text order, and makes them one key; so
+A text's k-mers are its runs of k words (lower case), each labelled with the number of its occurrence. An order of
+Order MinHash picks the `several` least labelled k-mers by a hash, keeps them in text order, and makes them one key; so
 two texts share a key with a probability that follows their edit similarity. Texts that share a key are candidates.
-
-Five-word k-mers break under scattered edits, so two more kinds of keys match the bound of the links itself:
-- each of `bags` hash orders makes a key of the `bag_words` least labelled words, whatever their order. A pair at the
-  bound keeps at least 0.8 of the longer text's words, so it shares such a key with a probability of about (2/3)^4 in
-  each order, whichever words were edited;
-- a text that may differ in at most two words has a key for each way to delete that many: near pairs of such texts
+- `sketches` orders take two k-mers of five words each.
+- Five-word k-mers break under scattered edits, so `wide_sketches` orders take five k-mers of one word each, still in
+  text order. Whichever words were edited, a pair at the bound of the links keeps at least 0.8 of the longer text's
+  words in order, so it shares such a key with a probability of about (2/3)^5 in each of these orders.
+- A text that may differ in at most two words has a key for each way to delete that many: near pairs of such texts
   always share one.
-A bucket's member stays if the length and the binned word counts of some other member allow a link; both are exact
-bounds. Buckets above `block` members are kept whole.
 
 A candidate pair is a link if 1 - edit distance / longer length, over words, is at least `similarity`: a banded
 alignment, done for many pairs at once with a band that widens until it proves the distance or exceeds the limit.
+Lengths, binned word counts, and bags of words and of word pairs give exact lower bounds of the distance; pairs that
+they settle are not aligned, and the first two settle pairs before any text is moved to them.
 
 Copies with equal words are one node from the start. Links are found in two rounds, so that a bucket of near copies of
 any size makes one candidate per member, not all pairs:
 1. every member of a bucket against the bucket's first node; linked nodes form components;
-2. in buckets that still hold several components, all pairs of different components are tested inside tasks, which
-   emit links alone and skip pairs already joined. A bucket is dealt to tasks as pairs of blocks of bounded size, and a
-   bound by bags of words settles most pairs without alignment.
+2. in buckets that still hold several components, pairs of different components are tested inside tasks, which emit
+   links alone and skip pairs already joined. A bucket of more than `block` members or `block_words` words is dealt to
+   blocks: by length, by component where one holds much of the bucket, then by hash. Two blocks meet in a task unless
+   their lengths allow no link or both belong to one component. Members without any partner that the bounds allow are
+   dropped before their texts are fetched.
 Together the rounds test or join every pair of every bucket: no bucket is capped.
 
-Defined results: null counts as the empty text, and all empty texts are one class; texts of fewer than five words
-have one k-mer of all of them; the smallest id of a class names it; rows that repeat an id and its text are one class with it; a row
-without an id joins its class, and drop_near() never drops it; an empty table gives no rows.
+Defined results: null counts as the empty text, and all empty texts are one class; texts of fewer words than a k-mer
+have one k-mer of all of them; of each class the row of the smallest id stays, and one of them if several rows have that
+id; a row without an id stays only if its class has no id at all; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm import arrays as A
-from tabweave.llm.bloom import BloomFilter, without
+from tabweave.llm.bloom import BloomFilter
 from tabweave.llm.components import components
-from tabweave.llm.shared import stored, texts_of
+from tabweave.llm.shared import bounded_batches, discard, fresh, stored, texts_of
 
 #: Columns of one slice of a block's table of flags.
 SLICE = 1 << 13
@@ -53,12 +54,13 @@ SLICE = 1 << 13
 @dataclass(frozen=True)
 class NearParams:
     words: int = 5
-    sketches: int = 20
+    sketches: int = 12
     several: int = 2
+    wide_sketches: int = 52
+    wide_several: int = 5
     similarity: float = 0.8
     block: int = 1024
-    bags: int = 40
-    bag_words: int = 4
+    block_words: int = 2_000_000
     deletions: int = 2
 
 
@@ -70,71 +72,78 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return A.segment_hashes(cps, starts, ends), counts
 
 
-def order_min_hash(w: np.ndarray, counts: np.ndarray, p: NearParams) -> tuple[np.ndarray, np.ndarray]:
+def order_min_hash(w: np.ndarray, counts: np.ndarray, words: int, sketches: int, several: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (texts with words x sketches), and which texts they are of."""
     with np.errstate(over="ignore"):
         bounds = A.offsets(counts)
         owner = np.repeat(np.arange(len(counts)), counts)
-        n = len(w)
-        grams = w.copy()
-        for j in range(1, p.words):
+        n, grams = len(w), w.copy()
+        for j in range(1, words):
             shifted = np.zeros(n, np.uint64)
             inside = np.arange(n - j)[owner[j:] == owner[: n - j]] if n > j else np.zeros(0, np.int64)
             shifted[inside] = w[inside + j]
             grams = A.mix(grams * np.uint64(0x9E3779B97F4A7C15) + shifted)
-        per = np.where(counts > 0, np.maximum(counts - p.words + 1, 1), 0)
-        where = A.ragged(bounds[:-1], per)
-        grams, owner = grams[where], owner[where]
+        per = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
+        if words > 1:
+            where = A.ragged(bounds[:-1], per)
+            grams, owner = grams[where], owner[where]
         has = np.flatnonzero(per)
         if not len(has):
-            return np.zeros((0, p.sketches), np.uint64), has
-        begin = A.offsets(per)[:-1][has]
-        return least_keys(labelled(grams, owner), begin, p.sketches, p.several, True), has
+            return np.zeros((0, sketches), np.uint64), has
+        return least_keys(labelled(grams, owner), A.offsets(per)[:-1][has], sketches, several, words), has
 
 
 def labelled(grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Hashes of k-mers with their occurrence: the place of a k-mer among its equals in the text."""
+    bits = max(1, int(len(grams)).bit_length())
+    low = np.uint64((1 << bits) - 1)
     mixed = A.mix(grams + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(mixed, kind="stable")
-    new = np.append(True, mixed[order][1:] != mixed[order][:-1])
+    mixed = np.sort((mixed & ~low) | np.arange(len(grams), dtype=np.uint64))  # by k-mer, then by place
+    order = (mixed & low).astype(np.int64)
+    mixed >>= np.uint64(bits)
+    new = np.append(True, mixed[1:] != mixed[:-1])
     first = np.flatnonzero(new)
     rank = np.empty(len(grams), np.uint64)
     rank[order] = (np.arange(len(grams)) - first[np.cumsum(new) - 1]).astype(np.uint64)
     return A.mix(grams + rank * np.uint64(0xA24BAED4963EE407))
 
 
-def least_keys(label: np.ndarray, begin: np.ndarray, orders: int, several: int, in_text_order: bool) -> np.ndarray:
-    """One key per text (they begin at `begin`) and hash order, of its `several` least labels, in text order or as a set."""
-    place_bits = max(1, int(len(label)).bit_length())
-    low = np.uint64((1 << place_bits) - 1)
+def least_keys(label: np.ndarray, begin: np.ndarray, orders: int, several: int, kind: int) -> np.ndarray:
+    """One key per text (they begin at `begin`) and hash order, of its `several` least labels in text order."""
+    low = np.uint64((1 << max(1, int(len(label)).bit_length())) - 1)
     at = np.arange(len(label), dtype=np.uint64)
     keys = np.empty((len(begin), orders), np.uint64)
     for s in range(orders):
-        h = label * np.uint64((2 * s + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1 | 1)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h = (h & ~low) | at
+        h = label * np.uint64(((2 * s + 1) * 0x9FB21C651E98DF25 + 2 * kind * 0xA24BAED4963EE407) & (1 << 64) - 1 | 1)
+        h &= ~low
+        h |= at
         picked = []
         for _ in range(several):
             least = (np.minimum.reduceat(h, begin) & low).astype(np.int64)
             picked.append(least)
             h[least] = np.uint64(0xFFFFFFFFFFFFFFFF) & ~low | at[least]
-        # a short text repeats its own
-        chosen = label[np.sort(np.stack(picked), axis=0)] if in_text_order else np.sort(label[np.stack(picked)], axis=0)
-        key = np.full(len(begin), s + 1 if in_text_order else -(s + 1) & (1 << 64) - 1, np.uint64)
-        for row in chosen:
+        key = np.full(len(begin), (kind << 32) + s, np.uint64)
+        for row in label[np.sort(np.stack(picked), axis=0)]:  # a short text repeats its own
             key = A.mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
         keys[:, s] = key
     return keys
 
 
-def bag_min_hash(w: np.ndarray, counts: np.ndarray, p: NearParams) -> np.ndarray:
-    """Keys of the labelled words as sets (texts with words x bags)."""
-    has = np.flatnonzero(counts)
-    if not len(has):
-        return np.zeros((0, p.bags), np.uint64)
-    with np.errstate(over="ignore"):
-        return least_keys(labelled(w, np.repeat(np.arange(len(counts)), counts)), A.offsets(counts)[:-1][has], p.bags, p.bag_words, False)
+def key_lists(w: np.ndarray, counts: np.ndarray, p: NearParams) -> pa.ListArray:
+    """All keys of each text."""
+    keys, has = order_min_hash(w, counts, p.words, p.sketches, p.several)
+    keys = np.concatenate([keys, order_min_hash(w, counts, 1, p.wide_sketches, p.wide_several)[0]], axis=1)
+    short = deletion_keys(w, counts, p)
+    at = np.zeros(len(counts), np.int64)
+    at[has] = keys.shape[1]
+    flat = keys.ravel()
+    if short:
+        which = np.array(list(short), np.int64)
+        more = np.array([x for v in short.values() for x in v], np.uint64)
+        held = np.array([len(x) for x in short.values()])
+        flat = np.insert(flat, np.repeat(A.offsets(at)[which + 1], held), more)
+        at[which] += held
+    return pa.ListArray.from_arrays(pa.array(A.offsets(at).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
 def deletion_keys(w: np.ndarray, counts: np.ndarray, p: NearParams) -> dict[int, list[int]]:
@@ -160,8 +169,19 @@ def word_bins(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(bucket: np.ndarray, size: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
-    """Which rows have a partner in their bucket that length and bins allow; rows are sorted by bucket, then by size."""
+def bins_allow(left: np.ndarray, right: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows of word bins are within the limit."""
+    out = np.zeros(len(limit), bool)
+    for lo in range(0, len(limit), 8192):
+        gap = left[lo : lo + 8192].astype(np.int16) - right[lo : lo + 8192]
+        rises = np.maximum(gap, 0).sum(1, dtype=np.int64)
+        out[lo : lo + 8192] = np.maximum(rises, rises - gap.sum(1, dtype=np.int64)) <= limit[lo : lo + 8192]
+    return out
+
+
+def may_link(bucket: np.ndarray, size: np.ndarray, bins: np.ndarray, similarity: float, apart=None) -> np.ndarray:
+    """Which rows have a partner in their bucket that length and bins allow; rows are sorted by bucket, then by size.
+    apart(i, j): which pairs of rows count at all."""
     n = len(bucket)
     some = np.zeros(n, bool)
     at = np.arange(n)
@@ -174,12 +194,13 @@ def may_link(bucket: np.ndarray, size: np.ndarray, bins: np.ndarray, similarity:
         if not len(at):
             break
         test = np.flatnonzero(~(some[at] & some[at + lag]))
-        for part in np.array_split(test, len(test) // 8192 + 1):
-            i = at[part]
-            gap = bins[i].astype(np.int16) - bins[i + lag]
-            rises = np.maximum(gap, 0).sum(1, dtype=np.int64)
-            ok = i[np.maximum(rises, rises - gap.sum(1, dtype=np.int64)) <= limit[part]]
-            some[ok] = some[ok + lag] = True
+        if apart is not None and len(test):
+            test = test[apart(at[test], at[test] + lag, False)]
+        i = at[test]
+        i = i[bins_allow(bins[i], bins[i + lag], limit[test])]
+        if apart is not None and len(i):
+            i = i[apart(i, i + lag, True)]
+        some[i] = some[i + lag] = True
     return some
 
 
@@ -322,78 +343,118 @@ def _as_words(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32).astype(np.int64) for x in column.to_pylist()]
 
 
-def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class), class_size."""
+def _bins(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 256)
+
+
+def _whole_groups(batches, columns: list[str], done) -> Iterator[pa.RecordBatch]:
+    """done(table) of runs of whole groups, of rows that are sorted by `columns`; a group that a batch cuts off waits."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        same = np.ones(t.num_rows, bool)
+        for c in columns:
+            values = t.column(c).to_numpy()
+            same &= values == values[-1]
+        cut = int(np.flatnonzero(same)[0])
+        if cut:
+            yield from done(t.slice(0, cut).combine_chunks())
+        rest = t.slice(cut)
+    if rest is not None:
+        yield from done(rest.combine_chunks())
+
+
+def _blocks(mixed: DataFrame, p: NearParams) -> DataFrame:
+    """Rows of mixed buckets (key, node, root, n_words, size, weight) dealt to pairs of blocks: with part, p, q."""
+    heavy = (F.col("size") > p.block) | (F.col("weight") > p.block_words)
+    fixed = F.lit("").alias
+    light = mixed.filter(~heavy).select("key", "node", "root", fixed("part"), fixed("p"), fixed("q"))
+    # lengths of one link differ by at most one band
+    step = float(-np.log(p.similarity) * 1.001) if p.similarity < 1 else 1.0
+    rows = mixed.filter(heavy).select("key", "node", "root", "n_words", F.floor(F.log1p("n_words") / F.lit(step)).cast("int").alias("band"))
+    per_root = rows.groupBy("key", "band", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w"))
+    giant = (F.col("m") > p.block // 2) | (F.col("w") > p.block_words // 2)
+    per_root = per_root.withColumn("lump", F.when(giant, F.col("root")).otherwise(F.lit(-1)))
+    parts = F.greatest(F.ceil(F.sum("m") / p.block), F.ceil(F.sum("w") / p.block_words), F.lit(1)).cast("int")
+    lumps = per_root.groupBy("key", "band", "lump").agg(parts.alias("parts"))
+    named = F.concat_ws(":", F.lpad(F.col("band").cast("string"), 3, "0"), "lump", "nth")
+    blocks = lumps.select("key", "band", "lump", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth")).withColumn("part", named).select("key", "band", "lump", "part")
+    other = blocks.select("key", *(F.col(c).alias(f"{c}_") for c in ("band", "lump", "part")))
+    meet = (F.col("part") <= F.col("part_")) & (F.col("band_") - F.col("band") <= 1) & ((F.col("lump") < 0) | (F.col("lump") != F.col("lump_")))
+    pairs = blocks.join(other, "key").filter(meet).select("key", F.col("part").alias("p"), F.col("part_").alias("q"))
+    wanted = pairs.select("key", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part"))
+    dealt = rows.join(per_root.select("key", "band", "root", "lump"), ["key", "band", "root"]).join(lumps, ["key", "band", "lump"])
+    dealt = dealt.withColumn("nth", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("part", named)
+    dealt = dealt.join(wanted, ["key", "part"]).select("key", "node", "root", "part", "p", "q")
+    return light.unionByName(dealt)
+
+
+def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, mark (a hash of the text as it stands), class_id, class_size, kept."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches):
         for batch in batches:
             A.release()
-            texts = texts_of(batch, text_col)
+            texts = texts_of(batch, "text")
             for lo, hi in A.chunks(texts):
                 w, counts = word_hashes(texts[lo:hi])
-                keys, has = order_min_hash(w, counts, p)
-                keys = np.concatenate([keys, bag_min_hash(w, counts, p)], axis=1)
-                short = deletion_keys(w, counts, p)
-                at = np.zeros(hi - lo, np.int64)
-                at[has] = keys.shape[1]
-                if short:
-                    after = A.offsets(at)[np.array(list(short), np.int64) + 1]
-                    flat = np.insert(keys.ravel(), np.repeat(after, [len(x) for x in short.values()]), np.array([x for v in short.values() for x in v], np.uint64))
-                    at[list(short)] += [len(x) for x in short.values()]
-                else:
-                    flat = keys.ravel()
-                lists = pa.ListArray.from_arrays(pa.array(A.offsets(at).astype(np.int32)), pa.array(flat.view(np.int64)))
-                bins = pa.array([x.tobytes() for x in word_bins(w, counts)], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(id_col).slice(lo, hi - lo), "digest": pa.array(digests(w, counts), pa.binary()), "keys": lists, "n_words": pa.array(counts.astype(np.int64)), "bins": bins})
-
-    rows = stored(docs.select(id_col, text_col).mapInArrow(sketch, f"doc_id {kind}, digest binary, keys array<bigint>, n_words bigint, bins binary"), "near-rows")
+                held = {c: batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")}
+                yield pa.RecordBatch.from_pydict(held | {"digest": pa.array(digests(w, counts), pa.binary()), "keys": key_lists(w, counts, p), "n_words": pa.array(counts.astype(np.int64))})
+
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = plain.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    rows = marked.mapInArrow(sketch, f"doc_id {kind}, mark bigint, digest binary, keys array<bigint>, n_words bigint")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "near-rows")
     # equal words are one node; its number is fixed once stored
-    nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words", "bins")).alias("held")).select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "copies", "held.*"), "near-nodes")
-    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    together = stored(keyed.join(shared, "key"), "near-shared")
-
-    def allowed(batches):
-        """Rows sorted by bucket; a bucket that a batch cuts off waits for the next."""
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, 256)
-            ok = may_link(t.column("key").to_numpy(), t.column("n_words").to_numpy(), bins, p.similarity)
-            yield from t.select(["key", "node"]).filter(pa.array(ok)).combine_chunks().to_batches()
-
-        rest = None
+    keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
+    nodes = rows.groupBy("digest").agg(keep, F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words")).alias("held"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "keep", "copies", "held.*"), "near-nodes")
+    shared = nodes.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
+    shared = stored(shared.filter("size > 1"), "near-shared")
+    held_by_two = BloomFilter(shared, "key", shared.count()).tester()
+
+    def members_of(batches):
+        """A row for each of a node's keys that the filter lets through."""
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            key = t.column("key").to_numpy()
-            cut = int(np.flatnonzero(key == key[-1])[0]) if len(key) else 0
-            if cut:
-                yield from done(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
-
-    dealt = together.filter(F.col("size") <= p.block).select("key", "node").join(nodes.select("node", "n_words", "bins"), "node")
-    left = dealt.repartition("key").sortWithinPartitions("key", "n_words").mapInArrow(allowed, "key bigint, node bigint")
-    left = stored(left.unionByName(together.filter(F.col("size") > p.block).select("key", "node")), "near-allowed")
-    members = stored(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")), "key"), "near-members")
-    wanted = nodes.select("node", "digest", "keys").join(members.select("node").distinct(), "node")
+            keys = batch.column("keys").flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(batch.column("node").to_numpy(), np.diff(batch.column("keys").offsets.to_numpy()))
+            hit = held_by_two(keys)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[hit]), "node": pa.array(owner[hit])})
+
+    routed = nodes.select("node", "keys").mapInArrow(members_of, "key bigint, node bigint")
+    members = stored(routed.join(shared, "key"), "near-members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "digest", "keys", "n_words"), "node")
     wanted = stored(wanted.withColumn("k64", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "near-wanted")
     route = BloomFilter(wanted, "k64", wanted.count()).tester()
 
     def words(batches):
         for batch in batches:
             A.release()
-            texts = texts_of(batch, text_col)
+            texts = texts_of(batch, "text")
             for lo, hi in A.chunks(texts):
                 w, counts = word_hashes(texts[lo:hi])
                 own = digests(w, counts)
                 pick = np.flatnonzero(route(np.array([int.from_bytes(d[:7], "big") for d in own], np.int64)))
+                bins = word_bins(w, counts)
                 raw, at = memoryview((w >> np.uint64(32)).astype(np.uint32).tobytes()), A.offsets(counts) * 4
-                yield pa.RecordBatch.from_pydict({"digest": pa.array([own[k] for k in pick], pa.binary()), "words": pa.array([bytes(raw[at[k] : at[k + 1]]) for k in pick], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([own[k] for k in pick], pa.binary()), "words": pa.array([bytes(raw[at[k] : at[k + 1]]) for k in pick], pa.binary()), "bins": pa.array([bins[k].tobytes() for k in pick], pa.binary())})
 
-    found = docs.select(id_col, text_col).mapInArrow(words, "digest binary, words binary").groupBy("digest").agg(F.first("words").alias("words"))
-    texts = stored(found.join(wanted, "digest").select("node", "words", "keys"), "near-words")
+    found = plain.select("text").mapInArrow(words, "digest binary, words binary, bins binary").groupBy("digest").agg(F.first(F.struct("words", "bins")).alias("t"))
+    texts = stored(found.join(wanted, "digest").select("node", "t.words", "t.bins", "keys", "n_words"), "near-words")
+    discard(shared, wanted)
+
+    def possible(batches):
+        for batch in batches:
+            limit = limit_of(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), p.similarity)
+            ok = np.abs(batch.column("n_a").to_numpy() - batch.column("n_b").to_numpy()) <= limit
+            ok &= bins_allow(_bins(batch.column("bins_a")), _bins(batch.column("bins_b")), limit)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     def verify(batches):
         for batch in batches:
@@ -401,32 +462,69 @@ def near_classes(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "d
             ok = verified(_as_words(batch.column("words_a")), _as_words(batch.column("words_b")), p.similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda n: texts.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"))
-    links = stored(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "words_a", "words_b").mapInArrow(verify, "a bigint, b bigint"), "near-links")
+    brief = lambda n: texts.select(F.col("node").alias(n), F.col("n_words").alias(f"n_{n}"), F.col("bins").alias(f"bins_{n}"))
+    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = stored(pairs.join(brief("b"), "b").join(brief("a"), "a").mapInArrow(possible, "a bigint, b bigint"), "near-pairs")
+    links = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "words_a", "words_b")
+    links = stored(links.mapInArrow(verify, "a bigint, b bigint"), "near-links")
     first = components(links)
 
     # buckets that still hold several components
-    placed = stored(members.join(first, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    parts = F.ceil(F.col("size") / p.block).cast("int")
-    left = placed.join(mixed, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select("key", "node", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    placed = members.select("key", "node").join(first, "node", "left").join(texts.select("node", "n_words"), "node")
+    placed = stored(placed.select("key", "node", "n_words", F.coalesce("root", "node").alias("root")), "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("weight")).filter("lo < hi")
+    mixed = stored(placed.join(mixed.select("key", "size", "weight"), "key"), "near-mixed")
+
+    def partnered(batches):
+        """Rows sorted by block pair and length: those that have a partner that the bounds allow, in this bucket first."""
+
+        def done(t: pa.Table):
+            key, root, part, p_, q_ = (t.column(c).to_numpy() for c in ("key", "root", "part", "p", "q"))
+            group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (p_[1:] != p_[:-1]) | (q_[1:] != q_[:-1])))
+            within = p_ == q_
+            held = t.column("keys").combine_chunks()
+            bounds, flat = held.offsets.to_numpy(), held.values.to_numpy()
+            lower: dict[int, frozenset] = {}
+
+            def below(i: int) -> frozenset:
+                if i not in lower:
+                    own = flat[bounds[i] : bounds[i + 1]]
+                    lower[i] = frozenset(own[own < key[i]].tolist())
+                return lower[i]
+
+            def apart(i, j, exact: bool):
+                if exact:
+                    return np.fromiter((below(a).isdisjoint(below(b)) for a, b in zip(i.tolist(), j.tolist())), bool, len(i))
+                return np.flatnonzero((root[i] != root[j]) & (within[i] | (part[i] != part[j])))
+
+            ok = may_link(group, t.column("n_words").to_numpy(), _bins(t.column("bins")), p.similarity, apart)
+            yield from t.select(["key", "p", "q", "node", "root", "part"]).filter(pa.array(ok)).combine_chunks().to_batches()
+
+        A.release()
+        yield from _whole_groups(batches, ["key", "p", "q"], done)
+
+    dealt = _blocks(mixed, p).join(texts.select("node", "n_words", "bins", "keys"), "node")
+    dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n_words")
+    left = stored(dealt.mapInArrow(partnered, "key bigint, p string, q string, node bigint, root bigint, part string"), "near-left")
 
     def inside(t: pa.Table) -> pa.Table:
-        part, node, root = (t.column(c).to_numpy() for c in ("part", "node", "root"))
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        part = np.unique(t.column("part").to_pylist(), return_inverse=True)[1]
         keys = [np.array(x, np.int64) for x in t.column("keys").to_pylist()]
         found = block_links(t.column("key")[0].as_py(), node, root, part, _as_words(t.column("words")), keys, p.similarity)
         return pa.table(dict(zip("ab", (pa.array(x, pa.int64()) for x in found))))
 
-    more = left.join(texts, "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
+    more = left.join(texts.select("node", "words", "keys"), "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
+    more = stored(more, "near-more")
     whole = components(links.unionByName(more))
-    labelled = nodes.select("node", "digest", "rep", "copies").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled_ = nodes.select("node", "digest", "keep", "copies").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # stored, so that joining it is by size, and a class of very many rows can be split
-    classes = stored(labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), "near-names")
-    named = labelled.join(classes, "root").select("digest", "class_id", "class_size")
-    return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size")
+    classes = stored(labelled_.groupBy("root").agg(F.min("keep").alias("first"), F.sum("copies").alias("class_size")), "near-names")
+    named = stored(labelled_.join(classes, "root").select("digest", "first", "class_size"), "near-named")
+    discard(nodes, members, texts, pairs, links, placed, mixed, left, more, classes)
+    named = rows.select("doc_id", "mark", "digest", "row").join(named, "digest")
+    return named.select("doc_id", "mark", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def block_links(key: int, node: np.ndarray, root: np.ndarray, part: np.ndarray, own: list[np.ndarray], keys: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -496,14 +594,18 @@ def block_links(key: int, node: np.ndarray, root: np.ndarray, part: np.ndarray,
 
 
 def near_dedup(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_classes() with kept: whether the row's document stays."""
-    return near_classes(docs, p, id_col, text_col).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    """One row per row of docs: doc_id, class_id (the smallest id of its class), class_size, kept (whether the row stays)."""
+    return _class_rows(docs, p, id_col, text_col).drop("mark")
 
 
 def drop_near(docs: DataFrame, p: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of every class, the one of the smallest id; all columns."""
-    classes = stored(near_classes(docs, p, id_col, text_col), "near-classes")
-    gone = stored(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-gone")
-    kept = without(docs, gone, id_col)
-    again = classes.filter("doc_id = class_id").groupBy("class_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if again else kept
+    """docs with one document of every class, by near_dedup()'s rule; all columns. Rows go by id and text together, so
+    other rows of the same id stay; only rows that a filter routes here are shuffled."""
+    classes = stored(_class_rows(docs, p, id_col, text_col).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"), "near-gone")
+    own, hashed = fresh(docs, "mark"), F.xxhash64
+    route = BloomFilter(classes.select(hashed("doc_id", "mark").alias("k")), "k", classes.count())
+    marked = docs.withColumn(own, hashed(F.col(text_col)))
+    listed = route.may_hold(hashed(F.col(id_col), F.col(own)))
+    gone = classes.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    rest = marked.filter(listed).alias("d").join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("gone_id")) & (F.col(f"d.{own}") == F.col("gone_mark")), "left_anti")
+    return marked.filter(~listed).unionByName(rest.dropDuplicates([id_col, own])).drop(own)
