@@ -3,8 +3,9 @@
 A word's encoding is *proposed* by greedy longest match over the vocabulary (one automaton pass over all new
 words) and *verified* by vectorised compatibility checks on every adjacent pair of proposed tokens. A token
 sequence is the BPE encoding of its word exactly if each token encodes to itself and no pair of neighbours would
-have merged across their border, so a proposal that passes is right whatever proposed it. Only words with a pair
-that fails are merged exactly, many words at a time.
+have merged across their border, so a proposal that passes is right whatever proposed it. Tokens that don't encode to
+themselves are found when the vocabulary is read, and never proposed. Only words with a pair that fails are merged
+exactly: many words at a time, and each very long one with a heap.
 
 Why a pair (a, b) is compatible: merges are made in order of rank. While a and b are built separately, the piece x
 at the right edge of a and the piece y at the left edge of b stand side by side for a stretch of ranks. They merge
@@ -14,12 +15,15 @@ into its parent (of equal ranks the left position goes first). The check walks b
 Words recur, so each worker keeps a bounded cache from a word's 64-bit hash to its ids.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; the special token's own string
-in a text becomes its id, as the tokenizers library does by default; texts of any length are encoded whole.
+in a text becomes its id, as the tokenizers library does by default; texts and words of any length are encoded whole;
+repeated rows are encoded each; there are no ties (equal ranks merge from the left); an empty table gives no rows; other
+columns are not read, and an id may have any type.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -27,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabweave.llm import arrays as A
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
-NEVER = np.int64(1) << 40
+NEVER = 1 << 30
 #: First letters of the English contractions that the byte-level pattern splits off (fixed values).
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_200_000
+CACHE_PAIRS = 1_000_000
+#: Words of more bytes that fail are merged one by one with a heap.
+LONG = 64
 #: Tokens of at most so many bytes are decoded from rows of one matrix.
 WIDE = 16
 
@@ -73,8 +80,9 @@ class BpeCodec:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         keys = left * size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order].astype(np.int32)
         self._spines(left, right, made)
+        plain = self._plain(left, right, made)
         self.flat_bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.byte_counts = np.array([len(b) for b in self.token_bytes], np.int64)
         self.byte_starts = A.offsets(self.byte_counts)[:-1]
@@ -83,58 +91,67 @@ class BpeCodec:
         self.wide_bytes[self.wide_used] = np.frombuffer(b"".join(b[:WIDE] for b in self.token_bytes), np.uint8)
         self.longest = ahocorasick.Automaton()
         for text, i in vocab.items():
-            if text not in self.special:
+            if text not in self.special and plain[i]:
                 self.longest.add_word(self.token_bytes[i].decode("latin-1"), i)
         self.longest.make_automaton()
         self.cache_words = cache_words
-        self.good: set[int] = set()
-        self.bad: set[int] = set()
+        self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs of tokens checked so far, sorted
+        self.rules: dict[int, tuple[int, int]] = {}
         self.stats = {"words": 0, "new": 0, "merged": 0}
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of words, sorted, and their places
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
-        self.counts = np.zeros(1 << 14, np.int64)
+        self.counts = np.zeros(1 << 14, np.int32)
 
     def _spines(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         """For each token its edge pieces from the byte up to itself, with the rank that makes the next one."""
         rank = np.full(self.size, -1, np.int64)
+        some, at = np.unique(made, return_index=True)  # of several rules for a token, the first
+        rank[some] = at
         first, last = np.full(self.size, -1, np.int64), np.full(self.size, -1, np.int64)
-        for r, (a, b, c) in enumerate(zip(left, right, made)):
-            if rank[c] < 0:
-                rank[c], first[c], last[c] = r, a, b
-        self.rank_of = rank
+        first[some], last[some] = left[at], right[at]
 
         def edges(down: np.ndarray):
-            rows = []
-            for t in range(self.size):
-                row = [t]
-                while down[row[-1]] >= 0:
-                    row.append(int(down[row[-1]]))
-                rows.append(row[::-1])
-            deep = max(map(len, rows))
-            piece, absorbed = np.zeros((self.size, deep), np.int32), np.full((self.size, deep), NEVER, np.int64)
-            for t, row in enumerate(rows):
-                piece[t, : len(row)] = row
-                absorbed[t, : len(row) - 1] = rank[row[1:]]
-            return piece, absorbed
+            piece, absorbed = [np.arange(self.size)], [np.full(self.size, NEVER)]
+            while (down[piece[-1]] >= 0).any():
+                deeper = down[piece[-1]]
+                absorbed.append(np.where(deeper >= 0, rank[piece[-1]], absorbed[-1]))
+                piece.append(np.where(deeper >= 0, deeper, piece[-1]))
+            # from the byte up: a token that is reached in fewer steps ends earlier
+            piece, absorbed = np.array(piece[::-1], np.int32).T, np.array(absorbed[::-1], np.int32).T
+            depth = (piece != piece[:, :1]).sum(1)
+            shift = np.minimum(np.arange(piece.shape[1]) + (piece.shape[1] - 1 - depth)[:, None], piece.shape[1] - 1)
+            return np.ascontiguousarray(np.take_along_axis(piece, shift, 1)), np.ascontiguousarray(np.take_along_axis(absorbed, shift, 1))
 
         self.right_piece, self.right_until = edges(last)
         self.left_piece, self.left_until = edges(first)
 
+    def _plain(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Which tokens encode to themselves: both parts do, and the first pair that merges across them is the parts."""
+        some, at = np.unique(made, return_index=True)
+        apart, whole = self.compatible(left[at], right[at])
+        ok = np.zeros(self.size, bool)
+        ok[self.byte_ids] = True
+        for r in np.argsort(at, kind="stable").tolist():
+            t = at[r]
+            ok[some[r]] = not apart[r] and whole[r] and ok[left[t]] and ok[right[t]]
+        return ok
+
     def rule(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index into keys of the merge rule of each pair, or -1."""
         want = a * np.int64(self.size) + b
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, at, -1)
 
-    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether each pair of tokens stays apart when the text of both is encoded."""
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair of tokens stays apart when the text of both is encoded; and if not, whether it is the
+        tokens as a whole that merge."""
         n = len(a)
-        ok, i, j = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        ok, whole, i, j = np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
         live = np.arange(n)
         while len(live):
             x, y = self.right_piece[a[live], i[live]].astype(np.int64), self.left_piece[b[live], j[live]].astype(np.int64)
@@ -142,29 +159,54 @@ class BpeCodec:
             at = self.rule(x, y)
             rank = np.where(at >= 0, self.ranks[at], NEVER + 1)
             merges = (rank < x_until) & (rank <= y_until)
-            ok[live[merges]] = False
+            top = np.minimum(x_until, y_until) >= NEVER
+            ok[live[merges]], whole[live[merges & top]] = False, True
             up_x = x_until <= y_until
-            done = merges | (np.minimum(x_until, y_until) >= NEVER)
             i[live[up_x]] += 1
             j[live[~up_x]] += 1
-            live = live[~done]
-        return ok
+            live = live[~(merges | top)]
+        return ok, whole
 
     def _checked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """compatible(), each distinct pair once; verdicts are kept."""
         keys, inverse = np.unique(a * np.int64(self.size) + b, return_inverse=True)
-        listed = keys.tolist()
-        fresh = [k for k in listed if k not in self.good and k not in self.bad]
-        if fresh:
-            k = np.array(fresh, np.int64)
-            ok = self.compatible(k // self.size, k % self.size)
-            if len(self.good) + len(self.bad) > 2_000_000:
-                self.good.clear()
-                self.bad.clear()
-                return self._checked(a, b)
-            self.good.update(k[ok].tolist())
-            self.bad.update(k[~ok].tolist())
-        return np.fromiter((k in self.good for k in listed), bool, len(listed))[inverse]
+        if len(self.pairs) + len(keys) > CACHE_PAIRS:
+            self.pairs, self.apart = self.pairs[:0], self.apart[:0]
+        at = np.searchsorted(self.pairs, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = at < len(self.pairs)
+        fresh[inside] = self.pairs[at[inside]] != keys[inside]
+        if fresh.any():
+            k = keys[fresh]
+            self.apart = np.insert(self.apart, at[fresh], self.compatible(k // self.size, k % self.size)[0])
+            self.pairs = np.insert(self.pairs, at[fresh], k)
+            at = np.searchsorted(self.pairs, keys)
+        return self.apart[at][inverse]
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """merge() of one word in n log n steps: a heap of the pairs by rank, then from the left."""
+        if not self.rules:
+            self.rules = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        ids, size = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.size
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rule[0], i, ids[i], ids[i + 1], rule[1]) for i in range(n - 1) if (rule := self.rules.get(ids[i] * size + ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two is gone
+            ids[i], ids[j] = made, -1
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if rule := self.rules.get(made * size + ids[k]):
+                    heapq.heappush(heap, (rule[0], i, made, ids[k], rule[1]))
+            if h >= 0 and (rule := self.rules.get(ids[h] * size + made)):
+                heapq.heappush(heap, (rule[0], h, ids[h], made, rule[1]))
+        return [t for t in ids if t >= 0]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many words at once: each round merges, in every word, its lowest-ranked leftmost pair."""
@@ -194,9 +236,20 @@ class BpeCodec:
             keep = still.copy()
             keep[spots + 1] = False
             ids, word = ids[keep], word[keep]
-        all_word = np.concatenate(done_word)
+        all_word = np.concatenate([np.zeros(0, np.int64), *done_word])
         order = np.argsort(all_word, kind="stable")
-        return np.concatenate(done_ids)[order], np.bincount(all_word, minlength=len(words))
+        return np.concatenate([np.zeros(0, np.int64), *done_ids])[order], np.bincount(all_word, minlength=len(words))
+
+    def exact(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self.merge(words)
+        ids, counts = self.merge([w if len(w) <= LONG else b"" for w in words])
+        parts, at = np.split(ids, np.cumsum(counts)[:-1]), np.asarray(counts).copy()
+        for k in long:
+            parts[k] = np.array(self.merge_long(words[k]), np.int64)
+            at[k] = len(parts[k])
+        return np.concatenate(parts), at
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has."""
@@ -218,7 +271,7 @@ class BpeCodec:
         if failed.any():
             which = np.flatnonzero(failed)
             self.stats["merged"] += len(which)
-            exact_ids, exact_counts = self.merge([raw[k] for k in which])
+            exact_ids, exact_counts = self.exact([raw[k] for k in which])
             stay = ~failed[word]
             word = np.concatenate([word[stay], np.repeat(which, exact_counts)])
             ids = np.concatenate([ids[stay], exact_ids])
@@ -304,22 +357,28 @@ class BpeCodec:
         hashes = A.segment_hashes(cps, starts, ends)
         uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         self.stats["words"] += len(starts)
-        if len(self.slots) + len(uniq) > self.cache_words:
+        if len(self.known) + len(uniq) > self.cache_words:
             self._forget()
-        slots = np.fromiter(map(self.slots.get, uniq.tolist(), [-1] * len(uniq)), np.int64, len(uniq))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            slots[new] = self._learn([joined[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())], uniq[new].tolist())
+        at = np.searchsorted(self.known, uniq)
+        new = np.ones(len(uniq), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != uniq[inside]
+        if new.any():
+            spots = first[new]
+            slots = self._learn([joined[s:e] for s, e in zip(starts[spots].tolist(), ends[spots].tolist())])
+            self.slots, self.known = np.insert(self.slots, at[new], slots), np.insert(self.known, at[new], uniq[new])
+            at = np.searchsorted(self.known, uniq)
+        slots = self.slots[at]
         word = slots[inverse]
         lengths = self.counts[word]
         ids = self.flat[A.ragged(self.starts[word], lengths)]
         upto = A.offsets(lengths)
         return ids, np.diff(upto[np.searchsorted(starts, doc)])
 
-    def _learn(self, words: list[str], hashes: list[int]) -> np.ndarray:
+    def _learn(self, words: list[str]) -> np.ndarray:
         ids, counts = self.encode_words(words)
-        base, first = len(self.slots), self.used
-        slots = np.arange(base, base + len(words))
+        base, first = len(self.known), self.used
+        slots = np.arange(base, base + len(words), dtype=np.int32)
         while first + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while base + len(words) > len(self.starts):
@@ -328,7 +387,6 @@ class BpeCodec:
         self.flat[first : first + len(ids)] = ids
         self.used = first + len(ids)
         self.starts[slots], self.counts[slots] = first + A.offsets(counts)[:-1], counts
-        self.slots.update(zip(hashes, slots.tolist()))
         return slots
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -364,6 +422,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     tokenizer: path of a byte-level BPE file of the tokenizers library, read on the driver; its content (some MB,
     bounded by the vocabulary) is broadcast. One pass, no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()

@@ -4,9 +4,11 @@ A text's k-mers are its runs of k words (lower case), each labelled with the num
 Order MinHash picks the `several` least labelled k-mers by a hash, keeps them in text order, and makes them one key; so
 two texts share a key with a probability that follows their edit similarity. Texts that share a key are candidates.
 - `sketches` orders take two k-mers of five words each.
-- Five-word k-mers break under scattered edits, so `wide_sketches` orders take five k-mers of one word each, still in
-  text order. Whichever words were edited, a pair at the bound of the links keeps at least 0.8 of the longer text's
-  words in order, so it shares such a key with a probability of about (2/3)^5 in each of these orders.
+- Five-word k-mers break under scattered edits, so further orders take k-mers of one word each, still in text order:
+  six of them from texts of `long_words` words or more, four from shorter ones (long texts have more words in common
+  by chance). Whichever words were edited, a pair at the bound of the links keeps at least 0.8 of the longer text's
+  words in order, so it shares such a key with a probability of about (2/3)^6 or (2/3)^4 in each of these orders. Texts
+  near `long_words` have the keys of both kinds, so pairs across it share one too.
 - A text that may differ in at most two words has a key for each way to delete that many: near pairs of such texts
   always share one.
 
@@ -54,10 +56,13 @@ SLICE = 1 << 13
 @dataclass(frozen=True)
 class NearParams:
     words: int = 5
-    sketches: int = 12
+    sketches: int = 8
     several: int = 2
-    wide_sketches: int = 52
-    wide_several: int = 5
+    long_words: int = 100
+    long_sketches: int = 56
+    long_several: int = 6
+    short_sketches: int = 40
+    short_several: int = 4
     similarity: float = 0.8
     block: int = 1024
     block_words: int = 2_000_000
@@ -131,19 +136,23 @@ def least_keys(label: np.ndarray, begin: np.ndarray, orders: int, several: int,
 
 def key_lists(w: np.ndarray, counts: np.ndarray, p: NearParams) -> pa.ListArray:
     """All keys of each text."""
-    keys, has = order_min_hash(w, counts, p.words, p.sketches, p.several)
-    keys = np.concatenate([keys, order_min_hash(w, counts, 1, p.wide_sketches, p.wide_several)[0]], axis=1)
-    short = deletion_keys(w, counts, p)
-    at = np.zeros(len(counts), np.int64)
-    at[has] = keys.shape[1]
-    flat = keys.ravel()
-    if short:
-        which = np.array(list(short), np.int64)
-        more = np.array([x for v in short.values() for x in v], np.uint64)
-        held = np.array([len(x) for x in short.values()])
-        flat = np.insert(flat, np.repeat(A.offsets(at)[which + 1], held), more)
-        at[which] += held
-    return pa.ListArray.from_arrays(pa.array(A.offsets(at).astype(np.int32)), pa.array(flat.view(np.int64)))
+    bounds, owners, found = A.offsets(counts), [], []
+
+    def add(which: np.ndarray, words: int, sketches: int, several: int) -> None:
+        some = w if len(which) == len(counts) else w[A.ragged(bounds[which], counts[which])]
+        keys, has = order_min_hash(some, counts[which], words, sketches, several)
+        owners.append(np.repeat(which[has], keys.shape[1]))
+        found.append(keys.ravel())
+
+    add(np.arange(len(counts)), p.words, p.sketches, p.several)
+    add(np.flatnonzero(counts >= p.long_words), 1, p.long_sketches, p.long_several)
+    add(np.flatnonzero(counts <= p.long_words / p.similarity), 1, p.short_sketches, p.short_several)
+    for k, keys in deletion_keys(w, counts, p).items():
+        owners.append(np.full(len(keys), k))
+        found.append(np.array(keys, np.uint64))
+    owner = np.concatenate(owners)
+    flat = np.concatenate(found)[np.argsort(owner, kind="stable")]
+    return pa.ListArray.from_arrays(pa.array(A.offsets(np.bincount(owner, minlength=len(counts))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
 def deletion_keys(w: np.ndarray, counts: np.ndarray, p: NearParams) -> dict[int, list[int]]:
@@ -429,7 +438,7 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
 
     routed = nodes.select("node", "keys").mapInArrow(members_of, "key bigint, node bigint")
     members = stored(routed.join(shared, "key"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "digest", "keys", "n_words"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "digest", "n_words"), "node")
     wanted = stored(wanted.withColumn("k64", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "near-wanted")
     route = BloomFilter(wanted, "k64", wanted.count()).tester()
 
@@ -446,7 +455,7 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([own[k] for k in pick], pa.binary()), "words": pa.array([bytes(raw[at[k] : at[k + 1]]) for k in pick], pa.binary()), "bins": pa.array([bins[k].tobytes() for k in pick], pa.binary())})
 
     found = plain.select("text").mapInArrow(words, "digest binary, words binary, bins binary").groupBy("digest").agg(F.first(F.struct("words", "bins")).alias("t"))
-    texts = stored(found.join(wanted, "digest").select("node", "t.words", "t.bins", "keys", "n_words"), "near-words")
+    texts = stored(found.join(wanted, "digest").select("node", "t.words", "t.bins", "n_words"), "near-words")
     discard(shared, wanted)
 
     def possible(batches):
@@ -475,6 +484,7 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
     placed = stored(placed.select("key", "node", "n_words", F.coalesce("root", "node").alias("root")), "near-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("weight")).filter("lo < hi")
     mixed = stored(placed.join(mixed.select("key", "size", "weight"), "key"), "near-mixed")
+    held = stored(mixed.groupBy("node").agg(F.collect_list("key").alias("keys")), "near-held")  # at most a text's own keys
 
     def partnered(batches):
         """Rows sorted by block pair and length: those that have a partner that the bounds allow, in this bucket first."""
@@ -504,7 +514,7 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
         A.release()
         yield from _whole_groups(batches, ["key", "p", "q"], done)
 
-    dealt = _blocks(mixed, p).join(texts.select("node", "n_words", "bins", "keys"), "node")
+    dealt = _blocks(mixed, p).join(texts.select("node", "n_words", "bins").join(held, "node"), "node")
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "n_words")
     left = stored(dealt.mapInArrow(partnered, "key bigint, p string, q string, node bigint, root bigint, part string"), "near-left")
 
@@ -515,14 +525,14 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
         found = block_links(t.column("key")[0].as_py(), node, root, part, _as_words(t.column("words")), keys, p.similarity)
         return pa.table(dict(zip("ab", (pa.array(x, pa.int64()) for x in found))))
 
-    more = left.join(texts.select("node", "words", "keys"), "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
+    more = left.join(texts.select("node", "words").join(held, "node"), "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
     more = stored(more, "near-more")
     whole = components(links.unionByName(more))
     labelled_ = nodes.select("node", "digest", "keep", "copies").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # stored, so that joining it is by size, and a class of very many rows can be split
     classes = stored(labelled_.groupBy("root").agg(F.min("keep").alias("first"), F.sum("copies").alias("class_size")), "near-names")
     named = stored(labelled_.join(classes, "root").select("digest", "first", "class_size"), "near-named")
-    discard(nodes, members, texts, pairs, links, placed, mixed, left, more, classes)
+    discard(nodes, members, texts, pairs, links, placed, mixed, held, left, more, classes)
     named = rows.select("doc_id", "mark", "digest", "row").join(named, "digest")
     return named.select("doc_id", "mark", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 

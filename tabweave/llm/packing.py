@@ -4,18 +4,18 @@ Every document's ids (with a separator) are cut into full windows and a rest. Th
 dealt to windows by differencing: each rest starts as a partial partition with one loaded window; the two partial
 partitions of largest spread are merged with opposing imbalances (the fullest windows of one onto the emptiest of
 the other) until one partition is left, whose windows are nearly equal. The window count starts at the least that
-can hold the batch. Where pieces may not be cut, it rises until no window exceeds the capacity; where they may, what
-stands over the capacity is cut off and fills the windows that have room, and the count rises only if the total
-asks for it.
+can hold the batch and rises whenever a window exceeds the capacity, until none does.
 
-With free cuts a batch first sets aside what doesn't fill a whole number of windows, as sequences whose lengths
-are powers of two, which need no padding; every other sequence is full.
+Where pieces may be cut, a batch first sets aside what doesn't fill a whole number of windows, as sequences whose
+lengths are powers of two, which need no padding. After differencing, the emptiest windows beyond the least count are
+given up, and their rests fill the room of the others, so every other sequence is full and few rests are cut.
 
 Packing is map-only: a batch is a bounded run of rows of one partition, so hot keys don't matter and nothing is
 shuffled. sequence_id holds the partition's number and a counter.
 
-Defined results: a null or empty text is its separator alone; repeated rows are packed each; an empty table gives
-no rows.
+Defined results: a null or empty text is its separator alone; repeated rows are packed each; rests of equal length are
+dealt by their order in the batch; a very long text is cut into as many windows as it fills; an empty table gives no
+rows; other columns are not read, and an id may have any type.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from tabweave.llm import arrays as A
 from tabweave.llm.bpe import codec
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
 BATCH_ROWS = 1024
 
@@ -87,13 +87,14 @@ def difference(sizes: list[int], k: int) -> np.ndarray:
 
 
 def whole_windows(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
-    """Windows for items that may not be cut (each at most the capacity); their count rises until all fit."""
+    """Windows for items of at most the capacity each; their count rises until all fit."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         window = difference(sizes, k)
-        if len(sizes) == 0 or np.bincount(window, weights=sizes).max() <= capacity:
+        most = np.bincount(window, weights=sizes).max() if len(sizes) else 0
+        if most <= capacity:
             return window, k
-        k += max(1, k // 100)
+        k += max(1, int(k * (most - capacity) / capacity))
 
 
 def powers(n: int) -> list[int]:
@@ -132,43 +133,45 @@ def pack(lengths: list[int], capacity: int = 1024) -> list[tuple[int, int, int,
             out.append((i, s, take, seq, filled))
             filled += take
         seq += 1
-    k = sum(r[2] for r in rests) // capacity
-    window = difference([r[2] for r in rests], k)
-    load, spilled = [0] * k, []
-    for r, w in zip(rests, window.tolist()):
-        i, s, n = r
-        take = min(n, capacity - load[w])
-        if take:
-            out.append((i, s, take, seq + w, load[w]))
-            load[w] += take
-        if take < n:
-            spilled.append([i, s + take, n - take])
-    for w in range(k):
-        while load[w] < capacity:
-            i, s, n = spilled.pop()
-            take = min(n, capacity - load[w])
-            out.append((i, s, take, seq + w, load[w]))
-            load[w] += take
+    need = sum(r[2] for r in rests) // capacity
+    window, k = whole_windows([r[2] for r in rests], capacity)
+    load = np.bincount(window, weights=[r[2] for r in rests], minlength=k).astype(np.int64)
+    number = np.full(k, -1)
+    number[np.sort(np.argsort(-load, kind="stable")[:need])] = np.arange(need)
+    fill, loose = [0] * need, []
+    for (i, s, n), w in zip(rests, number[window].tolist()):
+        if w < 0:
+            loose.append([i, s, n])
+        else:
+            out.append((i, s, n, seq + w, fill[w]))
+            fill[w] += n
+    for w in range(need):
+        while fill[w] < capacity:
+            i, s, n = loose.pop()
+            take = min(n, capacity - fill[w])
+            out.append((i, s, take, seq + w, fill[w]))
+            fill[w] += take
             if take < n:
-                spilled.append([i, s + take, n - take])
+                loose.append([i, s + take, n - take])
     return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = BATCH_ROWS, tokens: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with tokens=True also its ids."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * tokens
 
-    def emit(held: list, first: int):
+    def emit(held: list, first: int, id_type: pa.DataType):
         """Packs the documents held: (id, ids)."""
         pieces = pack([len(x) for _, x in held], capacity)
         doc = [held[p[0]] for p in pieces]
         cut = [x[p[1] : p[1] + p[2]] for p, (_, x) in zip(pieces, doc)]
         out = {
-            id_col: [d for d, _ in doc],
-            "start": [p[1] for p in pieces],
+            id_col: pa.array([d for d, _ in doc], id_type),
+            "start": pa.array([p[1] for p in pieces], pa.int64()),
             "length": [p[2] for p in pieces],
             "ids_crc32": [zlib.crc32(c.astype("<u4").tobytes()) for c in cut],
             "doc_tokens": [len(x) for _, x in doc],
@@ -176,8 +179,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
             "offset": [p[4] for p in pieces],
         }
         if tokens:
-            out["ids"] = [c.tolist() for c in cut]
-        return out, max((p[3] for p in pieces), default=-1) + 1
+            out["ids"] = pa.array([c.tolist() for c in cut], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(out), max((p[3] for p in pieces), default=-1) + 1
 
     def run(batches):
         c, held, at, weight = codec(spec.value), [], TaskContext.get().partitionId() << 40, 0
@@ -191,16 +194,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, separa
                     held.append((keys[lo + k], np.append(ids[bounds[k] : bounds[k + 1]], np.int32(separator))))
                     weight += len(held[-1][1])
                     if len(held) >= batch_rows or weight > 20_000_000:
-                        out, used = emit(held, at)
+                        out, used = emit(held, at, batch.schema.field(id_col).type)
                         at, held, weight = at + used, [], 0
-                        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                        yield out
         if held:
-            yield pa.RecordBatch.from_pydict(emit(held, at)[0], schema=arrow)
+            yield emit(held, at, batch.schema.field(id_col).type)[0]
 
-    fields = [(id_col, _arrow_type(kind)), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
-    arrow = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * tokens)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -3,8 +3,10 @@
 import collections
 import gzip
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -54,12 +56,42 @@ def test_bpe_compatibility_is_exact(library):
     rng = np.random.default_rng(1)
     own = [i for i in range(50256) if codec.encode_words([codec.token_bytes[i].decode("utf-8", "ignore")])[1].sum() and codec.token_bytes[i].isalpha() and codec.token_bytes[i].isascii()][:4000]
     a, b = rng.choice(own, 800), rng.choice(own, 800)
-    ok = codec.compatible(a, b)
+    ok, _ = codec.compatible(a, b)
     for x, y, good in zip(a, b, ok):
         merged, _ = codec.merge([codec.token_bytes[x] + codec.token_bytes[y]])
         assert good == (merged.tolist() == [x, y])
 
 
+def test_bpe_words_of_any_length_and_pattern(library):
+    codec, rnd = bpe.BpeCodec(SPEC), random.Random(9)
+    sign = [0]
+    while len(sign) < 2048:
+        sign += [1 - x for x in sign]
+    twins = ["".join("ab"[x ^ flip] for x in sign) for flip in (0, 1)]  # equal modulo powers of two under any odd base
+    cases = [*twins, " ".join(twins), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "".join(rnd.choice("aeiou") for _ in range(5_000)), "é" * 700, "ab" * 4000]
+    began = time.process_time()
+    ids, counts = codec.encode(cases)
+    assert time.process_time() - began < 5
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for k, e in enumerate(library.encode_batch(cases, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids
+    words = ["".join(rnd.choice("etaoin shr") for _ in range(rnd.randint(1, 60))).encode() for _ in range(300)]
+    short, counts = codec.merge(words)
+    assert np.concatenate([codec.merge_long(w) for w in words]).tolist() == short.tolist() and len(counts) == 300
+
+
+def test_bpe_tokens_that_do_not_encode_to_themselves(library):
+    """A vocabulary in which a token's text is encoded otherwise: it is never proposed."""
+    letters = {c: i for i, c in enumerate(bpe.byte_alphabet())}
+    merges = ["a b", "b c", "a bc", "ab c", "abc d"]  # "abc" becomes ab + c, so "a bc" never makes it
+    vocab = letters | {"ab": 256, "bc": 257, "abc": 258, "abcd": 259}
+    codec = bpe.BpeCodec(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+    for text in ("abc", "abcd", "abcabcd", "bcabc", "aabcbc", "xabc"):
+        ids, _ = codec.encode([text])
+        word = text.encode()
+        assert ids.tolist() == codec.merge([word])[0].tolist() == codec.merge_long(word)
+
+
 def test_bpe_query_and_edges(spark, library):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(3, "a")], DOCS)
     rows = bpe.encode_decode(df, tokenizer_path(), tokens=True).collect()
@@ -190,6 +222,28 @@ def test_packing(spark, library):
     assert packing.pack_documents(df.filter("false"), tokenizer_path()).count() == 0
 
 
+def test_packing_of_rests_is_whole_and_full():
+    rnd = random.Random(4)
+    for capacity in (16, 128, 1024):
+        for n in (0, 1, 2, 7, 60, 300):
+            lengths = [rnd.choice([1, capacity - 1, capacity, rnd.randint(1, 3 * capacity)]) for _ in range(n)]
+            used, seqs = collections.defaultdict(list), collections.defaultdict(list)
+            for i, s, k, seq, at in packing.pack(lengths, capacity):
+                used[i].append((s, k))
+                seqs[seq].append((at, k))
+            for held, whole in [(used[i], x) for i, x in enumerate(lengths)] + [(x, sum(k for _, k in x)) for x in seqs.values()]:
+                assert [s for s, _ in sorted(held)] == [sum(k for _, k in sorted(held)[:j]) for j in range(len(held))] and sum(k for _, k in held) == whole
+            sizes = [sum(k for _, k in x) for x in seqs.values()]
+            assert all(x == capacity or x < capacity and x & (x - 1) == 0 for x in sizes) and sum(x < capacity for x in sizes) <= capacity.bit_length()
+
+
+def test_packing_takes_ids_of_any_type(spark):
+    for kind in ("smallint", "decimal(20,0)", "string", "date"):
+        df = spark.createDataFrame([(1, "a b c"), (None, "d"), (1, "a b c")], "k int, text string").selectExpr("date_add(date'1970-01-01', k) as doc_id" if kind == "date" else f"cast(k as {kind}) as doc_id", "text", "k as start", "k as length")
+        rows = packing.pack_documents(df, tokenizer_path()).collect()
+        assert sum(r.length for r in rows) == sum(r.n_tokens + 1 for r in bpe.encode_decode(df, tokenizer_path()).collect())
+
+
 def test_differencing_balances():
     rnd = random.Random(5)
     sizes = [rnd.randint(1, 100) for _ in range(400)]
