@@ -9,8 +9,9 @@ response_derivatives() works on the records of read_warc(): the response's id, d
 own. derivatives() works on pages that were kept without their record, and only there these values are made up.
 
 Defined results: a null or empty payload gives records with empty text; a null URL stays out of the headers; markup
-that is never closed reaches to the end of the payload; repeated rows give repeated records; other columns of the
-input are ignored.
+that is never closed reaches to the end of the payload; payloads of any length are read whole; rows that repeat id, URL
+and payload give repeated records, rows that differ in any of them have record ids of their own; there are no ties; an
+empty table gives no rows; other columns of the input are ignored, and an id may have any type.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tabweave.llm.shared import bounded_batches
+
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Elements whose content is no text (a head has no text but theirs, and its end tag is optional), and elements that break a line (fixed values).
 SILENT = frozenset({"script", "style", "noscript", "template", "svg", "iframe", "object", "title"})
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 TAG = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+#: The rest of a tag: a quoted value may hold the character that ends a tag.
+TAG_END = re.compile(r"""(?>[^>=]+|=\s*+(?>"[^"]*+"|'[^']*+')?+)*+>""")
 ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z0-9:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
@@ -66,6 +71,9 @@ def read_html(source: str) -> Page:
             at = lt + 1
             continue
         gt = source.find(">", lt)
+        if name and gt >= 0 and source.find("=", lt, gt) >= 0:
+            whole = TAG_END.match(source, name.end())
+            gt = whole.end() - 1 if whole else gt
         end = n if gt < 0 else gt + 1
         at = end
         if not name:
@@ -112,12 +120,31 @@ def parse_records(data: bytes):
         at = end + 4 + size
 
 
-def response_of(url: str | None, payload: str, date: str) -> tuple[list[tuple[str, str]], str, str]:
+def records_of(content: bytes):
+    """(headers, block) of each record of a WARC file, gzipped by record, gzipped as a whole, or plain."""
+    if not content.startswith(b"\x1f\x8b"):
+        yield from parse_records(content)
+        return
+    held, rest = b"", memoryview(content)
+    while len(rest):
+        one = zlib.decompressobj(31)
+        try:
+            held += one.decompress(rest)
+        except zlib.error:
+            break  # what follows is no gzip; the records so far stand
+        rest = memoryview(one.unused_data)
+        if rest[:2] != b"\x1f\x8b" or held.endswith(b"\r\n\r\n"):
+            yield from parse_records(held)
+            held = b""
+    yield from parse_records(held)
+
+
+def response_of(key, url: str | None, payload: str, date: str) -> tuple[list[tuple[str, str]], str, str]:
     """(source HTTP headers, record id, payload digest) of a page kept without its WARC record."""
     raw = payload.encode("utf-8", "surrogatepass")
     http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(raw)))]
     mark = digest(raw)
-    return http, f"<urn:uuid:{uuid.uuid5(SPACE, f'response|{url}|{date}|{mark}')}>", mark
+    return http, f"<urn:uuid:{uuid.uuid5(SPACE, f'response|{key}|{url}|{date}|{mark}')}>", mark
 
 
 def parse_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -213,13 +240,15 @@ COLUMNS = "record_type string, record_id string, refers_to string, linked_id str
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", whole: bool = False) -> DataFrame:
     """Two rows per page (metadata, conversion); with whole=True also the record's bytes. One pass, no shuffle."""
     kind = pages.schema[id_col].dataType.simpleString()
-    arrow = pa.schema([(id_col, pages_type(kind)), *((c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in COLUMNS.split(", "))] + [("record", pa.binary())] * whole)
+    bounded_batches(pages.sparkSession)
+    fields = [*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in COLUMNS.split(", ")), *[("record", pa.binary())] * whole]
 
     def run(batches):
         for batch in batches:
             rows, size = [], 0
+            arrow = pa.schema([(id_col, batch.schema.field(id_col).type), *fields])
             for key, url, text in zip(*(batch.column(c).to_pylist() for c in (id_col, url_col, html_col))):
-                http, response_id, mark = response_of(url, text or "", date)
+                http, response_id, mark = response_of(key, url, text or "", date)
                 for r in derive(url, read_html(text or ""), date, response_id, mark, http):
                     rows.append(r | {id_col: key})
                     size += len(r["block"])
@@ -232,17 +261,14 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}" + ", record binary" * whole)
 
 
-def pages_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: path, headers (map), block. Files are read whole, one per task at a time."""
+    """Records of WARC files, gzipped or not: path, headers (map), block. Files are read whole, one at a time in a task."""
+    bounded_batches(spark)
 
     def run(batches):
         for batch in batches:
             for path_, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for headers, block in parse_records(content):
+                for headers, block in records_of(content):
                     yield pa.RecordBatch.from_pydict({"path": [path_], "headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), "block": pa.array([block], pa.binary())})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, headers map<string,string>, block binary")

@@ -326,7 +326,9 @@ def test_nearest_recall_and_scores(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
     from pyspark.sql import functions as F
 
-    out = ann.nearest(df, F.col("id") % 100 == 0, ann.AnnParams(shard_rows=512, block_rows=10, most_rows=512)).collect()
+    out = ann.nearest(df, F.col("id") % 100 == 0, ann.AnnParams(shard_rows=512)).collect()
+    again = ann.nearest(df.orderBy(F.rand(3)).repartition(7), F.col("id") % 100 == 0, ann.AnnParams(shard_rows=900)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))  # neither layout nor shards change what is found
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     found = collections.defaultdict(list)
     for r in out:
@@ -358,6 +360,34 @@ def test_pigeonhole_retrieves_all_within_radius():
             assert shard.within(shard.codes[i]).tolist() == want.tolist()
 
 
+def test_index_prunes_clustered_rows_and_reranks_few():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 48))
+    for spread, most in ((0.1, 0.02), (9.0, 0.1)):  # tight groups, and next to none
+        v = np.repeat(centres, 20, axis=0) + spread * rng.normal(size=(8000, 48))
+        hasher = ann.learn(v, ann.AnnParams())
+        shard = ann.Shard(np.arange(8000), v, hasher)
+        unit = v / ann.lengths_of(v)[:, None]
+        hits = 0
+        for i in range(0, 8000, 100):
+            got = shard.search(i, v[i], 5)
+            s = unit @ unit[i]
+            s[i] = -9
+            hits += len({g for g, _ in got} & set(np.argsort(-s)[:5].tolist()))
+        share = shard.reranked / (80 * 8000)
+        print(f"spread {spread}: recall {hits / 400:.3f}, share of rows reranked {share:.5f}, radius {hasher.radius}")
+        assert hits / 400 >= 0.9 and share <= most
+
+
+def test_nearest_with_components_beyond_squares(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 0.0]), (3, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id smallint, embedding array<double>").withColumn("id", F.lit(0))
+    got = [(r.query_id, r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1.0), (0, 2, round(0.5**0.5, 9)), (0, 3, round(0.5**0.5, 9))]
+
+
 # op7
 
 
@@ -545,6 +575,36 @@ def test_warc_head_without_end_tag():
         assert (page.title, page.text, page.links) == ("x & y", "text\nlink", ["/y"]), middle
 
 
+def test_warc_gz_round_trip(spark, tmp_path):
+    """From gzipped response files with real headers to derivatives that name the same ids and digests."""
+    pages = [f"<html><head><title>n{k}</title></head><body><p title='a>b' class=\"x>y\">text {k} é</p><a data-x='>' href='/l{k}'>l</a></body></html>" for k in range(5)]
+    records = []
+    for k, page in enumerate(pages):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nServer: s%d\r\n\r\n" % k + page.encode()
+        head = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{k}>"), ("WARC-Date", f"2024-05-0{k + 1}T01:02:03Z"), ("WARC-Target-URI", f"http://e.org/{k}"), ("WARC-Block-Digest", warc.digest(block)), ("WARC-Payload-Digest", warc.digest(page.encode())), ("Content-Length", str(len(block)))]
+        records.append(warc.record_bytes(head, block))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:3]))
+    (tmp_path / "in/b.warc.gz").write_bytes(gzip.compress(b"".join(records[3:])))
+    out = warc.response_derivatives(warc.read_warc(spark, str(tmp_path / "in")), whole=True).collect()
+    (tmp_path / "out.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r.record)) for r in out))
+    back = {(r.headers["WARC-Refers-To"], r.headers["WARC-Type"]): r for r in warc.read_warc(spark, str(tmp_path / "out.warc.gz")).collect()}
+    assert len(back) == len(out) == 10
+    for k, page in enumerate(pages):
+        conversion, metadata = back[f"<urn:uuid:{k}>", "conversion"], back[f"<urn:uuid:{k}>", "metadata"]
+        assert bytes(conversion.block).decode() == f"text {k} é\nl" and conversion.headers["WARC-Source-Payload-Digest"] == warc.digest(page.encode())
+        assert conversion.headers["WARC-Block-Digest"] == warc.digest(bytes(conversion.block)) and f"source-header-server: s{k}" in bytes(metadata.block).decode() and f"outlink: /l{k}" in bytes(metadata.block).decode()
+
+
+def test_warc_ids_and_edges(spark):
+    rows = [(1, "u", "<p>x"), (2, "u", "<p>x"), (3, "u", "w " * 300_000), (4, "u", "<p " + 'a="' * 2000)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").selectExpr("cast(page_id as smallint) as page_id", "url", "html", "html as block", "url as record_id")
+    out = warc.derivatives(df).collect()
+    assert len({r.record_id for r in out}) == 8 and {r.page_id for r in out} == {1, 2, 3, 4}
+    assert [len(r.block) for r in out if r.page_id == 3 and r.record_type == "conversion"] == [599_999]
+    assert warc.derivatives(df.filter("false")).count() == 0
+
+
 def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b"), (3, "a  b"), (None, "alone"), (None, "twice"), (None, "twice")], DOCS)
     out = exact_dedup.exact_dedup(df).collect()
