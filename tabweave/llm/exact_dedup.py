@@ -10,7 +10,8 @@ a third of all rows is therefore one entry per partition in the filters and one
 
 Defined results: null counts as the empty text; of equal texts the smallest id stays, and of rows that repeat that id
 one stays; a row without an id
-stays only where its group has no id at all; an empty table gives no rows; columns other than id and text are not read.
+stays only where its group has no id at all; an empty table gives no rows; texts of any length are compared whole;
+columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.bloom import BloomFilter
-from tabweave.llm.shared import stored
+from tabweave.llm.shared import bounded_batches, fresh, stored
 
 #: Merged filters of one block are held in one task; so many fingerprints each at most on average.
 BLOCK_ROWS = 1_000_000
@@ -142,6 +143,7 @@ def normalised(text: str | Column = "text") -> Column:
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, BloomFilter]:
     """(rows, groups, route). rows: every row's id, _row, _fp, text_sha256. groups, only those of two rows or more:
     _fp, text_sha256, keep_id, keep_row, group_size. Both are stored. route: holds the _fp of every row of groups."""
+    bounded_batches(docs.sparkSession)
     norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_norm"))
     rows = stored(norm.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.xxhash64("_norm").alias("_fp"), F.sha2("_norm", 256).alias("text_sha256")), "exact-rows")
     total = rows.count()
@@ -170,12 +172,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies; all columns of docs. Only rows that the filter routes to verification are shuffled."""
     rows, groups, route = duplicate_groups(docs, id_col, text_col)
-    keyed = docs.withColumn("__fp", F.xxhash64(normalised(F.col(text_col))))
-    plain = keyed.filter(~route.may_hold("__fp")).select(*docs.columns)
-    mine = groups.select(F.col("_fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    routed = keyed.filter(route.may_hold("__fp")).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(mine, ["__fp", "__sha"], "left")
-    kept = routed.filter(F.col("__size").isNull() | F.col("__keep").eqNullSafe(F.col(id_col)))
+    fp, sha, keep, size = (fresh(docs, n) for n in ("fp", "sha", "keep", "size"))
+    keyed = docs.withColumn(fp, F.xxhash64(normalised(F.col(text_col))))
+    plain = keyed.filter(~route.may_hold(fp)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = groups.select(F.col("_fp").alias(fp), F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
+    routed = keyed.filter(route.may_hold(fp)).withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).join(mine, [fp, sha], "left")
+    kept = routed.filter(F.col(size).isNull() | F.col(keep).eqNullSafe(F.col(id_col)))
     again = rows.join(groups, ["_fp", "text_sha256"]).filter("doc_id <=> keep_id and _row <> keep_row").limit(1).count()
     if again:  # rows that repeat the id that stays: one of them
-        kept = kept.filter(F.col("__size").isNull()).unionByName(kept.filter(F.col("__size").isNotNull()).dropDuplicates(["__fp", "__sha"]))
-    return plain.unionByName(kept.select(*docs.columns))
+        kept = kept.filter(F.col(size).isNull()).unionByName(kept.filter(F.col(size).isNotNull()).dropDuplicates([fp, sha]))
+    return plain.unionByName(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -10,10 +10,13 @@ An n-gram is put in for a language if it is common there: at least `share` of it
 that uses it most, so a language with much training text does not simply know more n-grams.
 
 The filter is learned from a bounded sample of labelled rows (about `per_language` documents of each language, chosen
-by a hash of their id; whole texts). Prediction reads whole texts, in one pass without a shuffle.
+by a hash of their id; whole texts). An n-gram must occur `least` times in it, or as often as its language has
+documents if these are fewer. The filter holds 8 MB for each 64 languages, so more than `most_languages` of them are
+refused. Prediction reads whole texts, in one pass without a shuffle.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any training row all are `und`;
-ties go to the language with more training documents, then to the first by name; repeated rows are predicted each.
+ties go to the language with more training documents, then to the first by name; repeated rows are predicted each; an
+empty table gives no rows; other columns are not read, and an id may have any type.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm import arrays as A
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
 PROBES = 2
 SIZES = (1, 2, 3, 4)
@@ -121,15 +124,19 @@ class LanguageFilter:
         return [self.names[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())], score
 
 
-def train(rows: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500, share: float = 0.25, least: int = 3) -> LanguageFilter:
+def train(rows: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500, share: float = 0.25, least: int = 3, most_languages: int = 1024) -> LanguageFilter:
     """A filter from the labelled rows given; what reaches the driver is bounded by the sample's n-grams."""
     labelled = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().collect()  # a row per language
+    bounded_batches(rows.sparkSession)
+    sizes = labelled.groupBy(lang_col).count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
     if not sizes:
         return LanguageFilter.empty([])
     sizes = sorted(((r[0], r[1]) for r in sizes), key=lambda x: (-x[1], x[0]))
     names = [s[0] for s in sizes]
-    rate = F.create_map(*[F.lit(v) for name, n in sizes for v in (name, min(1.0, per_language / n))])[F.col(lang_col)]
+    by_name = lambda f, of: F.create_map(*[F.lit(v) for name, n in sizes for v in (name, f(n))])[F.col(of)]
+    rate = by_name(lambda n: min(1.0, per_language / n), lang_col)
     chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col).cast("string")), F.lit(1_000_000)) < rate * 1_000_000)
 
     def count(batches):
@@ -147,7 +154,7 @@ def train(rows: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for lang, (k, c) in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "gram": pa.array(k.view(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    counted = chosen.select(lang_col, text_col).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = chosen.select(lang_col, text_col).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= by_name(lambda n: min(least, n), "lang"))
     table = counted.toArrow()
     lang = np.array(table.column("lang").to_pylist())
     gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(float)
@@ -168,6 +175,7 @@ def train(rows: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))  # 8 MB for up to 64 languages
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

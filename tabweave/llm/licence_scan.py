@@ -7,7 +7,8 @@ bigrams with it; where no window of that size holds so many of the template's bi
 any comparison. Windows that pass are grown bigram by bigram with incremental counts.
 
 Defined results: null and empty texts have no licence; of overlapping windows the one with the larger Dice stays, then
-the longer, then the first by name of licence; texts are read whole; repeated rows are scanned each. No shuffle.
+the longer, then the first by name of licence; texts are read whole; repeated rows are scanned each; an empty table gives
+no rows; other columns are not read, and an id may have any type. No shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from tabweave.llm import arrays as A
 from tabweave.llm.licence_templates import TEMPLATES
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
 
 def bigrams(texts: list[str]):
@@ -114,6 +115,7 @@ class LicenceScanner:
 
 def licence_scan(docs: DataFrame, similarity: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_matches, licence (of the best match, else null), dice, matches (name:start:end, comma-joined)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

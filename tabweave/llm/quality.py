@@ -6,11 +6,12 @@ fixed sparse ternary index vector. Its word vector is the sum of the index vecto
 texts, plus its own. A document is the mean of its words' vectors with a few lengths; a network of two layers, fitted
 in NumPy, scores it, and a temperature fitted on rows apart from those of the fit calibrates the probability.
 
-The fit uses a bounded sample of labelled rows (at most about `sample` rows, chosen by a hash of the id; whole
-texts). Scores read whole texts in one pass without a shuffle.
+The fit uses a bounded sample of labelled rows: about `sample` distinct ones and at most `sample_chars` characters, by a
+hash of their content; texts are taken whole, and one that alone is longer than a quarter of that is left to scoring. Scores read whole texts in one pass without a shuffle.
 
 Defined results: null counts as the empty text, whose features are zero; without any labelled row every score is 0.5;
-repeated rows are scored each; a row with several labels counts as labelled with each.
+repeated rows are scored each; a row with several labels counts as labelled with each, and repeated labels or labelled
+rows count once; there are no ties; an empty table gives no rows; other columns are not read, and an id may have any type.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm import arrays as A
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
 BUCKETS = 1 << 15
 DIM = 64
@@ -173,21 +174,28 @@ def fit(texts: list[str], labels: np.ndarray, hidden: int = 32, epochs: int = 60
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> QualityModel:
-    """Fits on labelled rows; at most about `sample` rows reach the driver."""
-    known = labels.select(id_col, label_col).dropna()
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_chars: int = 64_000_000) -> QualityModel:
+    """Fits on labelled rows; at most twice `sample` rows and `sample_chars` characters reach the driver."""
+    bounded_batches(docs.sparkSession)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna().distinct()
     total = known.count()
     rate = min(1.0, sample / max(total, 1))
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col).cast("string")), F.lit(1_000_000)) < rate * 1_000_000)
+    chosen = known.filter(F.pmod(F.xxhash64(F.lit(5), F.col("id").cast("string")), F.lit(1_000_000)) < rate * 1_000_000)
     # the sample's size is bounded by its rate, so its ids may be broadcast
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("t"), F.col(label_col).cast("double").alias("y")).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r[id_col], r["t"], r["y"]))
-    return fit([r["t"] for r in rows], np.array([r["y"] for r in rows]))
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
+    plain = plain.withColumn("mark", F.xxhash64(F.lit(9), F.col("id").cast("string"), "t")).withColumn("n", F.length("t")).filter(F.col("n") <= sample_chars // 4)
+    sizes = plain.select("mark", "y", "n").distinct().orderBy("mark", "y").limit(2 * sample).collect()
+    fits = np.searchsorted(np.cumsum([r["n"] for r in sizes]), sample_chars, side="right") if sizes else 0
+    if not fits:
+        return fit([], np.zeros(0))
+    rows = plain.filter(F.col("mark") <= sizes[fits - 1]["mark"]).dropDuplicates(["mark", "y"]).select("mark", "t", "y").toArrow().sort_by([("mark", "ascending"), ("y", "ascending")])
+    return fit(rows.column("t").to_pylist(), rows.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id and score, the calibrated probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB, fixed by BUCKETS and DIM
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -202,6 +210,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs that the model does not reject; all columns, one pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -8,7 +8,8 @@ each step costs two table lookups. Where the entropy reaches the class's bound,
 list suppresses candidates that are known to be harmless.
 
 Defined results: null and empty texts have no spans; texts are read whole; equal starts are listed in the order
-assign, access, hex, entropy; repeated rows are scanned each.
+assign, access, hex, entropy; repeated rows are scanned each; an empty table gives no rows; other columns are not read
+(redact() keeps them), and an id may have any type.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.shared import texts_of
+from tabweave.llm.shared import bounded_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: Patterns of the known shapes (fixed values).
@@ -151,6 +152,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 def secret_scan(docs: DataFrame, rules: SecretRules = SecretRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy. One pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -171,6 +173,8 @@ def secret_scan(docs: DataFrame, rules: SecretRules = SecretRules(), id_col: str
 
 def redact(docs: DataFrame, rules: SecretRules = SecretRules(), mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by a mark; all columns stay, and texts without spans are untouched (null too)."""
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         scanner = Scanner(rules)
