@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabweave.llm import exact_dedup, near_dedup, packing, quality, secrets
 from tabweave.llm.queries import tokenizer_path
-from tabweave.llm.shared import in_subset, stored, table
+from tabweave.llm.shared import discard, fresh, in_subset, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
-    clean = secrets.redact(docs.withColumn("__before", F.col("text")))
+    before = fresh(docs, "before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("__before"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col(before), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
@@ -55,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(last, "stored_at"):
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
