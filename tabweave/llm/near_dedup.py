@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tabweave.llm import arrays as A
 from tabweave.llm.bloom import BloomFilter
 from tabweave.llm.components import components
-from tabweave.llm.shared import bounded_batches, discard, fresh, stored, texts_of
+from tabweave.llm.shared import bounded_batches, discard, fresh, release_shuffles, stored, texts_of
 
 #: Columns of one slice of a block's table of flags.
 SLICE = 1 << 13
@@ -419,12 +419,15 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = plain.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     rows = marked.mapInArrow(sketch, f"doc_id {kind}, mark bigint, digest binary, keys array<bigint>, n_words bigint")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    sketched = stored(rows.withColumn("row", F.monotonically_increasing_id()), "near-sketched")
+    rows = stored(sketched.select("doc_id", "mark", "digest", "row"), "near-rows")
     # equal words are one node; its number is fixed once stored
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
-    nodes = rows.groupBy("digest").agg(keep, F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words")).alias("held"))
+    nodes = sketched.groupBy("digest").agg(keep, F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words")).alias("held"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "keep", "copies", "held.*"), "near-nodes")
     shared = nodes.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
+    discard(sketched)
+    release_shuffles(spark)
     shared = stored(shared.filter("size > 1"), "near-shared")
     held_by_two = BloomFilter(shared, "key", shared.count()).tester()
 
@@ -457,12 +460,12 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
     found = plain.select("text").mapInArrow(words, "digest binary, words binary, bins binary").groupBy("digest").agg(F.first(F.struct("words", "bins")).alias("t"))
     texts = stored(found.join(wanted, "digest").select("node", "t.words", "t.bins", "n_words"), "near-words")
     discard(shared, wanted)
+    release_shuffles(spark)
 
     def possible(batches):
         for batch in batches:
             limit = limit_of(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), p.similarity)
-            ok = np.abs(batch.column("n_a").to_numpy() - batch.column("n_b").to_numpy()) <= limit
-            ok &= bins_allow(_bins(batch.column("bins_a")), _bins(batch.column("bins_b")), limit)
+            ok = bins_allow(_bins(batch.column("bins_a")), _bins(batch.column("bins_b")), limit)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     def verify(batches):
@@ -471,12 +474,15 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
             ok = verified(_as_words(batch.column("words_a")), _as_words(batch.column("words_b")), p.similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"))
-    brief = lambda n: texts.select(F.col("node").alias(n), F.col("n_words").alias(f"n_{n}"), F.col("bins").alias(f"bins_{n}"))
+    side = lambda n, of, short: texts.select(F.col("node").alias(n), F.col(of).alias(f"{short}_{n}"))
     pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(pairs.join(brief("b"), "b").join(brief("a"), "a").mapInArrow(possible, "a bigint, b bigint"), "near-pairs")
-    links = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "words_a", "words_b")
+    # by length, then by word counts, then by alignment: what each step reads of the texts grows, and fewer pairs are left
+    limit = F.floor((1 - p.similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    pairs = pairs.join(side("b", "n_words", "n"), "b").join(side("a", "n_words", "n"), "a").filter(F.abs(F.col("n_a") - F.col("n_b")) <= limit)
+    pairs = stored(pairs.join(side("a", "bins", "bins"), "a").join(side("b", "bins", "bins"), "b").mapInArrow(possible, "a bigint, b bigint"), "near-pairs")
+    links = pairs.join(side("b", "words", "words"), "b").join(side("a", "words", "words"), "a").select("a", "b", "words_a", "words_b")
     links = stored(links.mapInArrow(verify, "a bigint, b bigint"), "near-links")
+    release_shuffles(spark)
     first = components(links)
 
     # buckets that still hold several components
@@ -527,6 +533,7 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
 
     more = left.join(texts.select("node", "words").join(held, "node"), "node").groupBy("key", "p", "q").applyInArrow(inside, "a bigint, b bigint")
     more = stored(more, "near-more")
+    release_shuffles(spark)
     whole = components(links.unionByName(more))
     labelled_ = nodes.select("node", "digest", "keep", "copies").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # stored, so that joining it is by size, and a class of very many rows can be split

@@ -39,6 +39,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that are over; it does so when the driver collects its garbage."""
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Arrow batches of at most so many rows and about so many bytes, so that a worker's memory doesn't grow with the
     length of texts; smaller settings stay."""
