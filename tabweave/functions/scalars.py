@@ -28,6 +28,12 @@ def to_number(c: Column) -> Column:
     return _try_double(F.trim(c.cast("string")))
 
 
+def strict_number(c: Column) -> Column:
+    """A number; null stays null, and a text that is no number is an error."""
+    n = to_number(c)
+    return F.when(c.isNotNull() & n.isNull(), F.raise_error(F.concat(F.lit("no number: "), c.cast("string")))).otherwise(n)
+
+
 def clip_to_code(c: Column, categories: int) -> Column:
     """Rounded half to even and clipped to 0 .. categories-1."""
     return F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(float(categories - 1))).cast("int")

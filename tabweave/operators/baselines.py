@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from tabweave.functions.rand import generator
 from tabweave.operators.fields import MLP, bounded_matrix, minibatches, time_features
@@ -36,26 +37,69 @@ def snap_to(values: np.ndarray, support: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CopulaBaseline(Solver):
-    """Marginals by quantiles, dependence by the correlation of normal scores; discrete columns snap to seen values."""
+    """Marginals by quantiles, dependence by the correlation of normal scores; discrete columns snap to seen values.
+
+    Quantiles, scores and supports are taken over all rows: quantiles by a sketch (places right to 1 in 20,000 rows, the
+    ends exact), then one pass that adds up the scores'
+    products (a value's score is that of its place among the quantiles), and the distinct values of discrete columns,
+    of which more than `most_values` are refused.
+    """
 
     cols: list[str]
     discrete: list[str] = field(default_factory=list)
-    train_rows: int = 20_000
-    seed: int = 0
+    most_values: int = 10_000
     quantiles: np.ndarray | None = None
     root: np.ndarray | None = None
     supports: dict[str, np.ndarray] = field(default_factory=dict)
 
     def fit(self, df, id_col: str) -> CopulaBaseline:
-        x = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
-        self.quantiles = np.quantile(x, np.linspace(0, 1, 201), axis=0)
-        ranks = (np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0) + 0.5) / len(x)
-        c = np.corrcoef(_normal_quantile(ranks), rowvar=False).reshape(len(self.cols), len(self.cols))
-        w, u = np.linalg.eigh(np.nan_to_num(c) + 1e-9 * np.eye(len(c)))
+        from pyspark.sql import functions as F
+
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols]).dropna()
+        levels = np.linspace(0, 1, 201)
+        found = rows.agg(*[f for c in self.cols for f in (F.min(c), F.percentile_approx(c, levels[1:-1].tolist(), 20_000), F.max(c))]).collect()[0]
+        if found[0] is None:
+            raise ValueError("no row without missing values to fit")
+        self.quantiles = np.array([[found[3 * j], *found[3 * j + 1], found[3 * j + 2]] for j in range(len(self.cols))], float).T
+        middle = self._places(self.quantiles)
+        edges = [np.unique(self.quantiles[:, j]) for j in range(len(self.cols))]
+
+        def sums(batches):
+            total, n = np.zeros((len(self.cols) + 1,) * 2), 0
+            for batch in batches:
+                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in self.cols], 1)
+                z = np.stack([np.interp(x[:, j], edges[j], middle[j]) for j in range(len(self.cols))], 1)
+                z = np.concatenate([z, np.ones((len(z), 1))], 1)
+                total, n = total + z.T @ z, n + len(z)
+            if n:
+                yield pa.RecordBatch.from_pydict({"i": pa.array(range(total.size), pa.int32()), "v": pa.array(total.ravel())})
+
+        parts = rows.mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # columns squared
+        d = len(self.cols)
+        m = np.array([r["v"] for r in parts]).reshape(d + 1, d + 1) if parts else np.eye(d + 1)
+        m = m / max(m[d, d], 1)
+        c = m[:d, :d] - np.outer(m[:d, d], m[:d, d])
+        scale = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        c = c / scale[:, None] / scale
+        w, u = np.linalg.eigh(c + 1e-9 * np.eye(d))
         self.root = u * np.sqrt(np.maximum(w, 0))
-        self.supports = {c: np.unique(x[:, j]) for j, c in enumerate(self.cols) if c in self.discrete}
+        for name in (x for x in self.cols if x in self.discrete):
+            seen = [r[0] for r in rows.select(name).distinct().limit(self.most_values + 1).collect()]
+            if len(seen) > self.most_values:
+                raise ValueError(f"{name} has more than {self.most_values} values")
+            self.supports[name] = np.array(sorted(seen))
         return self
 
+    @staticmethod
+    def _places(quantiles: np.ndarray) -> list[np.ndarray]:
+        """The normal score of each distinct quantile: of its middle level."""
+        levels, out = np.linspace(0, 1, len(quantiles)), []
+        for j in range(quantiles.shape[1]):
+            _, back, times = np.unique(quantiles[:, j], return_inverse=True, return_counts=True)
+            mid = np.bincount(back, weights=levels) / times
+            out.append(_normal_quantile(np.clip(mid, 0.0025, 0.9975)))
+        return out
+
     def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
         z = keyed_normals(ids, seed, (len(self.cols),)) @ self.root.T
         u = _normal_cdf(z)

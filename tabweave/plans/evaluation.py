@@ -108,6 +108,11 @@ def search(spark: SparkSession, objective, space: dict, trials: int = 20, seed:
     return spark.createDataFrame(rows, "number int, value double, params string, state string, error string").orderBy("value", "number")
 
 
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The trial of least value, of ties the earliest; failed trials have the value inf."""
+    return trials.orderBy("value", "number").limit(1)
+
+
 def compare_models(results: DataFrame, dataset: str, model: str, metric: str) -> DataFrame:
     """Average rank of each model over datasets, from texts such as '0.12 ± 0.01'; r2 metrics rank by absolute value."""
     from tabweave.functions.scalars import first_number

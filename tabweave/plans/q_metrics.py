@@ -51,12 +51,12 @@ def composite_score(spark, d):
     return metrics.composite_score(a, b, ["l_extendedprice"], ["l_linenumber"], ["l_linestatus"]).select(*[r(c, c) for c in ("mean_wd", "mean_js", "composite")])
 
 
-UNITS = metrics.projections(8, 4)
+UNITS = metrics.projections(64, 4)
 
 
 def sliced_wasserstein(spark, d):
-    e = table(spark, d, "embeddings").withColumn("part", F.slice("embedding", 1, 8))
-    return metrics.sliced_wasserstein(e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "part", UNITS).select(r("swd", "swd"))
+    e = table(spark, d, "embeddings")
+    return metrics.sliced_wasserstein(e.filter("label % 2 = 0"), e.filter("label % 2 = 1"), "embedding", UNITS).select(r("swd", "swd"))
 
 
 def column_moments(spark, d):

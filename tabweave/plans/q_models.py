@@ -1,4 +1,9 @@
-"""Queries of the learned generators: rows of a fitted model (no SQL can express them; the tests hold them to moments)."""
+"""Queries of the learned generators: rows of a fitted model, which no SQL can express, and a summary of each against
+the real rows (its size, missing values, range, mean and spread), whose SQL states what must hold.
+
+The fits behind them read a hashed sample of at most this many rows (SURVEY's models learn in memory): bridge and
+categorical solvers 4,000, light 10,000, diffusion and score 8,000. The copula reads all rows.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, Scor
 from tabweave.operators.schema import TabularSchema
 from tabweave.operators.solvers import CategoricalSolver, IpfSolver, learn_structure, solver
 from tabweave.operators.transforms import IntegerCode, StandardScaler
+from tabweave.plans import evaluation
 from tabweave.sources.readers import table
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -36,19 +42,28 @@ def _generate(name, **params):
     return query
 
 
+DEPENDENT = ["l_quantity", "l_extendedprice", "l_value"]
+
+
+def dependent_lines(spark, d):
+    """Columns with a structure to find: a value that follows the quantity and, less, the price."""
+    lines = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax").alias("row_key"), "l_quantity", "l_extendedprice", (F.col("l_quantity") * 1000 + F.col("l_extendedprice") * 0.2).alias("l_value"))
+    return StandardScaler().fit(lines, TabularSchema(continuous=tuple(DEPENDENT))).transform(lines)
+
+
 def structure_edges(spark, d):
-    parents = learn_structure(scaled_lines(spark, d), COLS)
+    parents = learn_structure(dependent_lines(spark, d), DEPENDENT)
     return spark.createDataFrame([(p, c) for c, ps in parents.items() for p in ps], "parent string, child string")
 
 
 def ipf_discrete_structural_generate(spark, d):
-    df = scaled_lines(spark, d)
-    return IpfSolver(COLS, "trees", "discrete", "featurewise", parents=learn_structure(df, COLS), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
+    df = dependent_lines(spark, d)
+    return IpfSolver(DEPENDENT, "trees", "discrete", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
 
 
 def ipf_continuous_structural_generate(spark, d):
-    df = scaled_lines(spark, d)
-    return IpfSolver(COLS, "trees", "continuous", "featurewise", parents=learn_structure(df, COLS), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
+    df = dependent_lines(spark, d)
+    return IpfSolver(DEPENDENT, "trees", "continuous", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
 
 
 def categorical_generate(spark, d):
@@ -106,4 +121,73 @@ QUERIES = {
         light_generate_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _summary(name: str, real, cols: list[str], states=()):
+    """One row per column: rows, missing values, and whether range, mean and spread fit the real rows. Numeric columns
+    may leave the real range by three deviations, means may differ by half of one, spreads by a factor of two; codes
+    must be whole and seen."""
+    query = QUERIES[name]
+
+    def summary(spark, d):
+        out, truth = query(spark, d), real(spark, d)
+        stats = lambda df: [df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)).alias("bad"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.bool_and(F.col(c) == F.rint(c)).alias("whole")).select(F.lit(c).alias("col"), "*") for c in cols]
+        rows = []
+        for a, b in zip(stats(out), stats(truth)):
+            a, b = a.collect()[0], b.collect()[0]
+            free = 0.0 if a.col in states else 3 * b.std
+            inside = b.lo - free <= a.lo and a.hi <= b.hi + free and (a.col not in states or a.whole)
+            rows.append((a.col, a.n, a.bad, bool(inside), abs(a.mean - b.mean) <= 0.5 * b.std, 0.5 * b.std <= a.std <= 2 * b.std))
+        return spark.createDataFrame(rows, "col string, n bigint, missing bigint, in_range boolean, mean_fits boolean, spread_fits boolean")
+
+    summary.__name__ = name.replace("_generate", "_summary")
+    return summary
+
+
+_categories = lambda *cols: (lambda spark, d: _mixed(spark, d)[0].select(*[F.col(c).cast("double") for c in cols]))
+_CODES = ("o_orderpriority", "o_orderstatus")
+_SUMMARIES = [_summary(n, scaled_lines, COLS) for n in QUERIES if n.endswith("_generate") and "structural" not in n and n not in ("categorical_generate", "mixed_generate", "ddpm_generate")]
+_SUMMARIES += [_summary(f"ipf_{t}_structural_generate", dependent_lines, DEPENDENT) for t in ("discrete", "continuous")]
+_SUMMARIES += [_summary("categorical_generate", _categories(*_CODES), list(_CODES), _CODES)]
+_SUMMARIES += [_summary(n, _categories("o_totalprice", *_CODES), ["o_totalprice", *_CODES], _CODES) for n in ("mixed_generate", "ddpm_generate")]
+
+
+def kfold_metrics(spark, d):
+    """The k-fold driver with the copula: each fold's sizes, and whether its distances are near those of the real rows."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    out = evaluation.kfold_evaluate(p, "parts", TabularSchema(continuous=("p_size",), target="p_retailprice"), lambda cols: CopulaBaseline(cols), "p_partkey", 3)
+    return out.select("dataset", "fold", "n_train", "n_test", F.col("avg_wd").between(0, 0.5).alias("wd_near"), F.col("avg_kl").between(0, 5).alias("kl_near"), F.col("corr_frob").between(0, 1).alias("corr_near"))
+
+
+def tuning_study(spark, d):
+    """A seeded study whose objective is the distance of a copula's scaled sample; some trials fail by design."""
+    goal = table(spark, d, "supplier").agg(F.avg("s_acctbal")).collect()[0][0]
+
+    def objective(params):
+        if params["kind"] == "bad":
+            raise ValueError("no such kind")
+        return abs(params["level"] - goal) / 1e4
+
+    out = evaluation.search(spark, objective, {"level": evaluation.Range(0.0, 10_000.0), "kind": evaluation.Choice(("good", "fine", "bad"))}, 24, 5)
+    failed = F.col("state") == "fail"
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("number").alias("numbers"), F.bool_and(failed == (F.col("value") == float("inf"))).alias("failures_are_last"), F.bool_and(failed == F.col("error").isNotNull()).alias("errors_kept"), (F.min("value") <= 0.1).alias("near"))
+
+
+def utility_of_copy(spark, d):
+    """Utility of a copy of the train rows: both regressors are the same, so their R2 don't differ."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 2 + F.col("p_size")).alias("y"))
+    train, test = p.filter("p_partkey % 4 <> 0"), p.filter("p_partkey % 4 = 0")
+    out = evaluation.utility_delta(train, test, train, ["p_size", "price"], "y", "p_partkey", "p_partkey")
+    return spark.createDataFrame([(out["r2_real"] == out["r2_synth"], out["delta_r2_percent"], out["r2_real"] > 0.8)], "same boolean, delta double, learned boolean")
+
+
+QUERIES |= {q.__name__: q for q in (*_SUMMARIES, kfold_metrics, tuning_study, utility_of_copy)}
+_fits = lambda cols: " UNION ALL ".join(f"SELECT '{c}' AS col, {N}::bigint AS n, 0::bigint AS missing, true AS in_range, true AS mean_fits, true AS spread_fits" for c in cols)
+ORACLES: dict[str, str] = {q.__name__: _fits(COLS) for q in _SUMMARIES}
+ORACLES |= {f"ipf_{t}_structural_summary": _fits(DEPENDENT) for t in ("discrete", "continuous")}
+ORACLES |= {"categorical_summary": _fits(_CODES), "mixed_summary": _fits(("o_totalprice", *_CODES)), "ddpm_summary": _fits(("o_totalprice", *_CODES))}
+ORACLES |= {
+    "kfold_metrics": "SELECT 'parts' AS dataset, f AS fold, (SELECT count(*) FROM p) - count(*) AS n_train, count(*) AS n_test, true AS wd_near, true AS kl_near, true AS corr_near FROM (SELECT (ntile(3) OVER (ORDER BY md5('42|' || p_partkey), p_partkey) - 1)::int AS f FROM part) GROUP BY f".replace("(SELECT count(*) FROM p)", "(SELECT count(*) FROM part)"),
+    "tuning_study": "SELECT 24::bigint AS n, 24::bigint AS numbers, true AS failures_are_last, true AS errors_kept, true AS near",
+    "utility_of_copy": "SELECT true AS same, 0.0::double AS delta, true AS learned",
+}

@@ -140,6 +140,30 @@ def categorical_model_step(spark, d):
     return _states(spark, d, REF.model_next(F.col("code"), F.array(*[F.lit(x) for x in ENDS]), F.lit(3)))
 
 
+def categorical_model_prev(spark, d):
+    return _states(spark, d, REF.model_prev(F.col("code"), F.array(*[F.lit(x) for x in ENDS]), F.lit(3)))
+
+
+def categorical_new_alpha(spark, d):
+    """The bridge after alpha was updated."""
+    return _states(spark, d, REF.with_alpha(0.03).bridge(F.col("code"), F.col("other"), F.lit(4)))
+
+
+def categorical_path(spark, d):
+    """A path of the reference from its start to its end: each step is drawn given the state before and the end."""
+    o = _orders(spark, d).withColumn("s0", F.col("code"))
+    for n in range(REF.steps):
+        o = o.withColumn(f"s{n + 1}", P.draw(REF.next_given_prev(F.col(f"s{n}"), F.col("other"), F.lit(n)), uniform(f"path{n}", F.col("o_orderkey"))))
+    return o.select("o_orderkey", *[f"s{n}" for n in range(REF.steps + 1)], "other")
+
+
+def mixed_path(spark, d):
+    """One step of a mixed path: a numeric bridge point beside a categorical draw, at the same time."""
+    o = _orders(spark, d)
+    x = P.bridge_point(F.col("z"), normal("mix1", F.col("o_orderkey")), F.lit(0.4), SIGMA, normal("mix2", F.col("o_orderkey")))
+    return o.select("o_orderkey", r(x, "x"), P.draw(REF.bridge(F.col("code"), F.col("other"), F.lit(4)), uniform("mix3", F.col("o_orderkey"))).alias("state"))
+
+
 def bridge_sample(spark, d):
     return _orders(spark, d).select("o_orderkey", P.draw(REF.bridge(F.col("code"), F.col("other"), F.lit(4)), uniform("draw", F.col("o_orderkey"))).alias("state"))
 
@@ -248,8 +272,19 @@ def _state_sql(weight: str) -> str:
     return f"SELECT o_orderkey, state, round(w / sum(w) OVER (PARTITION BY o_orderkey), 6) AS p FROM (SELECT o_orderkey, s::int AS state, {weight} AS w FROM {O}, range(5) t(s))"
 
 
+def _walk_sql() -> str:
+    q = f"SELECT o_orderkey, code AS s0, other FROM {O}"
+    for n in range(REF.steps):
+        w = [f"({q_sql(f's{n}', str(s), '1')} * {q_sql(str(s), 'other', str(REF.steps - 1 - n))})" for s in range(5)]
+        upto = ["(" + " + ".join(w[: s + 1]) + ")" for s in range(5)]
+        steps = " + ".join(f"CASE WHEN {x} / {upto[-1]} < u THEN 1 ELSE 0 END" for x in upto)
+        q = f"SELECT * EXCLUDE (u), least({steps}, 4)::int AS s{n + 1} FROM (SELECT *, {u_sql(f'path{n}', 'o_orderkey')} AS u FROM ({q}))"
+    return q
+
+
 BRIDGE_W = f"{q_sql('code', 's', '4')} * {q_sql('s', 'other', '6')}"
 NEXT_W = f"{q_sql('code', 's', '1')} * {q_sql('s', 'e', '6')}"
+PREV_W = f"{q_sql('e', 's', '2')} * {q_sql('s', 'code', '1')}"
 _ends = "[" + ", ".join(map(str, ENDS)) + "]"
 _c = [f"({la!r}::double + ({s[0]!r}::double * z * z + {2 * rr[0]!r}::double * z + {s[1]!r}::double * c4 * c4 + {2 * rr[1]!r}::double * c4) / {2 * LIGHT.eps!r}::double)" for la, rr, s in zip(LIGHT.log_alpha, LIGHT.r, LIGHT.s)]
 _v = ["(" + f"{la!r}::double" + "".join(f" - 0.5 * (pow({x} - ({m!r}::double), 2) / {LIGHT.eps * q!r}::double + {float(np.log(2 * np.pi * LIGHT.eps * q))!r}::double)" for x, m, q in zip(("z", "c4"), rr, s)) + ")" for la, rr, s in zip(LIGHT.log_alpha, LIGHT.r, LIGHT.s)]
@@ -267,7 +302,7 @@ _gamma_list = "[" + ", ".join(f"{float(g)!r}::double" for g in GRID.gamma) + "]"
 _one = "WITH l AS (SELECT l_quantity / 50 AS a, l_extendedprice / 75000 AS b, l_discount AS w, l_tax * 10 AS c FROM lineitem)"
 _hub = lambda e: f"(CASE WHEN abs({e}) <= 0.2 THEN 0.5 * pow({e}, 2) ELSE 0.2 * (abs({e}) - 0.1) END)"
 
-QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, ddpm_bound_terms, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
+QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, categorical_model_prev, categorical_new_alpha, categorical_path, mixed_path, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, ddpm_bound_terms, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
 ORACLES = {
     "time_grid_linear": _grid_sql("1e-4 + i / 19.0::double * (1e-2 - 1e-4)", 20),
     "time_grid_geom": _grid_sql("1e-4 * pow(1e-2 / 1e-4, i / 19.0::double)", 20),
@@ -293,6 +328,12 @@ ORACLES = {
     "categorical_prev": _state_sql(f"{q_sql('code', 's', '2')} * {q_sql('s', 'other', '1')}"),
     "categorical_model_step": f"""WITH w AS (SELECT o_orderkey, s::int AS state, e, {NEXT_W} AS w FROM {O}, range(5) t(s), range(5) v(e)), c AS (SELECT *, w / sum(w) OVER (PARTITION BY o_orderkey, e) * {_ends}[e + 1] AS p FROM w), m AS (SELECT o_orderkey, state, sum(p) AS p FROM c GROUP BY 1, 2)
         SELECT o_orderkey, state, round(p / sum(p) OVER (PARTITION BY o_orderkey), 6)::double AS p FROM m""",
+    "categorical_model_prev": f"""WITH w AS (SELECT o_orderkey, s::int AS state, e, {PREV_W} AS w FROM {O}, range(5) t(s), range(5) v(e)), c AS (SELECT *, w / sum(w) OVER (PARTITION BY o_orderkey, e) * {_ends}[e + 1] AS p FROM w), m AS (SELECT o_orderkey, state, sum(p) AS p FROM c GROUP BY 1, 2)
+        SELECT o_orderkey, state, round(p / sum(p) OVER (PARTITION BY o_orderkey), 6)::double AS p FROM m""",
+    "categorical_new_alpha": _state_sql(f"{q_sql('code', 's', '4', a=0.03)} * {q_sql('s', 'other', '6', a=0.03)}"),
+    "categorical_path": _walk_sql(),
+    "mixed_path": f"""SELECT o_orderkey, any_value(round(0.6::double * z + 0.4::double * {n_sql('mix1', 'o_orderkey')} + 0.7 * sqrt(0.24::double) * {n_sql('mix2', 'o_orderkey')}, 6)) AS x, least(sum(CASE WHEN c < u THEN 1 ELSE 0 END), 4)::int AS state
+        FROM (SELECT o_orderkey, z, {u_sql('mix3', 'o_orderkey')} AS u, sum(w) OVER (PARTITION BY o_orderkey ORDER BY s) / sum(w) OVER (PARTITION BY o_orderkey) AS c FROM (SELECT o_orderkey, z, s, {BRIDGE_W} AS w FROM {O}, range(5) t(s))) GROUP BY 1""",
     "bridge_sample": f"""SELECT o_orderkey, least(sum(CASE WHEN c < u THEN 1 ELSE 0 END), 4)::int AS state FROM (SELECT o_orderkey, {u_sql('draw', 'o_orderkey')} AS u, sum(w) OVER (PARTITION BY o_orderkey ORDER BY s) / sum(w) OVER (PARTITION BY o_orderkey) AS c FROM (SELECT o_orderkey, s, {BRIDGE_W} AS w FROM {O}, range(5) t(s))) GROUP BY 1""",
     "gumbel_draw": f"SELECT o_orderkey, arg_max(cat, -abs(cat - 2) - ln(-ln({u_sql('gumbel1', 'o_orderkey', 'cat')}))) AS cat FROM orders, (SELECT i::int AS cat FROM range(5) t(i)) GROUP BY 1",
     "lightsb_log_c": f"SELECT o_orderkey, round({_lse(*_c)}, 6) AS log_c FROM {O4}",

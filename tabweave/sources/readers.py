@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,18 @@ def write_bundle(tables: dict[str, DataFrame], bundle: str, mode: str = "errorif
         df.write.mode(mode).parquet(f"{bundle}/{n}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder that spark.checkpoint.dir names; a folder of this machine only where that
+    is unset and all runs here."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = tempfile.mkdtemp(prefix="tabweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/tabweave/{name}-{uuid.uuid4().hex}"
+
+
 def sniff_separator(header: str) -> str:
     """A semicolon if the header has one and no comma, else a comma."""
     return ";" if ";" in header and "," not in header else ","
@@ -39,8 +53,8 @@ def read_csv(spark: SparkSession, path: str, rename: dict[str, str] | None = Non
     return df.withColumns({c: to_number(F.col(c)) for c in numeric or []}) if numeric else df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
+    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -97,3 +111,17 @@ def two_moons(spark: SparkSession, n: int = 2000, noise: float = 0.2, seed: int
     x1 = F.when(up, F.cos(angle)).otherwise(F.lit(1.0) - F.cos(angle))
     x2 = F.when(up, F.sin(angle)).otherwise(F.lit(0.5) - F.sin(angle))
     return rows.select("row_id", (x1 + noise * normal(f"m1{seed}", F.col("row_id"))).alias("x1"), (x2 + noise * normal(f"m2{seed}", F.col("row_id"))).alias("x2"), F.when(up, "0").otherwise("1").alias("target"))
+
+
+#: Ranges of the columns of the housing toy table.
+HOUSING_RANGES = {"med_inc": (0.5, 15.0), "house_age": (1.0, 52.0), "ave_rooms": (1.0, 10.0), "latitude": (32.5, 42.0), "longitude": (-124.3, -114.3)}
+HOUSING = [*HOUSING_RANGES, "med_house_val"]
+
+
+def housing(spark: SparkSession, n: int = 2000, seed: int = 42) -> DataFrame:
+    """A toy table of houses made here (the public one would have to be fetched): uniform columns, and a target that
+    rises with income and age and falls with latitude, with keyed noise."""
+    rows = spark.range(n).withColumnRenamed("id", "row_id")
+    rows = rows.withColumns({c: F.lit(lo) + F.lit(hi - lo) * uniform(f"house{seed}:{c}", F.col("row_id")) for c, (lo, hi) in HOUSING_RANGES.items()})
+    value = F.lit(0.45) * F.col("med_inc") + F.lit(0.01) * F.col("house_age") - F.lit(0.4) * (F.col("latitude") - F.lit(35.6)) * F.lit(0.1)
+    return rows.withColumn("med_house_val", value + F.lit(0.3) * normal(f"house{seed}:noise", F.col("row_id")))

@@ -87,6 +87,21 @@ def test_context_and_structure(spark, data):
     assert type(solver("light", ["x"])).__name__ == "LightSolver"
 
 
+def test_copula_reads_all_rows(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 997).cast("double").alias("x"), F.when(F.col("id") == 59_999, 7.0).otherwise(F.col("id") % 3).alias("k")).repartition(5)
+    model = CopulaBaseline(["x", "k"], ["k"]).fit(df, "id")
+    assert model.supports["k"].tolist() == [0.0, 1.0, 2.0, 7.0] and model.quantiles[[0, -1], 0].tolist() == [0.0, 996.0]
+    with pytest.raises(ValueError):
+        CopulaBaseline(["x"], ["x"], most_values=10).fit(df, "id")
+
+
+def test_structure_of_dependent_columns(spark, sf):
+    from tabweave.plans.q_models import structure_edges
+
+    edges = {frozenset((r.parent, r.child)) for r in structure_edges(spark, sf).collect()}
+    assert frozenset(("l_quantity", "l_value")) in edges
+
+
 def test_kfold_driver_and_search(spark, data):
     rows = evaluation.kfold_evaluate(data.limit(600), "toy", TabularSchema(continuous=("x",), target="y"), lambda cols: CopulaBaseline(cols), "id", k=2)
     got = rows.collect()
