@@ -485,6 +485,43 @@ def test_near_dedup_finds_links_at_the_bound(spark):
     assert all(ok or sum(same[k]) == 1 for k, ok in zip(order, some))
 
 
+def test_near_dedup_goes_by_row(spark):
+    """Against all pairs on 500 texts whose ids repeat; a row goes for what it is, not for its id."""
+    rnd, rows = random.Random(21), []
+    for k in range(130):
+        words = [f"w{rnd.randrange(900)}" for _ in range(rnd.choice([1, 4, 9, 16, 40, 120]))]
+        for _ in range(rnd.randint(1, 6)):
+            rows.append((rnd.randrange(200), " ".join(edited(rnd, words, rnd.randint(0, len(words) // 6)))))
+    rows = rows[:490] + [(7, "same row")] * 3 + [(None, "no id here")] * 2 + [(1000, "a b c d e f g"), (1005, "a b c d e f g"), (1005, "of its own"), (None, "a b c d e f g"), (1001, None)]
+    words = [(t or "").lower().split() for _, t in rows]
+    arrays = [np.array([zlib.crc32(x.encode()) for x in w], np.int64) for w in words]
+    root = list(range(len(rows)))
+    order = {}
+    for i, w in enumerate(words):
+        order.setdefault(tuple(w), i)
+    distinct = sorted(order.values())
+    pairs = [(i, j) for a, i in enumerate(distinct) for j in distinct[a + 1 :]]
+    ok = near_dedup.verified([arrays[i] for i, _ in pairs], [arrays[j] for _, j in pairs], 0.8)
+    find = lambda x: x if root[x] == x else find(root[x])
+    for (i, j), near in [*zip(pairs, ok), *(((order[tuple(w)], i), True) for i, w in enumerate(words))]:
+        if near and find(i) != find(j):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    want = collections.Counter()
+    for members in groups.values():
+        ids = [rows[i][0] for i in members if rows[i][0] is not None]
+        want.update((rows[i][0], rows[i][1], min(ids, default=None), len(members)) for i in members)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = near_dedup._class_rows(df, near_dedup.NearParams(block=16, block_words=500), "doc_id", "text").collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in got) == collections.Counter((i, c, n) for i, _, c, n in want.elements())
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.class_id for r in got if r.kept)
+    left = near_dedup.drop_near(df.withColumn("mark", df.text).withColumn("lang", df.doc_id)).collect()
+    assert len(left) == len(groups) and (1005, "of its own") in {(r.doc_id, r.text) for r in left} and left[0].asDict().keys() == {"doc_id", "text", "mark", "lang"}
+    assert collections.Counter(r.doc_id for r in left) == collections.Counter(r.doc_id for r in got if r.kept)
+
+
 # op8, op9
 
 
