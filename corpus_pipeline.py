@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Scores, alignments and tokens can't be expressed in SQL; the tests hold each stage against a brute-force version.
+#: Scores, alignments and tokens can't be expressed in SQL; tests hold the operators against brute force, and the stages to their results.
 ORACLE_SQL = None
 
 
