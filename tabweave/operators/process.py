@@ -96,12 +96,16 @@ def reference_coupling(z0: Column, sigma: float, seed: str | int, id_col: str, n
 
 
 def independent_coupling(df: DataFrame, prior: DataFrame, id_col: str, seed: str | int) -> DataFrame:
-    """Rows of df paired with rows of prior by their ranks in two independent permutations."""
+    """Rows of df paired with rows of prior by their ranks in two independent permutations; a prior of fewer rows starts
+    again from its first rank, so every row of df has a partner."""
     from tabweave.operators.ranks import permutation_rank
 
     a = permutation_rank(df, id_col, f"{seed}:a", "r__").drop("n__")
     b = permutation_rank(prior, id_col, f"{seed}:b", "r__").drop("n__").withColumnRenamed(id_col, f"{id_col}_prior")
-    return a.join(b, "r__").drop("r__")
+    rows = prior.count()
+    if not rows:
+        raise ValueError("the prior has no rows")
+    return a.withColumn("r__", F.pmod(F.col("r__") - 1, F.lit(rows)) + 1).join(b, "r__").drop("r__")
 
 
 def euler_step(x: Column, drift: Column, gamma: Column | float, sigma: float, noise: Column | None) -> Column:

@@ -201,9 +201,16 @@ class StandardScaler(_Base):
         return df.withColumns({c: F.col(c) * F.lit(s) + F.lit(m) for c, (m, s) in self.stats.items() if c in df.columns})
 
 
+#: Encoders keep their categories on the driver; a column of more is refused, as each would be a column or branch.
+MOST_CATEGORIES = 20_000
+
+
 def sorted_categories(df: DataFrame, c: str) -> list[str]:
     """Distinct non-null values as text, sorted: the state of an encoder, as large as the column's alphabet."""
-    return sorted(r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().collect())
+    found = [r[0] for r in df.select(F.col(c).cast("string")).filter(F.col(c).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect()]
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories")
+    return sorted(found)
 
 
 @registered

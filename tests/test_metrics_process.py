@@ -102,3 +102,13 @@ def test_light_potential_matches_numpy(spark):
     c = [a + (x * x @ s + 2 * x @ r) / 1.4 for a, r, s in zip(np.array(pot.log_alpha), np.array(pot.r), np.array(pot.s))]
     got = spark.range(1).select(pot.log_c([F.lit(0.3), F.lit(-0.8)]).alias("c")).collect()[0].c
     assert got == pytest.approx(np.log(np.exp(c).sum()))
+
+
+def test_coupling_keeps_every_row(spark):
+    from tabweave.operators.process import independent_coupling
+
+    df, few = spark.range(50).withColumnRenamed("id", "k"), spark.range(7).withColumnRenamed("id", "k")
+    out = independent_coupling(df, few, "k", 3).collect()
+    assert sorted(r.k for r in out) == list(range(50)) and {r.k_prior for r in out} == set(range(7))
+    with pytest.raises(ValueError):
+        independent_coupling(df, few.filter("k < 0"), "k", 3)
