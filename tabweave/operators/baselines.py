@@ -1,4 +1,5 @@
-"""Baseline generators under one interface: Gaussian copula, Gaussian-multinomial diffusion, score-based SDE."""
+"""Baseline generators under one interface: Gaussian copula, Gaussian-multinomial diffusion, score-based SDE, Langevin
+sampling of a class-wise energy."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from tabweave.functions.rand import generator
-from tabweave.operators.fields import MLP, bounded_matrix, minibatches, time_features
+from tabweave.operators.fields import MLP, ResNet, bounded_matrix, minibatches, time_features
 from tabweave.operators.process import betas
 from tabweave.operators.solvers import NOISE_BLOCK, Solver, keyed_normals
 
@@ -114,7 +115,8 @@ class CopulaBaseline(Solver):
 @dataclass
 class DiffusionBaseline(Solver):
     """Gaussian diffusion for numeric columns and multinomial diffusion for categorical codes, by one denoiser that
-    predicts the noise and the logits of the start; ancestral or deterministic sampling."""
+    predicts the noise and the logits of the start; ancestral or deterministic sampling. The denoiser is an MLP or a
+    residual network (`denoiser`), trained at a rate that falls linearly to 0; sampling uses the averaged weights."""
 
     cols: list[str]
     states: dict[str, int] = field(default_factory=dict)
@@ -125,8 +127,9 @@ class DiffusionBaseline(Solver):
     hidden: tuple[int, ...] = (128, 128)
     train_rows: int = 8000
     seed: int = 0
+    denoiser: str = "mlp"
+    average: float = 0.999
     net: MLP | None = None
-    average: list | None = None
 
     @property
     def numeric(self) -> list[str]:
@@ -149,7 +152,9 @@ class DiffusionBaseline(Solver):
         dn, rng = num.shape[1], np.random.default_rng(self.seed)
         bar = np.cumprod(1 - betas(self.schedule, self.steps))
         width = dn + sum(self.states.values())
-        self.net = MLP([width + 16, *self.hidden, width], self.seed)
+        if self.denoiser not in ("mlp", "resnet"):
+            raise ValueError(f"no denoiser {self.denoiser}")
+        self.net = MLP([width + 16, *self.hidden, width], self.seed) if self.denoiser == "mlp" else ResNet(width + 16, self.hidden[0], len(self.hidden), width, self.seed)
 
         def batches():
             for i in minibatches(len(x), self.inner, 256, rng):
@@ -174,7 +179,7 @@ class DiffusionBaseline(Solver):
                 at += s
             return g
 
-        self.net.train(batches(), gradient)
+        self.net.train(batches(), gradient, anneal_over=self.inner, average=self.average)
         return self
 
     def _block(self, rng) -> np.ndarray:
@@ -263,3 +268,63 @@ class ScoreBaseline(Solver):
                 x = x + e / 2 * self._score(x, tn) + np.sqrt(e) * z[:, 2 * i + 2] * 0.5
         end = np.zeros(len(x))
         return x + self._sigma(end[:1])[0] ** 2 * self._score(x, end)
+
+
+@dataclass
+class LangevinBaseline(Solver):
+    """Stochastic gradient Langevin dynamics over the energy of rows given their target, from noised real rows.
+
+    The energy is that of a kernel density over the context rows of the same class; it stands where a pretrained
+    in-context classifier would. A regression target (see `schema.detect_task`) moves with the features, a class is drawn
+    by its share and stays. The context is a hashed sample of at most about `train_rows` rows; a table without complete
+    rows is refused. A context of one row gives rows around it."""
+
+    cols: list[str]
+    target: str | None = None
+    task: str = "regression"
+    steps: int = 60
+    step: float = 0.1
+    width: float = 0.25
+    start_noise: float = 0.3
+    train_rows: int = 2000
+    seed: int = 0
+    context: np.ndarray | None = None
+
+    def fit(self, df, id_col: str) -> LangevinBaseline:
+        self.context = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
+        if not len(self.context):
+            raise ValueError("no row without missing values to fit")
+        return self
+
+    def score(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Gradient of the log density of x under kernels at the rows `own`, whose columns have spread 1."""
+        h = self.width**2
+        d = -((x**2).sum(1)[:, None] - 2 * x @ own.T + (own**2).sum(1)) / (2 * h)
+        w = np.exp(d - d.max(1, keepdims=True))
+        return (w / w.sum(1, keepdims=True) @ own - x) / h
+
+    def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
+        out, block = np.zeros((len(ids), len(self.cols))), ids // NOISE_BLOCK
+        for b in np.unique(block):  # whole blocks, as a product's last bits depend on its number of rows
+            own = block == b
+            out[own] = self._block(np.arange(b * NOISE_BLOCK, (b + 1) * NOISE_BLOCK), seed)[ids[own] % NOISE_BLOCK]
+        return out
+
+    def _block(self, ids: np.ndarray, seed: int) -> np.ndarray:
+        fixed = self.cols.index(self.target) if self.target and self.task == "classification" else None
+        moving = [j for j in range(len(self.cols)) if j != fixed]
+        shift, spread = self.context[:, moving].mean(0), self.context[:, moving].std(0) + 1e-9
+        rows = (self.context[:, moving] - shift) / spread
+        group = self.context[:, fixed] if fixed is not None else np.zeros(len(rows))
+        z = keyed_normals(ids, seed, (self.steps + 2, len(moving)))
+        first = np.minimum((_normal_cdf(z[:, -1, 0]) * len(rows)).astype(int), len(rows) - 1)
+        x, e = rows[first] + self.start_noise * z[:, 0], self.step * self.width**2
+        for g in np.unique(group[first]):
+            mine, own = group[first] == g, rows[group == g]
+            for i in range(self.steps):
+                x[mine] += e / 2 * self.score(x[mine], own) + np.sqrt(e) * z[mine, i + 1]
+        out = np.empty((len(ids), len(self.cols)))
+        out[:, moving] = x * spread + shift
+        if fixed is not None:
+            out[:, fixed] = group[first]
+        return out

@@ -112,6 +112,25 @@ class TreeField:
         return np.stack([self.base[d] + self.rate * sum(self._value(t, codes) for t in own) for d, own in enumerate(self.model)], axis=1)
 
 
+class Adam:
+    """AdamW with clipped gradients over arrays that it changes in place."""
+
+    def __init__(self, params: list[np.ndarray], rate: float = 2e-3, decay: float = 1e-4, clip: float = 1.0, betas: tuple[float, float] = (0.9, 0.999)):
+        self.params, self.rate, self.decay, self.clip, self.betas, self.steps = params, rate, decay, clip, betas, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, grads: list[np.ndarray], share: float = 1.0) -> None:
+        """One step at this share of the rate."""
+        self.steps += 1
+        a, b = self.betas
+        norm = np.sqrt(sum((g * g).sum() for g in grads))
+        for p, m, v, g in zip(self.params, self.m, self.v, grads):
+            g = g * min(1.0, self.clip / (norm + 1e-12))
+            m += (1 - a) * (g - m)
+            v += (1 - b) * (g * g - v)
+            p -= share * self.rate * (m / (1 - a**self.steps) / (np.sqrt(v / (1 - b**self.steps)) + 1e-8) + self.decay * p)
+
+
 class MLP:
     """SiLU layers with AdamW and clipped gradients; the loss gives the gradient at the output."""
 
@@ -139,19 +158,57 @@ class MLP:
             g = g @ self.w[i].T
         return out[::-1]
 
-    def train(self, batches, loss_gradient, rate: float = 2e-3, decay: float = 1e-4, clip: float = 1.0) -> None:
-        """batches: (x, extra) pairs; loss_gradient(out, extra) gives d loss / d out."""
+    def train(self, batches, loss_gradient, rate: float = 2e-3, decay: float = 1e-4, clip: float = 1.0, anneal_over: int | None = None, average: float | None = None) -> None:
+        """batches: (x, extra) pairs; loss_gradient(out, extra) gives d loss / d out. The rate falls linearly to 0 over
+        `anneal_over` steps; with `average`, the weights end as their moving average of that decay (less of it early)."""
         params = [p for pair in zip(self.w, self.b) for p in pair]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step, (x, extra) in enumerate(batches, 1):
+        adam, mean = Adam(params, rate, decay, clip), [p.copy() for p in params] if average else []
+        for step, (x, extra) in enumerate(batches):
             out, kept = self.forward(x)
-            grads = self.backward(kept, loss_gradient(out, extra))
-            norm = np.sqrt(sum((g * g).sum() for g in grads))
-            for k, g in enumerate(grads):
-                g = g * min(1.0, clip / (norm + 1e-12))
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                params[k] -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + decay * params[k])
+            adam.step(self.backward(kept, loss_gradient(out, extra)), max(0.0, 1 - step / anneal_over) if anneal_over else 1.0)
+            for m, p in zip(mean, params):
+                m += (1 - min(average, (1 + step) / (10 + step))) * (p - m)
+        for m, p in zip(mean, params):
+            p[:] = m
+
+
+class ResNet(MLP):
+    """Residual blocks of two layers on normalised rows, then a head."""
+
+    def __init__(self, inputs: int, width: int, blocks: int, outputs: int, seed: int = 0):
+        super().__init__([inputs, *[width] * (2 * blocks + 1), outputs], seed)
+
+    @staticmethod
+    def _norm(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.sqrt(h.var(1, keepdims=True) + 1e-5)
+        return (h - h.mean(1, keepdims=True)) / s, s
+
+    @staticmethod
+    def _norm_back(g: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return (g - g.mean(1, keepdims=True) - n * (g * n).mean(1, keepdims=True)) / s
+
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        h, kept = x @ self.w[0] + self.b[0], [(x,)]
+        for k in range(1, len(self.w) - 1, 2):
+            n, s = self._norm(h)
+            a = np.maximum(n @ self.w[k] + self.b[k], 0)
+            h = h + a @ self.w[k + 1] + self.b[k + 1]
+            kept.append((n, s, a))
+        n, s = self._norm(h)
+        kept.append((n, s, np.maximum(n, 0)))
+        return kept[-1][2] @ self.w[-1] + self.b[-1], kept
+
+    def backward(self, kept: list, g: np.ndarray) -> list[np.ndarray]:
+        n, s, a = kept[-1]
+        out = [g.sum(0), a.T @ g]
+        g = self._norm_back(g @ self.w[-1].T * (n > 0), n, s)
+        for k in range(len(self.w) - 3, 0, -2):
+            n, s, a = kept[(k + 1) // 2]
+            inner = g @ self.w[k + 1].T * (a > 0)
+            out += [g.sum(0), a.T @ g, inner.sum(0), n.T @ inner]
+            g = g + self._norm_back(inner @ self.w[k].T, n, s)
+        out += [g.sum(0), kept[0][0].T @ g]
+        return out[::-1]
 
 
 def minibatches(n: int, steps: int, size: int, rng: np.random.Generator):

@@ -1,4 +1,4 @@
-"""Evaluation and tuning plans: utility, k-fold drivers, random search, comparison tables."""
+"""Evaluation and tuning plans: utility, k-fold drivers, random and Parzen search, comparison tables."""
 
 from __future__ import annotations
 
@@ -79,7 +79,8 @@ SPACES = {
     "imf": {"steps": Range(6, 24, whole=True), "sigma": Range(0.3, 1.5, log=True), "first": Choice(("ind", "ref")), "sequence": Choice((("b",), ("b", "f", "b"), ("b", "f", "b", "f", "b"))), "noise": Choice((True, False))},
     "ipf": {"rounds": Range(1, 4, whole=True), "alpha": Range(0.3, 2.0, log=True)},
     "light": {"components": Range(4, 64, log=True, whole=True), "eps": Range(0.05, 1.0, log=True), "rate": Range(3e-3, 5e-2, log=True)},
-    "diffusion": {"steps": Range(20, 100, whole=True), "schedule": Choice(("linear", "cosine"))},
+    "diffusion": {"steps": Range(20, 100, whole=True), "schedule": Choice(("linear", "cosine")), "denoiser": Choice(("mlp", "resnet"))},
+    "adversarial": {"inner": Range(200, 1500, whole=True), "latent": Range(16, 128, log=True, whole=True), "rate": Range(2e-4, 2e-3, log=True), "pac": Choice((1, 5, 10))},
 }
 
 
@@ -90,27 +91,81 @@ def layer_widths(rng: np.random.Generator) -> list[int]:
     return [first, *[inner] * (n - 2), last]
 
 
-def search(spark: SparkSession, objective, space: dict, trials: int = 20, seed: int = 42, threads: int = 4) -> DataFrame:
-    """Seeded random search, trials in parallel as Spark jobs: number, value, params (json), state, error, ascending.
-    A trial that raises gets the value inf and keeps its error."""
+def _parzen(x: np.ndarray, centres: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Log density at x of equal normals at the centres and one over the whole range."""
+    at = np.append(centres, (low + high) / 2)
+    width = np.append(np.full(len(centres), max((high - low) / min(100, len(centres) + 2), 1e-12)), high - low)
+    z = -0.5 * ((x[:, None] - at) / width) ** 2 - np.log(width)
+    top = z.max(1, keepdims=True)
+    return (top + np.log(np.exp(z - top).mean(1, keepdims=True)))[:, 0]
+
+
+def propose(space: dict, seen: list[tuple[dict, float]], rng: np.random.Generator, candidates: int = 24) -> dict:
+    """Tree-structured Parzen draw: of candidates near the best trials (a tenth, 25 at most), for each parameter the one
+    whose density among them stands highest over that among the others."""
+    order = sorted(range(len(seen)), key=lambda i: (seen[i][1], i))
+    best = set(order[: max(1, min(math.ceil(0.1 * len(order)), 25))])
+    out = {}
+    for name, kind in space.items():
+        good, rest = ([seen[i][0][name] for i in range(len(seen)) if (i in best) == own] for own in (True, False))
+        if isinstance(kind, Choice):
+            share = [np.array([1 + 10 * sum(g == v for g in own) / max(len(own), 1) for v in kind.values]) for own in (good, rest)]
+            share = [w / w.sum() for w in share]
+            drawn = rng.choice(len(kind.values), candidates, p=share[0])
+            out[name] = kind.values[int(drawn[np.argmax((share[0] / share[1])[drawn])])]
+            continue
+        to, back = (np.log, np.exp) if kind.log else (np.asarray, np.asarray)
+        low, high = float(to(kind.low)), float(to(kind.high))
+        centres, others = (np.asarray(to(np.array(v, float))) for v in (good, rest))
+        width = max((high - low) / min(100, len(centres) + 2), 1e-12)
+        pick = rng.integers(0, len(centres) + 1, candidates)
+        x = np.where(pick < len(centres), np.append(centres, 0)[pick] + width * rng.normal(size=candidates), rng.uniform(low, high, candidates)).clip(low, high)
+        value = float(back(x[np.argmax(_parzen(x, centres, low, high) - _parzen(x, others, low, high))]))
+        out[name] = int(round(value)) if kind.whole else value
+    return out
+
+
+def search(spark: SparkSession, objective, space: dict, trials: int = 20, seed: int = 42, threads: int = 4, sampler: str = "random", startup: int = 10, prune: bool = False) -> DataFrame:
+    """A seeded search, trials in parallel as Spark jobs: number, value, params (json), state, error, ascending.
+
+    `random` draws every trial alone; `tpe` does so for `startup` trials, then proposes rounds of `threads` trials from all
+    that earlier rounds found, so its trials depend on the seed and the values, not on which job ends first. A trial that
+    raises, or whose value is no number, gets the value inf and keeps its error. With `prune`, a trial after the first
+    `startup` whose value is above the median of the complete ones of earlier rounds is marked pruned."""
     import json
 
-    drawn = [{k: v.draw(np.random.default_rng([seed, i, j])) for j, (k, v) in enumerate(space.items())} for i in range(trials)]
+    if sampler not in ("random", "tpe"):
+        raise ValueError(f"no sampler {sampler}")
 
-    def run(i: int):
+    def run(i: int, params: dict):
         try:
-            return i, float(objective(drawn[i])), json.dumps(drawn[i]), "complete", None
+            value = float(objective(params))
+            if math.isnan(value):
+                raise ValueError("value is not a number")
+            return i, value, json.dumps(params), "complete", None
         except Exception as e:
-            return i, float("inf"), json.dumps(drawn[i]), "fail", f"{type(e).__name__}: {e}"[:500]
+            return i, float("inf"), json.dumps(params), "fail", f"{type(e).__name__}: {e}"[:500]
 
+    rows, seen, at = [], [], 0
     with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(run, range(trials)))
+        while at < trials:
+            n = min(threads if at >= startup else startup - at, trials - at) if sampler == "tpe" or prune else trials
+            # a whole round is proposed before any of it runs
+            if sampler == "tpe" and at >= startup:
+                drawn = [propose(space, seen, np.random.default_rng([seed, i])) for i in range(at, at + n)]
+            else:
+                drawn = [{k: v.draw(np.random.default_rng([seed, i, j])) for j, (k, v) in enumerate(space.items())} for i in range(at, at + n)]
+            done = list(pool.map(run, range(at, at + n), drawn))
+            complete = [r[1] for r in rows if r[3] == "complete"]
+            if prune and at >= startup and complete:
+                done = [(*r[:3], "pruned", None) if r[3] == "complete" and r[1] > np.median(complete) else r for r in done]
+            rows, seen, at = rows + done, seen + [(p, r[1]) for p, r in zip(drawn, done)], at + n
     return spark.createDataFrame(rows, "number int, value double, params string, state string, error string").orderBy("value", "number")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The trial of least value, of ties the earliest; failed trials have the value inf."""
-    return trials.orderBy("value", "number").limit(1)
+    """The complete trial of least value, of ties the earliest; failed trials have the value inf."""
+    return trials.filter(F.col("state") != "pruned").orderBy("value", "number").limit(1)
 
 
 def compare_models(results: DataFrame, dataset: str, model: str, metric: str) -> DataFrame:

@@ -2,7 +2,7 @@
 the real rows (its size, missing values, range, mean and spread), whose SQL states what must hold.
 
 The fits behind them read a hashed sample of at most this many rows (SURVEY's models learn in memory): bridge and
-categorical solvers 4,000, light 10,000, diffusion and score 8,000. The copula reads all rows.
+categorical solvers 4,000, light 10,000, diffusion and score 8,000, adversarial 10,000, Langevin 2,000. The copula reads all rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabweave.operators import metrics
-from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, ScoreBaseline
+from tabweave.operators.adversarial import AdversarialBaseline
+from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, LangevinBaseline, ScoreBaseline
 from tabweave.operators.schema import TabularSchema
 from tabweave.operators.solvers import CategoricalSolver, IpfSolver, learn_structure, solver
 from tabweave.operators.transforms import IntegerCode, StandardScaler
@@ -89,6 +90,25 @@ def score_generate(spark, d):
     return ScoreBaseline(COLS, inner=600).fit(scaled_lines(spark, d), "row_key").sample(spark, N, 7)
 
 
+def ddpm_resnet_generate(spark, d):
+    df, states = _mixed(spark, d)
+    return DiffusionBaseline(["o_totalprice", *states], states, inner=600, denoiser="resnet").fit(df, "o_orderkey").sample(spark, N, 7)
+
+
+def adversarial_generate(spark, d):
+    return AdversarialBaseline(COLS, ["l_discount"]).fit(scaled_lines(spark, d), "row_key").sample(spark, N, 7)
+
+
+def langevin_generate(spark, d):
+    return LangevinBaseline(COLS).fit(scaled_lines(spark, d), "row_key").sample(spark, N, 7)
+
+
+def langevin_class_generate(spark, d):
+    """Rows of a class each: the classes seen, none between them."""
+    df, states = _mixed(spark, d)
+    return LangevinBaseline(["o_totalprice", "o_orderstatus"], "o_orderstatus", "classification").fit(df, "o_orderkey").sample(spark, N, 7)
+
+
 def light_generate_quality(spark, d):
     """Distance of the generated rows from the real ones, by column."""
     real = scaled_lines(spark, d)
@@ -118,6 +138,10 @@ QUERIES = {
         copula_generate,
         ddpm_generate,
         score_generate,
+        ddpm_resnet_generate,
+        adversarial_generate,
+        langevin_generate,
+        langevin_class_generate,
         light_generate_quality,
     )
 }
@@ -146,10 +170,11 @@ def _summary(name: str, real, cols: list[str], states=()):
 
 _categories = lambda *cols: (lambda spark, d: _mixed(spark, d)[0].select(*[F.col(c).cast("double") for c in cols]))
 _CODES = ("o_orderpriority", "o_orderstatus")
-_SUMMARIES = [_summary(n, scaled_lines, COLS) for n in QUERIES if n.endswith("_generate") and "structural" not in n and n not in ("categorical_generate", "mixed_generate", "ddpm_generate")]
+_SUMMARIES = [_summary(n, scaled_lines, COLS) for n in QUERIES if n.endswith("_generate") and "structural" not in n and n not in ("categorical_generate", "mixed_generate", "ddpm_generate", "ddpm_resnet_generate", "langevin_class_generate")]
 _SUMMARIES += [_summary(f"ipf_{t}_structural_generate", dependent_lines, DEPENDENT) for t in ("discrete", "continuous")]
 _SUMMARIES += [_summary("categorical_generate", _categories(*_CODES), list(_CODES), _CODES)]
-_SUMMARIES += [_summary(n, _categories("o_totalprice", *_CODES), ["o_totalprice", *_CODES], _CODES) for n in ("mixed_generate", "ddpm_generate")]
+_SUMMARIES += [_summary(n, _categories("o_totalprice", *_CODES), ["o_totalprice", *_CODES], _CODES) for n in ("mixed_generate", "ddpm_generate", "ddpm_resnet_generate")]
+_SUMMARIES += [_summary("langevin_class_generate", _categories("o_totalprice", "o_orderstatus"), ["o_totalprice", "o_orderstatus"], ("o_orderstatus",))]
 
 
 def kfold_metrics(spark, d):
@@ -173,6 +198,15 @@ def tuning_study(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("number").alias("numbers"), F.bool_and(failed == (F.col("value") == float("inf"))).alias("failures_are_last"), F.bool_and(failed == F.col("error").isNotNull()).alias("errors_kept"), (F.min("value") <= 0.1).alias("near"))
 
 
+def tuning_study_tpe(spark, d):
+    """A study of 40 trials by the Parzen sampler with pruning: complete, as seeded, and near the goal."""
+    goal = table(spark, d, "supplier").agg(F.avg("s_acctbal")).collect()[0][0]
+    space = {"level": evaluation.Range(0.0, 10_000.0), "kind": evaluation.Choice(("good", "poor"))}
+    out = evaluation.search(spark, lambda p: abs(p["level"] - goal) / 1e4 + (p["kind"] == "poor"), space, 40, 5, sampler="tpe", prune=True)
+    best = evaluation.best_trial(out).select(F.col("value").alias("least"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("number").alias("numbers"), F.bool_and(F.col("state").isin("complete", "pruned")).alias("all_ran")).join(F.broadcast(best), F.lit(True)).select("n", "numbers", "all_ran", (F.col("least") <= 0.05).alias("near"))
+
+
 def utility_of_copy(spark, d):
     """Utility of a copy of the train rows: both regressors are the same, so their R2 don't differ."""
     p = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * 2 + F.col("p_size")).alias("y"))
@@ -181,13 +215,14 @@ def utility_of_copy(spark, d):
     return spark.createDataFrame([(out["r2_real"] == out["r2_synth"], out["delta_r2_percent"], out["r2_real"] > 0.8)], "same boolean, delta double, learned boolean")
 
 
-QUERIES |= {q.__name__: q for q in (*_SUMMARIES, kfold_metrics, tuning_study, utility_of_copy)}
+QUERIES |= {q.__name__: q for q in (*_SUMMARIES, kfold_metrics, tuning_study, tuning_study_tpe, utility_of_copy)}
 _fits = lambda cols: " UNION ALL ".join(f"SELECT '{c}' AS col, {N}::bigint AS n, 0::bigint AS missing, true AS in_range, true AS mean_fits, true AS spread_fits" for c in cols)
 ORACLES: dict[str, str] = {q.__name__: _fits(COLS) for q in _SUMMARIES}
 ORACLES |= {f"ipf_{t}_structural_summary": _fits(DEPENDENT) for t in ("discrete", "continuous")}
-ORACLES |= {"categorical_summary": _fits(_CODES), "mixed_summary": _fits(("o_totalprice", *_CODES)), "ddpm_summary": _fits(("o_totalprice", *_CODES))}
+ORACLES |= {"categorical_summary": _fits(_CODES), "mixed_summary": _fits(("o_totalprice", *_CODES)), "ddpm_summary": _fits(("o_totalprice", *_CODES)), "ddpm_resnet_summary": _fits(("o_totalprice", *_CODES)), "langevin_class_summary": _fits(("o_totalprice", "o_orderstatus"))}
 ORACLES |= {
     "kfold_metrics": "SELECT 'parts' AS dataset, f AS fold, (SELECT count(*) FROM p) - count(*) AS n_train, count(*) AS n_test, true AS wd_near, true AS kl_near, true AS corr_near FROM (SELECT (ntile(3) OVER (ORDER BY md5('42|' || p_partkey), p_partkey) - 1)::int AS f FROM part) GROUP BY f".replace("(SELECT count(*) FROM p)", "(SELECT count(*) FROM part)"),
     "tuning_study": "SELECT 24::bigint AS n, 24::bigint AS numbers, true AS failures_are_last, true AS errors_kept, true AS near",
+    "tuning_study_tpe": "SELECT 40::bigint AS n, 40::bigint AS numbers, true AS all_ran, true AS near",
     "utility_of_copy": "SELECT true AS same, 0.0::double AS delta, true AS learned",
 }

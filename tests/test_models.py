@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.rand import normal
 from tabweave.operators import fields
-from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, ScoreBaseline, snap_to
+from tabweave.operators.adversarial import AdversarialBaseline, Critic, modes_of
+from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, LangevinBaseline, ScoreBaseline, snap_to
 from tabweave.operators.schema import TabularSchema
 from tabweave.operators.solvers import CategoricalSolver, ImfSolver, IpfSolver, LightSolver, learn_structure, solver, topological
 from tabweave.operators.transforms import StandardScaler
@@ -160,3 +161,70 @@ def test_row_helpers(spark):
     out = rows.reattach_ids(spark.range(5).withColumnRenamed("id", "row_id"), "row_id", ids, "key", 1)
     assert out.count() == 5 and {r.key for r in out.collect()} <= {10, 11}
     assert rows.restore_order(df.select("x", "id"), ["id"]).columns == ["id", "x"]
+
+
+def _slope(f, p):
+    out = np.zeros_like(p)
+    for i in np.ndindex(p.shape):
+        kept = p[i]
+        p[i] = kept + 1e-6
+        high = f()
+        p[i] = kept - 1e-6
+        out[i], p[i] = (high - f()) / 2e-6, kept
+    return out
+
+
+def test_gradients_of_residual_net_and_critic():
+    rng = np.random.default_rng(0)
+    net, x, t = fields.ResNet(3, 5, 2, 2), rng.normal(size=(7, 3)), rng.normal(size=(7, 2))
+    out, kept = net.forward(x)
+    for p, g in zip([p for q in zip(net.w, net.b) for p in q], net.backward(kept, 2 * (out - t))):
+        assert np.allclose(g, _slope(lambda: ((net.forward(x)[0] - t) ** 2).sum(), p), atol=1e-5)
+    critic, x = Critic([4, 6, 5, 1], 1), rng.normal(size=(9, 4))
+    for p, g in zip([p for q in zip(critic.w, critic.b) for p in q], critic.penalty(x)[1]):
+        assert np.allclose(g, _slope(lambda: critic.penalty(x)[0], p), atol=1e-5)
+
+
+def test_modes():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(-3, 0.3, 2000), rng.normal(4, 0.5, 1000)])
+    share, mean, _ = modes_of(x, 2)
+    assert np.allclose(np.sort(mean), [-3, 4], atol=0.1) and np.allclose(np.sort(share), [1 / 3, 2 / 3], atol=0.02)
+    assert len(modes_of(np.full(5, 2.0))[1]) == 1
+
+
+def test_adversarial_and_langevin(spark):
+    rng = np.random.default_rng(2)
+    a, d = rng.normal(size=1500), rng.choice([0.0, 1.0, 2.0], 1500, p=[0.6, 0.3, 0.1])
+    df = spark.createDataFrame([(i, float(p + 2 * q), float(q)) for i, (p, q) in enumerate(zip(a, d))], "id long, a double, d double")
+    for model in (AdversarialBaseline(["a", "d"], ["d"], inner=600), LangevinBaseline(["a", "d"], "d", "classification")):
+        fitted = model.fit(df, "id")
+        out = fitted.sample(spark, 600, 3).orderBy("row_id").toPandas()
+        assert set(out["d"]) <= {0.0, 1.0, 2.0} and len(set(out["d"])) == 3
+        assert abs(out["d"].mean() - 0.5) < 0.15 and np.corrcoef(out["a"], out["d"])[0, 1] > 0.4
+        assert (fitted.sample(spark, 300, 3).orderBy("row_id").toPandas() == out.head(300)).all(None)
+        with pytest.raises(ValueError):
+            model.fit(df.limit(0), "id")
+
+
+def test_constant_column(spark):
+    df = spark.range(50).selectExpr("id", "2.0D as a", "1.0D as d")
+    for model in (AdversarialBaseline(["a", "d"], ["d"], inner=5), LangevinBaseline(["a", "d"])):
+        out = model.fit(df, "id").sample(spark, 20, 1).toPandas()
+        assert np.allclose(out["a"], 2, atol=0.05) and np.allclose(out["d"], 1, atol=0.05)
+
+
+def test_parzen_search(spark):
+    space = {"x": evaluation.Range(1e-3, 10.0, log=True), "n": evaluation.Range(1, 9, whole=True), "k": evaluation.Choice(("a", "b"))}
+    goal = lambda p: abs(np.log(p["x"] / 0.5)) + abs(p["n"] - 4) / 4 + (p["k"] == "a")
+    runs = [evaluation.search(spark, goal, space, 40, seed, sampler="tpe").collect() for seed in range(3)]
+    plain = [evaluation.search(spark, goal, space, 40, seed).collect() for seed in range(3)]
+    late = lambda rows: np.mean([r["value"] for r in rows if r["number"] >= 10])
+    assert all(late(a) < late(b) for a, b in zip(runs, plain))
+    assert runs[0] == evaluation.search(spark, goal, space, 40, 0, sampler="tpe").collect()
+    pruned = evaluation.search(spark, goal, space, 30, 1, sampler="tpe", prune=True)
+    assert evaluation.best_trial(pruned).collect()[0]["state"] == "complete"
+    nan = evaluation.search(spark, lambda p: float("nan"), space, 12, 1, sampler="tpe").collect()
+    assert len(nan) == 12 and {r["state"] for r in nan} == {"fail"}
+    with pytest.raises(ValueError):
+        evaluation.search(spark, goal, space, 3, sampler="grid")
