@@ -23,6 +23,7 @@ from tabweave.operators.fields import MLP, bounded_matrix, fit_jobs, make_field,
 from tabweave.operators.process import CategoricalReference, TimeGrid
 
 NOISE_BLOCK = 256
+SAMPLE_BLOCK = 4 * NOISE_BLOCK
 
 
 class Solver(ABC):
@@ -38,18 +39,21 @@ class Solver(ABC):
         """Rows for the given row ids; a row depends on (seed, its id) alone."""
 
     def sample(self, spark: SparkSession, n: int, seed: int) -> DataFrame:
+        """n rows, numbered from 0. Tasks make whole blocks of rows: the last bits of a matrix product depend on how many
+        rows it has, so a row would otherwise differ with the partition it is made in."""
         shared = spark.sparkContext.broadcast(self)
         names = self.cols
 
         def run(batches):
             own = shared.value
             for batch in batches:
-                ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-                x = own.generate(ids, seed)
-                yield pa.RecordBatch.from_pydict({"row_id": pa.array(ids, pa.int64())} | {c: pa.array(x[:, j].astype(float)) for j, c in enumerate(names)})
+                for b in batch.column("id").to_pylist():
+                    ids = np.arange(b * SAMPLE_BLOCK, (b + 1) * SAMPLE_BLOCK)
+                    x = own.generate(ids, seed)[: n - b * SAMPLE_BLOCK]
+                    yield pa.RecordBatch.from_pydict({"row_id": pa.array(ids[: len(x)], pa.int64())} | {c: pa.array(x[:, j].astype(float)) for j, c in enumerate(names)})
 
         schema = "row_id bigint, " + ", ".join(f"`{c}` double" for c in names)
-        return spark.range(n).withColumnRenamed("id", "row_id").mapInArrow(run, schema)
+        return spark.range(-(-n // SAMPLE_BLOCK)).mapInArrow(run, schema)
 
 
 def keyed_normals(ids: np.ndarray, seed: int, shape: tuple[int, ...]) -> np.ndarray:

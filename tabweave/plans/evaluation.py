@@ -164,8 +164,10 @@ def search(spark: SparkSession, objective, space: dict, trials: int = 20, seed:
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The complete trial of least value, of ties the earliest; failed trials have the value inf."""
-    return trials.filter(F.col("state") != "pruned").orderBy("value", "number").limit(1)
+    """The complete trial of least value, of ties the earliest; failed trials have the value inf. A table
+    without states has no pruned trials."""
+    own = trials.filter(F.col("state") != "pruned") if "state" in trials.columns else trials
+    return own.orderBy("value", "number").limit(1)
 
 
 def compare_models(results: DataFrame, dataset: str, model: str, metric: str) -> DataFrame:
