@@ -425,10 +425,12 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
     nodes = sketched.groupBy("digest").agg(keep, F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words")).alias("held"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "keep", "copies", "held.*"), "near-nodes")
-    shared = nodes.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
+    shared = nodes.select(F.explode("keys").alias("key"), "node", F.col("n_words").cast("int").alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # two texts that meet by chance mostly differ in length beyond any link: their key goes before anything is joined by it
+    may_link_ = (F.col("size") > 2) | (F.col("most") - F.col("least") <= F.floor((1 - p.similarity) * F.col("most") + 1e-9))
     discard(sketched)
     release_shuffles(spark)
-    shared = stored(shared.filter("size > 1"), "near-shared")
+    shared = stored(shared.filter((F.col("size") > 1) & may_link_).select("key", "size", "lead"), "near-shared")
     held_by_two = BloomFilter(shared, "key", shared.count()).tester()
 
     def members_of(batches):
