@@ -23,17 +23,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.arrays import mix, ragged, release, segment_hashes
 from tabweave.llm.bloom import BloomFilter
-from tabweave.llm.shared import bounded_batches, discard, stored
-from tabweave.llm.wordbytes import SLICE_BYTES, byte_table, word_slices
+from tabweave.llm.shared import bounded_batches, stored
+from tabweave.llm.wordbytes import byte_table, word_slices
 
 #: White space between words, and what ends a piece (fixed values).
 GAP, BREAK = " \t", ".,;:!?\n\x0b\x0c\r"
 SCALE = 1_000_000
+SHARD_BYTES = 4_000_000
 SALTS = 256
 
 
@@ -165,7 +166,7 @@ def _shards(batches, most: int):
 
 
 def _counts(docs: DataFrame, length: int, filters: dict[int, BloomFilter], shard_bytes: int) -> DataFrame:
-    """Counts of the phrases of `length` words in each shard: lang, phrase, n, key; at length 1 also a row without phrase,
+    """Counts of the phrases of `length` words in each shard: lang, phrase, n; at length 1 also a row without phrase,
     the number of all words."""
     tests = {k: f.tester() for k, f in filters.items()}
     gap, cut = byte_table(GAP), byte_table(BREAK)
@@ -192,37 +193,54 @@ def _counts(docs: DataFrame, length: int, filters: dict[int, BloomFilter], shard
                     phrases = np.concatenate([p for p, _ in found]) if found else np.zeros((0, length), np.int64)
                     counts = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
                     text = pc.binary_join_element_wise(*[names.take(pa.array(phrases[:, k])) for k in range(length)], pa.scalar(" ", pa.large_string()))
-                out = pa.table({"lang": pa.array([lang] * len(counts), pa.string()), "phrase": text.cast(pa.string()), "n": pa.array(counts, pa.int64()), "key": pa.array(phrase_keys(phrases, hashes, lang))})
+                out = pa.table({"lang": pa.array([lang] * len(counts), pa.string()), "phrase": text.cast(pa.string()), "n": pa.array(counts, pa.int64())})
                 yield from out.to_batches(max_chunksize=20_000)
                 if length == 1:
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": pa.array([None], pa.string()), "n": pa.array([len(ids)], pa.int64()), "key": pa.array([None], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": pa.array([None], pa.string()), "n": pa.array([len(ids)], pa.int64())})
         release()
 
-    return docs.mapInArrow(run, "lang string, phrase string, n bigint, key bigint")
+    return docs.mapInArrow(run, "lang string, phrase string, n bigint")
 
 
-def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shard_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
+def _keyed(level: DataFrame, length: int) -> DataFrame:
+    """The keys of a level's phrases."""
+
+    def run(batches):
+        for b in batches:
+            words = pc.split_pattern(b.column("phrase").cast(pa.large_string()), " ").flatten()
+            ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+            hashes = segment_hashes(np.frombuffer(words.buffers()[2], np.uint8), ends[:-1], ends[1:]) if len(words) else np.zeros(0, np.uint64)
+            phrases, key = np.arange(len(words)).reshape(-1, length), np.zeros(b.num_rows, np.int64)
+            for lang in b.column("lang").unique().to_pylist():
+                own = pc.equal(b.column("lang"), lang).to_numpy(zero_copy_only=False)
+                key[own] = phrase_keys(phrases[own], hashes, lang)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key)})
+
+    return level.select("lang", "phrase").mapInArrow(run, "key bigint")
+
+
+def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases of 1 to `longest` words with a count of `least` or more: lang, phrase, words, f; all words of each
     language: lang, n). Stored."""
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     levels, filters, totals = [], {}, None
     for length in range(1, longest + 1):
-        summed = _counts(chosen, length, filters, shard_bytes).groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("key").alias("key"))
+        summed = _counts(chosen, length, filters, shard_bytes).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         level = stored(summed.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases{length}")
         if length == 1:
             totals = level.filter("phrase is null").select("lang", F.col("f").alias("n"))
             level = level.filter("phrase is not null")
         levels.append(level.select("lang", "phrase", F.lit(length).alias("words"), "f"))
         if length < longest:
-            filters[length] = BloomFilter(level, "key", level.count())
+            filters[length] = BloomFilter(_keyed(level, length), "key", level.count())
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     return out, totals
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, inside: int = 50, top: int = 2000, shard_bytes: int = SLICE_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, inside: int = 50, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The first `top` phrases of 2 to `longest` words of each language: lang, rank, phrase, a, l, r, n, score. A phrase inside a
     longer one of at least `inside` percent of its count is left out."""
     phrases, totals = frequent_phrases(docs, lang_col, text_col, least, longest, shard_bytes)
@@ -242,8 +260,6 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     most = held.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     alone = best.join(most, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.lit(100).cast("decimal(3,0)") * wide("longer") < F.lit(inside).cast("decimal(3,0)") * wide("a")))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    from pyspark.sql import Window
-
     # first by salt, so that no task ranks a whole language
     salted = alone.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     few = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= top)
