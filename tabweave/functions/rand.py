@@ -33,3 +33,20 @@ def normal(tag: str, *ids: Column | str | int) -> Column:
 def generator(seed: int, *keys: int) -> np.random.Generator:
     """A counter-based generator for pandas stages, keyed by seed and row or group."""
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *[int(k) & 0xFFFFFFFFFFFF for k in keys]])))
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_normals(keys: np.ndarray, seed: int, tag: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Standard normals of a shape for each 64-bit key, a function of (seed, tag, key) alone; whole arrays at once."""
+    n = int(np.prod(shape))
+    with np.errstate(over="ignore"):
+        start = _scrambled(np.array([seed * 1_000_003 + tag], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        own = _scrambled(keys.astype(np.int64).view(np.uint64) ^ start)[:, None]
+        steps = np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        u = ((_scrambled(own + steps) >> np.uint64(12)).astype(float) + 0.5) / SPAN
+    return (np.sqrt(-2 * np.log(u[:, :n])) * np.cos(2 * math.pi * u[:, n:])).reshape(len(keys), *shape)

@@ -1,4 +1,4 @@
-"""Learned fields: regressors from states to drifts, in NumPy, fitted in Spark tasks and shipped as small arrays."""
+"""Learned fields: regressors from states to drifts, in NumPy. training, boosting and stages fit them over whole tables."""
 
 from __future__ import annotations
 
@@ -109,7 +109,7 @@ class TreeField:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         codes = self._codes(x)
-        return np.stack([self.base[d] + self.rate * sum(self._value(t, codes) for t in own) for d, own in enumerate(self.model)], axis=1)
+        return np.stack([self.base[d] + self.rate * sum((self._value(t, codes) for t in own), np.zeros(len(codes))) for d, own in enumerate(self.model)], axis=1)
 
 
 class Adam:
@@ -139,6 +139,17 @@ class MLP:
         self.w = [rng.normal(0, np.sqrt(1 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
         self.b = [np.zeros(b) for b in sizes[1:]]
 
+    def params(self) -> list[np.ndarray]:
+        """Weights and biases in the order of backward()."""
+        return [p for pair in zip(self.w, self.b) for p in pair]
+
+    @classmethod
+    def of(cls, params: list[np.ndarray]) -> MLP:
+        """A network over these weights."""
+        net = cls.__new__(cls)
+        net.w, net.b = list(params[::2]), list(params[1::2])
+        return net
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
         kept = []
         for i, (w, b) in enumerate(zip(self.w, self.b)):
@@ -161,7 +172,7 @@ class MLP:
     def train(self, batches, loss_gradient, rate: float = 2e-3, decay: float = 1e-4, clip: float = 1.0, anneal_over: int | None = None, average: float | None = None) -> None:
         """batches: (x, extra) pairs; loss_gradient(out, extra) gives d loss / d out. The rate falls linearly to 0 over
         `anneal_over` steps; with `average`, the weights end as their moving average of that decay (less of it early)."""
-        params = [p for pair in zip(self.w, self.b) for p in pair]
+        params = self.params()
         adam, mean = Adam(params, rate, decay, clip), [p.copy() for p in params] if average else []
         for step, (x, extra) in enumerate(batches):
             out, kept = self.forward(x)
@@ -249,28 +260,6 @@ def make_field(kind: str, **params):
     return KINDS[kind](**params)
 
 
-def fit_jobs(spark, jobs: list, work) -> list:
-    """work(job) for every job, in parallel Spark tasks; results come back in order. Jobs share what work closes over.
-
-    What is shipped and what returns is bounded by the sample and the model, not by the table.
-    """
-    import pickle
-
-    from pyspark import cloudpickle
-
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((jobs, work)))
-
-    def run(batches):
-        for batch in batches:
-            own, do = pickle.loads(shared.value)
-            for i in batch.column("id").to_pylist():
-                yield pa.RecordBatch.from_pydict({"id": [i], "out": pa.array([pickle.dumps(do(own[i]))], pa.binary())})
-
-    n = len(jobs)
-    rows = spark.range(0, n, 1, n).mapInArrow(run, "id bigint, out binary").collect() if n else []
-    return [pickle.loads(bytes(r["out"])) for r in sorted(rows, key=lambda r: r["id"])]
-
-
 def bounded_matrix(df: DataFrame, id_col: str, cols: list[str], most: int, seed: int | str = 0) -> np.ndarray:
     """A training matrix of at most about `most` rows, chosen by a hash of the id, ordered by it."""
     from pyspark.sql import functions as F

@@ -187,6 +187,56 @@ def ordered_matrix(states: int, alpha: float, k: int, widen_from: int = 30) -> n
     return np.linalg.matrix_power(q, k) if k < widen_from else q
 
 
+@dataclass(frozen=True)
+class CategoricalColumn:
+    """What the categorical losses read of one column: its kernel, an array of logits, the true end and the state."""
+
+    reference: CategoricalReference
+    logits: Column
+    true: Column
+    state: Column
+
+
+def bound_once(value: Column, use) -> Column:
+    """use(value), where an expensive value is computed once however often it is used (as the variable of a lambda)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def csbm_terms(column: CategoricalColumn, n: Column, direction: str) -> tuple[Column, Column]:
+    """(KL of the bridge's step against the model's, cross entropy of the end) of a row. Forward steps go to the state at n + 1
+    and the logits are of the last state, backward ones to n - 1 and of the first."""
+    if direction not in ("forward", "backward"):
+        raise ValueError("direction must be forward or backward")
+    ref, forward = column.reference, direction == "forward"
+
+    def divergence(model: Column, target: Column) -> Column:
+        each = F.zip_with(target, model, lambda t, m: F.when(t > 0, t * (F.ln(t) - F.ln(m + F.lit(1e-12)))).otherwise(F.lit(0.0)))
+        return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+
+    target = ref.next_given_prev(column.state, column.true, n) if forward else ref.prev_given_next(column.true, column.state, n)
+    model = bound_once(column.logits, lambda g: bound_once(F.transform(g, lambda x: F.exp(x - F.array_max(g))), lambda e: bound_once(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))))
+    step = bound_once(model, lambda p: ref.model_next(column.state, p, n) if forward else ref.model_prev(column.state, p, n))
+    kl = bound_once(step, lambda m: divergence(m, target))
+    log_sum = bound_once(F.array_max(column.logits), lambda top: top + F.ln(F.aggregate(column.logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
+    return kl, log_sum - F.element_at(column.logits, column.true + 1)
+
+
+def csbm_loss(df: DataFrame, columns: list[CategoricalColumn], n: Column, direction: str, weight: float = 0.001) -> DataFrame:
+    """loss: mean KL plus `weight` times mean cross entropy, over all rows and columns, in one aggregate."""
+    kl, ce = zip(*(csbm_terms(c, n, direction) for c in columns))
+    mean = lambda terms: sum((F.avg(t) for t in terms[1:]), F.avg(terms[0])) / F.lit(float(len(terms)))
+    return df.agg((mean(kl) + F.lit(weight) * mean(ce)).alias("loss"))
+
+
+def mixed_loss(df: DataFrame, numeric: list[tuple[str, str]], columns: list[CategoricalColumn], n: Column, direction: str, numeric_share: float = 0.5, categorical_share: float = 0.5, weight: float = 0.001) -> DataFrame:
+    """loss: numeric_share times the mean squared error of the (prediction, target) pairs, plus categorical_share times the
+    categorical loss over the number of categorical columns; one aggregate."""
+    off = [F.pow(F.col(p).cast("double") - F.col(y).cast("double"), 2) for p, y in numeric]
+    kl, ce = zip(*(csbm_terms(c, n, direction) for c in columns))
+    total = lambda terms: sum((F.avg(t) for t in terms[1:]), F.avg(terms[0])) / F.lit(float(len(terms)))
+    return df.agg((F.lit(numeric_share) * total(off) + F.lit(categorical_share / len(columns)) * (total(kl) + F.lit(weight) * total(ce))).alias("loss"))
+
+
 @dataclass(frozen=True)
 class CategoricalReference:
     """All powers 0 .. steps of one column's kernel."""
@@ -311,6 +361,44 @@ class LightPotential:
         return out.withColumns({f"y_{c}": pick(self.r, j) + pick(self.s, j) * x[j] + F.sqrt(F.lit(self.eps) * pick(self.s, j)) * normal(f"plan{seed}:{j}", F.col(id_col)) for j, c in enumerate(cols)})
 
 
+@dataclass(frozen=True)
+class FullLightPotential(LightPotential):
+    """The same mixture with full covariances: s holds symmetric positive definite matrices (K, D, D)."""
+
+    s: tuple[tuple[tuple[float, ...], ...], ...]
+
+    def c_terms(self, x: list[Column]) -> list[Column]:
+        out, dims = [], range(len(x))
+        for a, r, s in zip(self.log_alpha, self.r, self.s):
+            square = [F.lit(float(s[i][j])) * x[i] * x[j] for i in dims for j in dims]
+            terms = square + [F.lit(2.0 * r[j]) * x[j] for j in dims]
+            out.append(F.lit(a) + sum(terms[1:], terms[0]) / F.lit(2 * self.eps))
+        return out
+
+    def log_v(self, x: list[Column]) -> Column:
+        out, dims = [], range(len(x))
+        for a, r, s in zip(self.log_alpha, self.r, self.s):
+            inverse = np.linalg.inv(self.eps * np.array(s))
+            log_det = float(np.linalg.slogdet(2 * np.pi * self.eps * np.array(s))[1])
+            off = [xj - F.lit(float(rj)) for xj, rj in zip(x, r)]
+            terms = [F.lit(float(inverse[i, j])) * off[i] * off[j] for i in dims for j in dims]
+            out.append(F.lit(a) - F.lit(0.5) * (sum(terms[1:], terms[0]) + F.lit(log_det)))
+        return self._sum(out)
+
+    def plan_sample(self, df: DataFrame, id_col: str, cols: list[str], seed: str | int) -> DataFrame:
+        """df with y_<col>: a draw of the other end for each row, correlated by the Cholesky factor of its component."""
+        x = [F.col(c).cast("double") for c in cols]
+        out = df.withColumn("component", draw(softmax(F.array(*self.c_terms(x))), uniform(f"plan{seed}", F.col(id_col))))
+        factors = [np.linalg.cholesky(self.eps * np.array(s)) for s in self.s]
+        pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("component") + 1)
+        noise = [normal(f"plan{seed}:{j}", F.col(id_col)) for j in range(len(cols))]
+        ends = {}
+        for i, c in enumerate(cols):
+            terms = [pick([r[i] for r in self.r])] + [pick([s[i][j] for s in self.s]) * x[j] for j in range(len(cols))] + [pick([f[i, j] for f in factors]) * noise[j] for j in range(i + 1)]
+            ends[f"y_{c}"] = sum(terms[1:], terms[0])
+        return out.withColumns(ends)
+
+
 # Diffusion schedules of the baselines
 
 

@@ -1,7 +1,8 @@
 """Bridge solvers: fit(df) learns fields, sample(n, seed) makes rows by integrating them in Spark tasks.
 
-Fields learn from a bounded sample of rows (chosen by a hash of the id). Fits that don't depend on each other (steps,
-features) run as parallel tasks. Sampling is map-only: noise is keyed by (seed, row), so it doesn't depend on how
+The bridge solvers and the light one learn from all rows, in stages that are stored (couplings, training rows, paths); fits that
+don't depend on each other (steps, features) share a job. The categorical solver still learns from a bounded sample
+of rows (chosen by a hash of the id). Sampling is map-only: noise is keyed by (seed, row), so it doesn't depend on how
 rows are partitioned, and a table of any size can be generated.
 """
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.functions.rand import generator
+from tabweave.functions.rand import generator, hashed_normals, normal, uniform
 from tabweave.operators import metrics
-from tabweave.operators.fields import MLP, bounded_matrix, fit_jobs, make_field, minibatches, time_features
-from tabweave.operators.process import CategoricalReference, TimeGrid
+from tabweave.operators.fields import MLP, bounded_matrix, minibatches, time_features
+from tabweave.operators.process import CategoricalReference, TimeGrid, bridge_point, bridge_target
+from tabweave.operators.stages import dropped, fit_groups, matrix, spread, stored
+from tabweave.operators.training import TrainingTable, train
 
 NOISE_BLOCK = 256
 SAMPLE_BLOCK = 4 * NOISE_BLOCK
@@ -81,14 +84,15 @@ class ImfSolver(Solver):
     first: str = "ind"
     order: tuple[str, ...] | None = None
     context: dict[str, list[str]] | None = None
-    train_rows: int = 4000
-    tuples_per_row: int = 3
+    tuples_per_row: int = 1
     seed: int = 0
     noise: bool = True
     params: dict = field(default_factory=dict)
     fields: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if self.kind == "linear" and self.time != "discrete":
+            raise ValueError("linear fields are of discrete time")
         if self.structure == "featurewise":
             order = list(self.order or self.cols)
             if sorted(order) != sorted(self.cols):
@@ -111,27 +115,47 @@ class ImfSolver(Solver):
     def times(self) -> np.ndarray:
         return np.clip((np.arange(self.steps) + 0.5) / self.steps, 1e-3, 1 - 1e-3)
 
-    def _train(self, spark: SparkSession, z0: np.ndarray, z1: np.ndarray, direction: str, salt: int) -> dict:
-        jobs = [(m, k) for m in range(len(self._plan())) for k in (range(self.steps) if self.time == "discrete" else [None])]
-        plan, times, sigma, kind, params, reps, seed = self._plan(), self.times(), self.sigma, self.kind, self.params, self.tuples_per_row, self.seed
-
-        def work(job):
-            m, k = job
-            out, ctx = plan[m]
-            rng = generator(seed, salt, m, -1 if k is None else k)
-            a, b = np.repeat(z0[:, out], reps, 0), np.repeat(z1[:, out], reps, 0)
-            t = rng.uniform(1e-3, 1 - 1e-3, (len(a), 1)) if k is None else np.full((len(a), 1), times[k])
-            e = rng.normal(size=a.shape)
-            x = (1 - t) * a + t * b + sigma * np.sqrt(t * (1 - t)) * e
-            y = b - a - sigma * np.sqrt(t / (1 - t)) * e if direction == "f" else a - b - sigma * np.sqrt((1 - t) / t) * e
-            # near the ends the noise term is unbounded; its weight there is that of one step
-            w = np.sqrt((1 - t) if direction == "f" else t)
-            keep = (w > 1 / (4 * len(times)) ** 0.5).ravel()
-            known = np.repeat((z1 if direction == "f" else z0)[:, ctx], reps, 0)
-            parts = [x, known] + ([t, time_features(t, 8)] if kind == "mlp" and k is None else [t] if k is None else [])
-            return make_field(kind, **params).fit(np.concatenate(parts, 1)[keep], y[keep])
-
-        return dict(zip(jobs, fit_jobs(spark, jobs, work)))
+    def _tag(self, what: str) -> str:
+        return f"imf{self.seed}:{what}"
+
+    def _inputs(self, t: np.ndarray) -> list[np.ndarray]:
+        """What a field over continuous time sees of it."""
+        return [] if self.time == "discrete" else [t, time_features(t, 8)] if self.kind == "mlp" else [t]
+
+    def training_rows(self, coupling: DataFrame, direction: str, salt: int, m: int) -> DataFrame:
+        """The rows that model m learns from: bridge points and targets of every coupled pair, `tuples_per_row` at each step (or at
+        as many drawn times)."""
+        out, ctx = self._plan()[m]
+        key, last = F.col("id"), len(self.times()) if self.time == "discrete" else 1
+        draws = coupling.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(self.tuples_per_row - 1)))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(last - 1))))
+        ids = (key, F.col("g"), F.col("rep"))
+        if self.time == "discrete":
+            t = F.element_at(F.array(*[F.lit(float(x)) for x in self.times()]), F.col("g") + 1)
+        else:
+            t = F.lit(1e-3) + F.lit(1 - 2e-3) * uniform(self._tag(f"t{salt}:{m}"), *ids)
+        rows = draws.withColumn("t", t)
+        # near the ends the noise term is unbounded; its weight there is that of one step
+        rows = rows.filter((1 - F.col("t") if direction == "f" else F.col("t")) > 1 / (4 * self.steps))
+        sides, at = {}, F.col("t")
+        for i, j in enumerate(out):
+            e = normal(self._tag(f"e{salt}:{j}"), *ids)
+            sides |= {f"x{i}": bridge_point(F.col(f"a{j}"), F.col(f"b{j}"), at, self.sigma, e), f"y{i}": bridge_target(F.col(f"a{j}"), F.col(f"b{j}"), at, self.sigma, e, direction)}
+        known = {f"x{len(out) + i}": F.col(f"{'b' if direction == 'f' else 'a'}{j}") for i, j in enumerate(ctx)}
+        times = {}
+        if self.time == "continuous":
+            n = len(out) + len(ctx)
+            half = [float(np.exp(-np.log(10_000.0) * i / 4)) * 1000 for i in range(4)] if self.kind == "mlp" else []
+            times = {f"x{n}": at} | {f"x{n + 1 + i}": F.cos(at * f) for i, f in enumerate(half)} | {f"x{n + 5 + i}": F.sin(at * f) for i, f in enumerate(half)}
+        return rows.select("g", F.concat_ws("|", *ids).alias("id"), *[c.alias(n) for n, c in {**sides, **known, **times}.items()])
+
+    def _train(self, coupling: DataFrame, direction: str, salt: int) -> dict:
+        groups, found = list(range(self.steps)) if self.time == "discrete" else [0], {}
+        for m in range(len(self._plan())):
+            rows = stored(self.training_rows(coupling, direction, salt, m), "imf-rows")
+            for g, own in fit_groups(rows, groups, self.kind, self.params).items():
+                found[m, g if self.time == "discrete" else None] = own
+            dropped(rows)
+        return found
 
     def _simulate(self, fields: dict, direction: str, start: np.ndarray, noise: np.ndarray | None) -> np.ndarray:
         """The other end from `start`; noise: (rows, steps, columns)."""
@@ -142,28 +166,70 @@ class ImfSolver(Solver):
                 k = i if direction == "f" else self.steps - 1 - i
                 t = np.full((len(x), 1), times[k])
                 model = fields[m, None if self.time == "continuous" else k]
-                parts = [x, out_x[:, ctx]] + ([t, time_features(t, 8)] if self.kind == "mlp" and self.time == "continuous" else [t] if self.time == "continuous" else [])
+                parts = [x, out_x[:, ctx], *self._inputs(t)]
                 x = x + dt * model.predict(np.concatenate(parts, 1))
                 if noise is not None and i < self.steps - 1:
                     x = x + self.sigma * np.sqrt(dt) * noise[:, i][:, out]
             out_x[:, out] = x
         return out_x
 
+    def walked(self, coupling: DataFrame, direction: str, salt: int) -> DataFrame:
+        """The coupling with its other side made by integrating the field of `direction` from the side that is given."""
+        d, own = len(self.cols), self
+        start, end = ("a", "b") if direction == "f" else ("b", "a")
+        if self.kind == "linear":
+            return self._walked_columns(coupling, direction, salt)
+        shared = coupling.sparkSession.sparkContext.broadcast(self.fields[direction])
+
+        def run(batches):
+            for b in batches:
+                e = hashed_normals(b.column("key").to_numpy(), own.seed, salt, (own.steps - 1, d))
+                x = own._simulate(shared.value, direction, matrix(b, [f"{start}{j}" for j in range(d)]), e)
+                yield pa.RecordBatch.from_pydict({"id": b.column("id"), **{f"{start}{j}": b.column(f"{start}{j}") for j in range(d)}, **{f"{end}{j}": pa.array(x[:, j]) for j in range(d)}})
+
+        kind = "id string, " + ", ".join(f"{side}{j} double" for side in (start, end) for j in range(d))
+        fields, self.fields = self.fields, {}  # shipped once, by the broadcast
+        out = coupling.select("id", F.xxhash64("id").alias("key"), *[f"{start}{j}" for j in range(d)]).mapInArrow(run, kind)
+        self.fields = fields
+        return out.select("id", *[f"{side}{j}" for side in "ab" for j in range(d)])
+
+    def _walked_columns(self, coupling: DataFrame, direction: str, salt: int) -> DataFrame:
+        """The same as column expressions, for linear fields of discrete time: no Python in the tasks."""
+        d, dt = len(self.cols), 1 / self.steps
+        start, end = ("a", "b") if direction == "f" else ("b", "a")
+        out = coupling.select("id", *[f"{start}{j}" for j in range(d)], *[F.col(f"{start}{j}").alias(f"{end}{j}") for j in range(d)])
+        known = out.columns
+        for m, (outs, ctx) in enumerate(self._plan()):
+            for i in range(self.steps):
+                w = self.fields[direction][m, i if direction == "f" else self.steps - 1 - i].weights
+                terms = [F.col(f"{end}{j}") for j in (*outs, *ctx)]
+                moved = {}
+                for k, j in enumerate(outs):
+                    drift = sum((F.lit(float(c)) * t for c, t in zip(w[1:, k], terms)), F.lit(float(w[0, k])))
+                    noise = F.lit(self.sigma * dt**0.5) * normal(self._tag(f"path{salt}:{i}:{j}"), F.col("id")) if i < self.steps - 1 else F.lit(0.0)
+                    moved[f"{end}{j}"] = F.col(f"{end}{j}") + F.lit(dt) * drift + noise
+                out = out.withColumns(moved)
+        return out.select("id", *[f"{side}{j}" for side in "ab" for j in range(d)]).select(*[c for c in ("id", *[f"{s}{j}" for s in "ab" for j in range(d)]) if c in known])
+
     def fit(self, df: DataFrame, id_col: str) -> ImfSolver:
-        spark, rng = df.sparkSession, np.random.default_rng(self.seed)
-        data = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
-        prior = rng.normal(size=data.shape)
+        """Alternates three stages over all rows: couple them, fit the fields of one direction, walk along them. Each stage is stored;
+        the driver holds fields only."""
+        d = range(len(self.cols))
+        data = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"a{j}") for j, c in enumerate(self.cols)]).dropna()
+        prior = [normal(self._tag(f"prior{j}"), F.col("id")) for j in d]
+        ends = [F.col(f"a{j}") + F.lit(self.sigma) * p if self.first == "ref" else p for j, p in zip(d, prior)]
+        data = stored(spread(data, "id"), "imf-data")
+        coupling = stored(data.select("*", *[e.alias(f"b{j}") for j, e in zip(d, ends)]), "imf-pairs")
         last = None
         for i, direction in enumerate(self.sequence):
-            noise = rng.normal(size=(len(data), self.steps, data.shape[1]))
-            if last is None:
-                z0, z1 = (data, data + self.sigma * rng.normal(size=data.shape)) if self.first == "ref" else (data, rng.permutation(prior))
-            elif last == "b":
-                z0, z1 = self._simulate(self.fields["b"], "b", prior, noise), prior
-            else:
-                z0, z1 = data, self._simulate(self.fields["f"], "f", data, noise)
-            self.fields[direction] = self._train(spark, z0, z1, direction, i)
+            if last is not None:
+                before = data.select("*", *[p.alias(f"b{j}") for j, p in zip(d, prior)])
+                dropped(coupling)
+                coupling = stored(self.walked(before, last, i), "imf-pairs")
+            self.fields[direction] = self._train(coupling, direction, i)
             last = direction
+        dropped(coupling)
+        dropped(data)
         return self
 
     def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
@@ -185,7 +251,6 @@ class IpfSolver(Solver):
     alpha: float = 1.0
     parents: dict[str, list[str]] | None = None
     parent_noise: float = 0.01
-    train_rows: int = 4000
     seed: int = 0
     params: dict = field(default_factory=dict)
     fields: dict = field(default_factory=dict)
@@ -203,47 +268,56 @@ class IpfSolver(Solver):
         model = self.fields[direction][m, None if self.time == "continuous" else k]
         return x + model.predict(np.concatenate([x, ctx] + ([t] if self.time == "continuous" else []), 1))
 
-    def _path(self, direction: str, m: int, x: np.ndarray, ctx: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """(steps + 1, rows, outputs), in the order of time."""
-        ks = range(self.grid.steps) if direction == "f" else range(self.grid.steps - 1, -1, -1)
-        states = [x]
-        for k in ks:
-            x = self._mean(direction, m, x, ctx, k) + np.sqrt(2 * self.grid.gamma[k]) * rng.normal(size=x.shape)
-            states.append(x)
-        return np.stack(states if direction == "f" else states[::-1])
-
-    def _train(self, spark: SparkSession, direction: str, paths: list[np.ndarray], ctxs: list[np.ndarray], residual) -> dict:
-        """Fields for `direction` from the other direction's paths: the step back plus the residual of its mean map."""
-        jobs = [(m, k) for m in range(len(paths)) for k in (range(self.grid.steps) if self.time == "discrete" else [None])]
-        rows: dict = {}
-        for m, path in enumerate(paths):
-            for k in range(self.grid.steps):
-                a, b = path[k], path[k + 1]
-                src, dst = (b, a) if direction == "b" else (a, b)
-                shift = residual(m, dst, k) - residual(m, src, k)
-                rows[m, k] = (src, shift)
-        grid_t, kind, params = self.grid.t, self.kind, self.params
-
-        def work(job):
-            m, k = job
-            ks = [k] if k is not None else list(range(len(grid_t)))
-            x = [np.concatenate([rows[m, i][0], ctxs[m]] + ([np.full((len(ctxs[m]), 1), grid_t[i])] if k is None else []), 1) for i in ks]
-            return make_field(kind, **params).fit(np.concatenate(x), np.concatenate([rows[m, i][1] for i in ks]))
-
-        return dict(zip(jobs, fit_jobs(spark, jobs, work)))
+    def training_rows(self, data: DataFrame, direction: str, salt: int, m: int) -> DataFrame:
+        """The rows that model m of `direction` learns from: the other direction's path of every row, each step back with the residual
+        of the mean map. Backward paths start from the prior."""
+        out, ctx = self._plan()[m]
+        steps, own, walk = self.grid.steps, self, "f" if direction == "b" else "b"
+        tag = lambda what: f"ipf{self.seed}:{salt}:{direction}:{what}"
+        key, names = F.col("id"), [f"s{i}" for i in range(len(out))]
+        starts = [F.col(f"a{j}") if walk == "f" else normal(tag(f"start{j}"), key) for j in out]
+        known = [F.col(f"a{j}") + F.lit(self.parent_noise) * normal(f"ipf{self.seed}:parent{m}:{j}", key) for j in ctx]
+        n, extra = len(out), 1 if self.time == "continuous" else 0
+        xs, ys = [f"x{i}" for i in range(n + len(ctx) + extra)], [f"y{i}" for i in range(n)]
+        shared = data.sparkSession.sparkContext.broadcast(self.fields)
+
+        def run(batches):
+            own.fields = shared.value
+            for b in batches:
+                x, c = matrix(b, names), matrix(b, [f"c{i}" for i in range(len(ctx))])
+                e = hashed_normals(b.column("key").to_numpy(), own.seed, 2 * (1000 * m + salt) + (walk == "f"), (steps, n))
+                for k in range(steps) if walk == "f" else range(steps - 1, -1, -1):
+                    here = own._mean(walk, m, x, c, k)
+                    after = here + np.sqrt(2 * own.grid.gamma[k]) * e[:, k]
+                    # the field learns to step back from `after`
+                    shift = here - own._mean(walk, m, after, c, k)
+                    full = np.concatenate([after, c, *([np.full((len(x), 1), own.grid.t[k])] if extra else [])], 1)
+                    yield pa.RecordBatch.from_pydict({"g": pa.array(np.full(len(x), k if not extra else 0), pa.int32()), "id": b.column("id"), **{q: pa.array(full[:, i]) for i, q in enumerate(xs)}, **{q: pa.array(shift[:, i]) for i, q in enumerate(ys)}})
+                    x = after
+
+        kind = "g int, id string, " + ", ".join(f"{q} double" for q in [*xs, *ys])
+        fields, self.fields = self.fields, {}
+        rows = data.select("id", F.xxhash64("id").alias("key"), *[s.alias(q) for s, q in zip(starts, names)], *[c.alias(f"c{i}") for i, c in enumerate(known)]).mapInArrow(run, kind)
+        self.fields = fields
+        return rows
+
+    def _train(self, data: DataFrame, direction: str, salt: int) -> dict:
+        groups, found = list(range(self.grid.steps)) if self.time == "discrete" else [0], {}
+        for m in range(len(self._plan())):
+            rows = stored(self.training_rows(data, direction, salt, m), "ipf-rows")
+            for g, own in fit_groups(rows, groups, self.kind, self.params).items():
+                found[m, g if self.time == "discrete" else None] = own
+            dropped(rows)
+        return found
 
     def fit(self, df: DataFrame, id_col: str) -> IpfSolver:
-        spark, rng = df.sparkSession, np.random.default_rng(self.seed)
-        data = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
-        plan = self._plan()
-        ctxs = [data[:, ctx] + self.parent_noise * rng.normal(size=(len(data), len(ctx))) for _, ctx in plan]
+        """Alternates path stages and fits over all rows; each stage is stored, the driver holds fields only."""
+        data = stored(spread(df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"a{j}") for j, c in enumerate(self.cols)]).dropna(), "id"), "ipf-data")
         for i in range(self.rounds):
-            forward = [self._path("f", m, data[:, out], ctxs[m], rng) for m, (out, _) in enumerate(plan)]
-            self.fields["b"] = self._train(spark, "b", forward, ctxs, lambda m, x, k: self._mean("f", m, x, ctxs[m], k))
+            self.fields["b"] = self._train(data, "b", i)
             if i + 1 < self.rounds:
-                ends = [rng.normal(size=(len(data), len(out))) for out, _ in plan]
-                backward = [self._path("b", m, ends[m], ctxs[m], rng) for m in range(len(plan))]
-                self.fields["f"] = self._train(spark, "f", backward, ctxs, lambda m, x, k: self._mean("b", m, x, ctxs[m], k))
+                self.fields["f"] = self._train(data, "f", i)
+        dropped(data)
         return self
 
     def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
@@ -308,60 +382,119 @@ def learn_structure(df: DataFrame, cols: list[str], bins: int = 5, most_parents:
         parents[c] = new
 
 
+def lower_factors(raw: np.ndarray) -> np.ndarray:
+    """Cholesky factors from free parameters (K, d, d): the lower triangle, with the logarithm of its diagonal."""
+    low = np.tril(raw, -1)
+    i = np.arange(raw.shape[1])
+    low[:, i, i] = np.exp(raw[:, i, i])
+    return low
+
+
+@dataclass
+class LightObjective:
+    """Sums over rows x of log C(x0) - log v(x), x0 standard normal, and their gradients by log weights, centres and scales:
+    logarithms of variances (K, d), or the free parameters (K, d, d) of Cholesky factors."""
+
+    eps: float
+
+    def __call__(self, params: list[np.ndarray], x: np.ndarray, rng: np.random.Generator) -> tuple[float, list[np.ndarray]]:
+        x0 = rng.normal(size=x.shape)
+        return (self.full if params[2].ndim == 3 else self.diagonal)(params, x0, x)
+
+    def diagonal(self, params: list[np.ndarray], x0: np.ndarray, x: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        la, r, ls = params
+        s = np.exp(ls)
+        c = la + ((x0**2) @ s.T + 2 * x0 @ r.T) / (2 * self.eps)
+        d = x[:, None, :] - r
+        v = la - 0.5 * (d**2 / (self.eps * s) + ls + np.log(2 * np.pi * self.eps)).sum(2)
+        pc, pv = _soft(c), _soft(v)
+        gr = pc.T @ x0 / self.eps - np.einsum("nk,nkd->kd", pv, d / (self.eps * s))
+        gs = pc.T @ (x0**2) / (2 * self.eps) * s - np.einsum("nk,nkd->kd", pv, 0.5 * d**2 / (self.eps * s) - 0.5)
+        return float((_log_sum(c) - _log_sum(v)).sum()), [pc.sum(0) - pv.sum(0), gr, gs]
+
+    def full(self, params: list[np.ndarray], x0: np.ndarray, x: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        la, r, raw = params
+        low = lower_factors(raw)
+        i = np.arange(raw.shape[1])
+        y = np.einsum("nd,kde->nke", x0, low)  # L^T x0
+        c = la + ((y**2).sum(2) + 2 * x0 @ r.T) / (2 * self.eps)
+        inv = np.linalg.inv(low)
+        d = x[:, None, :] - r
+        z = np.einsum("kde,nke->nkd", inv, d)  # L^-1 d
+        v = la - 0.5 * ((z**2).sum(2) / self.eps + x.shape[1] * np.log(2 * np.pi * self.eps)) - raw[:, i, i].sum(1)
+        pc, pv = _soft(c), _soft(v)
+        w = np.einsum("ked,nke->nkd", inv, z)  # S^-1 d
+        gr = pc.T @ x0 / self.eps - np.einsum("nk,nkd->kd", pv, w) / self.eps
+        # by L: x0 (L^T x0)^T / eps from C, and S^-1 d (L^-1 d)^T / eps - L^-T from v
+        gl = np.einsum("nk,nd,nke->kde", pc, x0, y, optimize=True) / self.eps - (np.einsum("nk,nkd,nke->kde", pv, w, z, optimize=True) / self.eps - pv.sum(0)[:, None, None] * np.swapaxes(inv, 1, 2))
+        gl = np.tril(gl)
+        gl[:, i, i] *= low[:, i, i]
+        return float((_log_sum(c) - _log_sum(v)).sum()), [pc.sum(0) - pv.sum(0), gr, gl]
+
+
 @dataclass
 class LightSolver(Solver):
     """Light Schroedinger bridge: a Gaussian mixture potential fitted by closed-form gradients of
-    mean log C(x0) - mean log v(x1), from the prior to the data; sampling draws from the plan."""
+    mean log C(x0) - mean log v(x1), from the prior to the data; sampling draws from the plan. The covariances are diagonal
+    or full (Cholesky factors). All rows are read, a minibatch a step, `epochs` times."""
 
     cols: list[str]
     components: int = 12
     eps: float = 0.3
-    steps: int = 400
-    batch: int = 512
-    rate: float = 2e-2
-    train_rows: int = 10_000
+    epochs: int = 2
+    batches: int = 30
+    least_steps: int = 50
+    rate: float = 8e-2
+    covariance: str = "diagonal"
     seed: int = 0
     sde_steps: int = 0
     state: tuple | None = None
-
-    def _grads(self, x0: np.ndarray, x1: np.ndarray, la: np.ndarray, r: np.ndarray, ls: np.ndarray):
-        s = np.exp(ls)
-        c = la + ((x0**2) @ s.T + 2 * x0 @ r.T) / (2 * self.eps)
-        d = x1[:, None, :] - r
-        v = la - 0.5 * (d**2 / (self.eps * s) + ls).sum(2)
-        soft = lambda q: np.exp(q - q.max(1, keepdims=True)) / np.exp(q - q.max(1, keepdims=True)).sum(1, keepdims=True)
-        pc, pv = soft(c) / len(x0), soft(v) / len(x1)
-        ga = pc.sum(0) - pv.sum(0)
-        gr = pc.T @ x0 / self.eps - np.einsum("nk,nkd->kd", pv, d / (self.eps * s))
-        gs = pc.T @ (x0**2) / (2 * self.eps) * s - np.einsum("nk,nkd->kd", pv, 0.5 * d**2 / (self.eps * s) - 0.5)
-        return ga, gr, gs
+    losses: list[float] = field(default_factory=list)
 
     def fit(self, df: DataFrame, id_col: str) -> LightSolver:
-        data = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
-        rng = np.random.default_rng(self.seed)
-        k = min(self.components, len(data))
-        p = [np.zeros(k), data[rng.permutation(len(data))[:k]].copy(), np.full((k, data.shape[1]), np.log(0.3))]
-        m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
-        for t in range(1, self.steps + 1):
-            x0 = rng.normal(size=(min(self.batch, max(len(data), 2)), data.shape[1]))
-            for i, g in enumerate(self._grads(x0, data[rng.integers(0, len(data), len(x0))], *p)):
-                m[i] += 0.1 * (g - m[i])
-                v[i] += 0.001 * (g * g - v[i])
-                p[i] -= self.rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        self.state = tuple(p)
+        if self.covariance not in ("diagonal", "full"):
+            raise ValueError(f"no such covariance: {self.covariance}")
+        table = TrainingTable.build(df, id_col, self.cols, self.batches)
+        centres = _spread_rows(table, self.components, self.seed)
+        k, d = centres.shape
+        scale = np.full((k, d), np.log(0.3)) if self.covariance == "diagonal" else np.repeat(np.diag(np.full(d, 0.5 * np.log(0.3)))[None], k, 0)
+        params = [np.zeros(k), centres, scale]
+        # a small table has few steps an epoch
+        epochs = max(self.epochs, -(-self.least_steps // table.batches))
+        self.losses = train(table, params, LightObjective(self.eps), epochs, self.rate, clip=None, seed=self.seed, anneal=True) if k else []
+        self.state = tuple(params)
+        table.drop()
         return self
 
+    def _covariances(self) -> np.ndarray:
+        low = lower_factors(self.state[2])
+        return low @ np.swapaxes(low, 1, 2)
+
     def transport(self, x0: np.ndarray, e: np.ndarray, u: np.ndarray) -> np.ndarray:
         la, r, ls = self.state
-        s = np.exp(ls)
-        c = la + ((x0**2) @ s.T + 2 * x0 @ r.T) / (2 * self.eps)
-        w = np.exp(c - c.max(1, keepdims=True))
-        k = (np.cumsum(w / w.sum(1, keepdims=True), 1) < u[:, None]).sum(1).clip(0, len(la) - 1)
+        if ls.ndim == 3:
+            s, low = self._covariances(), lower_factors(ls)
+            c = la + (np.einsum("nd,kde,ne->nk", x0, s, x0, optimize=True) + 2 * x0 @ r.T) / (2 * self.eps)
+        else:
+            s = np.exp(ls)
+            c = la + ((x0**2) @ s.T + 2 * x0 @ r.T) / (2 * self.eps)
+        k = (np.cumsum(_soft(c), 1) < u[:, None]).sum(1).clip(0, len(la) - 1)
+        if ls.ndim == 3:
+            return r[k] + np.einsum("nde,ne->nd", s[k], x0) + np.sqrt(self.eps) * np.einsum("nde,ne->nd", low[k], e)
         return r[k] + s[k] * x0 + np.sqrt(self.eps * s[k]) * e
 
     def drift(self, x: np.ndarray, t: float) -> np.ndarray:
         """The bridge's drift: towards the mean of the end given the state, over the time that is left."""
         la, r, ls = self.state
+        if ls.ndim == 3:
+            inv, d = np.linalg.inv(self._covariances()), x.shape[1]
+            pull = t / (self.eps * (1 - t)) * np.eye(d) + inv / self.eps
+            back = np.linalg.inv(pull)
+            push = np.einsum("kde,ke->kd", inv, r) / self.eps
+            h = x[:, None, :] / (self.eps * (1 - t)) + push
+            mean = np.einsum("kde,nke->nkd", back, h)
+            w = la + 0.5 * (h * mean).sum(2) - 0.5 * (push * r).sum(1) - 0.5 * np.linalg.slogdet(pull)[1] + 0.5 * np.linalg.slogdet(inv)[1]
+            return (np.einsum("nk,nkd->nd", _soft(w), mean) - x) / (1 - t)
         s = np.exp(ls)
         pull = t / (self.eps * (1 - t)) + 1 / (self.eps * s)
         h = x[:, None, :] / (self.eps * (1 - t)) + r / (self.eps * s)
@@ -385,6 +518,23 @@ class LightSolver(Solver):
         return np.stack([(1 - t) * x0 + t * x1 + np.sqrt(self.eps * t * (1 - t)) * e[i] for i, t in enumerate(times)])
 
 
+def _spread_rows(table: TrainingTable, k: int, seed: int) -> np.ndarray:
+    """k rows of a training table to begin with: the first one of each of k blocks' orders, in the order of blocks."""
+    some = table.blocks.orderBy(F.xxhash64("block", F.lit(seed)), "block", "part").limit(k).select("block", "part", "n", "x").collect()
+    rng, d = generator(seed, 77), len(table.cols)
+    rows = [np.frombuffer(bytes(r["x"])).reshape(-1, d) for r in some]
+    if not rows:
+        return np.zeros((0, d))
+    # from few blocks, several rows each
+    picks = [rng.permutation(len(x))[: -(-k // len(rows))] for x in rows]
+    return np.concatenate([x[p] for x, p in zip(rows, picks)])[:k].copy()
+
+
+def _log_sum(q: np.ndarray) -> np.ndarray:
+    top = q.max(1)
+    return top + np.log(np.exp(q - top[:, None]).sum(1))
+
+
 def _soft(q: np.ndarray) -> np.ndarray:
     e = np.exp(q - q.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)

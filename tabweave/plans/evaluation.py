@@ -7,25 +7,41 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.operators import metrics, ranks
-from tabweave.operators.fields import TreeField, bounded_matrix
+from tabweave.operators.boosting import WholeTrees
+from tabweave.operators.fields import TreeField
 from tabweave.operators.schema import TabularSchema
+from tabweave.operators.stages import matrix
 from tabweave.operators.transforms import TransformPipeline
 
 
-def r2_of(y: np.ndarray, p: np.ndarray) -> float:
-    return float(1 - ((y - p) ** 2).sum() / max(((y - y.mean()) ** 2).sum(), 1e-12))
+def predicted(df: DataFrame, features: list[str], keep: list[str], models: dict[str, TreeField]) -> DataFrame:
+    """`keep` of every row of df with no missing feature, and a column of each model's first output."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    xs = [f"x{i}" for i in range(len(features))]
 
+    def run(batches):
+        for b in batches:
+            x = matrix(b, xs)
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | {n: pa.array(m.predict(x)[:, 0]) for n, m in shared.value.items()})
 
-def utility_delta(train: DataFrame, test: DataFrame, synth: DataFrame, features: list[str], target: str, id_col: str, synth_id: str = "row_id", rows: int = 10_000) -> dict[str, float]:
-    """R2 on real test rows of regressors trained on real and on synthetic rows, and their relative difference."""
-    cols = [*features, target]
-    a, b, s = bounded_matrix(train, id_col, cols, rows), bounded_matrix(test, id_col, cols, rows), bounded_matrix(synth, synth_id, cols, rows)
-    fit = lambda m: TreeField(trees=60, depth=5).fit(m[:, :-1], m[:, -1:]).predict(b[:, :-1])[:, 0]
-    real, fake = r2_of(b[:, -1], fit(a)), r2_of(b[:, -1], fit(s))
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(x) for c, x in zip(features, xs)]).dropna(subset=xs)
+    kind = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` double" for n in models)])
+    return rows.mapInArrow(run, kind)
+
+
+def utility_delta(train: DataFrame, test: DataFrame, synth: DataFrame, features: list[str], target: str, id_col: str, synth_id: str = "row_id", trees: int = 60, depth: int = 5) -> dict[str, float]:
+    """R2 on all real test rows of regressors trained on all real and on all synthetic rows, and their relative difference."""
+    fit = lambda df, key: WholeTrees(trees=trees, depth=depth).fit(df, key, features, [target])
+    models = {"real": fit(train, id_col), "synth": fit(synth, synth_id)}
+    held = test.select(*dict.fromkeys(features), F.col(target).cast("double").alias("truth")).filter("truth is not null")
+    scored = metrics.r2(predicted(held, features, ["truth"], models), "truth", "real", "synth").collect()[0]
+    real, fake = (float("nan") if v is None else float(v) for v in (scored["r2_real"], scored["r2_synth"]))
     return {"r2_real": real, "r2_synth": fake, "delta_r2_percent": (fake - real) / (abs(real) + 1e-12) * 100}
 
 

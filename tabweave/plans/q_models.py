@@ -1,8 +1,8 @@
 """Queries of the learned generators: rows of a fitted model, which no SQL can express, and a summary of each against
 the real rows (its size, missing values, range, mean and spread), whose SQL states what must hold.
 
-The fits behind them read a hashed sample of at most this many rows (SURVEY's models learn in memory): bridge and
-categorical solvers 4,000, light 10,000, diffusion and score 8,000, adversarial 10,000, Langevin 2,000. The copula reads all rows.
+Bridge solvers, light and the copula are fitted on all rows. The others read a hashed sample of at most this many rows: categorical
+solvers 4,000, diffusion and score 8,000, adversarial 10,000, Langevin 2,000.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from tabweave.operators import metrics
 from tabweave.operators.adversarial import AdversarialBaseline
 from tabweave.operators.baselines import CopulaBaseline, DiffusionBaseline, LangevinBaseline, ScoreBaseline
 from tabweave.operators.schema import TabularSchema
-from tabweave.operators.solvers import CategoricalSolver, IpfSolver, learn_structure, solver
+from tabweave.operators.solvers import CategoricalSolver, ImfSolver, IpfSolver, learn_structure, solver
 from tabweave.operators.transforms import IntegerCode, StandardScaler
 from tabweave.plans import evaluation
+from tabweave.plans.q_process import n_sql
 from tabweave.sources.readers import table
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -35,9 +36,20 @@ def _mixed(spark, d):
     return df, {c: len(v) for c, v in codes.categories.items()}
 
 
+_FITTED: dict = {}
+
+
+def _fitted(spark, name, d, make):
+    """A model is fitted once for a session and a bundle; its rows and its summary read the same one."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def _generate(name, **params):
     def query(spark, d):
-        return solver(name, COLS, **params).fit(scaled_lines(spark, d), "row_key").sample(spark, N, 7)
+        return _fitted(spark, name, d, lambda: solver(name, COLS, **params).fit(scaled_lines(spark, d), "row_key")).sample(spark, N, 7)
 
     query.__name__ = f"{name}_generate"
     return query
@@ -59,12 +71,14 @@ def structure_edges(spark, d):
 
 def ipf_discrete_structural_generate(spark, d):
     df = dependent_lines(spark, d)
-    return IpfSolver(DEPENDENT, "trees", "discrete", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
+    make = lambda: IpfSolver(DEPENDENT, "trees", "discrete", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key")
+    return _fitted(spark, "ipf_discrete_structural", d, make).sample(spark, N, 7)
 
 
 def ipf_continuous_structural_generate(spark, d):
     df = dependent_lines(spark, d)
-    return IpfSolver(DEPENDENT, "trees", "continuous", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key").sample(spark, N, 7)
+    make = lambda: IpfSolver(DEPENDENT, "trees", "continuous", "featurewise", parents=learn_structure(df, DEPENDENT), params={"trees": 15}).fit(df, "row_key")
+    return _fitted(spark, "ipf_continuous_structural", d, make).sample(spark, N, 7)
 
 
 def categorical_generate(spark, d):
@@ -116,16 +130,16 @@ def light_generate_quality(spark, d):
 
 
 TREES = {"trees": 15, "depth": 4}
-MLPS = {"steps": 150}
+MLPS = {"epochs": 1, "hidden": (32, 32)}
 QUERIES = {
     q.__name__: q
     for q in (
         _generate("light"),
         _generate("imf_continuous_trees", params=TREES),
-        _generate("imf_discrete_trees", params=TREES),
-        _generate("imf_discrete_featurewise", params=TREES),
+        _generate("imf_discrete_trees", params=TREES, steps=6),
+        _generate("imf_discrete_featurewise", params=TREES, steps=6),
         _generate("imf_continuous_mlp", params=MLPS),
-        _generate("imf_discrete_mlp", params=MLPS),
+        _generate("imf_discrete_mlp", params=MLPS, steps=6),
         _generate("ipf_continuous_trees", params=TREES),
         _generate("ipf_discrete_trees", params=TREES),
         _generate("ipf_continuous_mlp", params=MLPS),
@@ -215,12 +229,54 @@ def utility_of_copy(spark, d):
     return spark.createDataFrame([(out["r2_real"] == out["r2_synth"], out["delta_r2_percent"], out["r2_real"] > 0.8)], "same boolean, delta double, learned boolean")
 
 
-QUERIES |= {q.__name__: q for q in (*_SUMMARIES, kfold_metrics, tuning_study, tuning_study_tpe, utility_of_copy)}
+def _fields_table(spark, fields: dict, direction: str):
+    rows = [(direction, k, float(f.weights[0, 0]), float(f.weights[1, 0])) for (_, k), f in sorted(fields.items())]
+    return spark.createDataFrame(rows, "direction string, step int, intercept double, slope double")
+
+
+LINEAR = {"steps": 4, "sigma": 0.8}
+
+
+def imf_linear_fields(spark, d):
+    """Iterative Markovian fitting of order totals with a linear field per step: what both directions have learned from all rows. The
+    forward fields are fitted to the coupling that walking the backward ones has made."""
+    o = table(spark, d, "orders").select("o_orderkey", ((F.col("o_totalprice") - 150000) / 80000).alias("z"))
+    model = ImfSolver(["z"], "linear", "discrete", sequence=("b", "f"), **LINEAR).fit(o, "o_orderkey")
+    both = [_fields_table(spark, model.fields[way], way) for way in ("b", "f")]
+    out = both[0].unionByName(both[1])
+    return out.select("direction", "step", F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"))
+
+
+def _linear_sql() -> str:
+    """The same by regr_slope over the pairs of each step, and the walk as nested selects."""
+    steps, sigma = LINEAR["steps"], LINEAR["sigma"]
+    t = [(k + 0.5) / steps for k in range(steps)]
+
+    def learned(way: str, salt: int) -> str:
+        target = {"b": "a - b - {s} * sqrt((1 - t) / t) * e", "f": "b - a - {s} * sqrt(t / (1 - t)) * e"}[way].format(s=f"{sigma!r}::double")
+        return f"""(SELECT k, regr_intercept(y, x) AS i, regr_slope(y, x) AS s FROM (SELECT k, (1 - t) * a + t * b + {sigma!r}::double * sqrt(t * (1 - t)) * e AS x, {target} AS y
+            FROM (SELECT id, a, b, k, ({t}::double[])[k + 1] AS t, {n_sql(f'imf0:e{salt}:0', 'id', 'k', "'0'")} AS e FROM {{pairs}}, range({steps}) r(k))) GROUP BY k)"""
+
+    walk = "(SELECT id, b, b AS x FROM pairs0)"
+    for i in range(steps):
+        k = steps - 1 - i
+        noise = f" + {sigma!r}::double * sqrt(1 / {steps}.0::double) * {n_sql(f'imf0:path1:{i}:0', 'id')}" if i < steps - 1 else ""
+        walk = f"(SELECT id, b, x + ((SELECT i FROM back WHERE k = {k}) + (SELECT s FROM back WHERE k = {k}) * x) / {steps}{noise} AS x FROM {walk})"
+    return f"""WITH pairs0 AS MATERIALIZED (SELECT id, a, {n_sql('imf0:prior0', 'id')} AS b FROM (SELECT o_orderkey::varchar AS id, (o_totalprice - 150000) / 80000 AS a FROM orders)),
+        back AS MATERIALIZED {learned('b', 0).replace('{pairs}', 'pairs0')},
+        pairs1 AS MATERIALIZED (SELECT id, x AS a, b FROM {walk}),
+        ahead AS MATERIALIZED {learned('f', 1).replace('{pairs}', 'pairs1')}
+        SELECT 'b' AS direction, k::int AS step, round(i, 5) AS intercept, round(s, 5) AS slope FROM back
+        UNION ALL SELECT 'f', k::int, round(i, 5), round(s, 5) FROM ahead"""
+
+
+QUERIES |= {q.__name__: q for q in (*_SUMMARIES, imf_linear_fields, kfold_metrics, tuning_study, tuning_study_tpe, utility_of_copy)}
 _fits = lambda cols: " UNION ALL ".join(f"SELECT '{c}' AS col, {N}::bigint AS n, 0::bigint AS missing, true AS in_range, true AS mean_fits, true AS spread_fits" for c in cols)
 ORACLES: dict[str, str] = {q.__name__: _fits(COLS) for q in _SUMMARIES}
 ORACLES |= {f"ipf_{t}_structural_summary": _fits(DEPENDENT) for t in ("discrete", "continuous")}
 ORACLES |= {"categorical_summary": _fits(_CODES), "mixed_summary": _fits(("o_totalprice", *_CODES)), "ddpm_summary": _fits(("o_totalprice", *_CODES)), "ddpm_resnet_summary": _fits(("o_totalprice", *_CODES)), "langevin_class_summary": _fits(("o_totalprice", "o_orderstatus"))}
 ORACLES |= {
+    "imf_linear_fields": _linear_sql(),
     "kfold_metrics": "SELECT 'parts' AS dataset, f AS fold, (SELECT count(*) FROM p) - count(*) AS n_train, count(*) AS n_test, true AS wd_near, true AS kl_near, true AS corr_near FROM (SELECT (ntile(3) OVER (ORDER BY md5('42|' || p_partkey), p_partkey) - 1)::int AS f FROM part) GROUP BY f".replace("(SELECT count(*) FROM p)", "(SELECT count(*) FROM part)"),
     "tuning_study": "SELECT 24::bigint AS n, 24::bigint AS numbers, true AS failures_are_last, true AS errors_kept, true AS near",
     "tuning_study_tpe": "SELECT 40::bigint AS n, 40::bigint AS numbers, true AS all_ran, true AS near",

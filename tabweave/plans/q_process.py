@@ -186,6 +186,39 @@ def lightsb_plan_sample(spark, d):
     return LIGHT.plan_sample(o, "o_orderkey", ["z", "c4"], 1).select("o_orderkey", "component", r("y_z", "y_z"), r("y_c4", "y_c4"))
 
 
+LIGHT_FULL = P.FullLightPotential((math.log(0.4), math.log(0.6)), ((-0.5, 0.25), (1.0, -0.75)), (((0.6, 0.25), (0.25, 1.1)), ((0.9, -0.3), (-0.3, 0.4))), 0.5)
+
+
+def lightsb_log_c_full(spark, d):
+    return _orders(spark, d).select("o_orderkey", r(LIGHT_FULL.log_c([F.col("z"), F.col("code") / 4.0]), "log_c"))
+
+
+def lightsb_log_v_full(spark, d):
+    return _orders(spark, d).select("o_orderkey", r(LIGHT_FULL.log_v([F.col("z"), F.col("code") / 4.0]), "log_v"))
+
+
+def lightsb_plan_sample_full(spark, d):
+    o = _orders(spark, d).withColumn("c4", F.col("code") / 4.0)
+    return LIGHT_FULL.plan_sample(o, "o_orderkey", ["z", "c4"], 1).select("o_orderkey", "component", r("y_z", "y_z"), r("y_c4", "y_c4"))
+
+
+LOSS_WEIGHT = 0.05
+
+
+def _losses(spark, d, loss):
+    o = _orders(spark, d).withColumn("logits", F.array(*[F.col("z") * (0.3 * e) - 0.2 * F.abs(F.lit(e) - F.col("code")) for e in range(5)])).withColumn("guess", F.col("z") * 0.9 + F.col("code") * 0.1)
+    column = P.CategoricalColumn(REF, F.col("logits"), F.col("other"), F.col("code"))
+    return loss(o, column, "forward").unionByName(loss(o, column, "backward")).select("direction", r("loss", "loss"))
+
+
+def csbm_loss(spark, d):
+    return _losses(spark, d, lambda o, c, way: P.csbm_loss(o, [c], F.lit(3), way, LOSS_WEIGHT).withColumn("direction", F.lit(way)))
+
+
+def mixed_loss(spark, d):
+    return _losses(spark, d, lambda o, c, way: P.mixed_loss(o, [("guess", "z")], [c], F.lit(3), way, 0.7, 0.3, LOSS_WEIGHT).withColumn("direction", F.lit(way)))
+
+
 def beta_schedule_linear(spark, d):
     return P.beta_schedule(spark, "linear", 50).select("k", *[r(c, c) for c in ("beta", "log_alpha_sum", "alpha_bar")])
 
@@ -302,8 +335,33 @@ _gamma_list = "[" + ", ".join(f"{float(g)!r}::double" for g in GRID.gamma) + "]"
 _one = "WITH l AS (SELECT l_quantity / 50 AS a, l_extendedprice / 75000 AS b, l_discount AS w, l_tax * 10 AS c FROM lineitem)"
 _hub = lambda e: f"(CASE WHEN abs({e}) <= 0.2 THEN 0.5 * pow({e}, 2) ELSE 0.2 * (abs({e}) - 0.1) END)"
 
-QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, categorical_model_prev, categorical_new_alpha, categorical_path, mixed_path, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, ddpm_bound_terms, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
+QUERIES = {f.__name__: f for f in (time_grid_linear, time_grid_geom, midpoint_grid, gaussian_reference, bridge_tuple_f, bridge_tuple_b, first_coupling_ref, first_coupling_ind, euler_ou_path, euler_mean_path_backward, one_step_cache, ou_pretrain_target, ipf_residual_target, regression_loss, uniform_kernel, ordered_kernel, categorical_bridge, categorical_next, categorical_prev, categorical_model_step, categorical_model_prev, categorical_new_alpha, categorical_path, mixed_path, bridge_sample, gumbel_draw, lightsb_log_c, lightsb_log_v, lightsb_plan_sample, lightsb_log_c_full, lightsb_log_v_full, lightsb_plan_sample_full, csbm_loss, mixed_loss, beta_schedule_linear, beta_schedule_cosine, ddpm_q_sample, ddpm_posterior, ddpm_bound_terms, multinomial_q, ve_sigma_schedule, time_embedding, gaussian_terms, log_space_helpers)}
+def _full_terms():
+    """SQL of the components' terms of log C and log v: matrices written out by adjugates."""
+    c, v = [], []
+    for a, (r0, r1), ((p, q), (_, w)) in zip(LIGHT_FULL.log_alpha, LIGHT_FULL.r, LIGHT_FULL.s):
+        e, det = LIGHT_FULL.eps, p * w - q * q
+        c.append(f"({a!r}::double + ({p!r}::double * z * z + 2 * {q!r}::double * z * c4 + {w!r}::double * c4 * c4 + 2 * {r0!r}::double * z + 2 * {r1!r}::double * c4) / (2 * {e!r}::double))")
+        dz, dc = f"(z - {r0!r}::double)", f"(c4 - {r1!r}::double)"
+        v.append(f"({a!r}::double - 0.5 * (({w!r}::double * {dz} * {dz} - 2 * {q!r}::double * {dz} * {dc} + {p!r}::double * {dc} * {dc}) / ({e!r}::double * {det!r}::double) + 2 * ln(2 * pi() * {e!r}::double) + ln({det!r}::double)))")
+    return c, v
+
+
+_cf, _vf = _full_terms()
+_pick_full = lambda values: f"CASE component WHEN 0 THEN {values[0]!r}::double ELSE {values[1]!r}::double END"
+_chol = [((math.sqrt(0.5 * p), 0.0), (0.5 * q / math.sqrt(0.5 * p), math.sqrt(0.5 * w - 0.5 * q * q / p))) for ((p, q), (_, w)) in LIGHT_FULL.s]
+_side = lambda i: f"{_pick_full([x[i] for x in LIGHT_FULL.r])} + {_pick_full([x[i][0] for x in LIGHT_FULL.s])} * z + {_pick_full([x[i][1] for x in LIGHT_FULL.s])} * c4 + {_pick_full([x[i][0] for x in _chol])} * {n_sql('plan1:0', 'o_orderkey')} + {_pick_full([x[i][1] for x in _chol])} * {n_sql('plan1:1', 'o_orderkey')}"
+_logit = "z * (0.3::double * e) - 0.2::double * abs(e - code)"
+_loss_rows = lambda w: f"SELECT o_orderkey, s, sum(pe * k) AS model, sum(CASE WHEN e = other THEN k END) AS target, max(CASE WHEN e = other THEN -ln(pe) END) AS ce FROM (SELECT *, exp(g) / sum(exp(g)) OVER (PARTITION BY o_orderkey, s) AS pe, w / sum(w) OVER (PARTITION BY o_orderkey, e) AS k FROM (SELECT o_orderkey, other, s, e, {_logit} AS g, {w} AS w FROM {O}, range(5) t(s), range(5) v(e))) GROUP BY 1, 2"
+_csbm = lambda w: f"(SELECT sum(target * (ln(target) - ln(model + 1e-12))) / count(DISTINCT o_orderkey) + {LOSS_WEIGHT!r}::double * avg(ce) FROM ({_loss_rows(w)}))"
+_error = f"(SELECT avg(pow(z * 0.9::double + code * 0.1::double - z, 2)) FROM {O})"
 ORACLES = {
+    "lightsb_log_c_full": f"SELECT o_orderkey, round({_lse(*_cf)}, 6) AS log_c FROM {O4}",
+    "lightsb_log_v_full": f"SELECT o_orderkey, round({_lse(*_vf)}, 6) AS log_v FROM {O4}",
+    "lightsb_plan_sample_full": f"""WITH w AS (SELECT *, CASE WHEN exp({_cf[0]} - {_lse(*_cf)}) < {u_sql('plan1', 'o_orderkey')} THEN 1 ELSE 0 END AS component FROM {O4})
+        SELECT o_orderkey, component, round({_side(0)}, 6) AS y_z, round({_side(1)}, 6) AS y_c4 FROM w""",
+    "csbm_loss": " UNION ALL ".join(f"SELECT '{way}' AS direction, round({_csbm(w)}, 6) AS loss" for way, w in (("forward", NEXT_W), ("backward", PREV_W))),
+    "mixed_loss": " UNION ALL ".join(f"SELECT '{way}' AS direction, round(0.7::double * {_error} + 0.3::double * {_csbm(w)}, 6) AS loss" for way, w in (("forward", NEXT_W), ("backward", PREV_W))),
     "time_grid_linear": _grid_sql("1e-4 + i / 19.0::double * (1e-2 - 1e-4)", 20),
     "time_grid_geom": _grid_sql("1e-4 * pow(1e-2 / 1e-4, i / 19.0::double)", 20),
     "midpoint_grid": "SELECT i::int AS k, round(least(greatest((i + 0.5) / 8.0::double, 0.07), 1 - 0.07), 6)::double AS t FROM range(8) t(i)",
