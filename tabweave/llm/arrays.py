@@ -16,6 +16,13 @@ import pyarrow as pa
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: White_Space of Unicode, which is what \s means to the tokenizers' patterns (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers of Unicode 16, which the tokenizers' patterns know and the interpreter's database may not (fixed values).
+LATER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
 _FACTORS = np.zeros(0, np.uint64)
 _CLASSES: np.ndarray | None = None
@@ -27,6 +34,9 @@ def classes() -> np.ndarray:
     if _CLASSES is None:
         kinds = {"L": LETTER, "N": NUMBER}
         table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+        for kind, ranges in ((LETTER, LATER_LETTERS), (NUMBER, LATER_NUMBERS)):
+            for first, last in ranges:
+                table[first : last + 1] = kind
         table[WHITE_SPACE] = SPACE
         _CLASSES = table
     return _CLASSES

@@ -92,6 +92,32 @@ def test_bpe_tokens_that_do_not_encode_to_themselves(library):
         assert ids.tolist() == codec.merge([word])[0].tolist() == codec.merge_long(word)
 
 
+def test_word_classes_are_the_library_s(library):
+    """Every code point of the planes that hold letters or numbers: does the library join it to a letter, a number, a mark?"""
+    from tokenizers import pre_tokenizers
+
+    from tabweave.llm import arrays
+
+    split, cls = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), arrays.classes()
+    points = [c for plane in (0, 1, 2, 3, 14) for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        part = points[lo : lo + 20_000]
+        for before, kind in (("a", arrays.LETTER), ("1", arrays.NUMBER), ("!", arrays.OTHER)):
+            starts = {o[0] for _, o in split.pre_tokenize_str("".join(f"\n\n{before}{chr(c)}" for c in part))}
+            assert [c for i, c in enumerate(part) if (4 * i + 3 not in starts) != (cls[c] == kind)] == []
+    assert set(cls[0x40000:0xE0000].tolist()) | set(cls[0xF0000:].tolist()) == {arrays.OTHER}
+
+
+def test_bpe_letters_of_later_unicode(library):
+    codec, rnd = bpe.BpeCodec(SPEC), random.Random(4)
+    parts = ["\u1c89", "\ua7cb", "\U00010d4a", "\U00010d40", "'s", " ", "a", "1", "!"]
+    cases = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 8))) for _ in range(2000)]
+    ids, counts = codec.encode(cases)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for k, e in enumerate(library.encode_batch(cases, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids, cases[k]
+
+
 def test_bpe_query_and_edges(spark, library):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(3, "a")], DOCS)
     rows = bpe.encode_decode(df, tokenizer_path(), tokens=True).collect()
