@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 
 from tabweave.functions.rand import generator
-from tabweave.operators.fields import MLP, ResNet, bounded_matrix, minibatches, time_features
+from tabweave.operators.fields import MLP, ResNet, bounded_matrix, time_features
 from tabweave.operators.process import betas
 from tabweave.operators.solvers import NOISE_BLOCK, Solver, keyed_normals
+from tabweave.operators.training import descend
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ class CopulaBaseline(Solver):
 class DiffusionBaseline(Solver):
     """Gaussian diffusion for numeric columns and multinomial diffusion for categorical codes, by one denoiser that
     predicts the noise and the logits of the start; ancestral or deterministic sampling. The denoiser is an MLP or a
-    residual network (`denoiser`), trained at a rate that falls linearly to 0; sampling uses the averaged weights."""
+    residual network (`denoiser`), trained over all rows at a rate that falls linearly to 0; sampling uses the averaged weights."""
 
     cols: list[str]
     states: dict[str, int] = field(default_factory=dict)
@@ -125,7 +126,6 @@ class DiffusionBaseline(Solver):
     inner: int = 1500
     deterministic: bool = False
     hidden: tuple[int, ...] = (128, 128)
-    train_rows: int = 8000
     seed: int = 0
     denoiser: str = "mlp"
     average: float = 0.999
@@ -147,41 +147,39 @@ class DiffusionBaseline(Solver):
         return (np.cumsum(p, 1) < rng.uniform(size=(len(p), 1))).sum(1).clip(0, p.shape[1] - 1)
 
     def fit(self, df, id_col: str) -> DiffusionBaseline:
-        x = bounded_matrix(df, id_col, [*self.numeric, *self.cats], self.train_rows, self.seed)
-        num, cat = x[:, : len(self.numeric)], x[:, len(self.numeric) :].astype(int)
-        dn, rng = num.shape[1], np.random.default_rng(self.seed)
-        bar = np.cumprod(1 - betas(self.schedule, self.steps))
-        width = dn + sum(self.states.values())
+        width = len(self.numeric) + sum(self.states.values())
         if self.denoiser not in ("mlp", "resnet"):
             raise ValueError(f"no denoiser {self.denoiser}")
-        self.net = MLP([width + 16, *self.hidden, width], self.seed) if self.denoiser == "mlp" else ResNet(width + 16, self.hidden[0], len(self.hidden), width, self.seed)
-
-        def batches():
-            for i in minibatches(len(x), self.inner, 256, rng):
-                t = rng.integers(0, self.steps, len(i))
-                e, a = rng.normal(size=(len(i), dn)), bar[t][:, None]
-                hot = []
-                for j, c in enumerate(self.cats):
-                    p = a * np.eye(self.states[c])[cat[i, j]] + (1 - a) / self.states[c]
-                    hot.append(np.eye(self.states[c])[self._draw(p, rng)])
-                yield self._inputs(np.sqrt(a) * num[i] + np.sqrt(1 - a) * e, hot, t), (e, cat[i])
-
-        def gradient(out, extra):
-            e, codes = extra
-            g = np.zeros_like(out)
-            if dn:
-                g[:, :dn] = 2 * (out[:, :dn] - e) / e.size
-            at = dn
-            for j, c in enumerate(self.cats):
-                s = self.states[c]
-                q = np.exp(out[:, at : at + s] - out[:, at : at + s].max(1, keepdims=True))
-                g[:, at : at + s] = (q / q.sum(1, keepdims=True) - np.eye(s)[codes[:, j]]) / (len(out) * len(self.cats))
-                at += s
-            return g
-
-        self.net.train(batches(), gradient, anneal_over=self.inner, average=self.average)
+        net = MLP([width + 16, *self.hidden, width], self.seed) if self.denoiser == "mlp" else ResNet(width + 16, self.hidden[0], len(self.hidden), width, self.seed)
+        descend(df, id_col, [*self.numeric, *self.cats], net, self._noised, self._gradient, self.inner, seed=self.seed, average=self.average, anneal=True)
+        self.net = net
         return self
 
+    def _noised(self, x: np.ndarray, rng, progress: float) -> tuple[np.ndarray, tuple]:
+        """Rows at drawn times of the diffusion, and what the denoiser is to find: the noise and the codes."""
+        dn = len(self.numeric)
+        num, cat = x[:, :dn], x[:, dn:].astype(int)
+        t = rng.integers(0, self.steps, len(x))
+        e, a = rng.normal(size=num.shape), np.cumprod(1 - betas(self.schedule, self.steps))[t][:, None]
+        hot = []
+        for j, c in enumerate(self.cats):
+            p = a * np.eye(self.states[c])[cat[:, j]] + (1 - a) / self.states[c]
+            hot.append(np.eye(self.states[c])[self._draw(p, rng)])
+        return self._inputs(np.sqrt(a) * num + np.sqrt(1 - a) * e, hot, t), (e, cat)
+
+    def _gradient(self, out: np.ndarray, extra: tuple) -> np.ndarray:
+        e, codes = extra
+        g, dn = np.zeros_like(out), len(self.numeric)
+        if dn:
+            g[:, :dn] = 2 * (out[:, :dn] - e) / e.size
+        at = dn
+        for j, c in enumerate(self.cats):
+            s = self.states[c]
+            q = np.exp(out[:, at : at + s] - out[:, at : at + s].max(1, keepdims=True))
+            g[:, at : at + s] = (q / q.sum(1, keepdims=True) - np.eye(s)[codes[:, j]]) / (len(out) * len(self.cats))
+            at += s
+        return g
+
     def _block(self, rng) -> np.ndarray:
         n, dn = NOISE_BLOCK, len(self.numeric)
         beta = betas(self.schedule, self.steps)
@@ -218,7 +216,8 @@ class DiffusionBaseline(Solver):
 
 @dataclass
 class ScoreBaseline(Solver):
-    """Variance-exploding SDE with a self-paced time range, predictor-corrector sampling and a last denoising step."""
+    """Variance-exploding SDE with a self-paced time range, predictor-corrector sampling and a last denoising step; trained over all
+    rows."""
 
     cols: list[str]
     low: float = 0.02
@@ -227,7 +226,6 @@ class ScoreBaseline(Solver):
     steps: int = 60
     corrector: float = 0.1
     hidden: tuple[int, ...] = (128, 128)
-    train_rows: int = 8000
     seed: int = 0
     net: MLP | None = None
 
@@ -239,21 +237,23 @@ class ScoreBaseline(Solver):
         return -self.net.forward(np.concatenate([x / np.sqrt(1 + s**2), np.log(s), time_features(t, 8)], 1))[0] / s
 
     def fit(self, df, id_col: str) -> ScoreBaseline:
-        data = bounded_matrix(df, id_col, self.cols, self.train_rows, self.seed)
-        rng, d = np.random.default_rng(self.seed), data.shape[1]
-        self.net = MLP([d + 9, *self.hidden, d], self.seed)
-
-        def batches():
-            for step, i in enumerate(minibatches(len(data), self.inner, 256, rng)):
-                most = min(1.0, 0.3 + step / (0.5 * self.inner))  # easy times first
-                t, e = rng.uniform(0, most, len(i)), rng.normal(size=(len(i), d))
-                s = self._sigma(t)[:, None]
-                x = data[i] + s * e
-                yield np.concatenate([x / np.sqrt(1 + s**2), np.log(s), time_features(t, 8)], 1), e
-
-        self.net.train(batches(), lambda out, e: 2 * (out - e) / out.size)
+        d = len(self.cols)
+        net = MLP([d + 9, *self.hidden, d], self.seed)
+        descend(df, id_col, self.cols, net, self._noised, self._gradient, self.inner, seed=self.seed)
+        self.net = net
         return self
 
+    def _noised(self, x: np.ndarray, rng, progress: float) -> tuple[np.ndarray, np.ndarray]:
+        most = min(1.0, 0.3 + 2 * progress)  # easy times first
+        t, e = rng.uniform(0, most, len(x)), rng.normal(size=x.shape)
+        s = self._sigma(t)[:, None]
+        x = x + s * e
+        return np.concatenate([x / np.sqrt(1 + s**2), np.log(s), time_features(t, 8)], 1), e
+
+    @staticmethod
+    def _gradient(out: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return 2 * (out - e) / out.size
+
     def generate(self, ids: np.ndarray, seed: int) -> np.ndarray:
         z = keyed_normals(ids, seed, (2 * self.steps + 1, len(self.cols)))
         times = np.linspace(1, 0, self.steps + 1)

@@ -221,6 +221,53 @@ def train(table: TrainingTable, params: list[np.ndarray], gradients: Callable, e
     return losses
 
 
+@dataclass
+class LocalDescent:
+    """A block's work in a round: AdamW steps of `small` rows from the shared weights; what the weights moved by is the block's part of the
+    round. make(rows, rng, progress) gives (inputs, extra), gradient(out, extra) d loss / d out."""
+
+    kind: type
+    params: list[np.ndarray]
+    make: Callable
+    gradient: Callable
+    rate: float
+    small: int
+    progress: float
+
+    def __call__(self, x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+        own, x = [p.copy() for p in self.params], x[rng.permutation(len(x))]
+        adam, net = Adam(own, self.rate), self.kind.of(own)
+        for lo in range(0, len(x), self.small):
+            inputs, extra = self.make(x[lo : lo + self.small], rng, self.progress)
+            out, kept = net.forward(inputs)
+            adam.step(net.backward(kept, self.gradient(out, extra)))
+        return [np.array([len(x)], float), *((p - q) * len(x) for p, q in zip(own, self.params))]
+
+
+def descend(df: DataFrame, id_col: str, cols: list[str], net: MLP, make: Callable, gradient: Callable, steps: int, rate: float = 2e-3, small: int = 64, batches: int = 30, seed: int = 0, average: float | None = None, anneal: bool = False) -> int:
+    """Trains a network over all rows of df by rounds of local descent, for at least `steps` steps in a row and whole epochs; a round
+    is one job over a minibatch, and moves the weights by the mean over its rows. Returns the rows read in an epoch."""
+    table = TrainingTable.build(df, id_col, cols, batches)
+    params = net.params()
+    mean = [p.copy() for p in params] if average else []
+    local = max(1, min(1024, max(table.rows, 1)) // small)
+    epochs = -(-steps // (local * table.batches)) if table.rows else 0
+    rounds = epochs * table.batches
+    for epoch in range(epochs):
+        for k, batch in enumerate(generator(seed, epoch).permutation(table.batches)):
+            done = (epoch * table.batches + k) / rounds
+            work = LocalDescent(type(net), params, make, gradient, rate * (1 - done if anneal else 1.0), small, done)
+            out = table.sums(work, (seed, epoch), int(batch) if table.batches > 1 else None)
+            for p, moved in zip(params, out[1:]):
+                p += moved / out[0][0]
+            for m, p in zip(mean, params):  # the decay is by step
+                m += (1 - min(average**local, (epoch * table.batches + k + 1) / (10 / local + epoch * table.batches + k + 1))) * (p - m)
+    for m, p in zip(mean, params):
+        p[:] = m
+    table.drop()
+    return table.rows
+
+
 @dataclass
 class Regression:
     """Squared error of an MLP whose last columns of x are the targets; inputs and targets are standardised here."""
