@@ -34,7 +34,7 @@ from tabweave.llm.wordbytes import byte_table, word_slices
 #: White space between words, and what ends a piece (fixed values).
 GAP, BREAK = " \t", ".,;:!?\n\x0b\x0c\r"
 SCALE = 1_000_000
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 SALTS = 256
 
 
@@ -233,7 +233,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
             level = level.filter("phrase is not null")
         levels.append(level.select("lang", "phrase", F.lit(length).alias("words"), "f"))
         if length < longest:
-            filters[length] = BloomFilter(_keyed(level, length), "key", level.count())
+            # stored, so that no task needs a second Python worker beside that of the filter
+            filters[length] = BloomFilter(stored(_keyed(level, length), "phrase-keys"), "key", level.count())
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
