@@ -8,7 +8,7 @@ driver chooses the splits of all outputs. Residuals are brought up to date in th
 Cuts are exact quantiles of all rows: all ranks of all columns are narrowed together, a byte of the number's ordered bits
 at a time, from counts of fixed size.
 
-A table whose codes and residuals fit `memory` bytes is fitted by the same code in one task, which saves jobs and changes no tree.
+A table of at most `memory` bytes is fitted by the same code in one task, which saves jobs and changes no tree.
 """
 
 from __future__ import annotations
@@ -160,17 +160,15 @@ class WholeTrees(TreeField):
         if not table.rows:
             self.cuts, self.base = [np.zeros(0)] * features, np.zeros(outputs)
             return self
+        if table.rows * len(table.cols) * 8 <= self.memory:
+            found = table.blocks.select("block", "part", "x").orderBy("block", "part").coalesce(1).mapInArrow(_InOneTask(self, features, len(table.cols)), "fitted binary").collect()
+            self.cuts, self.base, self.unit, self.model = pickle.loads(bytes(found[0][0]))
+            return self
         self.cuts = exact_cuts(table, features, self.bins)
         self.base = _steady(table.scale()[0][features:], np.abs(order_statistics(table, len(table.cols), np.array([0, table.rows - 1]))[features:]).max(1))
         far = table.blocks.select("x").mapInArrow(_Farthest(len(table.cols), features, self.base), "top array<double>").selectExpr(*[f"max(top[{j}])" for j in range(outputs)]).collect()[0]
         self.unit = np.array([2.0 ** np.ceil(np.log2(t)) if t > 0 else 1.0 for t in far])
-        spark = table.blocks.sparkSession
-        coded = self._coded(table, features)
-        if table.rows * (features + 8 * outputs) <= self.memory:
-            found = coded.orderBy("block", "part").coalesce(1).mapInArrow(_InOneTask(self, features, outputs), "model binary").collect()
-            self.model = pickle.loads(bytes(found[0][0]))
-        else:
-            self._fit_in_jobs(spark, coded, features, outputs)
+        self._fit_in_jobs(self._coded(table, features), features, outputs)
         return self
 
     def fit_rows(self, x: np.ndarray, y: np.ndarray) -> WholeTrees:
@@ -249,7 +247,7 @@ class WholeTrees(TreeField):
                 own.append(tree.nested())
         return model
 
-    def _fit_in_jobs(self, spark, coded: DataFrame, features: int, outputs: int) -> None:
+    def _fit_in_jobs(self, coded: DataFrame, features: int, outputs: int) -> None:
         coded_table = TrainingTable(coded, ["x"], 0, 1)
         pending: list[list[Grown]] = []
         for k in range(self.trees):
@@ -300,12 +298,12 @@ def _arrays(codes: bytes, res: bytes, features: int, outputs: int) -> tuple[np.n
 class _InOneTask:
     trees: WholeTrees
     features: int
-    outputs: int
+    width: int
 
     def __call__(self, batches):
-        parts = [_arrays(c, r, self.features, self.outputs) for b in batches for c, r in zip(b.column("codes").to_pylist(), b.column("res").to_pylist())]
-        model = self.trees._fit_here(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        x = np.concatenate([np.frombuffer(raw).reshape(-1, self.width) for b in batches for raw in b.column("x").to_pylist()])
+        own = self.trees.fit_rows(x[:, : self.features], x[:, self.features :])
+        yield pa.RecordBatch.from_pydict({"fitted": pa.array([pickle.dumps((own.cuts, own.base, own.unit, own.model))], pa.binary())})
 
 
 @dataclass
