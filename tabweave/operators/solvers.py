@@ -344,23 +344,49 @@ def topological(cols: list[str], parents: dict[str, list[str]]) -> list[str]:
     return done
 
 
-def learn_structure(df: DataFrame, cols: list[str], bins: int = 5, most_parents: int = 2) -> dict[str, list[str]]:
-    """Parents of each column by hill climbing on BIC over quantile bins; all families are counted in one job."""
-    binned, _ = metrics.quantile_bins(df, cols, bins)
-    families = [(c, ps) for c in cols for n in range(most_parents + 1) for ps in combinations([x for x in cols if x != c], n)]
-    key = lambda c, ps: F.concat_ws("|", *[F.col(f"bin_{p}").cast("string") for p in (*ps, c)])
-    rows = binned.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), key(c, ps).alias("v")) for i, (c, ps) in enumerate(families)])).alias("f")).groupBy("f.i", "f.v").count().collect()  # at most families * bins**3 rows
-    tables: dict[int, list[tuple[str, int]]] = {}
+def _cells(binned: DataFrame, families: list[tuple[str, ...]], bins: int) -> dict[tuple[str, ...], np.ndarray]:
+    """Counts of each family's cells, an axis a column, in one job: a row carries a number per family, and no more than
+    families * bins**columns counts come back."""
+    if not families:
+        return {}
+    number = lambda f: sum((F.col(f"bin_{c}") * F.lit(bins**k) for k, c in enumerate(reversed(f))), F.lit(0)).cast("int")
+    out = {f: np.zeros((bins,) * len(f), np.int64) for f in families}
+    rows = binned.select(F.posexplode(F.array(*[number(f) for f in families])).alias("i", "v")).groupBy("i", "v").count().collect()
     for i, v, n in rows:
-        tables.setdefault(i, []).append((v, n))
+        out[families[i]].ravel()[v] = n
+    return out
+
+
+def learn_structure(df: DataFrame, cols: list[str], bins: int = 5, most_parents: int = 2, candidates: int = 8) -> dict[str, list[str]]:
+    """Parents of each column by hill climbing on BIC over quantile bins.
+
+    Pairs are counted first; only the `candidates` columns that share most information with a column are tried as its parents, so the
+    families counted grow with the columns times candidates**most_parents. With no more columns than candidates the search is exhaustive.
+    """
+    binned, _ = metrics.quantile_bins(df, cols, bins)
+    pairs = _cells(binned, list(combinations(cols, 2)), bins)
+    pairs |= {(b, a): n.T for (a, b), n in pairs.items()}
+    alone = {c: next(iter(n.sum(1) for (a, _), n in pairs.items() if a == c), None) for c in cols}
+    if len(cols) == 1:
+        alone = {c: n for (c,), n in _cells(binned, [(cols[0],)], bins).items()}
+
+    def shared(a: str, b: str) -> float:
+        n = pairs[a, b]
+        at = n > 0
+        return float((n[at] * np.log(n[at] * max(n.sum(), 1) / np.outer(n.sum(1), n.sum(0))[at])).sum())
+
+    near = {c: sorted((x for x in cols if x != c), key=lambda x: (-shared(c, x), cols.index(x)))[:candidates] for c in cols}
+    near = {c: [x for x in cols if x in own] for c, own in near.items()}
+    sets = {c: [ps for n in range(2, most_parents + 1) for ps in combinations(near[c], n)] for c in cols}
+    larger = _cells(binned, [(*ps, c) for c in cols for ps in sets[c]], bins)
     score = {}
-    for i, fam in enumerate(families):
-        cells, by_parent = tables.get(i, []), {}
-        for v, n in cells:
-            by_parent[v.rpartition("|")[0]] = by_parent.get(v.rpartition("|")[0], 0) + n
-        total = sum(n for _, n in cells)
-        fit = sum(n * np.log(n / by_parent[v.rpartition("|")[0]]) for v, n in cells)
-        score[fam] = fit - 0.5 * np.log(max(total, 2)) * len(by_parent) * (bins - 1)
+    for c in cols:
+        for ps in [(), *((p,) for p in near[c]), *sets[c]]:
+            cells = (alone[c] if not ps else pairs[ps[0], c] if len(ps) == 1 else larger[*ps, c]).reshape(-1, bins)
+            by_parent = np.repeat(cells.sum(1)[:, None], bins, 1)
+            at = cells > 0
+            fit = (cells[at] * np.log(cells[at] / by_parent[at])).sum()
+            score[c, ps] = fit - 0.5 * np.log(max(cells.sum(), 2)) * (cells.sum(1) > 0).sum() * (bins - 1)
     parents: dict[str, tuple[str, ...]] = {c: () for c in cols}
     place = {c: i for i, c in enumerate(cols)}
     canon = lambda ps: tuple(sorted(ps, key=place.get))
@@ -374,7 +400,7 @@ def learn_structure(df: DataFrame, cols: list[str], bins: int = 5, most_parents:
             for p in cols:
                 if p in parents[c]:
                     moves.append((score[c, canon(set(parents[c]) - {p})] - score[c, parents[c]], c, canon(set(parents[c]) - {p})))
-                elif p != c and len(parents[c]) < most_parents and not reaches(p, c):
+                elif p in near[c] and len(parents[c]) < most_parents and not reaches(p, c):
                     moves.append((score[c, canon({*parents[c], p})] - score[c, parents[c]], c, canon({*parents[c], p})))
         gain, c, new = max(moves, default=(0, "", ()))
         if gain <= 1e-9:

@@ -96,6 +96,20 @@ def test_copula_reads_all_rows(spark):
         CopulaBaseline(["x"], ["x"], most_values=10).fit(df, "id")
 
 
+def test_structure_over_many_columns(spark):
+    """Candidates by shared information give the edges of the exhaustive search, and a table of 40 columns can be searched."""
+    df = spark.range(2000).withColumn("c0", normal("s0", F.col("id")))
+    for k in range(1, 8):
+        df = df.withColumn(f"c{k}", 0.9 * F.col(f"c{k - 1}") + 0.4 * normal(f"s{k}", F.col("id")))
+    cols = [f"c{k}" for k in range(8)]
+    whole = learn_structure(df, cols, candidates=7)
+    assert learn_structure(df, cols, candidates=4) == whole and sum(map(len, whole.values())) >= 7
+    wide = df.select("*", *[normal(f"w{k}", F.col("id")).alias(f"w{k}") for k in range(32)]).limit(800)
+    found = learn_structure(wide, cols + [f"w{k}" for k in range(32)], bins=3, candidates=3)
+    edges = {frozenset((p, c)) for c, ps in found.items() for p in ps}
+    assert {frozenset((f"c{k}", f"c{k + 1}")) for k in range(7)} <= edges
+
+
 def test_structure_of_dependent_columns(spark, sf):
     from tabweave.plans.q_models import structure_edges
 
