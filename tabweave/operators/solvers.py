@@ -572,7 +572,7 @@ class CategoricalSolver(Solver):
 
     The network sees the state and the time n/K and gives logits of the end of each categorical column and the drift
     of the numeric ones. Loss: KL of the true bridge step against the model's step, plus `weight` times cross entropy,
-    plus the squared error of the drift. Directions alternate; alpha falls by `decay` each outer round.
+    plus the squared error of the drift. Directions alternate; alpha falls by `decay` every fifth outer round.
     """
 
     cols: list[str]
