@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabweave.operators import metrics, ranks
@@ -72,7 +73,9 @@ def fold_summary(spark, d):
 
 def average_rank(spark, d):
     """Users ranked inside each event type by their rounded mean value."""
-    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 0).alias("score"))
+    # means that lie on a half are rounded by the last bit of their sum, so values are added in the order of events on any cluster
+    upto = Window.partitionBy("event_type", "user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, d, "events").withColumn("s", F.sum("value").over(upto)).groupBy("event_type", "user_id").agg(F.round(F.max_by("s", "event_id") / F.count("value"), 0).alias("score"))
     return ranks.average_rank(e, "event_type", "user_id", "score").select("user_id", r("avg_rank", "avg_rank"), "n_groups")
 
 

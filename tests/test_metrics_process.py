@@ -30,6 +30,33 @@ def test_wasserstein(spark):
     assert metrics.wasserstein_by_column(frame(spark, x=[0.0]), frame(spark, x=[1.0]), ["x"]).collect()[0].wd == pytest.approx(1)
 
 
+def test_wasserstein_sees_one_set_of_edges(spark):
+    """Approximate percentiles may differ each time they are taken: the plan must take them once."""
+    a = frame(spark, x=np.arange(50))
+    plan = metrics.wasserstein_by_column(a, a, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
+def test_average_rank_adds_in_the_order_of_events(spark, tmp_path):
+    from tabweave.plans.q_metrics import average_rank
+
+    rng = np.random.default_rng(0)
+    folder, rows = tmp_path / "events.parquet", []
+    for user in range(200):
+        cents = rng.integers(0, 300, 15)
+        rows += [(16 * user + i, user, "view", int(c) / 100) for i, c in enumerate([*cents, 4000 - cents.sum()])]  # means of 2.5
+    for part in (0, 1):  # events are dealt to two files in turn
+        spark.createDataFrame([r for r in rows if r[0] % 2 == part], "event_id long, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"file://{folder}")
+    score = {}
+    for _, user, _, v in rows:
+        score[user] = score.get(user, 0.0) + v
+    score = {u: np.floor(s / 16 + 0.5) for u, s in score.items()}
+    assert len(set(score.values())) == 2
+    low = sum(s == 2 for s in score.values())
+    want = {u: (low + 1) / 2 if s == 2 else low + (200 - low + 1) / 2 for u, s in score.items()}
+    assert {r.user_id: r.avg_rank for r in average_rank(spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_histogram_kl_on_edges(spark):
     a, b = np.arange(11) / 100, np.array([0.0, 0.1, 0.1, 0.05])
     p, q = (np.histogram(x, np.linspace(0, 0.1, 21))[0] + 1e-12 for x in (a, b))
