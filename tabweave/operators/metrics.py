@@ -30,8 +30,10 @@ def value_counts(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
 def wasserstein_by_column(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     """(col, wd): the exact 1-Wasserstein distance, the integral of |F - G|."""
     counts = value_counts(a, b, cols)
-    edges = counts.groupBy("col").agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("edges"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    # a row per column, so small by construction
+    # percentile_approx depends on the order in which parts arrive, and both uses below must see the same buckets: so the edges, a row
+    # per column, are fixed here
+    found = counts.groupBy("col").agg(F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("edges"), F.sum("na").alias("ta"), F.sum("nb").alias("tb")).collect()
+    edges = a.sparkSession.createDataFrame([tuple(r) for r in found], "col string, edges array<double>, ta bigint, tb bigint")
     placed = counts.join(F.broadcast(edges), "col").withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v"))))
     parts = placed.groupBy("col", "bucket").agg(F.sum("na").alias("ca"), F.sum("nb").alias("cb"), F.min("v").alias("low"))
     over = Window.partitionBy("col").orderBy("bucket")
