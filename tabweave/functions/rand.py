@@ -41,12 +41,17 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_normals(keys: np.ndarray, seed: int, tag: int, shape: tuple[int, ...]) -> np.ndarray:
-    """Standard normals of a shape for each 64-bit key, a function of (seed, tag, key) alone; whole arrays at once."""
-    n = int(np.prod(shape))
+def hashed_uniforms(keys: np.ndarray, seed: int, tag: int, n: int) -> np.ndarray:
+    """n numbers in (0, 1) for each 64-bit key, a function of (seed, tag, key) alone; whole arrays at once."""
     with np.errstate(over="ignore"):
         start = _scrambled(np.array([seed * 1_000_003 + tag], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         own = _scrambled(keys.astype(np.int64).view(np.uint64) ^ start)[:, None]
-        steps = np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        u = ((_scrambled(own + steps) >> np.uint64(12)).astype(float) + 0.5) / SPAN
+        steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((_scrambled(own + steps) >> np.uint64(12)).astype(float) + 0.5) / SPAN
+
+
+def hashed_normals(keys: np.ndarray, seed: int, tag: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Standard normals of a shape for each key, likewise."""
+    n = int(np.prod(shape))
+    u = hashed_uniforms(keys, seed, tag, 2 * n)
     return (np.sqrt(-2 * np.log(u[:, :n])) * np.cos(2 * math.pi * u[:, n:])).reshape(len(keys), *shape)

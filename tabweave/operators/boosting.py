@@ -121,18 +121,20 @@ class Grown:
         return [int(self.feature[at]), int(self.bin[at]), self.nested(2 * at), self.nested(2 * at + 1)]
 
 
-def histograms(trees: list[Grown], level: int, codes: np.ndarray, res: np.ndarray, bins: int) -> np.ndarray:
-    """(outputs, 2, nodes of this level, features, bins): rows, and their residuals in whole steps."""
+def histograms(trees: list[Grown], level: int, codes: np.ndarray, res: np.ndarray, bins: int, n: np.ndarray | None = None) -> np.ndarray:
+    """(outputs, 2, nodes of this level, features, bins): rows, and their residuals in whole steps. n: codes are of cells of so many rows
+    each, and res are their sums."""
     d, first = codes.shape[1], 2**level
     out = np.zeros((len(trees), 2, first, d, bins))
     for o, tree in enumerate(trees):
         node = tree.places(codes, level) - first
         live = node >= 0
         some, left = (codes, res[:, o]) if live.all() else (codes[live], res[live, o])
+        many = n if n is None or len(some) == len(codes) else n[live]
         base, left = (node if len(some) == len(codes) else node[live]) * bins, left.astype(float)
         for j in range(d):
             key = base + some[:, j]
-            out[o, 0, :, j] = np.bincount(key, minlength=first * bins).reshape(first, bins)
+            out[o, 0, :, j] = np.bincount(key, weights=many, minlength=first * bins).reshape(first, bins)
             out[o, 1, :, j] = np.bincount(key, weights=left, minlength=first * bins).reshape(first, bins)
     return out
 
@@ -145,6 +147,7 @@ class WholeTrees(TreeField):
     settle: int = 8
     unit: np.ndarray | None = None
     jobs: int = field(default=0, repr=False)
+    answers: np.ndarray | None = field(default=None, repr=False)
 
     def fit(self, df: DataFrame, id_col: str, x_cols: list[str], y_cols: list[str]) -> WholeTrees:
         table = TrainingTable.build(df, id_col, [*x_cols, *y_cols], batches=1)
@@ -181,6 +184,28 @@ class WholeTrees(TreeField):
         self.model = self._fit_here(self._codes(x).astype(np.uint8), np.rint((y - self.base) / self.unit * STEPS).astype(np.int64))
         return self
 
+    def fit_cells(self, codes: np.ndarray, n: np.ndarray, res: np.ndarray) -> WholeTrees:
+        """The same trees from cells of equal codes: their rows and sums of residuals in whole steps of the fitted unit, off the base."""
+        self.model = self._fit_here(codes, res, n)
+        return self
+
+    def cells(self) -> int:
+        return int(np.prod([len(c) + 1.0 for c in self.cuts]))
+
+    def tabulate(self) -> None:
+        """Keeps the answer of every cell of bins."""
+        codes = np.stack(np.unravel_index(np.arange(self.cells()), [len(c) + 1 for c in self.cuts]), 1)
+        self.answers = self._answers(codes)
+
+    def _answers(self, codes: np.ndarray) -> np.ndarray:
+        return np.stack([self.base[d] + self.rate * sum((self._value(t, codes) for t in own), np.zeros(len(codes))) for d, own in enumerate(self.model)], axis=1)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes = self._codes(x)
+        if self.answers is None:
+            return self._answers(codes)
+        return self.answers[np.ravel_multi_index(tuple(codes.T), [len(c) + 1 for c in self.cuts])]
+
     # what is stored
 
     def _coded(self, table: TrainingTable, features: int) -> DataFrame:
@@ -197,10 +222,10 @@ class WholeTrees(TreeField):
 
         return _stored(table.blocks.select("block", "part", "n", "x").mapInArrow(code, CODED), "codes")
 
-    def _moved(self, trees: list[Grown], codes: np.ndarray, res: np.ndarray) -> np.ndarray:
+    def _moved(self, trees: list[Grown], codes: np.ndarray, res: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
         """Residuals after a round of trees, one of each output."""
         steps = [np.rint(self.rate * t.leaf / u * STEPS).astype(np.int64) for t, u in zip(trees, self.unit)]
-        return res - np.stack([s[t.places(codes, self.depth)] for s, t in zip(steps, trees)], 1)
+        return res - np.stack([s[t.places(codes, self.depth)] for s, t in zip(steps, trees)], 1) * (1 if n is None else n[:, None])
 
     # growth
 
@@ -238,11 +263,11 @@ class WholeTrees(TreeField):
                 best, tree.feature[at], tree.bin[at] = float(gain[k]), j, k
         return tree.feature[at] >= 0
 
-    def _fit_here(self, codes: np.ndarray, res: np.ndarray) -> list[list]:
+    def _fit_here(self, codes: np.ndarray, res: np.ndarray, n: np.ndarray | None = None) -> list[list]:
         model = [[] for _ in range(res.shape[1])]
         for _ in range(self.trees):
-            grown = self._round(lambda trees, level: histograms(trees, level, codes, res, self.bins), res.shape[1])
-            res = self._moved(grown, codes, res)
+            grown = self._round(lambda trees, level: histograms(trees, level, codes, res, self.bins, n), res.shape[1])
+            res = self._moved(grown, codes, res, n)
             for own, tree in zip(model, grown):
                 own.append(tree.nested())
         return model

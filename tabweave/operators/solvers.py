@@ -1,6 +1,7 @@
 """Bridge solvers: fit(df) learns fields, sample(n, seed) makes rows by integrating them in Spark tasks.
 
-The bridge solvers and the light one learn from all rows, in stages that are stored (couplings, training rows, paths); fits that
+The bridge solvers and the light one learn from all rows. Trees and networks store the coupling alone and make training rows in the
+tasks that learn from them (bridge_fits); linear fields, and trees of more bins than a task can hold, store each stage. Fits that
 don't depend on each other (steps, features) share a job. The categorical solver still learns from a bounded sample
 of rows (chosen by a hash of the id). Sampling is map-only: noise is keyed by (seed, row), so it doesn't depend on how
 rows are partitioned, and a table of any size can be generated.
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.functions.rand import generator, hashed_normals, normal, uniform
+from tabweave.functions.rand import generator, hashed_normals, hashed_uniforms, normal, uniform
 from tabweave.operators import metrics
+from tabweave.operators.bridge_fits import blocks_of, cells_fit, fit_networks, fit_trees, key_of, tabulated, walked_blocks
 from tabweave.operators.fields import MLP, bounded_matrix, minibatches, time_features
 from tabweave.operators.process import CategoricalReference, TimeGrid, bridge_point, bridge_target
 from tabweave.operators.stages import dropped, fit_groups, matrix, spread, stored
@@ -69,6 +71,85 @@ def keyed_normals(ids: np.ndarray, seed: int, shape: tuple[int, ...]) -> np.ndar
     return out
 
 
+#: Tags of noise; what salts and places of columns are added to.
+PRIOR, TIMES, BRIDGES, PARENTS = 900_001, 1_000_000, 2_000_000, 3_000_000
+
+
+def _unstored(kind: str, plan: list, time: str, steps: int, params: dict) -> bool:
+    """Whether training rows can be made where they are learned from: networks, and trees whose cells of bins a task can hold."""
+    extra = 0 if time == "discrete" else 1
+    return kind == "mlp" or kind == "trees" and cells_fit([(len(o) + len(c) + extra, len(o)) for o, c in plan], list(range(1 if extra else steps)), params)
+
+
+def _keyed(df: DataFrame, id_col: str, cols: list[str]) -> tuple[DataFrame, float]:
+    """The rows stored as key, a0..., and a power of two near their largest value."""
+    data = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"a{j}") for j, c in enumerate(cols)]).dropna()
+    data = data.select(key_of("id").alias("key"), *[f"a{j}" for j in range(len(cols))])
+    if data.rdd.getNumPartitions() < data.sparkSession.sparkContext.defaultParallelism:
+        data = spread(data, "key")
+    table = stored(data, "bridge-data")
+    top = table.agg(*[F.max(F.abs(f"a{j}")) for j in range(len(cols))]).collect()[0]
+    return table, 2.0 ** np.ceil(np.log2(max(1.0, *[t or 0.0 for t in top])))
+
+
+def _walked_rows(table: DataFrame, walk: ImfWalk, d: int) -> DataFrame:
+    """The table with w0..., what the walk gives, in single precision."""
+    names = ["key", *[f"a{j}" for j in range(d)]]
+
+    def run(batches):
+        for b in batches:
+            w = walk(b.column("key").to_numpy(), matrix(b, names[1:])).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in names}, **{f"w{j}": pa.array(w[:, j]) for j in range(d)}})
+
+    return table.select(*names).mapInArrow(run, ", ".join([*(f"{c} double" for c in names), *(f"w{j} float" for j in range(d))]))
+
+
+@dataclass
+class ImfWalk:
+    """The other side of rows, by integrating the fields of a direction from the side that is given."""
+
+    solver: ImfSolver
+    fields: dict
+    direction: str
+    salt: int
+    seen: int = 0
+
+    def __call__(self, key: np.ndarray, a: np.ndarray) -> np.ndarray:
+        own, d = self.solver, a.shape[1]
+        self.seen += len(a) * own.steps
+        tabulated(self.fields, self.seen)
+        start = a if self.direction == "f" else hashed_normals(key, own.seed, PRIOR, (d,))
+        return own._simulate(self.fields, self.direction, start, hashed_normals(key, own.seed, self.salt, (own.steps - 1, d)))
+
+
+@dataclass
+class ImfRows:
+    """Bridge points and targets of every coupled pair, `tuples_per_row` at each step, or at as many drawn times."""
+
+    solver: ImfSolver
+    direction: str
+    salt: int
+    last: str | None
+
+    def __call__(self, key: np.ndarray, a: np.ndarray, w: np.ndarray | None, m: int):
+        own, ahead = self.solver, self.direction == "f"
+        start, end = own._pairs(self.last, key, a, w)
+        (out, ctx), discrete = own._plan()[m], own.time == "discrete"
+        reps, steps, n = own.tuples_per_row, own.steps if discrete else 1, len(key)
+        noise = np.stack([hashed_normals(key, own.seed, BRIDGES + 1000 * self.salt + j, (reps, steps)) for j in out], 3)
+        drawn = None if discrete else 1e-3 + (1 - 2e-3) * hashed_uniforms(key, own.seed, TIMES + 1000 * self.salt + m, reps)
+        known = (end if ahead else start)[:, ctx]
+        for r in range(reps):
+            for k in range(steps):
+                t = np.full(n, own.times()[k]) if discrete else drawn[:, r]
+                # near the ends the noise term is unbounded; its weight there is that of one step
+                some = (1 - t if ahead else t) > 1 / (4 * own.steps)
+                t, e, p, q = t[some, None], noise[some, r, k], start[some][:, out], end[some][:, out]
+                x = (1 - t) * p + t * q + own.sigma * np.sqrt(t * (1 - t)) * e
+                y = q - p - own.sigma * np.sqrt(t / (1 - t)) * e if ahead else p - q - own.sigma * np.sqrt((1 - t) / t) * e
+                yield k, np.concatenate([x, known[some], *own._inputs(t)], 1), y
+
+
 @dataclass
 class ImfSolver(Solver):
     """Iterative Markovian fitting. time: 'continuous' (one field on [x, t]) or 'discrete' (a field per step);
@@ -211,7 +292,53 @@ class ImfSolver(Solver):
                 out = out.withColumns(moved)
         return out.select("id", *[f"{side}{j}" for side in "ab" for j in range(d)]).select(*[c for c in ("id", *[f"{s}{j}" for s in "ab" for j in range(d)]) if c in known])
 
+    def _pairs(self, last: str | None, key: np.ndarray, a: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides of the coupling that walking the fields of `last` has made; w: the side that it made."""
+        if last == "f":
+            return a, w
+        prior = hashed_normals(key, self.seed, PRIOR, (len(self.cols),))
+        if last == "b":
+            return w, prior
+        return a, a + self.sigma * prior if self.first == "ref" else prior
+
+    def _fit_unstored(self, df: DataFrame, id_col: str) -> ImfSolver:
+        """The same stages, of which only the coupling is stored; training rows are made where they are learned from."""
+        d, groups = len(self.cols), list(range(self.steps)) if self.time == "discrete" else [0]
+        table, unit = _keyed(df, id_col, self.cols)
+        shapes = [(len(out) + len(ctx) + (0 if self.time == "discrete" else 9 if self.kind == "mlp" else 1), len(out)) for out, ctx in self._plan()]
+        per, last = len(groups) * self.tuples_per_row, None
+        if self.kind == "mlp":
+            plain = blocks_of(table, [f"a{j}" for j in range(d)], per, len(groups), self.params.get("batches", 10))
+            dropped(table)
+        for i, direction in enumerate(self.sequence):
+            before = table if self.kind == "trees" else plain
+            if last is not None:
+                walk = ImfWalk(self._bare(), self.fields[last], last, i)
+                if self.kind == "trees":
+                    before = stored(_walked_rows(table, walk, d), "imf-pairs")
+                else:
+                    before = walked_blocks(plain, walk, d)
+            rows = ImfRows(self._bare(), direction, i, last)
+            if self.kind == "trees":
+                found = fit_trees(before, d, shapes, groups, rows, self.params, unit)
+            else:
+                found = fit_networks(before, d, shapes, groups, rows, self.params, unit, per)
+            self.fields[direction] = {(m, g if self.time == "discrete" else None): own for (m, g), own in found.items()}
+            if last is not None:
+                dropped(before) if self.kind == "trees" else before.drop()
+            last = direction
+        dropped(table) if self.kind == "trees" else plain.drop()
+        return self
+
+    def _bare(self) -> ImfSolver:
+        return replace(self, fields={})
+
     def fit(self, df: DataFrame, id_col: str) -> ImfSolver:
+        if _unstored(self.kind, self._plan(), self.time, self.steps, self.params):
+            return self._fit_unstored(df, id_col)
+        return self._fit_stored(df, id_col)
+
+    def _fit_stored(self, df: DataFrame, id_col: str) -> ImfSolver:
         """Alternates three stages over all rows: couple them, fit the fields of one direction, walk along them. Each stage is stored;
         the driver holds fields only."""
         d = range(len(self.cols))
@@ -237,6 +364,35 @@ class ImfSolver(Solver):
         return self._simulate(self.fields["b"], "b", z[:, 0], z[:, 1:] if self.noise else None)
 
 
+@dataclass
+class IpfRows:
+    """The other direction's path of every row, each step back with the residual of the mean map. Backward paths start from the prior."""
+
+    solver: IpfSolver
+    fields: dict
+    direction: str
+    salt: int
+    seen: int = 0
+
+    def __call__(self, key: np.ndarray, a: np.ndarray, w: np.ndarray | None, m: int):
+        own, walk = self.solver, "f" if self.direction == "b" else "b"
+        own.fields = self.fields
+        (out, ctx), steps, one = own._plan()[m], own.grid.steps, own.time == "continuous"
+        self.seen += len(key) * steps
+        tabulated(self.fields.get(walk, {}), self.seen)
+        tag = 2 * (1000 * m + self.salt) + (walk == "f")
+        x = a[:, out] if walk == "f" else np.stack([hashed_normals(key, own.seed, PRIOR + 1000 * (1 + self.salt) + j, ()) for j in out], 1)
+        c = np.stack([a[:, j] + own.parent_noise * hashed_normals(key, own.seed, PARENTS + 1000 * m + j, ()) for j in ctx], 1) if ctx else np.zeros((len(a), 0))
+        e = hashed_normals(key, own.seed, tag, (steps, len(out)))
+        for k in range(steps) if walk == "f" else range(steps - 1, -1, -1):
+            here = own._mean(walk, m, x, c, k)
+            after = here + np.sqrt(2 * own.grid.gamma[k]) * e[:, k]
+            # the field learns to step back from `after`
+            t = [np.full((len(x), 1), own.grid.t[k])] if one else []
+            yield 0 if one else k, np.concatenate([after, c, *t], 1), here - own._mean(walk, m, after, c, k)
+            x = after
+
+
 @dataclass
 class IpfSolver(Solver):
     """Iterative proportional fitting with mean-map fields on a time grid; forward starts as an Ornstein-Uhlenbeck
@@ -310,7 +466,31 @@ class IpfSolver(Solver):
             dropped(rows)
         return found
 
+    def _fit_unstored(self, df: DataFrame, id_col: str) -> IpfSolver:
+        """The same stages with nothing stored but the rows: paths and training rows are made where they are learned from."""
+        d, groups, extra = len(self.cols), list(range(self.grid.steps)) if self.time == "discrete" else [0], 0 if self.time == "discrete" else 1
+        table, unit = _keyed(df, id_col, self.cols)
+        shapes = [(len(out) + len(ctx) + extra, len(out)) for out, ctx in self._plan()]
+        if self.kind == "mlp":
+            blocks = blocks_of(table, [f"a{j}" for j in range(d)], self.grid.steps, len(groups), self.params.get("batches", 10))
+            dropped(table)
+        for i in range(self.rounds):
+            for direction in "bf" if i + 1 < self.rounds else "b":
+                rows = IpfRows(replace(self, fields={}), self.fields, direction, i)
+                if self.kind == "trees":
+                    found = fit_trees(table, d, shapes, groups, rows, self.params, unit)
+                else:
+                    found = fit_networks(blocks, d, shapes, groups, rows, self.params, unit, self.grid.steps)
+                self.fields = self.fields | {direction: {(m, None if extra else g): own for (m, g), own in found.items()}}
+        dropped(table) if self.kind == "trees" else blocks.drop()
+        return self
+
     def fit(self, df: DataFrame, id_col: str) -> IpfSolver:
+        if _unstored(self.kind, self._plan(), self.time, self.grid.steps, self.params):
+            return self._fit_unstored(df, id_col)
+        return self._fit_stored(df, id_col)
+
+    def _fit_stored(self, df: DataFrame, id_col: str) -> IpfSolver:
         """Alternates path stages and fits over all rows; each stage is stored, the driver holds fields only."""
         data = stored(spread(df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"a{j}") for j, c in enumerate(self.cols)]).dropna(), "id"), "ipf-data")
         for i in range(self.rounds):

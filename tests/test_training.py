@@ -8,7 +8,7 @@ from tabweave.functions.rand import hashed_normals, normal
 from tabweave.operators import boosting, stages, training
 from tabweave.operators.fields import TreeField
 from tabweave.operators.process import FullLightPotential
-from tabweave.operators.solvers import ImfSolver, LightObjective, LightSolver, lower_factors
+from tabweave.operators.solvers import ImfSolver, IpfSolver, LightObjective, LightSolver, lower_factors
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,52 @@ def test_hashed_normals():
     assert z.shape == (20_000, 4, 2) and abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02
     assert np.abs(np.corrcoef(z.reshape(-1, 8).T) - np.eye(8)).max() < 0.05
     assert (hashed_normals(np.array([7]), 3, 1, (4, 2))[0] == z[7]).all() and (hashed_normals(np.array([7]), 3, 2, (4, 2))[0] != z[7]).any()
+
+
+def test_trees_of_cells_are_the_trees_of_their_rows():
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(4000, 2)), 1), rng.normal(size=(4000, 2))
+    y[:, 0] += np.sin(3 * x[:, 0])
+    rows = boosting.WholeTrees(trees=5, depth=3).fit_rows(x, y)
+    cells, place = np.unique(rows._codes(x), axis=0, return_inverse=True)
+    res = np.rint((y - rows.base) / rows.unit * boosting.STEPS).astype(np.int64)
+    sums = np.stack([np.bincount(place.ravel(), weights=r).astype(np.int64) for r in res.T], 1)
+    own = boosting.WholeTrees(trees=5, depth=3, cuts=rows.cuts, base=rows.base, unit=rows.unit)
+    own.fit_cells(cells.astype(np.uint8), np.bincount(place.ravel()), sums)
+    assert len(cells) < 3000 and own.model == rows.model
+    plain = own.predict(x)
+    own.tabulate()
+    assert (own.predict(x) == plain).all() and (plain == rows.predict(x)).all()
+
+
+def test_grid_of_cuts():
+    from tabweave.operators import bridge_fits as B
+
+    x = np.concatenate([s * np.random.default_rng(5).lognormal(0, 2, 2000) for s in (-1, 1)] + [np.array([0.0, 1.0, -1.0, 2.0**-20, 1e-30, 4095.9])])
+    place = B.on_grid(x)
+    low = B.grid_value(place)
+    assert (low <= x).all() and (np.diff(place[np.argsort(x)]) >= 0).all()
+    away = (np.abs(x) > 2.0**-19) & (np.abs(x) < 4000)
+    assert (np.abs(x - low)[away] <= np.abs(x[away]) / 128).all() and B.on_grid(np.array([1e9, -1e9])).tolist() == [B.GRID - 1, 0]
+
+
+@pytest.mark.parametrize("make", [
+    lambda: ImfSolver(["x", "w"], "mlp", "discrete", steps=3, params={"epochs": 1, "hidden": (8,)}),
+    lambda: ImfSolver(["x", "w"], "trees", "discrete", "featurewise", steps=3, tuples_per_row=2, params={"trees": 3}),
+    lambda: IpfSolver(["x", "w"], "mlp", "continuous", params={"epochs": 1, "hidden": (8,)}),
+    lambda: IpfSolver(["x", "w"], "trees", "continuous", params={"trees": 3}),
+])
+def test_bridges_store_no_training_rows(spark, table, monkeypatch, make):
+    """What is stored is the rows and, beside them, the walked side of the coupling: no row at each step."""
+    import tabweave.operators.solvers as S
+    import tabweave.operators.training as T
+
+    counts, write = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: counts.append(df.count()) or write(df, name))
+    build = T.TrainingTable.build.__func__
+    monkeypatch.setattr(T.TrainingTable, "build", classmethod(lambda cls, df, *a, **k: counts.append(df.count()) or build(cls, df, *a, **k)))
+    df = table.select("id", "x", "w")
+    a = make().fit(df, "id").generate(np.arange(40), 2)
+    assert counts and max(counts) <= df.count()
+    b = make().fit(df.repartition(7), "id").generate(np.arange(40), 2)
+    assert (a == b).all() and np.isfinite(a).all()
