@@ -190,11 +190,21 @@ class _OnBlocks:
     seed: tuple[int, ...]
     work: Callable
 
-    def __call__(self, block: int, part: int, x: bytes, w: bytes | None = None) -> list[np.ndarray]:
+    def made(self, block: int, part: int, x: bytes, w: bytes | None = None) -> tuple[np.ndarray, np.random.Generator]:
         z = np.frombuffer(x).reshape(-1, 1 + self.d)
         walked = None if w is None else np.frombuffer(w, np.float32).reshape(-1, self.d).astype(float)
         made = [np.column_stack([np.full(len(a), self.groups.index(g), float), a, b]) for g, a, b in self.rows(z[:, 0], z[:, 1:], walked, self.model)]
-        return self.work(np.concatenate(made), generator(*self.seed, block, part))
+        return np.concatenate(made), generator(*self.seed, block, part)
+
+    def __call__(self, *stored) -> list[np.ndarray]:
+        return self.work(*self.made(*stored))
+
+    @property
+    def together(self) -> int:
+        return getattr(self.work, "together", 1)
+
+    def many(self, stored: list) -> list[list[np.ndarray]]:
+        return self.work.many([self.made(*s) for s in stored])
 
 
 @dataclass
@@ -259,7 +269,7 @@ def fit_networks(table: TrainingTable, d: int, shapes: list[tuple[int, int]], gr
             for k, batch in enumerate(generator(p["seed"], epoch).permutation(table.batches)):
                 left = 1 - (epoch * table.batches + k) / (p["epochs"] * table.batches)
                 step = Step(LocalSteps(n, inputs, mean, std, share, p["rate"] * left, small), weights)
-                out = over(_Stepped(step), (p["seed"], epoch), int(batch) if table.batches > 1 else None)
+                out = over(step, (p["seed"], epoch), int(batch) if table.batches > 1 else None)
                 if not out:
                     continue
                 for w, moved in zip(weights, out[1:]):
@@ -267,10 +277,3 @@ def fit_networks(table: TrainingTable, d: int, shapes: list[tuple[int, int]], gr
         found |= {(m, g): GroupNet(net, mean[k], std[k], inputs) for k, (g, net) in enumerate(zip(groups, nets))}
     return found
 
-
-@dataclass
-class _Stepped:
-    step: Step
-
-    def __call__(self, x: np.ndarray, rng) -> list[np.ndarray]:
-        return self.step(x, rng)

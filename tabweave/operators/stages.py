@@ -136,26 +136,85 @@ class LocalSteps:
     rate: float
     small: int = 16
 
+    @property
+    def together(self) -> int:
+        """Blocks at a time: so that about as many networks as a core's cache holds take steps side by side."""
+        return max(1, 48 // self.groups)
+
     def __call__(self, params: list[np.ndarray], x: np.ndarray, rng) -> tuple[float, list[np.ndarray]]:
-        per, loss = len(params) // self.groups, 0.0
-        moved = [np.zeros_like(p) for p in params]
-        for g in np.unique(x[:, 0]).astype(int):
-            z = (x[x[:, 0] == g, 1:] - self.mean[g]) / self.std[g]
-            z = z[rng.permutation(len(z))]
-            own = [p.copy() for p in params[g * per : (g + 1) * per]]
-            for lo in range(0, len(z), self.small):
-                part = z[lo : lo + self.small]
-                net = MLP.of(own)
-                out, kept = net.forward(part[:, : self.inputs])
-                off = out - part[:, self.inputs :]
-                loss += float((off * off).mean(1).sum())
-                grads = net.backward(kept, 2 * off / off.size)
-                norm = np.sqrt(sum((d * d).sum() for d in grads))
-                for p, d in zip(own, grads):
-                    p -= self.rate * min(1.0, 1 / (norm + 1e-12)) * d
-            for k, p in enumerate(own):
-                moved[g * per + k] = (params[g * per + k] - p) * len(z) / self.share[g]
-        return loss, moved
+        return self.many(params, [(x, rng)])[0]
+
+    def many(self, params: list[np.ndarray], blocks: list) -> list[tuple[float, list[np.ndarray]]]:
+        """The same of several blocks (rows, rng), whose groups take their steps side by side; a block's result doesn't depend on those
+        beside it: each has its own products, of `small` rows whatever is left (rows that aren't there have no error)."""
+        per, lanes = len(params) // self.groups, []
+        for i, (x, rng) in enumerate(blocks):
+            for g in np.unique(x[:, 0]).astype(int):
+                z = (x[x[:, 0] == g, 1:] - self.mean[g]) / self.std[g]
+                lanes.append((i, g, z[rng.permutation(len(z))]))
+        found = [(0.0, [np.zeros_like(p) for p in params]) for _ in blocks]
+        if not lanes:
+            return found
+        lanes.sort(key=lambda lane: -len(lane[2]))  # those that still have rows come first
+        rows = np.array([len(z) for _, _, z in lanes])
+        most, outputs = -(-rows[0] // self.small), lanes[0][2].shape[1] - self.inputs
+        data = np.zeros((len(lanes), most * self.small, self.inputs + outputs))
+        for j, (_, _, z) in enumerate(lanes):
+            data[j, : len(z)] = z
+        own = [np.stack([params[g * per + k] for _, g, _ in lanes]) for k in range(per)]
+        loss = np.zeros(len(lanes))
+        for lo in range(0, rows[0], self.small):
+            live = int((rows > lo).sum())
+            part, some = data[:live, lo : lo + self.small], np.minimum(rows[:live] - lo, self.small)
+            now = [p[:live] for p in own]
+            out, kept = _forward(now, np.ascontiguousarray(part[:, :, : self.inputs]))
+            off = out - part[:, :, self.inputs :]
+            for j in np.flatnonzero(some < self.small):
+                off[j, some[j] :] = 0
+            loss[:live] += (off * off).sum((1, 2)) / outputs
+            grads = _backward(now, kept, off * (2 / (some * outputs))[:, None, None])
+            norm = np.sqrt(sum(np.einsum("li,li->l", d.reshape(live, -1), d.reshape(live, -1)) for d in grads))
+            rate = self.rate * np.minimum(1.0, 1 / (norm + 1e-12))
+            for p, d in zip(now, grads):
+                d *= rate.reshape(-1, *[1] * (d.ndim - 1))
+                p -= d
+        total = [r[0] for r in found]
+        for j, (i, g, z) in enumerate(lanes):
+            total[i] += loss[j]
+            for k in range(per):
+                found[i][1][g * per + k] = (params[g * per + k] - own[k][j]) * len(z) / self.share[g]
+        return [(float(t), moved) for t, (_, moved) in zip(total, found)]
+
+
+def _forward(params: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list]:
+    """MLP.forward of many networks, (networks, rows, columns)."""
+    kept, layers = [], len(params) // 2
+    with np.errstate(over="ignore"):
+        for i in range(layers):
+            z = x @ params[2 * i]
+            z += params[2 * i + 1][:, None]
+            if i == layers - 1:
+                kept.append((x, None))
+                return z, kept
+            s = np.exp(-z)
+            s += 1
+            np.reciprocal(s, out=s)
+            z *= s
+            kept.append((x, s + z * (1 - s)))
+            x = z
+
+
+def _backward(params: list[np.ndarray], kept: list, g: np.ndarray) -> list[np.ndarray]:
+    """MLP.backward of many networks, in the order of params."""
+    out: list[np.ndarray] = []
+    for i in range(len(kept) - 1, -1, -1):
+        x, slope = kept[i]
+        if slope is not None:
+            g = g * slope
+        out += [g.sum(1), np.swapaxes(x, 1, 2) @ g]
+        if i:
+            g = g @ np.swapaxes(params[2 * i], 1, 2)
+    return out[::-1]
 
 
 @dataclass

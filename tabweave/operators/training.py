@@ -13,8 +13,9 @@ weights for any partitioning, retry or number of executors.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +111,8 @@ class TrainingTable:
         def run(batches):
             total, shapes = None, None
             for b in batches:
-                for row in zip(*(b.column(c).to_pylist() for c in columns)):
-                    out = [np.asarray(a, float) for a in work(*row)]
+                for out in _worked(work, zip(*(b.column(c).to_pylist() for c in columns))):
+                    out = [np.asarray(a, float) for a in out]
                     shapes = [tuple(int(k) for k in a.shape) for a in out]
                     whole = to_whole(np.concatenate([a.ravel() for a in out]))
                     total = whole if total is None else total + whole
@@ -157,14 +158,34 @@ class TrainingTable:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _worked(work: Callable, rows: Iterable):
+    """What work gives for each row: one at a time, or, where it has many(rows), several side by side."""
+    if getattr(work, "together", 1) == 1:
+        yield from (work(*r) for r in rows)
+        return
+    rows = iter(rows)
+    while some := list(islice(rows, work.together)):
+        yield from work.many(some)
+
+
 @dataclass
 class _OnRows:
     work: Callable
     seed: tuple[int, ...]
     width: int
 
-    def __call__(self, block: int, part: int, x: bytes) -> list[np.ndarray]:
-        return self.work(np.frombuffer(x).reshape(-1, self.width), generator(*self.seed, block, part))
+    def made(self, block: int, part: int, x: bytes) -> tuple[np.ndarray, np.random.Generator]:
+        return np.frombuffer(x).reshape(-1, self.width), generator(*self.seed, block, part)
+
+    def __call__(self, *stored) -> list[np.ndarray]:
+        return self.work(*self.made(*stored))
+
+    @property
+    def together(self) -> int:
+        return getattr(self.work, "together", 1)
+
+    def many(self, stored: list) -> list[list[np.ndarray]]:
+        return self.work.many([self.made(*s) for s in stored])
 
 
 def _largest(d: int):
@@ -197,6 +218,13 @@ class Step:
         loss, grads = self.gradients(self.params, x, rng)
         return [np.array([len(x), loss]), *grads]
 
+    @property
+    def together(self) -> int:
+        return getattr(self.gradients, "together", 1)
+
+    def many(self, blocks: list) -> list[list[np.ndarray]]:
+        return [[np.array([len(x), loss]), *grads] for (x, _), (loss, grads) in zip(blocks, self.gradients.many(self.params, blocks))]
+
 
 def train(table: TrainingTable, params: list[np.ndarray], gradients: Callable, epochs: int, rate: float = 2e-3, decay: float = 0.0, clip: float | None = 1.0, seed: int = 0, anneal: bool = False, average: float | None = None, betas: tuple[float, float] = (0.9, 0.999)) -> list[float]:
     """Changes params in place; the mean loss of each epoch is returned. gradients(params, x, rng) gives the sums of the loss and

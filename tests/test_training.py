@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.rand import hashed_normals, normal
 from tabweave.operators import boosting, stages, training
-from tabweave.operators.fields import TreeField
+from tabweave.operators.fields import MLP, TreeField
 from tabweave.operators.process import FullLightPotential
 from tabweave.operators.solvers import ImfSolver, IpfSolver, LightObjective, LightSolver, lower_factors
 
@@ -206,3 +206,33 @@ def test_bridges_store_no_training_rows(spark, table, monkeypatch, make):
     assert counts and max(counts) <= df.count()
     b = make().fit(df.repartition(7), "id").generate(np.arange(40), 2)
     assert (a == b).all() and np.isfinite(a).all()
+
+
+def test_networks_take_their_steps_side_by_side():
+    """A block's moves are those of its own steps of `small` rows, one network after the other, whatever blocks are beside it."""
+    rng = np.random.default_rng(6)
+    sizes, blocks = (50, 3, 0, 131), []
+    for n in sizes:
+        blocks.append(np.column_stack([rng.integers(0, 2, n).astype(float), rng.normal(size=(n, 5))]))
+    params = [w for g in range(2) for w in MLP([3, 8, 8, 2], g).params()]
+    own = stages.LocalSteps(2, 3, rng.normal(size=(2, 5)), 1 + rng.uniform(size=(2, 5)), np.array([0.4, 0.6]), 0.1)
+    some = [(x, np.random.default_rng(i)) for i, x in enumerate(blocks)]
+    beside = own.many(params, some)
+    for i, x in enumerate(blocks):
+        loss, moved = own(params, x, np.random.default_rng(i))
+        assert loss == beside[i][0] and all((a == b).all() for a, b in zip(moved, beside[i][1]))
+        draw, total = np.random.default_rng(i), 0.0
+        for g in np.unique(x[:, 0]).astype(int):
+            z = (x[x[:, 0] == g, 1:] - own.mean[g]) / own.std[g]
+            z, w = z[draw.permutation(len(z))], [p.copy() for p in params[6 * g : 6 * g + 6]]
+            for lo in range(0, len(z), own.small):
+                net, part = MLP.of(w), z[lo : lo + own.small]
+                out, kept = net.forward(part[:, :3])
+                off = out - part[:, 3:]
+                total += (off * off).mean(1).sum()
+                grads = net.backward(kept, 2 * off / off.size)
+                for p, d in zip(w, grads):
+                    p -= own.rate * min(1.0, 1 / np.sqrt(sum((e * e).sum() for e in grads))) * d
+            for k, p in enumerate(w):
+                assert moved[6 * g + k] == pytest.approx((params[6 * g + k] - p) * len(z) / own.share[g], abs=1e-9)
+        assert loss == pytest.approx(total)
