@@ -425,12 +425,12 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
     nodes = sketched.groupBy("digest").agg(keep, F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "n_words")).alias("held"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "keep", "copies", "held.*"), "near-nodes")
-    shared = nodes.select(F.explode("keys").alias("key"), "node", F.col("n_words").cast("int").alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = nodes.select(F.explode("keys").alias("key"), "node", F.col("n_words").cast("int").alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.min_by("n", "node").alias("n_lead"), F.min("n").alias("least"), F.max("n").alias("most"))
     # two texts that meet by chance mostly differ in length beyond any link: their key goes before anything is joined by it
     may_link_ = (F.col("size") > 2) | (F.col("most") - F.col("least") <= F.floor((1 - p.similarity) * F.col("most") + 1e-9))
     discard(sketched)
     release_shuffles(spark)
-    shared = stored(shared.filter((F.col("size") > 1) & may_link_).select("key", "size", "lead"), "near-shared")
+    shared = stored(shared.filter((F.col("size") > 1) & may_link_).select("key", "size", "lead", "n_lead"), "near-shared")
     held_by_two = BloomFilter(shared, "key", shared.count()).tester()
 
     def members_of(batches):
@@ -439,10 +439,13 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
             keys = batch.column("keys").flatten().to_numpy().astype(np.int64)
             owner = np.repeat(batch.column("node").to_numpy(), np.diff(batch.column("keys").offsets.to_numpy()))
             hit = held_by_two(keys)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[hit]), "node": pa.array(owner[hit])})
+            n = np.repeat(batch.column("n_words").to_numpy(), np.diff(batch.column("keys").offsets.to_numpy()))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[hit]), "node": pa.array(owner[hit]), "n_words": pa.array(n[hit])})
 
-    routed = nodes.select("node", "keys").mapInArrow(members_of, "key bigint, node bigint")
-    members = stored(routed.join(shared, "key"), "near-members")
+    # lengths travel with the members, so that pairs are settled by them before they are joined with anything
+    routed = nodes.select("node", "keys", "n_words").mapInArrow(members_of, "key bigint, node bigint, n_words bigint")
+    members = stored(routed.join(shared.select("key", "lead", "n_lead"), "key"), "near-members")
+    release_shuffles(spark)
     wanted = members.select("node").distinct().join(nodes.select("node", "digest", "n_words"), "node")
     wanted = stored(wanted.withColumn("k64", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "near-wanted")
     route = BloomFilter(wanted, "k64", wanted.count()).tester()
@@ -477,18 +480,19 @@ def _class_rows(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     side = lambda n, of, short: texts.select(F.col("node").alias(n), F.col(of).alias(f"{short}_{n}"))
-    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n_lead").cast("bigint").alias("n_a"), F.col("n_words").alias("n_b"))
     # by length, then by word counts, then by alignment: what each step reads of the texts grows, and fewer pairs are left
     limit = F.floor((1 - p.similarity) * F.greatest("n_a", "n_b") + 1e-9)
-    pairs = pairs.join(side("b", "n_words", "n"), "b").join(side("a", "n_words", "n"), "a").filter(F.abs(F.col("n_a") - F.col("n_b")) <= limit)
+    pairs = pairs.filter(F.abs(F.col("n_a") - F.col("n_b")) <= limit).distinct()
     pairs = stored(pairs.join(side("a", "bins", "bins"), "a").join(side("b", "bins", "bins"), "b").mapInArrow(possible, "a bigint, b bigint"), "near-pairs")
+    release_shuffles(spark)
     links = pairs.join(side("b", "words", "words"), "b").join(side("a", "words", "words"), "a").select("a", "b", "words_a", "words_b")
     links = stored(links.mapInArrow(verify, "a bigint, b bigint"), "near-links")
     release_shuffles(spark)
     first = components(links)
 
     # buckets that still hold several components
-    placed = members.select("key", "node").join(first, "node", "left").join(texts.select("node", "n_words"), "node")
+    placed = members.select("key", "node", "n_words").join(first, "node", "left")
     placed = stored(placed.select("key", "node", "n_words", F.coalesce("root", "node").alias("root")), "near-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("weight")).filter("lo < hi")
     mixed = stored(placed.join(mixed.select("key", "size", "weight"), "key"), "near-mixed")

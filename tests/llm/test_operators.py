@@ -511,6 +511,27 @@ def test_near_dedup_finds_links_at_the_bound(spark):
     assert all(ok or sum(same[k]) == 1 for k, ok in zip(order, some))
 
 
+def test_near_dedup_settles_lengths_before_any_join(spark, monkeypatch):
+    """Members carry both lengths, so pairs that they rule out meet no join: what is left is joined with bins alone, twice."""
+    plans, rows, write = {}, {}, near_dedup.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        rows[name] = out = write(df, name)
+        if name == "near-members":
+            rows[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 40))) for _ in range(200)]
+    df = spark.createDataFrame([*enumerate(texts), (200, texts[0] + " z")], DOCS)
+    assert near_dedup.near_dedup(df).count() == 201
+    n = {r.node: r.n_words for r in rows["near-members"]}
+    assert len(n) > 1 and all(r.n_lead == n[r.lead] for r in rows["near-members"] if r.lead in n)
+    assert plans["near-pairs"].count("Join ") == 2 and plans["near-placed"].count("Join ") == 1
+
+
 def test_near_dedup_goes_by_row(spark):
     """Against all pairs on 500 texts whose ids repeat; a row goes for what it is, not for its id."""
     rnd, rows = random.Random(21), []
