@@ -109,25 +109,28 @@ class Grown:
     def places(self, codes: np.ndarray, level: int) -> np.ndarray:
         """The node of each row, after at most `level` splits."""
         at = np.ones(len(codes), np.int64)
-        rows = np.arange(len(codes))
         for _ in range(level):
-            f = self.feature[at]
-            at = np.where(f >= 0, 2 * at + (codes[rows, f] > self.bin[at]), at)
+            at = self.below(codes, at)
         return at
 
+    def below(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The nodes of rows a level below the nodes `at`; a leaf stays."""
+        f = self.feature[at]
+        return np.where(f >= 0, 2 * at + (codes[np.arange(len(codes)), f] > self.bin[at]), at)
+
     def nested(self, at: int = 1):
         if self.feature[at] < 0:
             return float(self.leaf[at])
         return [int(self.feature[at]), int(self.bin[at]), self.nested(2 * at), self.nested(2 * at + 1)]
 
 
-def histograms(trees: list[Grown], level: int, codes: np.ndarray, res: np.ndarray, bins: int, n: np.ndarray | None = None) -> np.ndarray:
+def histograms(trees: list[Grown], level: int, codes: np.ndarray, res: np.ndarray, bins: int, n: np.ndarray | None = None, at: list[np.ndarray] | None = None) -> np.ndarray:
     """(outputs, 2, nodes of this level, features, bins): rows, and their residuals in whole steps. n: codes are of cells of so many rows
-    each, and res are their sums."""
+    each, and res are their sums. at: the nodes of rows in each tree, where they are known."""
     d, first = codes.shape[1], 2**level
     out = np.zeros((len(trees), 2, first, d, bins))
     for o, tree in enumerate(trees):
-        node = tree.places(codes, level) - first
+        node = (tree.places(codes, level) if at is None else at[o]) - first
         live = node >= 0
         some, left = (codes, res[:, o]) if live.all() else (codes[live], res[live, o])
         many = n if n is None or len(some) == len(codes) else n[live]
@@ -193,9 +196,24 @@ class WholeTrees(TreeField):
         return int(np.prod([len(c) + 1.0 for c in self.cuts]))
 
     def tabulate(self) -> None:
-        """Keeps the answer of every cell of bins."""
-        codes = np.stack(np.unravel_index(np.arange(self.cells()), [len(c) + 1 for c in self.cuts]), 1)
-        self.answers = self._answers(codes)
+        """Keeps the answer of every cell of bins. A leaf is a box of cells, so a tree costs one addition a cell."""
+        shape = [len(c) + 1 for c in self.cuts]
+        total = np.zeros((len(self.model), *shape))
+
+        def add(box: np.ndarray, tree, low: list[int]) -> None:
+            if not isinstance(tree, list):
+                box += tree
+                return
+            j, k, a, b = tree
+            cut = min(max(k + 1 - low[j], 0), box.shape[j])
+            at = (slice(None),) * j
+            add(box[(*at, slice(cut))], a, low)
+            add(box[(*at, slice(cut, None))], b, [x + cut * (i == j) for i, x in enumerate(low)])
+
+        for box, own in zip(total, self.model):
+            for tree in own:
+                add(box, tree, [0] * len(shape))
+        self.answers = np.ascontiguousarray((self.base[:, None] + self.rate * total.reshape(len(total), -1)).T)
 
     def _answers(self, codes: np.ndarray) -> np.ndarray:
         return np.stack([self.base[d] + self.rate * sum((self._value(t, codes) for t in own), np.zeros(len(codes))) for d, own in enumerate(self.model)], axis=1)
@@ -265,8 +283,15 @@ class WholeTrees(TreeField):
 
     def _fit_here(self, codes: np.ndarray, res: np.ndarray, n: np.ndarray | None = None) -> list[list]:
         model = [[] for _ in range(res.shape[1])]
+        at: list[np.ndarray] = []
+
+        def sums(trees: list[Grown], level: int) -> np.ndarray:
+            at[:] = [t.below(codes, a) for t, a in zip(trees, at)] if level else [np.ones(len(codes), np.int64)] * len(trees)
+            # leaves take sums alone, which every feature gives
+            return histograms(trees, level, codes if level < self.depth else codes[:, :1], res, self.bins, n, at)
+
         for _ in range(self.trees):
-            grown = self._round(lambda trees, level: histograms(trees, level, codes, res, self.bins, n), res.shape[1])
+            grown = self._round(sums, res.shape[1])
             res = self._moved(grown, codes, res, n)
             for own, tree in zip(model, grown):
                 own.append(tree.nested())

@@ -89,6 +89,29 @@ class _Found:
         return np.concatenate([self.counts.ravel(), self.sums, self.top.view(np.int64)]).tobytes()
 
 
+class _Cells:
+    """Rows of each cell, and sums of their whole-number targets. Rows are kept back until there are many, as adding them reads every cell."""
+
+    def __init__(self, cells: int, outputs: int):
+        self.sums, self.most = np.zeros((1 + outputs, cells), np.int64), min(cells, 1 << 18)
+        self.waiting, self.rows = [], 0
+
+    def add(self, place: np.ndarray, res: np.ndarray) -> None:
+        self.waiting.append((place, res))
+        self.rows += len(place)
+        if self.rows >= self.most:
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.rows:
+            place, res = np.concatenate([p for p, _ in self.waiting]), np.concatenate([r for _, r in self.waiting])
+            self.sums[0] += np.bincount(place, minlength=self.sums.shape[1])
+            for o in range(res.shape[1]):  # whole numbers, whose sums are below 2**53
+                self.sums[1 + o] += np.bincount(place, weights=res[:, o], minlength=self.sums.shape[1]).astype(np.int64)
+            self.waiting, self.rows = [], 0
+        return self.sums
+
+
 def _added(parts: list[bytes], outputs: int) -> bytes:
     rows = np.stack([np.frombuffer(p, np.int64) for p in parts])
     return np.concatenate([rows[:, :-outputs].sum(0), rows[:, -outputs:].view(float).max(0).view(np.int64)]).tobytes()
@@ -99,9 +122,10 @@ def cells_fit(shapes: list[tuple[int, int]], groups: list[int], params: dict) ->
 
 
 def tabulated(fields: dict, seen: int) -> None:
-    """Trees answer from a table of all their cells once so many rows have been asked for that it pays."""
+    """Trees answer from a table of all their cells once so many rows have been asked for that it pays: a cell costs an addition a tree,
+    a row a walk down each."""
     for own in fields.values():
-        if isinstance(own, WholeTrees) and own.answers is None and own.cells() <= min(seen, MOST_SUMS):
+        if isinstance(own, WholeTrees) and own.answers is None and own.cells() <= min(64 * seen, MOST_SUMS):
             own.tabulate()
 
 
@@ -145,7 +169,7 @@ def fit_trees(table: DataFrame, d: int, shapes: list[tuple[int, int]], groups: l
     known = spark.sparkContext.broadcast(fields)
 
     def add_up(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, _Cells] = {}
         for key, a, w in _batches(batches, d):
             for m, (features, outs) in enumerate(shapes):
                 for g, x, y in shared.value(key, a, w, m):
@@ -153,11 +177,10 @@ def fit_trees(table: DataFrame, d: int, shapes: list[tuple[int, int]], groups: l
                     own = known.value[q]
                     place = np.ravel_multi_index(tuple(own._codes(x).T), (own.bins,) * features)
                     res = np.rint((y - own.base) / own.unit * STEPS)
-                    cells = held.setdefault(q, np.zeros((1 + outs, own.bins**features), np.int64))
-                    cells[0] += np.bincount(place, minlength=cells.shape[1])
-                    for o in range(outs):  # whole numbers below 2**53
-                        cells[1 + o] += np.bincount(place, weights=res[:, o], minlength=cells.shape[1]).astype(np.int64)
-        for q, cells in held.items():
+                    if q not in held:
+                        held[q] = _Cells(own.bins**features, outs)
+                    held[q].add(place, res)
+        for q, cells in ((q, c.all()) for q, c in held.items()):
             used = np.flatnonzero(cells[0])
             for lo in range(0, len(used), 10_000):
                 part = used[lo : lo + 10_000]

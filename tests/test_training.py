@@ -236,3 +236,28 @@ def test_networks_take_their_steps_side_by_side():
             for k, p in enumerate(w):
                 assert moved[6 * g + k] == pytest.approx((params[6 * g + k] - p) * len(z) / own.share[g], abs=1e-9)
         assert loss == pytest.approx(total)
+
+
+def test_tables_of_cells_and_their_sums():
+    """A table of all cells takes no walk down any tree, and sums of cells read them once for many rows."""
+    from tabweave.operators import bridge_fits as B
+
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=2000), rng.integers(0, 4, 2000), rng.normal(size=2000)])
+    own = boosting.WholeTrees(trees=6, depth=4).fit_rows(x, np.column_stack([np.sin(2 * x[:, 0]) * x[:, 1], x[:, 2]]))
+    at = np.concatenate([x, rng.normal(size=(500, 3)) * 5])
+    walked, walk = own.predict(at), own._value
+    own._value = lambda *a: pytest.fail("walked")
+    own.tabulate()
+    assert own.answers.shape == (own.cells(), 2) and (own.predict(at) == walked).all()
+    own._value = walk
+    cells = B._Cells(1000, 2)
+    parts = [(rng.integers(0, 1000, n), rng.integers(-(2**30), 2**30, (n, 2)).astype(float)) for n in (10, 700, 400, 3, 0)]
+    seen = []
+    for place, res in parts:
+        cells.add(place, res)
+        seen.append(cells.rows)
+    assert seen == [10, 710, 0, 3, 3]
+    place, res = np.concatenate([p for p, _ in parts]), np.concatenate([r for _, r in parts])
+    for got, weights in zip(cells.all(), (None, *res.T)):
+        assert (got == np.bincount(place, weights, 1000)).all()
