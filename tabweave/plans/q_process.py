@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabweave.functions import scalars
 from tabweave.functions.rand import normal, uniform
 from tabweave.operators import process as P
+from tabweave.operators.stages import spread
 from tabweave.plans.q_transforms import r
 from tabweave.sources.readers import table
 
@@ -73,9 +74,10 @@ def first_coupling_ind(spark, d):
 
 
 def euler_ou_path(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("x"))
+    c = spread(table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("x")), "c_custkey")
     path = P.euler_path(c, "c_custkey", "x", lambda x, k: -x, GRID, 1.0, 8)
-    return path.select("c_custkey", F.posexplode("path").alias("step", "x")).select("c_custkey", "step", r("x", "x"))
+    # outer: a path is never empty, and the filter that Spark puts before a plain posexplode would hold every step twice in the next
+    return path.select("c_custkey", F.posexplode_outer("path").alias("step", "x")).select("c_custkey", "step", r("x", "x"))
 
 
 def euler_mean_path_backward(spark, d):

@@ -139,3 +139,13 @@ def test_coupling_keeps_every_row(spark):
     assert sorted(r.k for r in out) == list(range(50)) and {r.k_prior for r in out} == set(range(7))
     with pytest.raises(ValueError):
         independent_coupling(df, few.filter("k < 0"), "k", 3)
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_noise_of_a_path_stands_once_in_its_plan(spark, sf):
+    from tabweave.plans.q_process import QUERIES
+
+    assert optimized(QUERIES["euler_ou_path"](spark, sf)).count("md5(") == 10
