@@ -202,6 +202,12 @@ def bound_once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def shares(weights: Column) -> Column:
+    """An array of weights over their sum."""
+    total = lambda w: F.greatest(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), F.lit(1e-30))
+    return bound_once(weights, lambda w: bound_once(total(w), lambda t: F.transform(w, lambda x: x / t)))
+
+
 def csbm_terms(column: CategoricalColumn, n: Column, direction: str) -> tuple[Column, Column]:
     """(KL of the bridge's step against the model's, cross entropy of the end) of a row. Forward steps go to the state at n + 1
     and the logits are of the last state, backward ones to n - 1 and of the first."""
@@ -214,8 +220,7 @@ def csbm_terms(column: CategoricalColumn, n: Column, direction: str) -> tuple[Co
         return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
 
     target = ref.next_given_prev(column.state, column.true, n) if forward else ref.prev_given_next(column.true, column.state, n)
-    model = bound_once(column.logits, lambda g: bound_once(F.transform(g, lambda x: F.exp(x - F.array_max(g))), lambda e: bound_once(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))))
-    step = bound_once(model, lambda p: ref.model_next(column.state, p, n) if forward else ref.model_prev(column.state, p, n))
+    step = bound_once(softmax(column.logits), lambda p: ref.model_next(column.state, p, n) if forward else ref.model_prev(column.state, p, n))
     kl = bound_once(step, lambda m: divergence(m, target))
     log_sum = bound_once(F.array_max(column.logits), lambda top: top + F.ln(F.aggregate(column.logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
     return kl, log_sum - F.element_at(column.logits, column.true + 1)
@@ -266,9 +271,7 @@ class CategoricalReference:
         return F.element_at(flat, (k * self.states + i) * self.states + j + 1)
 
     def _normalised(self, weight) -> Column:
-        w = F.array(*[weight(F.lit(s)) for s in range(self.states)])
-        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(w, lambda x: x / F.greatest(total, F.lit(1e-30)))
+        return shares(F.array(*[weight(F.lit(s)) for s in range(self.states)]))
 
     def bridge(self, x0: Column, x1: Column, t: Column) -> Column:
         """Probabilities of the state at step t between x0 at step 0 and x1 at the last step."""
@@ -294,9 +297,7 @@ class CategoricalReference:
     def _averaged(self, weights: Column, norm, near, far) -> Column:
         every = F.sequence(F.lit(0), F.lit(self.states - 1))
         share = F.transform(every, lambda e: F.element_at(weights, e + 1) / F.greatest(norm(e), F.lit(1e-30)))
-        raw = F.transform(every, lambda s: near(s) * F.aggregate(every, F.lit(0.0), lambda acc, e: acc + F.element_at(share, e + 1) * far(s, e)))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(raw, lambda x: x / F.greatest(total, F.lit(1e-30)))
+        return bound_once(share, lambda own: shares(F.transform(every, lambda s: near(s) * F.aggregate(every, F.lit(0.0), lambda acc, e: acc + F.element_at(own, e + 1) * far(s, e)))))
 
 
 def draw(probs: Column, u: Column) -> Column:
@@ -307,8 +308,8 @@ def draw(probs: Column, u: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    e = bound_once(logits, lambda g: bound_once(F.array_max(g), lambda top: F.transform(g, lambda x: F.exp(x - top))))
+    return bound_once(e, lambda w: bound_once(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def gumbel_argmax(df: DataFrame, id_col: str, cat_col: str, logit: str, seed: str | int) -> DataFrame:

@@ -120,7 +120,7 @@ def ordered_kernel(spark, d):
 
 
 def _states(spark, d, probs):
-    return _orders(spark, d).select("o_orderkey", F.posexplode(probs).alias("state", "p")).select("o_orderkey", "state", r("p", "p"))
+    return _orders(spark, d).select("o_orderkey", F.posexplode_outer(probs).alias("state", "p")).select("o_orderkey", "state", r("p", "p"))
 
 
 def categorical_bridge(spark, d):

@@ -149,3 +149,11 @@ def test_noise_of_a_path_stands_once_in_its_plan(spark, sf):
     from tabweave.plans.q_process import QUERIES
 
     assert optimized(QUERIES["euler_ou_path"](spark, sf)).count("md5(") == 10
+
+
+def test_kernel_weights_stand_once(spark):
+    ref, df = P.CategoricalReference(4, 6, 0.2), spark.range(3).selectExpr("cast(id as int) a", "cast(id + 1 as int) b", "array(0.1D * id, 0.2D, 0.3D, 0.4D) w")
+    assert optimized(df.select(ref.next_given_prev(F.col("a"), F.col("b"), F.lit(2)).alias("p"))).count("CASE WHEN") == 8
+    # the normaliser, the near kernel and the far one
+    assert optimized(df.select(ref.model_next(F.col("a"), F.col("w"), F.lit(2)).alias("p"))).count("CASE WHEN") == 3
+    assert optimized(df.select(P.softmax(F.col("w")).alias("p"))).count("exp(") == 1
