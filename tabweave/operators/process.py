@@ -281,6 +281,19 @@ class CategoricalReference:
         """Of the state at step n + 1, given that at n and the last one."""
         return self._normalised(lambda s: self._entry(F.lit(1), xt, s) * self._entry(F.lit(self.steps - 1) - n, s, x1))
 
+    def next_drawn(self, xt: Column, x1: Column, n: int, u: Column) -> Column:
+        """A draw by next_given_prev at a step known beforehand. Its running sums are constants of (xt, x1) then, and a row looks up its
+        own; a value that is no state equals none, as in the closed form."""
+        if self.kind != "uniform" or not 2 <= self.states <= 16:
+            return draw(self.next_given_prev(xt, x1, F.lit(n)), u)
+        near, far = (np.vstack([m, np.full(self.states, m[0, 1])]) for m in (uniform_matrix(self.states, self.alpha, k) for k in (1, self.steps - 1 - n)))
+        w = near[:, None] * far
+        upto = np.cumsum(w / np.maximum(np.cumsum(w, 2)[:, :, -1:], 1e-30), 2)
+        place = lambda x: F.when((x >= 0) & (x < self.states), x).otherwise(self.states)
+        at = place(xt) * (self.states + 1) + place(x1) + 1
+        below = [(F.element_at(F.array(*[F.lit(float(v)) for v in upto[:, :, s].ravel()]), at) < u).cast("int") for s in range(self.states - 1)]
+        return sum(below[1:], below[0])
+
     def prev_given_next(self, x0: Column, xt: Column, n: Column) -> Column:
         """Of the state at step n - 1, given the first one and that at n."""
         return self._normalised(lambda s: self._entry(n - 1, x0, s) * self._entry(F.lit(1), s, xt))

@@ -153,9 +153,9 @@ def categorical_new_alpha(spark, d):
 
 def categorical_path(spark, d):
     """A path of the reference from its start to its end: each step is drawn given the state before and the end."""
-    o = _orders(spark, d).withColumn("s0", F.col("code"))
+    o = spread(_orders(spark, d).select("o_orderkey", "code", "other"), "o_orderkey").withColumn("s0", F.col("code"))
     for n in range(REF.steps):
-        o = o.withColumn(f"s{n + 1}", P.draw(REF.next_given_prev(F.col(f"s{n}"), F.col("other"), F.lit(n)), uniform(f"path{n}", F.col("o_orderkey"))))
+        o = o.withColumn(f"s{n + 1}", REF.next_drawn(F.col(f"s{n}"), F.col("other"), n, uniform(f"path{n}", F.col("o_orderkey"))))
     return o.select("o_orderkey", *[f"s{n}" for n in range(REF.steps + 1)], "other")
 
 

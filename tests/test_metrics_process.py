@@ -157,3 +157,14 @@ def test_kernel_weights_stand_once(spark):
     # the normaliser, the near kernel and the far one
     assert optimized(df.select(ref.model_next(F.col("a"), F.col("w"), F.lit(2)).alias("p"))).count("CASE WHEN") == 3
     assert optimized(df.select(P.softmax(F.col("w")).alias("p"))).count("exp(") == 1
+
+
+def test_draws_at_a_fixed_step_are_those_of_its_probabilities(spark):
+    values = F.array(*[F.lit(x) for x in (None, -1, 0, 1, 2, 3, 4)])
+    rows = spark.range(20).select("id", F.explode(values).alias("a")).select("id", "a", F.explode(values).alias("b")).withColumn("u", uniform("u", F.col("id"), F.coalesce("a", F.lit(9)), F.coalesce("b", F.lit(9))))
+    for states, steps, kind in ((4, 5, "uniform"), (2, 5, "uniform"), (4, 5, "ordered")):
+        ref = P.CategoricalReference(states, steps, 0.3, kind)
+        some = rows if kind == "uniform" else rows.filter("a between 0 and 3 and b between 0 and 3")
+        for n in (0, steps - 2, steps - 1):
+            pairs = some.select(ref.next_drawn(F.col("a"), F.col("b"), n, F.col("u")), P.draw(ref.next_given_prev(F.col("a"), F.col("b"), F.lit(n)), F.col("u"))).collect()
+            assert pairs and all(x == y for x, y in pairs)
