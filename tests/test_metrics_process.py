@@ -156,7 +156,7 @@ def test_kernel_weights_stand_once(spark):
     assert optimized(df.select(ref.next_given_prev(F.col("a"), F.col("b"), F.lit(2)).alias("p"))).count("CASE WHEN") == 8
     # the normaliser, the near kernel and the far one
     assert optimized(df.select(ref.model_next(F.col("a"), F.col("w"), F.lit(2)).alias("p"))).count("CASE WHEN") == 3
-    assert optimized(df.select(P.softmax(F.col("w")).alias("p"))).count("exp(") == 1
+    assert optimized(df.select(P.softmax(F.col("w")).alias("p"))).lower().count("exp(") == 1
 
 
 def test_draws_at_a_fixed_step_are_those_of_its_probabilities(spark):
