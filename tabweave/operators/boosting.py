@@ -8,7 +8,8 @@ driver chooses the splits of all outputs. Residuals are brought up to date in th
 Cuts are exact quantiles of all rows: all ranks of all columns are narrowed together, a byte of the number's ordered bits
 at a time, from counts of fixed size.
 
-A table of at most `memory` bytes is fitted by the same code in one task, which saves jobs and changes no tree.
+A table of at most `memory` bytes is fitted by the same code in one task, and one of few cells of bins from the sums of its cells, which
+saves jobs and changes no tree.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tabweave.operators.training import TrainingTable
 from tabweave.sources.readers import scratch_path
 
 STEPS = 2.0**22
+#: Where there are so many cells of bins at most, trees of any number of rows grow from one aggregate.
+MOST_CELLS = 256
 CODED = "block bigint, part int, n bigint, codes binary, res binary"
 
 
@@ -174,6 +177,8 @@ class WholeTrees(TreeField):
         self.base = _steady(table.scale()[0][features:], np.abs(order_statistics(table, len(table.cols), np.array([0, table.rows - 1]))[features:]).max(1))
         far = table.blocks.select("x").mapInArrow(_Farthest(len(table.cols), features, self.base), "top array<double>").selectExpr(*[f"max(top[{j}])" for j in range(outputs)]).collect()[0]
         self.unit = np.array([2.0 ** np.ceil(np.log2(t)) if t > 0 else 1.0 for t in far])
+        if self.cells() <= MOST_CELLS:
+            return self._fit_sums(*table.sums(_InCells(self, features)))
         self._fit_in_jobs(self._coded(table, features), features, outputs)
         return self
 
@@ -184,9 +189,16 @@ class WholeTrees(TreeField):
         self.base = _steady(y.mean(0), np.abs(y).max(0))
         far = np.abs(y - self.base).max(0)
         self.unit = np.array([2.0 ** np.ceil(np.log2(t)) if t > 0 else 1.0 for t in far])
+        if self.cells() <= MOST_CELLS:
+            return self._fit_sums(*_InCells(self, x.shape[1])(np.concatenate([x, y], 1), None))
         self.model = self._fit_here(self._codes(x).astype(np.uint8), np.rint((y - self.base) / self.unit * STEPS).astype(np.int64))
         return self
 
+    def _fit_sums(self, n: np.ndarray, res: np.ndarray) -> WholeTrees:
+        seen = np.flatnonzero(n)
+        codes = np.stack(np.unravel_index(seen, [len(c) + 1 for c in self.cuts]), 1).astype(np.uint8)
+        return self.fit_cells(codes, np.rint(n[seen]).astype(np.int64), np.rint(res[seen] * STEPS).astype(np.int64))
+
     def fit_cells(self, codes: np.ndarray, n: np.ndarray, res: np.ndarray) -> WholeTrees:
         """The same trees from cells of equal codes: their rows and sums of residuals in whole steps of the fitted unit, off the base."""
         self.model = self._fit_here(codes, res, n)
@@ -344,6 +356,21 @@ def _arrays(codes: bytes, res: bytes, features: int, outputs: int) -> tuple[np.n
     return np.frombuffer(codes, np.uint8).reshape(-1, features), np.frombuffer(res, np.int64).reshape(-1, outputs)
 
 
+@dataclass
+class _InCells:
+    """Rows of a block by cell of bins, and sums of their residuals in units."""
+
+    trees: WholeTrees
+    features: int
+
+    def __call__(self, x: np.ndarray, rng) -> list[np.ndarray]:
+        own, shape = self.trees, [len(c) + 1 for c in self.trees.cuts]
+        place = np.ravel_multi_index(tuple(own._codes(x[:, : self.features]).T), shape)
+        res = np.rint((x[:, self.features :] - own.base) / own.unit * STEPS)
+        cells = int(np.prod(shape))
+        return [np.bincount(place, minlength=cells), np.stack([np.bincount(place, r, cells) for r in res.T], 1) / STEPS]
+
+
 @dataclass
 class _InOneTask:
     trees: WholeTrees

@@ -15,7 +15,7 @@ from tabweave.operators import metrics, ranks
 from tabweave.operators.boosting import WholeTrees
 from tabweave.operators.fields import TreeField
 from tabweave.operators.schema import TabularSchema
-from tabweave.operators.stages import matrix
+from tabweave.operators.stages import dropped, matrix, stored
 from tabweave.operators.transforms import TransformPipeline
 
 
@@ -49,7 +49,8 @@ def kfold_evaluate(df: DataFrame, name: str, schema: TabularSchema, make_solver,
     """One row per fold: dataset, fold, n_train, n_test, avg_wd, avg_kl, corr_frob and utility. make_solver(cols) -> Solver.
     Folds present in `done` are taken from there."""
     spark, cols = df.sparkSession, list(schema.numeric) + ([schema.target] if schema.target else [])
-    folds = ranks.kfold(df, id_col, k, seed)
+    # every fold reads the deal several times
+    folds = stored(ranks.kfold(df.select(*dict.fromkeys([id_col, *cols])), id_col, k, seed), "folds")
     have = {r["fold"] for r in done.filter(F.col("dataset") == name).select("fold").collect()} if done is not None else set()
     rows = []
     scaled = TabularSchema(continuous=tuple(cols), id=id_col)
@@ -65,6 +66,7 @@ def kfold_evaluate(df: DataFrame, name: str, schema: TabularSchema, make_solver,
         if schema.target:
             row |= utility_delta(train, test, synth, [c for c in cols if c != schema.target], schema.target, id_col)
         rows.append(row)
+    dropped(folds)
     kind = "dataset string, fold int, n_train bigint, n_test bigint, avg_wd double, avg_kl double, corr_frob double" + ", r2_real double, r2_synth double, delta_r2_percent double" * bool(schema.target)
     out = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
     return out if done is None else out.unionByName(done.filter(F.col("dataset") == name).select(*out.columns))

@@ -242,3 +242,10 @@ def test_parzen_search(spark):
     assert len(nan) == 12 and {r["state"] for r in nan} == {"fail"}
     with pytest.raises(ValueError):
         evaluation.search(spark, goal, space, 3, sampler="grid")
+
+
+def test_folds_are_dealt_once(spark, data, monkeypatch):
+    dealt, real = [], evaluation.stored
+    monkeypatch.setattr(evaluation, "stored", lambda df, name: dealt.append(name) or real(df, name))
+    out = evaluation.kfold_evaluate(data, "toy", TabularSchema(continuous=("x", "y")), lambda cols: CopulaBaseline(cols), "id", 3)
+    assert dealt == ["folds"] and out.count() == 3

@@ -261,3 +261,13 @@ def test_tables_of_cells_and_their_sums():
     place, res = np.concatenate([p for p, _ in parts]), np.concatenate([r for _, r in parts])
     for got, weights in zip(cells.all(), (None, *res.T)):
         assert (got == np.bincount(place, weights, 1000)).all()
+
+
+def test_trees_of_few_cells_take_one_aggregate(spark, table):
+    here = boosting.WholeTrees(trees=6, depth=3).fit(table, "id", ["x"], ["y"])
+    cells = boosting.WholeTrees(trees=6, depth=3, memory=0).fit(table, "id", ["x"], ["y"])
+    rows = table.dropna().select("x", "y").toPandas().to_numpy()
+    straight = boosting.WholeTrees(trees=6, depth=3)
+    straight.cuts, straight.base, straight.unit = here.cuts, here.base, here.unit
+    res = np.rint((rows[:, 1:] - here.base) / here.unit * boosting.STEPS).astype(np.int64)
+    assert cells.jobs == 0 and cells.model == here.model == straight._fit_here(straight._codes(rows[:, :1]).astype(np.uint8), res)
