@@ -69,7 +69,8 @@ class TrainingTable:
         total = max(1, -(-rows // block_rows))
         batches = max(1, min(batches, rows // least, total))
         keyed = ready.withColumn("h", F.xxhash64("id", *names)).withColumn("block", F.pmod("h", F.lit(total)))
-        dealt = keyed.withColumn("batch", F.pmod("block", F.lit(batches))).repartition("block").sortWithinPartitions("batch", "block", "h", "id", *names)
+        # the id has done its part in h: rows of one h and equal values are the same to a block
+        dealt = keyed.withColumn("batch", F.pmod("block", F.lit(batches))).drop("id").repartition("block").sortWithinPartitions("batch", "block", "h", *names)
 
         def pack(batches):
             held, key, part, n = [], None, 0, 0

@@ -169,10 +169,9 @@ def _summary(name: str, real, cols: list[str], states=()):
 
     def summary(spark, d):
         out, truth = query(spark, d), real(spark, d)
-        stats = lambda df: [df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)).alias("bad"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.bool_and(F.col(c) == F.rint(c)).alias("whole")).select(F.lit(c).alias("col"), "*") for c in cols]
+        stats = lambda df: df.agg(*[F.struct(F.lit(c).alias("col"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0)).alias("bad"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.bool_and(F.col(c) == F.rint(c)).alias("whole")) for c in cols]).collect()[0]
         rows = []
         for a, b in zip(stats(out), stats(truth)):
-            a, b = a.collect()[0], b.collect()[0]
             free = 0.0 if a.col in states else 3 * b.std
             inside = b.lo - free <= a.lo and a.hi <= b.hi + free and (a.col not in states or a.whole)
             rows.append((a.col, a.n, a.bad, bool(inside), abs(a.mean - b.mean) <= 0.5 * b.std, 0.5 * b.std <= a.std <= 2 * b.std))

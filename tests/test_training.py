@@ -271,3 +271,12 @@ def test_trees_of_few_cells_take_one_aggregate(spark, table):
     straight.cuts, straight.base, straight.unit = here.cuts, here.base, here.unit
     res = np.rint((rows[:, 1:] - here.base) / here.unit * boosting.STEPS).astype(np.int64)
     assert cells.jobs == 0 and cells.model == here.model == straight._fit_here(straight._codes(rows[:, :1]).astype(np.uint8), res)
+
+
+def test_stored_rows_do_not_carry_their_ids_through_the_shuffle(spark, table, monkeypatch):
+    plans = []
+    kind = type(table)
+    sort = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *cols: plans.append(df.columns) or sort(df, *cols))
+    training.TrainingTable.build(table, "id", ["x", "y"]).drop()
+    assert plans and "id" not in plans[0]
