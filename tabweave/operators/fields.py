@@ -126,9 +126,23 @@ class Adam:
         norm = np.sqrt(sum((g * g).sum() for g in grads))
         for p, m, v, g in zip(self.params, self.m, self.v, grads):
             g = g * min(1.0, self.clip / (norm + 1e-12))
-            m += (1 - a) * (g - m)
-            v += (1 - b) * (g * g - v)
-            p -= share * self.rate * (m / (1 - a**self.steps) / (np.sqrt(v / (1 - b**self.steps)) + 1e-8) + self.decay * p)
+            # in place: the arrays are large beside a step's rows
+            d = g - m
+            d *= 1 - a
+            m += d
+            np.multiply(g, g, out=d)
+            d -= v
+            d *= 1 - b
+            v += d
+            np.divide(v, 1 - b**self.steps, out=d)
+            np.sqrt(d, out=d)
+            d += 1e-8
+            np.divide(m, 1 - a**self.steps, out=g)
+            g /= d
+            np.multiply(p, self.decay, out=d)
+            g += d
+            g *= share * self.rate
+            p -= g
 
 
 class MLP:

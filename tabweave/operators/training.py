@@ -253,7 +253,8 @@ def train(table: TrainingTable, params: list[np.ndarray], gradients: Callable, e
 @dataclass
 class LocalDescent:
     """A block's work in a round: AdamW steps of `small` rows from the shared weights; what the weights moved by is the block's part of the
-    round. make(rows, rng, progress) gives (inputs, extra), gradient(out, extra) d loss / d out."""
+    round. make(rows, rng, progress) gives (inputs, extra), gradient(out, extra) d loss / d out. Steps are taken in single precision, on
+    one array that holds all weights."""
 
     kind: type
     params: list[np.ndarray]
@@ -264,13 +265,20 @@ class LocalDescent:
     progress: float
 
     def __call__(self, x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-        own, x = [p.copy() for p in self.params], x[rng.permutation(len(x))]
-        adam, net = Adam(own, self.rate), self.kind.of(own)
-        for lo in range(0, len(x), self.small):
-            inputs, extra = self.make(x[lo : lo + self.small], rng, self.progress)
-            out, kept = net.forward(inputs)
-            adam.step(net.backward(kept, self.gradient(out, extra)))
-        return [np.array([len(x)], float), *((p - q) * len(x) for p, q in zip(own, self.params))]
+        flat = np.concatenate([p.ravel() for p in self.params]).astype(np.float32)
+        ends = np.cumsum([p.size for p in self.params])
+        own = [flat[end - p.size : end].reshape(p.shape) for p, end in zip(self.params, ends)]
+        start, x = flat.copy(), x[rng.permutation(len(x))]
+        adam, net = Adam([flat], self.rate), self.kind.of(own)
+        inputs, extra = self.make(x, rng, self.progress)
+        inputs = inputs.astype(np.float32)
+        for at in (slice(lo, lo + self.small) for lo in range(0, len(x), self.small)):
+            out, kept = net.forward(inputs[at])
+            some = tuple(e[at] for e in extra) if isinstance(extra, tuple) else extra[at]
+            grads = net.backward(kept, self.gradient(out, some).astype(np.float32))
+            adam.step([np.concatenate([g.ravel() for g in grads])])
+        moved = (flat - start).astype(float) * len(x)
+        return [np.array([len(x)], float), *(moved[end - p.size : end].reshape(p.shape) for p, end in zip(self.params, ends))]
 
 
 def descend(df: DataFrame, id_col: str, cols: list[str], net: MLP, make: Callable, gradient: Callable, steps: int, rate: float = 2e-3, small: int = 64, batches: int = 30, seed: int = 0, average: float | None = None, anneal: bool = False) -> int:

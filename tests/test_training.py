@@ -273,6 +273,27 @@ def test_trees_of_few_cells_take_one_aggregate(spark, table):
     assert cells.jobs == 0 and cells.model == here.model == straight._fit_here(straight._codes(rows[:, :1]).astype(np.uint8), res)
 
 
+def test_local_descent_holds_weights_in_one_array_of_single_precision():
+    seen = []
+    net = MLP([3, 8, 2], 1)
+
+    def make(x, rng, progress):
+        seen.append(len(x))
+        return x, (x[:, :2] * 2,)
+
+    def gradient(out, extra):
+        assert out.dtype == np.float32 and len(out) == len(extra[0])
+        return 2 * (out - extra[0]) / out.size
+
+    x = np.random.default_rng(0).normal(size=(1000, 3))
+    before = [p.copy() for p in net.params()]
+    out = training.LocalDescent(MLP, net.params(), make, gradient, 1e-2, 64, 0.0)(x, np.random.default_rng(1))
+    assert seen == [1000] and [a.shape for a in out[1:]] == [p.shape for p in before]
+    assert all((p == q).all() for p, q in zip(before, net.params()))
+    error = lambda params: ((MLP.of(params).forward(x)[0] - 2 * x[:, :2]) ** 2).mean()
+    assert error([p + m / len(x) for p, m in zip(before, out[1:])]) < 0.8 * error(before)
+
+
 def test_stored_rows_do_not_carry_their_ids_through_the_shuffle(spark, table, monkeypatch):
     plans = []
     kind = type(table)
