@@ -167,20 +167,33 @@ class MLP:
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
         kept = []
         for i, (w, b) in enumerate(zip(self.w, self.b)):
-            z = x @ w + b
-            kept.append((x, z))
-            x = z / (1 + np.exp(-np.clip(z, -40, 40))) if i < len(self.w) - 1 else z
+            z = x @ w
+            z += b
+            if i == len(self.w) - 1:
+                kept.append((x, None, None))
+                return z, kept
+            s = np.negative(z)  # the sigmoid, in place: the arrays are large beside what is done to them
+            with np.errstate(over="ignore"):
+                np.exp(s, out=s)
+            s += 1
+            np.divide(1, s, out=s)
+            z *= s
+            kept.append((x, z, s))
+            x = z
         return x, kept
 
     def backward(self, kept: list, g: np.ndarray) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for i in range(len(self.w) - 1, -1, -1):
-            x, z = kept[i]
-            if i < len(self.w) - 1:
-                s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                g = g * (s + z * s * (1 - s))
+            x, y, s = kept[i]
+            if s is not None:  # g is a product made here, so it may change in place
+                slope = 1 - s
+                slope *= y
+                slope += s
+                g *= slope
             out += [g.sum(0), x.T @ g]
-            g = g @ self.w[i].T
+            if i:  # nothing reads the gradient at the inputs
+                g = g @ self.w[i].T
         return out[::-1]
 
     def train(self, batches, loss_gradient, rate: float = 2e-3, decay: float = 1e-4, clip: float = 1.0, anneal_over: int | None = None, average: float | None = None) -> None:

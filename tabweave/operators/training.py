@@ -1,7 +1,7 @@
 """Gradient training over all rows of a table: tasks sum the gradients of their blocks, the driver takes the step.
 
 A training table is stored once: rows are dealt to blocks by a hash of their id and values, and a block (about a
-thousand rows, in a fixed order) is one stored row. Blocks are dealt to minibatches, so that one epoch reads every row once, a
+thousand rows, more of a large table for local descent, in a fixed order) is one stored row. Blocks are dealt to minibatches, so that one epoch reads every row once, a
 minibatch at a time; files are sorted by minibatch, and a step reads the row groups that hold its own. Every step ships the weights to
 the tasks; each task sums what its blocks give, and the sums, whose size is the model's, are added in a tree.
 
@@ -55,22 +55,30 @@ class TrainingTable:
     batches: int
     path: str = ""
     files: int = 0
+    block_rows: int = 1024
 
     def __post_init__(self) -> None:
         self.files = self.files or len(self.blocks.inputFiles())
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str, cols: list[str], batches: int = 30, least: int = 2048, block_rows: int = 1024) -> TrainingTable:
+    def build(cls, df: DataFrame, id_col: str, cols: list[str], batches: int = 30, least: int = 2048, block_rows: int = 1024, most_block_rows: int = 0) -> TrainingTable:
         """All rows of df in which no value is missing. An epoch has `batches` steps, fewer where a step would see less than
-        `least` rows; so a minibatch grows with the table, and an epoch is one read of it in a fixed number of jobs."""
+        `least` rows; so a minibatch grows with the table, and an epoch is one read of it in a fixed number of jobs. With
+        `most_block_rows`, blocks double up to it while a minibatch keeps 64 of them."""
         names = [f"c{i}" for i in range(len(cols))]
         ready = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]).filter(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
         rows = ready.count()
+        while 2 * block_rows <= most_block_rows and rows >= batches * 64 * 2 * block_rows:
+            block_rows *= 2
         total = max(1, -(-rows // block_rows))
         batches = max(1, min(batches, rows // least, total))
-        keyed = ready.withColumn("h", F.xxhash64("id", *names)).withColumn("block", F.pmod("h", F.lit(total)))
-        # the id has done its part in h: rows of one h and equal values are the same to a block
-        dealt = keyed.withColumn("batch", F.pmod("block", F.lit(batches))).drop("id").repartition("block").sortWithinPartitions("batch", "block", "h", *names)
+        # the id has done its part in h: rows of one h and equal values are the same to a block, which h gives again after the shuffle
+        dealt = ready.select(F.xxhash64("id", *names).alias("h"), *names).repartition(F.pmod("h", F.lit(total))).withColumn("block", F.pmod("h", F.lit(total))).withColumn("batch", F.pmod("block", F.lit(batches)))
+        # the order of (batch, block, h) in one number, as a sort compares its first key in place: a block's share of 62 bits, and in it h to
+        # as many bits as there are; what is equal there h and the values order
+        share = 2**61 // total + 2
+        place = F.col("batch") * F.lit(-(-total // batches)) + F.expr(f"block div {batches}")
+        dealt = dealt.withColumn("place", place * F.lit(share) + F.expr(f"h div {8 * total}L")).sortWithinPartitions("place", "h", *names)
 
         def pack(batches):
             held, key, part, n = [], None, 0, 0
@@ -101,7 +109,7 @@ class TrainingTable:
         path = scratch_path(df.sparkSession, "training")
         kind = "batch bigint, block bigint, part int, n bigint, x binary"
         dealt.select("batch", "block", *names).mapInArrow(pack, kind).write.option("parquet.block.size", 8 << 20).parquet(path)
-        return cls(df.sparkSession.read.schema(kind).parquet(path), list(cols), rows, batches, path)
+        return cls(df.sparkSession.read.schema(kind).parquet(path), list(cols), rows, batches, path, block_rows=block_rows)
 
     def sums(self, work: Callable, seed: tuple[int, ...] = (0,), batch: int | None = None) -> list[np.ndarray]:
         """Sums over blocks of what work(x, rng) gives, a list of arrays of fixed shapes; all blocks, or one minibatch's."""
@@ -283,11 +291,13 @@ class LocalDescent:
 
 def descend(df: DataFrame, id_col: str, cols: list[str], net: MLP, make: Callable, gradient: Callable, steps: int, rate: float = 2e-3, small: int = 64, batches: int = 30, seed: int = 0, average: float | None = None, anneal: bool = False) -> int:
     """Trains a network over all rows of df by rounds of local descent, for at least `steps` steps in a row and whole epochs; a round
-    is one job over a minibatch, and moves the weights by the mean over its rows. Returns the rows read in an epoch."""
-    table = TrainingTable.build(df, id_col, cols, batches)
+    is one job over a minibatch, and moves the weights by the mean over its rows. Of large tables blocks and the rows of a step grow
+    alike, up to four times, so that a row costs less and a block takes as many steps. Returns the rows read in an epoch."""
+    table = TrainingTable.build(df, id_col, cols, batches, most_block_rows=4096)
     params = net.params()
     mean = [p.copy() for p in params] if average else []
-    local = max(1, min(1024, max(table.rows, 1)) // small)
+    small *= table.block_rows // 1024
+    local = max(1, min(table.block_rows, max(table.rows, 1)) // small)
     epochs = -(-steps // (local * table.batches)) if table.rows else 0
     rounds = epochs * table.batches
     for epoch in range(epochs):

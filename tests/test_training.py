@@ -301,3 +301,56 @@ def test_stored_rows_do_not_carry_their_ids_through_the_shuffle(spark, table, mo
     monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *cols: plans.append(df.columns) or sort(df, *cols))
     training.TrainingTable.build(table, "id", ["x", "y"]).drop()
     assert plans and "id" not in plans[0]
+
+
+def test_large_tables_have_larger_blocks_and_steps_for_local_descent(spark, table, monkeypatch):
+    stored = training.TrainingTable.build(table, "id", ["x", "y"], batches=1, block_rows=8, most_block_rows=32)  # 2,999 rows are 64 blocks of 32
+    rows = np.concatenate([np.frombuffer(bytes(r.x)).reshape(-1, 2) for r in stored.blocks.collect()])
+    real = np.array([[r.x, r.y] for r in table.dropna().select("x", "y").collect()])
+    assert stored.block_rows == 32 and (np.sort(rows, 0) == np.sort(real, 0)).all()
+    assert training.TrainingTable.build(table, "id", ["x", "y"], batches=2, block_rows=8, most_block_rows=32).block_rows == 16
+    assert training.TrainingTable.build(table, "id", ["x", "y"], batches=1, block_rows=8).block_rows == 8
+
+    build, seen = training.TrainingTable.build.__func__, []
+    large = lambda cls, *a, most_block_rows=0: build(cls, *a, least=1000, block_rows=2048)
+    monkeypatch.setattr(training.TrainingTable, "build", classmethod(large))
+    kind = training.LocalDescent
+    monkeypatch.setattr(training, "LocalDescent", lambda *a: seen.append(a[5]) or kind(*a))
+    make = lambda x, rng, progress: (x[:, :1], x[:, 1:])
+    gradient = lambda out, y: 2 * (out - y) / out.size
+    assert training.descend(table, "id", ["w", "v"], MLP([1, 4, 1]), make, gradient, 20, small=64) == 3000
+    assert seen == [128] * 2  # a round of 16 steps over each of two minibatches is more than 20 steps
+
+
+def test_the_way_back_takes_no_exponentials_and_agrees_with_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    net, x, y = MLP([3, 5, 4, 2], 2), rng.normal(size=(9, 3)), rng.normal(size=(9, 2))
+    x[0] = 1e4  # sigmoids of 0 and 1
+    loss = lambda: float(((net.forward(x)[0] - y) ** 2)[1:].sum())
+    out, kept = net.forward(x)
+    assert np.isfinite(out).all()
+    g = 2 * (out - y)
+    g[0] = 0
+    with monkeypatch.context() as m:
+        m.setattr(np, "exp", None)
+        grads = net.backward(kept, g)
+    for p, d in zip(net.params(), grads):
+        for at in np.ndindex(p.shape):
+            was, p[at] = p[at], p[at] + 1e-6
+            up, p[at] = loss(), was - 1e-6
+            down, p[at] = loss(), was
+            assert d[at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-6)
+    again = net.forward(x)[1]
+    assert all((a == b).all() for a, b in zip(net.backward(again, g), grads))
+
+
+def test_stored_rows_are_shuffled_without_what_their_hash_gives_and_keep_their_order(spark, table, monkeypatch):
+    kind, seen = type(table), []
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *a: seen.append(df.columns) or deal(df, *a))
+    stored = training.TrainingTable.build(table, "id", ["x", "y"], batches=5, least=100, block_rows=64)
+    assert seen == [["h", "c0", "c1"]]
+    h = F.xxhash64(F.col("id").cast("string"), "x", "y")
+    rows = sorted((r.h % 47 % 5, r.h % 47, r.h, r.x, r.y) for r in table.dropna(subset=["x", "y"]).select(h.alias("h"), "x", "y").collect())
+    got = {(r.batch, r.block): np.frombuffer(bytes(r.x)).reshape(-1, 2).tolist() for r in stored.blocks.collect()}
+    assert len(got) == 47 and all(xy == [[x, y] for b, k, _, x, y in rows if (b, k) == key] for key, xy in got.items())
