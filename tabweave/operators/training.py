@@ -136,7 +136,7 @@ class TrainingTable:
         mine = self.blocks if batch is None else self.blocks.filter(F.col("batch") == batch)
         parts = mine.select(*columns).mapInArrow(run, kind)
         if self.files > MOST_PARTIALS:
-            parts = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(MOST_PARTIALS)).alias("g")).applyInArrow(lambda t: added(t.drop(["g"])), kind)
+            parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(MOST_PARTIALS))).groupBy("g").applyInArrow(lambda t: added(t.drop(["g"])), kind)
         rows = parts.collect()
         if not rows:
             return []

@@ -354,3 +354,14 @@ def test_stored_rows_are_shuffled_without_what_their_hash_gives_and_keep_their_o
     rows = sorted((r.h % 47 % 5, r.h % 47, r.h, r.x, r.y) for r in table.dropna(subset=["x", "y"]).select(h.alias("h"), "x", "y").collect())
     got = {(r.batch, r.block): np.frombuffer(bytes(r.x)).reshape(-1, 2).tolist() for r in stored.blocks.collect()}
     assert len(got) == 47 and all(xy == [[x, y] for b, k, _, x, y in rows if (b, k) == key] for key, xy in got.items())
+
+
+def test_partial_sums_of_many_files_meet_in_groups(spark, table, monkeypatch):
+    """Beyond MOST_PARTIALS files partial sums are added in tasks before the driver gets them: the same sums, of all blocks and of a minibatch."""
+    stored = training.TrainingTable.build(table, "id", ["x", "y"], batches=5, least=100, block_rows=64)
+    found = lambda: [np.concatenate([s.ravel() for s in stored.sums(training._Powers(np.ones(2)), batch=b)]).tolist() for b in (None, 2)]
+    few = found()
+    monkeypatch.setattr(training, "MOST_PARTIALS", 2)
+    stored.files = 3
+    assert found() == few
+    stored.drop()
