@@ -79,7 +79,7 @@ def sample_with_replacement(df: DataFrame, id_col: str, n: int, seed: str | int,
 
 
 def average_rank(df: DataFrame, group: str, entity: str, score: str) -> DataFrame:
-    """Per entity the mean over groups of its average-method rank by score (ties share the mean of their places)."""
+    """Per entity the mean over groups of its average-method rank by score (ties share the mean of their places; groups without a score come last)."""
     w = Window.partitionBy(group)
-    ranked = df.withColumn("r__", F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(group, score)) - 1) / 2)
+    ranked = df.withColumn("r__", F.rank().over(w.orderBy(F.col(score).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(group, score)) - 1) / 2)
     return ranked.groupBy(entity).agg(F.avg("r__").alias("avg_rank"), F.count(F.lit(1)).alias("n_groups"))

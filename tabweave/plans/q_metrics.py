@@ -73,9 +73,11 @@ def fold_summary(spark, d):
 
 def average_rank(spark, d):
     """Users ranked inside each event type by their rounded mean value."""
-    # means that lie on a half are rounded by the last bit of their sum, so values are added in the order of events on any cluster
-    upto = Window.partitionBy("event_type", "user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, d, "events").withColumn("s", F.sum("value").over(upto)).groupBy("event_type", "user_id").agg(F.round(F.max_by("s", "event_id") / F.count("value"), 0).alias("score"))
+    # means that lie on a half are rounded by the last bit of their sum, so values are added in the order of events (of one id: of values) on any cluster
+    order = Window.partitionBy("event_type", "user_id").orderBy("event_id", "value")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, d, "events").select("event_type", "user_id", "value", F.sum("value").over(upto).alias("s"), F.row_number().over(order).alias("n"))
+    e = e.groupBy("event_type", "user_id").agg(F.round(F.max_by("s", "n") / F.count("value"), 0).alias("score"))
     return ranks.average_rank(e, "event_type", "user_id", "score").select("user_id", r("avg_rank", "avg_rank"), "n_groups")
 
 

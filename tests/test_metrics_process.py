@@ -57,6 +57,21 @@ def test_average_rank_adds_in_the_order_of_events(spark, tmp_path):
     assert {r.user_id: r.avg_rank for r in average_rank(spark, f"file://{tmp_path}").collect()} == want
 
 
+def test_average_rank_of_equal_event_ids_and_missing_values(spark, tmp_path):
+    """Events of one id are all added; an entity without a value comes last, as in the SQL."""
+    import duckdb
+
+    from tabweave.plans.q_metrics import ORACLES, average_rank
+
+    rows = [(7, user, "view", float(v)) for user in range(40) for v in ((user * 7) % 40, 100, (user * 3) % 11)] + [(8, 40, "view", None), (9, 41, "view", 1e6)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["average_rank"]).fetchall())
+    assert sorted(tuple(r) for r in average_rank(spark, f"file://{tmp_path}").collect()) == want
+
+
 def test_histogram_kl_on_edges(spark):
     a, b = np.arange(11) / 100, np.array([0.0, 0.1, 0.1, 0.05])
     p, q = (np.histogram(x, np.linspace(0, 0.1, 21))[0] + 1e-12 for x in (a, b))
