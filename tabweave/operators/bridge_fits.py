@@ -238,8 +238,8 @@ class _Moments:
     def __call__(self, x: np.ndarray, rng) -> list[np.ndarray]:
         out = np.zeros((3, self.groups, x.shape[1] - 1))
         for g in np.unique(x[:, 0]).astype(int):
-            z = x[x[:, 0] == g, 1:] / self.unit
-            out[0, g], out[1, g], out[2, g] = len(z), z.sum(0), (z * z).sum(0)
+            z = x[slice(None) if self.groups == 1 else x[:, 0] == g, 1:] / self.unit
+            out[0, g], out[1, g], out[2, g] = len(z), z.sum(0), np.einsum("ij,ij->j", z, z)
         return [out]
 
 
@@ -291,7 +291,7 @@ def fit_networks(table: TrainingTable, d: int, shapes: list[tuple[int, int]], gr
         for epoch in range(p["epochs"]):
             for k, batch in enumerate(generator(p["seed"], epoch).permutation(table.batches)):
                 left = 1 - (epoch * table.batches + k) / (p["epochs"] * table.batches)
-                step = Step(LocalSteps(n, inputs, mean, std, share, p["rate"] * left, small), weights)
+                step = Step(LocalSteps(n, inputs, mean, std, share, p["rate"] * left, small, True), weights)
                 out = over(step, (p["seed"], epoch), int(batch) if table.batches > 1 else None)
                 if not out:
                     continue

@@ -7,6 +7,7 @@ expression, and noise is a function of (tag, row id, coordinate), so any partiti
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,11 +33,11 @@ class TimeGrid:
         if self.schedule not in ("linear", "geom"):
             raise ValueError(f"unknown schedule {self.schedule}")
 
-    @property
+    @cached_property  # a path asks for them at every step
     def gamma(self) -> np.ndarray:
         return np.linspace(self.low, self.high, self.steps) if self.schedule == "linear" else np.geomspace(self.low, self.high, self.steps)
 
-    @property
+    @cached_property
     def t(self) -> np.ndarray:
         return np.cumsum(self.gamma)
 

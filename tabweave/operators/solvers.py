@@ -245,9 +245,8 @@ class ImfSolver(Solver):
             x = start[:, out]
             for i in range(self.steps):
                 k = i if direction == "f" else self.steps - 1 - i
-                t = np.full((len(x), 1), times[k])
                 model = fields[m, None if self.time == "continuous" else k]
-                parts = [x, out_x[:, ctx], *self._inputs(t)]
+                parts = [x, out_x[:, ctx], *(np.broadcast_to(t, (len(x), t.shape[1])) for t in self._inputs(np.full((1, 1), times[k])))]
                 x = x + dt * model.predict(np.concatenate(parts, 1))
                 if noise is not None and i < self.steps - 1:
                     x = x + self.sigma * np.sqrt(dt) * noise[:, i][:, out]
@@ -420,9 +419,9 @@ class IpfSolver(Solver):
     def _mean(self, direction: str, m: int, x: np.ndarray, ctx: np.ndarray, k: int) -> np.ndarray:
         if direction == "f" and "f" not in self.fields:
             return x - self.grid.gamma[k] * self.alpha * x
-        t = np.full((len(x), 1), self.grid.t[k])
         model = self.fields[direction][m, None if self.time == "continuous" else k]
-        return x + model.predict(np.concatenate([x, ctx] + ([t] if self.time == "continuous" else []), 1))
+        t = [np.full((len(x), 1), self.grid.t[k])] if self.time == "continuous" else []
+        return x + model.predict(np.concatenate([x, ctx, *t], 1) if t or ctx.size else x)
 
     def training_rows(self, data: DataFrame, direction: str, salt: int, m: int) -> DataFrame:
         """The rows that model m of `direction` learns from: the other direction's path of every row, each step back with the residual

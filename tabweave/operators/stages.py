@@ -22,6 +22,8 @@ from tabweave.operators.training import Step, TrainingTable
 from tabweave.sources.readers import scratch_path
 
 MEMORY = 128_000_000
+#: Rows that a network answers at a time.
+AT_ONCE = 1024
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -135,22 +137,25 @@ class LocalSteps:
     share: np.ndarray
     rate: float
     small: int = 16
+    single: bool = False
 
     @property
     def together(self) -> int:
-        """Blocks at a time: so that about as many networks as a core's cache holds take steps side by side."""
-        return max(1, 48 // self.groups)
+        """Blocks at a time: so that as many networks take steps side by side as a core's cache holds the rows of."""
+        return max(1, (768 if self.single else 48 * self.small) // self.small // self.groups)
 
     def __call__(self, params: list[np.ndarray], x: np.ndarray, rng) -> tuple[float, list[np.ndarray]]:
         return self.many(params, [(x, rng)])[0]
 
     def many(self, params: list[np.ndarray], blocks: list) -> list[tuple[float, list[np.ndarray]]]:
         """The same of several blocks (rows, rng), whose groups take their steps side by side; a block's result doesn't depend on those
-        beside it: each has its own products, of `small` rows whatever is left (rows that aren't there have no error)."""
-        per, lanes = len(params) // self.groups, []
+        beside it: each has its own products, of `small` rows whatever is left (rows that aren't there have no error). With `single`, steps
+        are taken in single precision."""
+        per, lanes, kind = len(params) // self.groups, [], np.float32 if self.single else float
         for i, (x, rng) in enumerate(blocks):
             for g in np.unique(x[:, 0]).astype(int):
-                z = (x[x[:, 0] == g, 1:] - self.mean[g]) / self.std[g]
+                own = slice(None) if self.groups == 1 else x[:, 0] == g
+                z = ((x[own, 1:] - self.mean[g]) / self.std[g]).astype(kind, copy=False)
                 lanes.append((i, g, z[rng.permutation(len(z))]))
         found = [(0.0, [np.zeros_like(p) for p in params]) for _ in blocks]
         if not lanes:
@@ -158,31 +163,34 @@ class LocalSteps:
         lanes.sort(key=lambda lane: -len(lane[2]))  # those that still have rows come first
         rows = np.array([len(z) for _, _, z in lanes])
         most, outputs = -(-rows[0] // self.small), lanes[0][2].shape[1] - self.inputs
-        data = np.zeros((len(lanes), most * self.small, self.inputs + outputs))
+        data = np.zeros((len(lanes), most * self.small, self.inputs + outputs), kind)
         for j, (_, _, z) in enumerate(lanes):
             data[j, : len(z)] = z
-        own = [np.stack([params[g * per + k] for _, g, _ in lanes]) for k in range(per)]
+        # all weights of a network lie in a row, and so do their gradients
+        flat = np.stack([np.concatenate([p.ravel() for p in params[g * per : (g + 1) * per]]) for _, g, _ in lanes]).astype(kind)
+        start, grads = flat.copy(), np.empty_like(flat)
+        ends = np.cumsum([p.size for p in params[:per]])
+        parts = lambda rows: [rows[:, end - p.size : end].reshape(len(rows), *p.shape) for p, end in zip(params, ends)]
         loss = np.zeros(len(lanes))
         for lo in range(0, rows[0], self.small):
             live = int((rows > lo).sum())
             part, some = data[:live, lo : lo + self.small], np.minimum(rows[:live] - lo, self.small)
-            now = [p[:live] for p in own]
+            now, into, moved = parts(flat[:live]), parts(grads[:live]), grads[:live]
             out, kept = _forward(now, np.ascontiguousarray(part[:, :, : self.inputs]))
-            off = out - part[:, :, self.inputs :]
+            out -= part[:, :, self.inputs :]
             for j in np.flatnonzero(some < self.small):
-                off[j, some[j] :] = 0
-            loss[:live] += (off * off).sum((1, 2)) / outputs
-            grads = _backward(now, kept, off * (2 / (some * outputs))[:, None, None])
-            norm = np.sqrt(sum(np.einsum("li,li->l", d.reshape(live, -1), d.reshape(live, -1)) for d in grads))
-            rate = self.rate * np.minimum(1.0, 1 / (norm + 1e-12))
-            for p, d in zip(now, grads):
-                d *= rate.reshape(-1, *[1] * (d.ndim - 1))
-                p -= d
-        total = [r[0] for r in found]
+                out[j, some[j] :] = 0
+            loss[:live] += np.einsum("li,li->l", out.reshape(live, -1), out.reshape(live, -1)) / outputs
+            out *= (2 / (some * outputs)).astype(kind)[:, None, None]
+            _backward(now, kept, out, into)
+            norm = np.sqrt(np.einsum("li,li->l", moved, moved))
+            moved *= (self.rate * np.minimum(1.0, 1 / (norm + 1e-12))).astype(kind)[:, None]
+            flat[:live] -= moved
+        total, moves = [r[0] for r in found], parts((start - flat).astype(float))
         for j, (i, g, z) in enumerate(lanes):
             total[i] += loss[j]
             for k in range(per):
-                found[i][1][g * per + k] = (params[g * per + k] - own[k][j]) * len(z) / self.share[g]
+                found[i][1][g * per + k] = moves[k][j] * len(z) / self.share[g]
         return [(float(t), moved) for t, (_, moved) in zip(total, found)]
 
 
@@ -196,30 +204,33 @@ def _forward(params: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, list]
             if i == layers - 1:
                 kept.append((x, None))
                 return z, kept
-            s = np.exp(-z)
+            s = np.negative(z)
+            np.exp(s, out=s)
             s += 1
             np.reciprocal(s, out=s)
             z *= s
-            kept.append((x, s + z * (1 - s)))
+            slope = 1 - s
+            slope *= z
+            slope += s
+            kept.append((x, slope))
             x = z
 
 
-def _backward(params: list[np.ndarray], kept: list, g: np.ndarray) -> list[np.ndarray]:
-    """MLP.backward of many networks, in the order of params."""
-    out: list[np.ndarray] = []
+def _backward(params: list[np.ndarray], kept: list, g: np.ndarray, into: list[np.ndarray]) -> None:
+    """MLP.backward of many networks, in the order of params, written to `into`."""
     for i in range(len(kept) - 1, -1, -1):
         x, slope = kept[i]
         if slope is not None:
-            g = g * slope
-        out += [g.sum(1), np.swapaxes(x, 1, 2) @ g]
+            g *= slope
+        np.matmul(np.ones((1, g.shape[1]), g.dtype), g, out=into[2 * i + 1][:, None])  # sums over rows
+        np.matmul(np.swapaxes(x, 1, 2), g, out=into[2 * i])
         if i:
             g = g @ np.swapaxes(params[2 * i], 1, 2)
-    return out[::-1]
 
 
 @dataclass
 class GroupNet:
-    """A fitted group's network."""
+    """A fitted group's network. It answers in single precision, `AT_ONCE` rows at a time, so that a layer's values stay in a core's cache."""
 
     net: MLP
     mean: np.ndarray
@@ -227,8 +238,14 @@ class GroupNet:
     inputs: int
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        k = self.inputs
-        return self.net.forward((x - self.mean[:k]) / self.std[:k])[0] * self.std[k:] + self.mean[k:]
+        k, out = self.inputs, np.empty((len(x), len(self.mean) - self.inputs))
+        single = MLP.of([p.astype(np.float32) for p in self.net.params()])
+        for lo in range(0, len(x), AT_ONCE):
+            some = (x[lo : lo + AT_ONCE] - self.mean[:k]) / self.std[:k]
+            out[lo : lo + AT_ONCE] = single.forward(some.astype(np.float32))[0]
+        out *= self.std[k:]
+        out += self.mean[k:]
+        return out
 
 
 def _networks(rows: DataFrame, xs: list[str], ys: list[str], groups: list[int], params: dict) -> dict:

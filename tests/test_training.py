@@ -365,3 +365,33 @@ def test_partial_sums_of_many_files_meet_in_groups(spark, table, monkeypatch):
     stored.files = 3
     assert found() == few
     stored.drop()
+
+
+def test_bridge_networks_learn_and_answer_in_single_precision(spark, table, monkeypatch):
+    """Steps of bridge fits are of single precision, near those of double, whatever blocks are beside; a fitted network answers likewise."""
+    rng = np.random.default_rng(8)
+    blocks = [(np.column_stack([rng.integers(0, 2, n).astype(float), rng.normal(size=(n, 5))]), n) for n in (50, 3, 0, 131)]
+    params = [w for g in range(2) for w in MLP([3, 8, 8, 2], g).params()]
+    made = lambda single: stages.LocalSteps(2, 3, np.zeros((2, 5)), np.ones((2, 5)), np.array([0.4, 0.6]), 0.1, 16, single)
+    again = lambda: [(x, np.random.default_rng(i)) for x, i in blocks]
+    one, two = made(True).many(params, again()), made(False).many(params, again())
+    for (x, i), (loss, moved), (wanted, exact) in zip(blocks, one, two):
+        alone = made(True)(params, x, np.random.default_rng(i))
+        assert loss == alone[0] == pytest.approx(wanted, rel=1e-4) and all((a == b).all() for a, b in zip(moved, alone[1]))
+        assert all(a == pytest.approx(b, abs=1e-3) for a, b in zip(moved, exact)) and all(a.dtype == float for a in moved)
+    net = stages.GroupNet(MLP([3, 8, 2], 1), np.full(5, 1e6), np.full(5, 2.0), 3)
+    x = 1e6 + rng.normal(size=(2500, 3))
+    assert net.predict(x) == pytest.approx(net.net.forward((x - 1e6) / 2)[0] * 2 + 1e6, abs=1e-4)
+    kinds, forward = set(), stages._forward
+    monkeypatch.setattr(stages, "_forward", lambda p, x: kinds.add(x.dtype.name) or forward(p, x))
+    from tabweave.operators import bridge_fits
+
+    stored = bridge_fits.blocks_of(table.select(bridge_fits.key_of("id").alias("key"), F.col("w").alias("a0")), ["a0"], 1, 1, 2)
+    rows = lambda key, a, w, m: iter([(0, a, 2 * a)])
+    work = bridge_fits._OnBlocks(rows, 0, [0], 1, (0,), training.Step(stages.LocalSteps(1, 1, np.zeros((1, 2)), np.ones((1, 2)), np.ones(1), 0.1, 16, True), MLP([1, 4, 1]).params()))
+    first = stored.blocks.select("block", "part", "x").first()
+    work.many([(first.block, first.part, bytes(first.x))])
+    assert kinds == {"float32"}
+    fitted = bridge_fits.fit_networks(stored, 1, [(1, 1)], [0], rows, {"epochs": 3, "batches": 2, "hidden": (8,)}, 8.0, 1)
+    assert fitted[0, 0].predict(np.array([[-1.0], [1.0]])) == pytest.approx(np.array([[-2.0], [2.0]]), abs=0.8)
+    stored.drop()
